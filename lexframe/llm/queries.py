@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexframe.llm.bpe import bpe_roundtrip
+from lexframe.llm.simhash import near_duplicates
 from lexframe.llm.token_counts import count_tokens
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -18,6 +19,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_roundtrip(docs, public_tokenizers.path(TOKENIZER)).select(
@@ -31,7 +37,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts}
+    return {"op1_simhash": op1_simhash, "op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
