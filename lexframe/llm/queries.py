@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexframe.llm.bpe import bpe_roundtrip
+from lexframe.llm.decontam import contamination, hit_words
+from lexframe.llm.sharding import even_tree, shard_table, with_region
 from lexframe.llm.simhash import near_duplicates
 from lexframe.llm.token_counts import count_tokens
+from lexframe.llm.urlfilter import judge_urls, url_path
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -24,6 +27,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = even_tree(16)
+    found = shard_table(_table(spark, sf_dir, "documents"), tree, with_region(tree, 16))
+    return found.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_roundtrip(docs, public_tokenizers.path(TOKENIZER)).select(
@@ -36,8 +45,34 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path(TOKENIZER)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit_words().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("hit_spans") > 0).alias("contaminated"),
+    )
+
+
+#: The rules of the url query.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    # A page's path ends in the number of the document that it shows; labels judge some of these.
+    number = F.try_to_number(F.nullif(F.regexp_extract(url_path(F.col("url")), r"/([0-9]{1,18})[^/]*/?$", 1), F.lit("")), F.lit("9" * 18)).cast("long")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("bad"))
+    labelled = pages.select("page_id", number.alias("doc_id")).join(labels, "doc_id").select("page_id", "bad")
+    return judge_urls(pages, URL_RULES, labelled)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts}
+    return {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts, "op6_decontamination": op6_decontamination, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
