@@ -20,6 +20,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/lexframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch that goes to a Python worker. Spark's own bound is 64 MB, and a worker holds a
+#: batch several times over: as Arrow, as strings, as words.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the bytes of an Arrow batch, if it is above BATCH_BYTES."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(name)).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet to the shared folder and read it again.
 

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from lexframe.llm._common import bounded_batches
+
 #: The rank of a pair that no merge joins.
 NONE = np.int32(2**31 - 1)
 #: Words of more bytes than this take the heap, as a scan for each merge is quadratic in them.
@@ -335,6 +337,7 @@ def bpe_roundtrip(df: DataFrame, tokenizer_path: str, *, text: str = "text") ->
     themselves. Null counts as empty; repeated rows are encoded each; an empty table stays empty. Other
     columns stay, columns of the three names are replaced. One pass, no shuffle.
     """
+    bounded_batches(df.sparkSession)
     codec = Bpe(df.sparkSession, tokenizer_path)
     return (
         df.withColumn("ids", codec.encode(F.col(text)))

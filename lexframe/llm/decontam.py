@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from lexframe.llm._common import ALNUM_WORDS, lower_ascii, texts_of, word_hashes, word_spans, written
+from lexframe.llm._common import ALNUM_WORDS, bounded_batches, lower_ascii, texts_of, word_hashes, word_spans, written
 
 #: Words of a document that are in work at once.
 _CHUNK = 1 << 16
@@ -175,6 +175,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, te
     a bound whatever the size of the benchmark; all documents are searched for each block, and between blocks the
     rows are written to the shared folder. With one block there is one pass and no shuffle.
     """
+    bounded_batches(docs.sparkSession)
     names = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(item_text), F.lit("")).alias("body"))
     size = names.agg(F.sum(F.octet_length("body") + F.octet_length("name"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))

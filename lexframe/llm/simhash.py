@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from lexframe.llm._common import SPACE_WORDS, lower_ascii, texts_of, word_spans, written
+from lexframe.llm._common import SPACE_WORDS, bounded_batches, lower_ascii, texts_of, word_spans, written
 from lexframe.llm._components import components
 from lexframe.llm.golay import codeword_keys
 
@@ -146,6 +146,7 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
     The texts are read once. What follows works on distinct fingerprints, so copies cost nothing there.
     """
+    bounded_batches(df.sparkSession)
     marks = written(df.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp")), "simhash-marks")
     nodes = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
     labels = linked_fingerprints(nodes.select("fp"))

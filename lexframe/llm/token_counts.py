@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from lexframe.llm._common import bounded_batches
 from lexframe.llm.bpe import byte_batches, codec_of
 
 
@@ -92,6 +93,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, *, text: str = "text", limi
     Any other columns stay; columns of these three names are replaced. Repeated rows are counted
     each; an empty table gives an empty result. One pass over the rows, no shuffle.
     """
+    bounded_batches(df.sparkSession)
     return (
         df.withColumn("n_bytes", F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long"))
         .withColumn("n_tokens", token_count(df.sparkSession, tokenizer_path, text))
