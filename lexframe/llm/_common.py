@@ -162,3 +162,24 @@ def texts_of(column: pa.Array) -> Iterator[np.ndarray]:
     valid = column.is_valid().to_numpy(zero_copy_only=False)
     for i in range(len(column)):
         yield body[bounds[i] : bounds[i + 1]] if valid[i] else body[:0]
+
+
+def text_runs(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, where each text starts) for runs of rows with about `most` bytes of text.
+
+    A newline stands after each text, so that no word goes over from one text to the next. The starts
+    have one more entry, the length of the bytes.
+    """
+    parts: list[np.ndarray] = []
+    first = size = 0
+    for row, data in enumerate(texts_of(column)):
+        parts += [data, _NEWLINE]
+        size += len(data)
+        if size >= most or row + 1 == len(column):
+            starts = np.zeros(len(parts) // 2 + 1, dtype=np.int64)
+            np.cumsum([len(x) + 1 for x in parts[::2]], out=starts[1:])
+            yield first, np.concatenate(parts), starts
+            parts, first, size = [], row + 1, 0
+
+
+_NEWLINE = np.frombuffer(b"\n", dtype=np.uint8)
