@@ -2,15 +2,60 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexframe.llm._common import written
+from lexframe.llm.bpe import bpe_roundtrip
+from lexframe.llm.decontam import drop_contaminated
+from lexframe.llm.quality import keep_quality
+from lexframe.llm.simhash import drop_near_duplicates
+from lexframe.llm.substring import dedup_text
 
-STAGES: list = []
 #: SQL can't express the stages (a trained model, hashing, BPE); tests hold them against plain versions.
 ORACLE_SQL = None
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return drop_near_duplicates(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 35 words or more that occur more than once are cut out of the texts."""
+    return dedup_text(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (packed little-endian uint32) of each text, and digests of them and of the decoded text."""
+    found = bpe_roundtrip(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    digests = {"ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2(F.col("decoded").cast("binary"), 256)}
+    return found.withColumns(digests).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("simhash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("bpe encoding and decoding", encode),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents; what each keeps is written as Parquet and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

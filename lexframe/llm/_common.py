@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -55,6 +56,17 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list:
     ]
 
 
+def stashed(df: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns of df and one column with all others, so that new columns clash with none."""
+    rest = [c for c in df.columns if c not in needed]
+    return df.select(*needed, F.struct(F.lit(0).alias("_"), *(F.col(c) for c in rest)).alias("_row"))
+
+
+def unstashed(df: DataFrame, like: DataFrame, *needed: str) -> DataFrame:
+    """The columns of `like` again: the needed ones as they are now, the others as they were."""
+    return df.select(*(F.col(c) if c in needed else F.col("_row")[c].alias(c) for c in like.columns))
+
+
 def _byte_class(separators: bytes) -> np.ndarray:
     table = np.ones(256, dtype=bool)
     table[list(separators)] = False
@@ -183,3 +195,12 @@ def text_runs(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.n
 
 
 _NEWLINE = np.frombuffer(b"\n", dtype=np.uint8)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that are done, so that levels don't add up on the executors' disks.
+
+    Spark cleans them once the driver's JVM has collected the plan objects; this asks for a collection.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

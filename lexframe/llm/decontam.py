@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from lexframe.llm._common import ALNUM_WORDS, bounded_batches, lower_ascii, texts_of, word_hashes, word_spans, written
+from lexframe.llm._common import ALNUM_WORDS, bounded_batches, lower_ascii, stashed, texts_of, unstashed, word_hashes, word_spans, written
 
 #: Words of a document that are in work at once.
 _CHUNK = 1 << 16
@@ -194,6 +194,7 @@ def hit_words() -> Column:
     return F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, x: n + (x["end"] - x["start"]))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs without a word inside an occurrence; columns as they were."""
-    return contamination(docs, benchmark, **options).filter(F.size("hit_spans") == 0).select(*docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """The rows of docs without a word inside an occurrence; all columns as they were."""
+    found = contamination(stashed(docs, text), benchmark, text=text, **options)
+    return unstashed(found.filter(F.size("hit_spans") == 0), docs, text)

@@ -252,6 +252,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
     return out.withColumn("predicted", (F.col("score") >= accept_at).cast("int"))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are predicted 1; columns as they were."""
-    return score_quality(docs, labels, **options).filter("predicted = 1").select(*docs.columns)
+def keep_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", accept_at: float = 0.7, train_rows: int = 20_000) -> DataFrame:
+    """The rows of docs whose score is at least accept_at; all columns as they were."""
+    model = fit_quality(docs, labels, doc_id=doc_id, text=text, label=label, train_rows=train_rows)
+    return docs.filter(model.score(docs, F.col(text)) >= accept_at)

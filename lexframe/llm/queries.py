@@ -13,6 +13,7 @@ from lexframe.llm.decontam import contamination, hit_words
 from lexframe.llm.quality import score_quality
 from lexframe.llm.sharding import even_tree, shard_table, with_region
 from lexframe.llm.simhash import near_duplicates
+from lexframe.llm.substring import remove_repeats
 from lexframe.llm.token_counts import count_tokens
 from lexframe.llm.urlfilter import judge_urls, url_path
 
@@ -64,6 +65,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 #: The rules of the url query.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -78,7 +84,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts, "op6_decontamination": op6_decontamination, "op8_quality": op8_quality, "op10_url_filter": op10_url_filter}
+    return {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts, "op6_decontamination": op6_decontamination, "op8_quality": op8_quality, "op9_substring": op9_substring, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from lexframe.llm._common import SPACE_WORDS, bounded_batches, lower_ascii, texts_of, word_spans, written
+from lexframe.llm._common import SPACE_WORDS, bounded_batches, lower_ascii, row_key, texts_of, word_spans, written
 from lexframe.llm._components import components
 from lexframe.llm.golay import codeword_keys
 
@@ -120,6 +120,8 @@ def linked_fingerprints(fingerprints: DataFrame) -> DataFrame:
     least label.
     """
     by_key = Window.partitionBy("key")
+    # Each fingerprint becomes about 180 rows, so the few bytes of them are dealt to all tasks first.
+    fingerprints = fingerprints.repartition(int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     buckets = fingerprints.select("fp", F.explode(_keys("fp")).alias("key"))
     buckets = buckets.withColumns({"rep": F.min("fp").over(by_key), "top": F.max("fp").over(by_key)}).filter("rep < top").drop("top")
     buckets = written(buckets, "simhash-buckets")
@@ -134,6 +136,20 @@ def linked_fingerprints(fingerprints: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("fp"), "label")
 
 
+def _resolved(df: DataFrame, doc_id: str, text: str, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(_k1, _k2, doc_id, fp) of each row, and (fp, label, component_id) of each distinct fingerprint."""
+    bounded_batches(df.sparkSession)
+    keyed = df.select(*row_key(doc_id, text), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    marks = written(keyed.select("_k1", "_k2", "doc_id", fingerprint(F.col("text"), shingle).alias("fp")), "simhash-marks")
+    nodes = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    labels = linked_fingerprints(nodes.select("fp"))
+    joined = nodes.join(labels, "fp")
+    reached = joined.groupBy("label").agg(F.min("least").alias("reached"))
+    reached = joined.select("fp", "label").join(reached, "label")
+    known = nodes.join(reached, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("reached", "least").alias("component_id"))
+    return marks, written(known, "simhash-known")
+
+
 def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
     """doc_id, fp (long), component_id (the smallest doc_id that links reach, its own included) for each row.
 
@@ -146,26 +162,18 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
     The texts are read once. What follows works on distinct fingerprints, so copies cost nothing there.
     """
-    bounded_batches(df.sparkSession)
-    marks = written(df.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp")), "simhash-marks")
-    nodes = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labels = linked_fingerprints(nodes.select("fp"))
-    joined = nodes.join(labels, "fp")
-    least = joined.groupBy("label").agg(F.min("least").alias("reached"))
-    reached = joined.select("fp", "label").join(least, "label").select("fp", "reached")
-    known = written(nodes.join(reached, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id")), "simhash-known")
+    marks, known = _resolved(df, doc_id, text, shingle)
     return marks.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
     """One row of each component stays, with all its columns: the one with the smallest id.
 
-    Of rows that share this id (repeated rows), the one with the least text hash stays; rows of a
-    component in which all ids are null count as one group.
+    Null ids come last; of rows with the same id the one with the least text CRC stays, of rows that are
+    the same in both any one.
     """
-    found = near_duplicates(df, doc_id=doc_id, text=text, shingle=shingle)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep"), "fp").distinct()
-    held = df.withColumns({"_fp": fingerprint(F.col(text), shingle)})
-    held = held.join(keep, held[doc_id].eqNullSafe(keep["_keep"]) & (F.col("_fp") == keep["fp"]), "left_semi").drop("_fp")
-    once = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
-    return held.withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n")
+    marks, known = _resolved(df, doc_id, text, shingle)
+    each = marks.join(known, "fp").select("label", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k2", "_k1").alias("row"))
+    keep = each.groupBy("label").agg(F.min("row").alias("row")).select("row._k1", "row._k2").distinct()
+    held = df.withColumns({f"_k{i + 1}": k for i, k in enumerate(row_key(doc_id, text))})
+    return held.join(keep, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")
