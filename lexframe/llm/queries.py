@@ -16,6 +16,7 @@ from lexframe.llm.simhash import near_duplicates
 from lexframe.llm.substring import remove_repeats
 from lexframe.llm.token_counts import count_tokens
 from lexframe.llm.urlfilter import judge_urls, url_path
+from lexframe.llm.warc import header_text, page_records, resolve_revisits
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -47,6 +48,43 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path(TOKENIZER)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(page_records(_table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    return found.select("record_id", "url", "ts", "response_id", "outcome", header_text(F.col("headers")).alias("headers"))
+
+
+#: The same in SQL: each page's records, the latest earlier response by a window over each url.
+OP5_SQL = r"""
+WITH p AS (
+  SELECT page_id, md5(coalesce(html, '')) AS tag, CAST(strlen(coalesce(html, '')) AS VARCHAR) AS size, 1700000000 + page_id * 977 AS begun,
+    lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host,
+    regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid|ref)(=|$)'))), '&') AS query
+  FROM pages
+), u AS (
+  SELECT *, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END AS url FROM p
+), r AS (
+  SELECT page_id * 4 AS record_id, url, begun AS ts, 1 AS late, '"' || tag || '"' AS etag, tag, size, page_id FROM u
+  UNION ALL SELECT page_id * 4 + 1, url, begun + 86400, 0, 'W/"' || tag || '"', tag, size, page_id FROM u
+  UNION ALL SELECT page_id * 4 + 2, url, begun + 432000, 1, '"' || tag || '-2"', tag, size, page_id FROM u WHERE page_id % 3 = 0
+  UNION ALL SELECT page_id * 4 + 3, url, begun + 864000, 0, '"' || CASE WHEN page_id % 5 = 0 THEN 'gone' WHEN page_id % 3 = 0 THEN tag || '-2' ELSE tag END || '"', tag, size, page_id FROM u
+), w AS (
+  SELECT *, max(CASE WHEN late = 1 THEN lpad(CAST(ts AS VARCHAR), 12, '0') || lpad(CAST(record_id AS VARCHAR), 15, '0') END)
+    OVER (PARTITION BY url ORDER BY ts, late, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM r
+), j AS (
+  SELECT w.*, b.record_id AS response_id, b.etag AS old_etag, b.size AS old_size FROM w LEFT JOIN r b ON b.record_id = CAST(substr(w.latest, 13) AS BIGINT) WHERE w.late = 0
+), o AS (
+  SELECT *, CASE WHEN response_id IS NULL THEN 'no_response' WHEN regexp_replace(etag, '^W/', '') = old_etag THEN 'matched' ELSE 'mismatch' END AS outcome FROM j
+)
+SELECT record_id, url, ts, response_id, outcome,
+  CASE WHEN outcome = 'matched' AND record_id % 4 = 1 THEN 'cache-control: max-age=600' || chr(10) || 'content-length: ' || old_size || chr(10) || 'content-type: text/html' || chr(10) || 'etag: ' || etag
+       WHEN outcome = 'matched' THEN 'age: 7' || chr(10) || 'cache-control: max-age=60' || chr(10) || 'content-length: ' || old_size || chr(10) || 'content-type: text/html' || chr(10) || 'etag: ' || etag
+       WHEN record_id % 4 = 1 THEN 'cache-control: max-age=600' || chr(10) || 'content-length: 0' || chr(10) || 'etag: ' || etag
+       ELSE 'age: 7' || chr(10) || 'etag: ' || etag END AS headers
+FROM o
+"""
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contamination(docs, _table(spark, sf_dir, "benchmark"))
@@ -84,8 +122,43 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts, "op6_decontamination": op6_decontamination, "op8_quality": op8_quality, "op9_substring": op9_substring, "op10_url_filter": op10_url_filter}
+    return {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts, "op5_warc": op5_warc, "op6_decontamination": op6_decontamination, "op8_quality": op8_quality, "op9_substring": op9_substring, "op10_url_filter": op10_url_filter}
+
+
+_DOC_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Occurrences as a join of word windows.
+OP6_SQL = f"""
+WITH i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_DOC_WORDS} AS w FROM benchmark),
+n AS (SELECT item, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0),
+pattern AS (SELECT DISTINCT item, m, array_to_string(w[p : p + m - 1], ' ') AS body FROM n),
+d AS (SELECT doc_id, {_DOC_WORDS} AS w FROM documents),
+m AS (SELECT DISTINCT m FROM pattern),
+s AS (SELECT doc_id, m, w, unnest(range(1, len(w) - m + 2)) AS p FROM d, m WHERE len(w) >= m),
+o AS (SELECT doc_id, p, m, array_to_string(w[p : p + m - 1], ' ') AS body FROM s),
+hit AS (SELECT o.doc_id, o.p, o.m, pattern.item FROM o JOIN pattern ON o.m = pattern.m AND o.body = pattern.body),
+words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + m)) AS q FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+_SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: Windows of 35 words, counted.
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, {_SPACE_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, p, md5(array_to_string(w[p : p + 34], ' ')) AS body FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)),
+many AS (SELECT body FROM s GROUP BY body HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, q FROM (SELECT doc_id, unnest(range(p, p + 35)) AS q FROM s JOIN many USING (body))),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM d WHERE len(w) > 0),
+kept AS (SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.q) AS body FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.q = g.q WHERE g.q IS NULL GROUP BY e.doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.body, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_substring": OP9_SQL}
