@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexframe.llm.bpe import bpe_roundtrip
 from lexframe.llm.decontam import contamination, hit_words
 from lexframe.llm.quality import score_quality
+from lexframe.llm.search import search
 from lexframe.llm.sharding import even_tree, shard_table, with_region
 from lexframe.llm.simhash import near_duplicates
 from lexframe.llm.substring import remove_repeats
@@ -98,6 +99,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search(docs, docs.filter("doc_id % 20 = 0"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_quality(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality")).select("doc_id", "held_out", "score", "predicted")
@@ -122,7 +128,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts, "op5_warc": op5_warc, "op6_decontamination": op6_decontamination, "op8_quality": op8_quality, "op9_substring": op9_substring, "op10_url_filter": op10_url_filter}
+    return {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts, "op5_warc": op5_warc, "op6_decontamination": op6_decontamination, "op7_search": op7_search, "op8_quality": op8_quality, "op9_substring": op9_substring, "op10_url_filter": op10_url_filter}
 
 
 _DOC_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -144,6 +150,18 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+#: BM25 as a join of postings.
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, {_DOC_WORDS} AS w FROM documents),
+t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY doc_id, term),
+n AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS mean FROM d),
+f AS (SELECT term, ln(1 + (max(n.n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM t, n GROUP BY term),
+s AS (SELECT q.doc_id AS query_id, t.doc_id, round(sum(q.tf * f.idf * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * len(d.w) / n.mean))), 6) AS score
+  FROM t q JOIN f USING (term) JOIN t ON t.term = q.term JOIN d ON d.doc_id = t.doc_id, n WHERE q.doc_id % 20 = 0 GROUP BY q.doc_id, t.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
 _SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 #: Windows of 35 words, counted.
@@ -161,4 +179,4 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_substring": OP9_SQL}
+    return {"op5_warc": OP5_SQL, "op6_decontamination": OP6_SQL, "op7_search": OP7_SQL, "op9_substring": OP9_SQL}
