@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -200,7 +201,10 @@ _NEWLINE = np.frombuffer(b"\n", dtype=np.uint8)
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of plans that are done, so that levels don't add up on the executors' disks.
 
-    Spark cleans them once the driver's JVM has collected the plan objects; this asks for a collection.
+    Spark cleans them once the driver's JVM has collected the plan objects. This asks for a collection, and for another
+    when the listeners have let go of the last job.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for wait in (0.5, 1.0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)

@@ -18,8 +18,12 @@ _HELD = 1 << 20
 #: The first level's windows are at least this long, unless the windows asked for are shorter.
 _BASE = 16
 
-_ROWS = "h long, g int, w int, _k1 long, _k2 long, pos int, bits long"
-_ARROW = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("w", pa.int32()), ("_k1", pa.int64()), ("_k2", pa.int64()), ("pos", pa.int32()), ("bits", pa.int64())])
+#: h, mark, key, place. A window: 64 bits of its hash; 32 more and its weight; its text's two keys and its
+#: start, the second key above the start. Known starts: a number to deal them out by; 64 starts as bits; the
+#: same keys, and the first of the 64 starts with bit 31 set. Four numbers, as these rows are most of what is shuffled.
+_ROWS = "h long, mark long, key long, place long"
+_ARROW = pa.schema([(n, pa.int64()) for n in ("h", "mark", "key", "place")])
+_KNOWN, _MASK32 = 1 << 31, (1 << 32) - 1
 
 
 def level_lengths(length: int, base: int = _BASE) -> list[int]:
@@ -87,7 +91,7 @@ class _Sums:
         heads = np.flatnonzero(first)
         sizes = np.diff(np.append(heads, len(h)))
         weight = np.minimum(sizes, 2).astype(np.int32)
-        yield self.batch(h[heads], g[heads], weight, k1[heads], k2[heads], pos[heads], None)
+        yield self.batch(h[heads], g[heads].astype(np.int64) << 2 | weight, k1[heads], k2[heads], pos[heads])
         many = np.repeat(sizes > 1, sizes)
         if many.any():
             k1, k2, pos = k1[many], k2[many], pos[many]
@@ -99,13 +103,11 @@ class _Sums:
             at = np.flatnonzero(new)
             bits = np.bitwise_or.reduceat(np.uint64(1) << (pos & 63).astype(np.uint64), at).view(np.int64)
             spread = mix(k1[at].view(np.uint64) + block[at].astype(np.uint64)).view(np.int64)
-            zero = np.zeros(len(at), dtype=np.int32)
-            yield self.batch(spread, zero, zero, k1[at], k2[at], block[at] << 6, bits)
+            yield self.batch(spread, bits, k1[at], k2[at], block[at] << 6 | _KNOWN)
 
     @staticmethod
-    def batch(h, g, w, k1, k2, pos, bits) -> pa.RecordBatch:
-        bits = pa.nulls(len(h), pa.int64()) if bits is None else pa.array(bits)
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), pa.array(w), pa.array(k1), pa.array(k2), pa.array(pos.astype(np.int32)), bits], schema=_ARROW)
+    def batch(h, mark, k1, k2, pos) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, mark, k1, k2 << 32 | pos)], schema=_ARROW)
 
 
 def _mask(blocks, size: int) -> np.ndarray:
@@ -154,12 +156,15 @@ def _level(docs: DataFrame, length: int, before: int | None, first: bool, base:
 
 def _repeated(rows: DataFrame) -> DataFrame:
     """_k1, _k2, blocks: for each text, the starts of windows that occur at least twice."""
-    same = Window.partitionBy("h", "g")
-    total = F.sum(F.when(F.col("bits").isNull(), F.col("w")).otherwise(0)).over(same)
-    found = rows.withColumn("_n", total).filter("bits is not null or _n > 1")
-    bits = F.coalesce("bits", F.expr("shiftleft(1L, cast(pos % 64 as int))"))
-    packed = found.select("_k1", "_k2", F.shiftright("pos", 6).alias("block"), bits.alias("bits")).groupBy("_k1", "_k2", "block").agg(F.bit_or("bits").alias("bits"))
-    return packed.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("block", "bits")).alias("blocks"))
+    known = F.col("place").bitwiseAND(F.lit(_KNOWN)) != 0
+    same = Window.partitionBy("h", F.shiftright("mark", 2))
+    total = F.sum(F.when(known, 0).otherwise(F.col("mark").bitwiseAND(F.lit(3)))).over(same)
+    found = rows.withColumn("_n", total).filter(known | (F.col("_n") > 1))
+    bits = F.when(known, F.col("mark")).otherwise(F.expr("shiftleft(1L, cast(place & 63 as int))"))
+    block = F.shiftright(F.col("place").bitwiseAND(F.lit(~_KNOWN)), 6)
+    packed = found.select(F.col("key").alias("_k1"), block.alias("_b"), bits.alias("bits")).groupBy("_k1", "_b").agg(F.bit_or("bits").alias("bits"))
+    place = F.struct(F.col("_b").bitwiseAND(F.lit((1 << 26) - 1)).cast("int").alias("block"), "bits")
+    return packed.groupBy("_k1", F.shiftrightunsigned("_b", 26).bitwiseAND(F.lit(_MASK32)).alias("_k2")).agg(F.collect_list(place).alias("blocks"))
 
 
 def repeated_starts(df: DataFrame, *, length: int = 35, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,6 +187,7 @@ def repeated_starts(df: DataFrame, *, length: int = 35, doc_id: str = "doc_id",
         alive = keyed.join(found, ["_k1", "_k2"]).select("_k1", "_k2", "text", "blocks")
         rows = _level(alive, lengths[k], lengths[k - 1], False, lengths[0], top)
         found = written(_repeated(rows), "repeated-windows")
+        del alive, rows
     release_shuffles(spark)
     return found
 
