@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexframe.plans import relational
+from lexframe.plans import relational, textual
 
-_PARTS = (relational,)
+_PARTS = (relational, textual)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
