@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexframe.plans import relational, textual
+from lexframe.plans import flows, relational, textual
 
-_PARTS = (relational, textual)
+_PARTS = (relational, textual, flows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
