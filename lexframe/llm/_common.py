@@ -18,7 +18,7 @@ LOCAL_SCRATCH = "file:///tmp/checkpoints"
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared spark.checkpoint.dir."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SCRATCH
+    top = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
     return f"{top.rstrip('/')}/lexframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
