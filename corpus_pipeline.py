@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from lexframe.llm._common import written
 from lexframe.llm.bpe import bpe_roundtrip
 from lexframe.llm.decontam import drop_contaminated
+from lexframe.llm.nearcopies import drop_near_copies
 from lexframe.llm.quality import keep_quality
-from lexframe.llm.simhash import drop_near_duplicates
 from lexframe.llm.substring import dedup_text
 
 #: SQL can't express the stages (a trained model, hashing, BPE); tests hold them against plain versions.
@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return drop_near_duplicates(docs)
+    """Of texts that link by shingles of five words and a Jaccard similarity of 0.8 the one with the smallest id stays."""
+    return drop_near_copies(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("simhash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("substring dedup", substring_dedup),
     ("benchmark decontamination", decontaminate),
     ("bpe encoding and decoding", encode),

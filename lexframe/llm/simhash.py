@@ -173,7 +173,12 @@ def drop_near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "
     the same in both any one.
     """
     marks, known = _resolved(df, doc_id, text, shingle)
-    each = marks.join(known, "fp").select("label", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k2", "_k1").alias("row"))
+    return keep_least(df, marks.join(known, "fp"), doc_id, text)
+
+
+def keep_least(df: DataFrame, known: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Of the rows of df one for each label; known: label, doc_id, _k1, _k2 of each row."""
+    each = known.select("label", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k2", "_k1").alias("row"))
     keep = each.groupBy("label").agg(F.min("row").alias("row")).select("row._k1", "row._k2").distinct()
     held = df.withColumns({f"_k{i + 1}": k for i, k in enumerate(row_key(doc_id, text))})
     return held.join(keep, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")
