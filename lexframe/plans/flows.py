@@ -65,7 +65,7 @@ def compare_versions(texts_of_versions: DataFrame) -> DataFrame:
 def document_review(docs: DataFrame, rules, signals) -> DataFrame:
     """P6. doc_id, doc_type, n_clauses, score, grade (low and 0 without findings)."""
     clauses = texts.split_clauses(docs)
-    risk = aggs.risk_score(texts.risk_scan(clauses, rules))
+    risk = aggs.risk_score(texts.document_risks(docs, rules))
     counts = clauses.groupBy("doc_id").agg(F.count("*").alias("n_clauses"))
     out = aggs.doc_type(docs, signals).select("doc_id", "doc_type").join(counts, "doc_id", "left").join(risk, "doc_id", "left")
     return out.select("doc_id", "doc_type", F.coalesce("n_clauses", F.lit(0)).alias("n_clauses"), F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("grade", F.lit("low")).alias("grade"))

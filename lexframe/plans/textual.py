@@ -163,7 +163,7 @@ RISK_RULES = [
 
 @query("x16_risk_scan", "SELECT doc_id, 2 AS n, 'payment' AS rule, 'fees' AS category, 'medium' AS severity FROM documents UNION ALL SELECT doc_id, 3, 'unilateral', 'termination', 'high' FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 3, 'uncapped', 'indemnity', 'high' FROM documents WHERE doc_id % 3 = 1")
 def _(v, t):
-    return texts.risk_scan(texts.split_clauses(v("clauses_src").withColumn("text", F.regexp_replace("text", r"(?s)^.*\n2\. ", "1. x\n2. "))), RISK_RULES)
+    return texts.document_risks(v("clauses_src").withColumn("text", F.regexp_replace("text", r"(?s)^.*\n2\. ", "1. x\n2. ")), RISK_RULES)
 
 
 @query("x17_split_clauses", "SELECT doc_id, n, CAST(n AS VARCHAR) AS label, CASE n WHEN 1 THEN 'opening' WHEN 2 THEN 'A fee of $' || (doc_id * 10 + 5) || ' is payable within ' || (doc_id % 30 + 1) || ' days.' ELSE CASE doc_id % 3 WHEN 0 THEN 'We may terminate immediately.' WHEN 1 THEN 'You indemnify us for any and all claims.' ELSE 'Governed by the laws of NSW.' END END AS body FROM documents, (SELECT unnest([1, 2, 3]) AS n)")
@@ -173,8 +173,8 @@ def _(v, t):
 
 @query("x18_clause_conflicts", "SELECT doc_id, 'fee_and_exit' AS conflict, '2' AS first_label, '3' AS second_label FROM documents WHERE doc_id % 3 = 0")
 def _(v, t):
-    clauses = texts.split_clauses(v("clauses_src").withColumn("text", F.regexp_replace("text", r"(?s)^.*\n2\. ", "1. opening\n2. ")))
-    return texts.clause_conflicts(clauses, [("fee_and_exit", "payable", "terminate"), ("none", "zzz", "yyy")])
+    docs = v("clauses_src").withColumn("text", F.regexp_replace("text", r"(?s)^.*\n2\. ", "1. opening\n2. "))
+    return texts.document_conflicts(docs, [("fee_and_exit", "payable", "terminate"), ("none", "zzz", "yyy")])
 
 
 @query("x19_compact_body", "SELECT doc_id, CASE WHEN length(text) - 500 >= 500 THEN substr(text, 1, 300) || chr(10) || '[... ' || (length(text) - 500) || ' characters omitted ...]' || chr(10) || right(text, 200) ELSE text END AS body FROM documents")
