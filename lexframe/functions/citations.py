@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The citation grammars.
-YEAR = r"((?:1[89]|20)[0-9]{2})"
-NEUTRAL = rf"\[{YEAR}\] {{0,3}}([A-Za-z][A-Za-z0-9.]{{1,15}}) {{1,3}}([0-9]{{1,5}})"
-REPORT_VOLUME = rf"\({YEAR}\) {{1,3}}([0-9]{{1,4}}) {{1,3}}([A-Z][A-Za-z. ]{{0,14}}[A-Za-z.]) {{1,3}}([0-9]{{1,5}})"
-PIN = r"(?: at \[([0-9]{1,5})\])?"
+from lexframe.functions.courts import is_court, is_series, wrong_bracket
+
+#: A year as citations have it, and the name of a court or report series: capitalised words with dots, 'F.C.A.', 'All ER'.
+YEAR = r"(?:18|19|20)\d\d"
+TOKEN = r"[A-Z][A-Za-z0-9.]*(?:\s[A-Z][A-Za-z.]*){0,3}"
+#: Groups: the year in square brackets, a volume behind it if any; else the year in round ones and its volume; the token; the number.
+CITE = rf"(?:\[({YEAR})\]\s{{0,3}}(?:(\d{{1,3}})\s{{1,3}})?|\(({YEAR})\)\s{{1,3}}(\d{{1,4}})\s{{1,3}})({TOKEN})\s{{1,3}}(\d{{1,5}})\b"
+#: What may follow: 'at 12', ', 12', 'at [5]', ', [5]-[7]', 'at 12 [5]'. Groups: page, paragraph, last paragraph.
+PIN = r"(?:(?:\s?,|\s[Aa]t)\s{1,2}(?=[\d\[])(\d{1,5}\b)?(?:\s?\[(\d{1,5})\](?:\s?[-–]\s?\[(\d{1,5})\])?)?)?"
+_WHOLE = CITE + PIN
 UNIT = r"(?:ss|s|sections|section|regs|reg|cll|cl|pts|pt|Part|sch|Schedule)"
 NUMBER = r"[0-9]{1,4}[A-Z]{0,3}(?:-[0-9]{1,4}[A-Z]{0,3})?(?:\([0-9A-Za-z]{1,4}\))*"
 REFERENCE = rf"\b({UNIT})\.? ({NUMBER})"
 
 
-def match_offsets(text: Column, pattern: str) -> Column:
+def match_offsets(text: Column, pattern: str | Column) -> Column:
     """array<struct<pos, raw>> of all matches; pos counts characters from 0. The pattern must not match nothing."""
-    raws = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    found = F.lit(pattern) if isinstance(pattern, str) else pattern
+    raws = F.regexp_extract_all(text, found, F.lit(0))
+    gaps = F.split(text, found, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,raw:string>>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
@@ -29,32 +35,43 @@ def match_offsets(text: Column, pattern: str) -> Column:
     return F.aggregate(pairs, start, step, lambda s: s["out"])
 
 
-def extract_case_citations(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """X2. doc_id, pos, raw, kind, year, token, volume, number, pin for each distinct citation of a document.
+def citation_parts(raw: Column) -> dict[str, Column]:
+    """The fields of one citation: year, bracket, volume, token, number, page, pin, pin_to, kind and reason.
 
-    kind neutral ('[2020] HCA 41') or report ('(1992) 175 CLR 1'); pos is that of the first mention. Null texts give
-    none.
+    The grammars overlap ('[1977] VR 430' has the form of a neutral citation), so the tables decide: a known court
+    in square brackets without a volume is neutral, a known series is a report. An unknown token is kept: a report if it
+    has a volume, else neutral in form, with a reason.
     """
+    g = lambda i: F.nullif(F.regexp_extract(raw, _WHOLE, i), F.lit(""))
+    square, volume, token = g(1).isNotNull(), F.coalesce(g(2), g(4)), g(5)
+    court = square & volume.isNull() & is_court(token)
+    series = ~court & is_series(token)
+    bracket = F.when(square, "square").otherwise("round")
+    kind = F.when(court, "neutral").when(series | volume.isNotNull(), "report").otherwise("neutral")
+    reason = F.when(court | (series & ~wrong_bracket(token, bracket)), F.lit(None).cast("string")).when(series, "bracket_style").when(volume.isNotNull(), "unknown_series").otherwise("unknown_court")
+    return {
+        "kind": kind, "year": F.coalesce(g(1), g(3)).cast("int"), "bracket": bracket, "volume": volume.cast("int"), "token": token, "number": g(6).cast("int"),
+        "page": g(7).cast("int"), "pin": g(8), "pin_to": g(9), "reason": reason,
+    }
 
-    def found(pattern: str, kind: str) -> Column:
-        return F.transform(match_offsets(F.col(text), pattern + PIN), lambda m: F.struct(m["pos"].alias("pos"), m["raw"].alias("raw"), F.lit(kind).alias("kind")))
-
-    both = F.concat(found(NEUTRAL, "neutral"), found(REPORT_VOLUME, "report"))
-    rows = docs.select("doc_id", F.explode(both).alias("m")).select("doc_id", "m.*")
 
-    def part(i: int, j: int) -> Column:
-        return F.when(F.col("kind") == "neutral", F.regexp_extract("raw", NEUTRAL, i)).otherwise(F.regexp_extract("raw", REPORT_VOLUME, j))
+def extract_case_citations(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """X2. doc_id, pos, raw and the fields of citation_parts() for each distinct citation text of a document.
 
-    once = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "raw").orderBy("pos"))).filter("_n = 1")
-    return once.select(
-        "doc_id", "pos", "raw", "kind", part(1, 1).cast("int").alias("year"), part(2, 3).alias("token"),
-        F.when(F.col("kind") == "report", F.regexp_extract("raw", REPORT_VOLUME, 2)).try_cast("int").alias("volume"),
-        part(3, 4).cast("int").alias("number"), F.nullif(F.regexp_extract("raw", r" at \[([0-9]+)\]$", 1), F.lit("")).alias("pin"),
-    )
+    '[2020] HCA 41', '(1992) 175 CLR 1', '[1977] VR 430', '[2008] 3 All ER 1069', each with a pinpoint behind it; pos is
+    that of the first mention. Null texts give none.
+    """
+    # A cheap test first: most texts have no bracketed year.
+    some = docs.filter(F.col(text).rlike(rf"[\[(]{YEAR}[\])]"))
+    rows = some.select("doc_id", F.explode(match_offsets(F.col(text), _WHOLE)).alias("m")).select("doc_id", F.col("m.pos").alias("pos"), F.col("m.raw").alias("raw"))
+    once = rows.groupBy("doc_id", "raw").agg(F.min("pos").alias("pos"))
+    return once.select("doc_id", "pos", "raw", *(c.alias(n) for n, c in citation_parts(F.col("raw")).items()))
 
 
-#: Fixed value: a full statute citation, 'Widget Act 1975 (Cth)'.
-FULL_LAW = r"((?:[A-Z][A-Za-z'-]+ )+Act [12][0-9]{3})(?: \((Cth|NSW|Vic|Qld|SA|WA|Tas|ACT|NT)\))?"
+#: A full statute citation, 'Widget Act 1975 (Cth)': title and year, jurisdiction.
+FULL_LAW = r"((?:[A-Z][A-Za-z'-]+ )+(?:Act|Regulations?|Rules|Code|Ordinance) [12][0-9]{3})(?: \((Cth|NSW|Vic|Qld|SA|WA|Tas|ACT|NT)\))?"
+#: The same without a year.
+BARE_LAW = r"(?:[A-Z][A-Za-z'-]+ )+(?:Act|Regulations?|Rules|Code|Ordinance)"
 
 
 def parse_ref(ref: Column) -> Column:
@@ -89,85 +106,230 @@ def extract_refs(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return rows.withColumn("ref", format_ref(parse_ref(F.regexp_replace("raw", r"\. ", " "))))
 
 
-def extract_statute_citations(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """X3. doc_id, pos, ref, law_name, jurisdiction, attached_by: a row for each provision that a text cites.
+#: Words that begin a sentence before a law's name, and are no part of it.
+NO_NAME = ("See", "Under", "In", "The", "By", "And", "But", "Cf", "Per", "For", "From", "With", "That", "Then", "Also", "Both", "Where", "While", "Since", "If", "As", "To", "Of", "On", "At", "This")
+
+
+def _law(name: Column) -> Column:
+    return F.regexp_replace(name, rf"^(?:(?:{'|'.join(NO_NAME)}) )+", "")
+
+
+def short_forms(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """doc_id, short, law_name, jurisdiction: the short names that a document gives to laws, 'Widget Act 1975 (Cth) (the "WA")'."""
+    named = FULL_LAW + r" \((?:the )?['\"‘“]([^'\"’”()]{2,40})['\"’”]\)"
+    rows = docs.filter(F.col(text).rlike(r"\((?:the )?['\"‘“]")).select("doc_id", F.posexplode(F.regexp_extract_all(F.col(text), F.lit(named), F.lit(0))).alias("n", "raw"))
+    part = lambda i: F.nullif(F.regexp_extract("raw", named, i), F.lit(""))
+    rows = rows.select("doc_id", "n", F.lower(F.regexp_replace(part(3), "^[Tt]he ", "")).alias("short"), _law(part(1)).alias("law_name"), part(2).alias("jurisdiction"))
+    return rows.groupBy("doc_id", "short").agg(F.min_by(F.struct("law_name", "jurisdiction"), "n").alias("x")).select("doc_id", "short", "x.*")
+
+
+def _each_number(list_text: Column, plural: Column) -> Column:
+    """The provision numbers of '1, 2 and 5-7' as an array; a range of whole numbers that goes up is spelled out after a plural."""
+    items = F.regexp_extract_all(list_text, F.lit(rf"({NUMBER}(?: to {NUMBER})?)"), F.lit(1))
+
+    def spread(x: Column) -> Column:
+        low, high = (F.regexp_extract(x, r"^(\d{1,4})(?:-| to )(\d{1,4})$", i).try_cast("int") for i in (1, 2))
+        fits = plural & (low < high) & (high - low <= 200)
+        return F.when(F.coalesce(fits, F.lit(False)), F.transform(F.sequence(low, high), lambda n: n.cast("string"))).otherwise(F.array(F.regexp_replace(x, " to .*$", "")))
+
+    return F.flatten(F.transform(items, spread))
+
+
+def extract_statute_citations(docs: DataFrame, aliases: DataFrame | None = None, *, text: str = "text") -> DataFrame:
+    """X3. doc_id, para, pos, item, at, raw, ref, law_name, jurisdiction, attached_by: a row for each provision that a text cites.
 
-    Lists after a plural ('ss 1, 2 and 3') become a row each. The law is a full citation right before the
-    reference (trailing-cite), a title after 'of the' (leading-cite), or for 'the Act' before it the last full
-    citation in the same paragraph (anaphora; null if there is none). Others have no law (none).
+    pos counts in the paragraph para, at in the whole text; raw is all that was read, item the provision's number in it.
+    Lists and ranges after a plural ('ss 1, 2 and 5-7') become a row each. The law, and attached_by, in this order: a full
+    citation right before the reference (trailing-cite); the last full citation in the same paragraph for 'the Act' before
+    or 'of the Act' behind it (anaphora; null if there is none); a title or an alias after 'of the' (leading-cite); a name
+    before it that the document has defined (short-form); a title without a year (bare-name); an alias (abbreviation). Others
+    have no law (none). aliases: alias, official, jurisdiction.
     """
-    paras = docs.select("doc_id", F.posexplode(F.split(F.col(text), r"\n\s*\n")).alias("para", "body"))
+    breaks = match_offsets(F.col(text), r"\n\s*\n")
+    starts = F.concat(F.array(F.lit(0)), F.transform(breaks, lambda b: b["pos"] + F.length(b["raw"])))
+    paras = docs.select("doc_id", F.posexplode(F.arrays_zip(F.split(F.col(text), r"\n\s*\n", -1).alias("body"), starts.alias("start"))).alias("para", "p")).select("doc_id", "para", "p.body", "p.start")
     # A cheap test first: few paragraphs have a reference, and the whole grammar is costly on those without.
     paras = paras.filter(F.col("body").rlike(rf"\b{UNIT}\.? [0-9]"))
-    more = rf"(?:(?:, | and |, and ){NUMBER})*"
-    whole = rf"(?:{FULL_LAW} |[Tt]he Act )?{REFERENCE}{more}(?: of the (?:[A-Z][A-Za-z'-]+ )+Act(?: [12][0-9]{{3}})?)?"
-    rows = paras.select("doc_id", "para", F.explode(match_offsets(F.col("body"), whole)).alias("m")).select("doc_id", "para", "m.pos", "m.raw")
-    lead = F.nullif(F.regexp_extract("raw", f"^{FULL_LAW}", 1), F.lit(""))
-    after = F.nullif(F.regexp_extract("raw", r" of the ((?:[A-Z][A-Za-z'-]+ )+Act(?: [12][0-9]{3})?)$", 1), F.lit(""))
-    bare = F.regexp_replace(F.regexp_replace("raw", f"^({FULL_LAW} |[Tt]he Act )", ""), r" of the .*$", "")
-    rows = rows.withColumns({"full": lead, "after": after, "jur": F.nullif(F.regexp_extract("raw", f"^{FULL_LAW}", 2), F.lit("")), "bare": bare, "that": F.col("raw").rlike("^[Tt]he Act ")})
-    before = Window.partitionBy("doc_id", "para").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("full").isNotNull(), F.struct("full", "jur")), ignorenulls=True).over(before)
-    rows = rows.withColumn("last", last)
-    by = F.when(F.col("full").isNotNull(), "trailing-cite").when(F.col("that"), "anaphora").when(F.col("after").isNotNull(), "leading-cite").otherwise("none")
-    law = F.coalesce("full", F.when(F.col("that"), F.col("last.full")), "after")
-    jur = F.coalesce("jur", F.when(F.col("that"), F.col("last.jur")))
-    unit = F.regexp_extract("bare", rf"^({UNIT})", 1)
-    numbers = F.regexp_extract_all(F.regexp_replace("bare", rf"^{UNIT}\.? ", ""), F.lit(f"({NUMBER})"), F.lit(1))
+    more = rf"(?:(?:, | and |, and | to ){NUMBER})*"
+    lead = rf"(?:({FULL_LAW}|[Tt]he Act|{BARE_LAW}|[A-Z][A-Za-z]+) )?"
+    behind = rf"(?: (?:of|in) (?:the|this) ((?:[A-Z][A-Za-z'-]+ )*Act(?: [12][0-9]{{3}})?(?: \((?:Cth|NSW|Vic|Qld|SA|WA|Tas|ACT|NT)\))?|[A-Z]{{2,8}}\b))?"
+    whole = rf"{lead}{REFERENCE}({more}){behind}"
+    rows = paras.select("doc_id", "para", "start", F.explode(match_offsets(F.col("body"), whole)).alias("m")).select("doc_id", "para", F.col("m.pos").alias("pos"), (F.col("start") + F.col("m.pos")).alias("at"), F.col("m.raw").alias("raw"))
+    g = lambda i: F.nullif(F.regexp_extract("raw", whole, i), F.lit(""))
+    jurisdiction = lambda c: F.nullif(F.regexp_extract(c, r"\((\w+)\)$", 1), F.lit(""))
+    rows = rows.withColumns({"before": g(1), "full": g(2), "jur": g(3), "unit": g(4), "list": F.concat(F.coalesce(g(5), F.lit("")), F.coalesce(g(6), F.lit(""))), "after": g(7)})
+    # 'the Act' may stand before or behind; every full citation counts as an antecedent, whether it has a reference or not.
+    laws = paras.select("doc_id", "para", F.explode(match_offsets(F.col("body"), FULL_LAW)).alias("m")).select("doc_id", "para", F.col("m.pos").alias("pos"), F.regexp_extract("m.raw", FULL_LAW, 1).alias("law"), F.nullif(F.regexp_extract("m.raw", FULL_LAW, 2), F.lit("")).alias("law_jur"))
+    both = rows.unionByName(laws.select("doc_id", "para", "pos", F.struct("law", "law_jur").alias("_law")), allowMissingColumns=True)
+    sofar = Window.partitionBy("doc_id", "para").orderBy("pos", F.col("_law").isNull().cast("int")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = both.withColumn("last", F.last("_law", ignorenulls=True).over(sofar)).filter("_law is null").drop("_law")
+    that = F.lower("before").eqNullSafe("the act") | F.col("after").eqNullSafe("Act")
+    rows = rows.withColumns({"that": that, "name": F.lower(F.when(~F.lower("before").eqNullSafe("the act"), F.col("before"))), "other": F.lower("after")})
+    defined = short_forms(docs, text=text).select(F.col("doc_id").alias("_d"), F.col("short").alias("_s"), F.struct("law_name", "jurisdiction").alias("short"))
+    rows = rows.join(defined, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("name") == F.col("_s")), "left").drop("_d", "_s")
+    if aliases is None:
+        rows = rows.withColumns({c: F.lit(None).cast("struct<law_name:string,jurisdiction:string>") for c in ("known", "known_after")})
+    else:
+        table = aliases.groupBy(F.lower("alias").alias("_a")).agg(F.min(F.struct(F.col("official").alias("law_name"), "jurisdiction")).alias("_x"))
+        for on, out in (("name", "known"), ("other", "known_after")):
+            rows = rows.join(table.select(F.col("_a").alias(f"_{out}"), F.col("_x").alias(out)), F.col(on) == F.col(f"_{out}"), "left").drop(f"_{out}")
+    none = F.lit(None).cast("string")
+    after_title = F.when(F.col("after").rlike("Act") & (F.col("after") != "Act"), F.col("after"))
+    bare = F.when(F.col("before").rlike(rf"^{BARE_LAW}$"), F.col("before"))
+    ways = [
+        ("trailing-cite", F.col("full").isNotNull(), F.col("full"), F.col("jur")),
+        ("anaphora", F.col("that"), F.col("last.law"), F.col("last.law_jur")),
+        ("leading-cite", F.col("known_after").isNotNull(), F.col("known_after.law_name"), F.col("known_after.jurisdiction")),
+        ("leading-cite", after_title.isNotNull(), F.regexp_replace(after_title, r" \(\w+\)$", ""), jurisdiction(after_title)),
+        ("short-form", F.col("short").isNotNull(), F.col("short.law_name"), F.col("short.jurisdiction")),
+        ("bare-name", bare.isNotNull(), bare, none),
+        ("abbreviation", F.col("known").isNotNull(), F.col("known.law_name"), F.col("known.jurisdiction")),
+    ]
+    chosen = F.coalesce(*(F.when(test, F.struct(F.lit(n).alias("by"), _law(law).alias("law"), j.alias("jur"))) for n, test, law, j in ways), F.struct(F.lit("none").alias("by"), none.alias("law"), none.alias("jur")))
+    unit = F.col("unit")
     single = F.when(unit.isin("ss", "sections"), "s").when(unit == "regs", "reg").when(unit == "cll", "cl").when(unit == "pts", "pt").otherwise(unit)
-    out = rows.select("doc_id", "para", "pos", by.alias("attached_by"), law.alias("law_name"), jur.alias("jurisdiction"), single.alias("unit"), F.posexplode(numbers).alias("item", "number"))
-    ref = format_ref(parse_ref(F.concat("unit", F.lit(" "), "number")))
-    return out.select("doc_id", "para", "pos", "item", ref.alias("ref"), "law_name", "jurisdiction", "attached_by")
+    plural = unit.isin("ss", "sections", "regs", "cll", "pts")
+    out = rows.select("doc_id", "para", "pos", "at", "raw", chosen.alias("c"), single.alias("_unit"), F.posexplode(_each_number(F.col("list"), plural)).alias("item", "number"))
+    ref = format_ref(parse_ref(F.concat("_unit", F.lit(" "), "number")))
+    return out.select("doc_id", "para", "pos", "item", "at", "raw", ref.alias("ref"), F.col("c.law").alias("law_name"), F.col("c.jur").alias("jurisdiction"), F.col("c.by").alias("attached_by"))
+
+
+#: Verbs that say what a provision does (the third person is made from them), participles for the passive,
+#: nouns that stand before 'on' or 'for', and endings of 'makes ... unlawful'.
+CLAIM_VERBS = ("prohibit", "forbid", "create", "provide for", "deal with", "require", "impose", "establish", "define", "govern", "cover", "concern", "relate to", "confer", "set out", "render", "make it an offence to", "allow", "permit", "entitle", "oblige")
+PARTICIPLES = ("prohibited", "forbidden", "banned", "governed", "regulated", "covered", "created", "defined", "dealt with", "set out", "addressed", "found", "imposed", "required")
+CLAIM_NOUNS = ("prohibition", "rule", "provision", "requirement", "offence", "duty", "obligation", "test", "definition", "ban")
+MADE = ("unlawful", "an offence", "actionable", "void", "voidable")
+#: Words without content; a claim has two others at least.
+FILLERS = (
+    "a", "an", "the", "of", "or", "and", "to", "in", "on", "for", "with", "by", "is", "are", "was", "were", "be", "been", "that", "this", "it", "its", "as", "at",
+    "from", "any", "all", "such", "which", "who", "whom", "not", "no", "but", "if", "then", "there", "their",
+)
+
+
+def _either(words: tuple[str, ...]) -> str:
+    return "(?:" + "|".join(words) + ")"
+
+
+def _third_person(verb: str) -> str:
+    first, _, rest = verb.partition(" ")
+    return f"{first}(?:es|s)?" + (f" {rest}" if rest else "")
+
+
+def _is_claim(text: Column) -> Column:
+    """Whether a piece of text describes something: no jurisdiction, number, unit, amendment note or filler only."""
+    words = F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: (F.length(w) > 1) & ~w.isin(*FILLERS))
+    other = text.rlike(r"(?i)^(?:(?:as )?(?:am|ad|rep|rs|repealed|inserted|amended|substituted)|(?:s|ss|sch|pt|div|ch|regs?|r|cl|para|sub-s)|no \d+)\b|^\d")
+    return F.length(text).between(3, 180) & ~other & (F.size(words) >= 2)
 
 
 def extract_claim(citations: DataFrame, docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """X6. citations (doc_id, raw) with claim, claim_source: what the sentence says that the provision does.
+    """X6. citations (doc_id, raw, pos if there is one) with claim, claim_source: what the text says of the provision.
 
-    In this order: in brackets after it, after 'which', after a dash, or from a verb on ('requires', 'prohibits' ...).
+    The rest of the citation's sentence is read first, in this order: in brackets ('parenthetical'), 'titled', after
+    a dash, from a verb on, 'makes ... unlawful', 'it is prohibited' (all 'verb'), a full statement ('proposition'); then
+    what stands before the citation ('preceding'): 'the rule on ... in', '... is prohibited by'. Only pieces with two
+    words of content count. pos makes a repeated citation have its own claim; without it the first mention counts.
     """
     joined = citations.join(docs.select("doc_id", F.col(text).alias("_t")), "doc_id")
-    tail = F.substr(F.col("_t"), F.instr(F.col("_t"), F.col("raw")) + F.length("raw"), F.lit(240))
-    shapes = (("parenthetical", r"^ \(([^()]{4,120})\)"), ("proposition", r"^,? which ([^.;]{4,200})"), ("dash", r"^ ?[–—-] ?([^.;]{4,200})"), ("verb", r"^,? ((?:requires|prohibits|provides|makes|applies|imposes|allows)[^.;]{4,200})"))
-    got = [(name, F.nullif(F.regexp_extract(tail, p, 1), F.lit(""))) for name, p in shapes]
-    source = F.coalesce(*(F.when(c.isNotNull(), F.lit(n)) for n, c in got))
-    return joined.withColumns({"claim": F.coalesce(*(c for _, c in got)), "claim_source": source}).drop("_t")
-
-
-# Words of later treatment near a mention.
+    at = F.col("pos") if "pos" in citations.columns else F.instr(F.col("_t"), F.col("raw")) - 1
+    joined = joined.withColumn("_at", at)
+    marks = lambda c: F.regexp_replace(c, "[*_`]", "")
+    tail = F.regexp_extract(marks(F.substr(F.col("_t"), F.col("_at") + F.length("raw") + 1, F.lit(240))), r"^[^.;\n]*", 0)
+    start = F.greatest(F.col("_at") - 160, F.lit(0))
+    head = F.regexp_extract(marks(F.substr(F.col("_t"), start + 1, F.col("_at") - start)), r"[^.;:\n]*$", 0)
+    joined = joined.withColumns({"_tail": tail, "_head": head})
+    verbs, link = _either(tuple(map(_third_person, CLAIM_VERBS))), r"^\s?,?\s?(?:(?:which|that|and) )?"
+    be = r"(?:is|are|was|were)"
+    shapes = (
+        ("parenthetical", "_tail", r"^\s?,?\s?\(([^()]{3,70})\)"),
+        ("titled", "_tail", r"(?i)^\s?,?\s?(?:(?:which|that|and) is |is )?(?:titled|headed|entitled)[\s:,]*[\"'‘“]?([^\"'’”]{3,80})"),
+        ("dash", "_tail", r"^\s{0,3}[:—–-]\s{0,3}(.{3,70})"),
+        ("verb", "_tail", rf"(?i){link}{verbs} (.{{3,180}})"),
+        ("verb", "_tail", rf"(?i){link}makes? (.{{3,60}}?) {_either(MADE)}\b"),
+        ("verb", "_tail", rf"(?i)^\s?, ?(?:where |under which )?([a-z].{{2,80}}?) {be} {_either(PARTICIPLES)}\b"),
+        ("proposition", "_tail", r"(?i)^[\s,]*((?:an?|the|any|each|every|no) .{1,70}?\b(?:must|shall|may|cannot|can)\b.{3,170})"),
+        ("proposition", "_tail", rf"(?i)^[\s,]*(?:provides|states|says) (?:that )?(.{{3,180}})"),
+        ("preceding", "_head", rf"(?i)\b{_either(CLAIM_NOUNS)} (?:on|of|against|for|about) (.{{3,80}}?) (?:in|under|at)(?: the)?\s*$"),
+        ("preceding", "_head", rf"(?i)(?:^|\band |\bbut )\s*([a-z].{{2,80}}?) {be} {_either(PARTICIPLES)} (?:by|in|under|at)(?: the)?\s*$"),
+    )
+
+    def said(column: str, pattern: str) -> Column:
+        piece = F.regexp_replace(F.regexp_extract(F.col(column), pattern, 1), r"^[\s\"'‘“]+|[\s\"'‘’“”,]+$", "")
+        return F.when(_is_claim(piece), F.regexp_replace(piece, r"\s+", " "))
+
+    found = F.coalesce(*(F.when(c.isNotNull(), F.struct(c.alias("claim"), F.lit(n).alias("source"))) for n, c in ((n, said(col, p)) for n, col, p in shapes)))
+    return joined.withColumn("_f", found).withColumns({"claim": F.col("_f.claim"), "claim_source": F.col("_f.source")}).drop("_t", "_at", "_tail", "_head", "_f")
+
+
+#: Kinds and labels of later treatment and the phrases that show it; a part in brackets may be left out.
 TREATMENTS = (
-    ("overruling", "overruled", r"(?i)\boverrul(?:ed|ing|es)\b"),
-    ("overruling", "no longer good law", r"(?i)\bno longer (?:good law|authority)\b"),
-    ("overruling", "should not be followed", r"(?i)\bshould not be followed\b"),
-    ("doubting", "distinguished", r"(?i)\bdistinguish(?:ed|ing|es)\b"),
-    ("doubting", "doubted", r"(?i)\bdoubt(?:ed|ing)\b"),
-    ("doubting", "not followed", r"(?i)\bnot followed\b"),
+    ("overruling", "overruled", ("overrule", "overruled", "overruling")),
+    ("overruling", "no longer good law", ("no longer good law",)),
+    ("overruling", "should not be followed", ("should not be followed", "should no longer be followed")),
+    ("overruling", "ought not to be followed", ("ought not (now) to be followed",)),
+    ("overruling", "declined to follow", ("decline to follow", "declined to follow", "declining to follow")),
+    ("overruling", "wrongly decided", ("wrongly decided",)),
+    ("overruling", "not authority", ("should not be regarded as authority",)),
+    ("overruling", "no longer authority", ("is no longer authority", "ceased to be authority")),
+    ("overruling", "departed from", tuple(f"{v} from (the) {n}" for v in ("depart", "departs", "departed", "departing") for n in ("decision", "reasoning", "holding"))),
+    ("overruling", "cannot stand with", ("cannot stand with",)),
+    ("doubting", "disapproved", ("disapprove", "disapproved", "disapproves", "disapproving")),
+    ("doubting", "doubted", ("doubted", "doubts", "doubtful", "with respect we doubt", "with respect I doubt", "with respect, we doubt", "with respect, I doubt")),
+    ("doubting", "not followed", ("not followed",)),
+    ("doubting", "distinguished", ("distinguished", "distinguishes", "distinguishing")),
+    ("doubting", "per incuriam", ("per incuriam",)),
+    ("doubting", "confined to its facts", ("qualified by", "confined to its (own) facts")),
 )
+#: Phrases of a dissent, and of what several judges say together.
+DISSENT = ("dissent", "dissents", "dissented", "dissenting", "in dissent", "I respectfully disagree", "contrary view")
+PLURALITY = ("joint judgment", "joint reasons", "the plurality", "the majority", "we would", "in our view", "in our opinion", "the Court held", "the Court concluded")
+
+
+def phrase_pattern(phrases: tuple[str, ...]) -> str:
+    """A pattern for any of some phrases, whatever the case and white space; '(now)' stands for a word that may be missing."""
+
+    def one(phrase: str) -> str:
+        words = phrase.split()
+        return "".join((rf"(?:{w[1:-1]}\s+)?" if w[0] == "(" else w + (r"\s+" if i + 1 < len(words) else "")) for i, w in enumerate(words))
+
+    return r"(?i)\b(?:" + "|".join(map(one, phrases)) + r")\b"
 
 
 def treatment_scan(docs: DataFrame, mentions: DataFrame, *, text: str = "text", around: int = 400) -> DataFrame:
-    """X10. doc_id, citation, kind, label: treatment words within `around` characters of a mention, once each.
+    """X10. doc_id, citation, kind, label, near_dissent, near_plurality: treatment words `around` a mention, once each.
 
-    mentions: doc_id, citation. Every mention in the text counts, not the first one only.
+    mentions: doc_id, citation, and names (array) of the parties if there are any. Mentions are the citation, the short
+    names that the document gives it (X11) and the names; all of them count. The flags are those of the first mention
+    whose surroundings have the label.
     """
-    joined = mentions.select("doc_id", "citation").distinct().join(docs.select("doc_id", F.col(text).alias("_t")), "doc_id")
-    pieces = F.split(F.col("_t"), F.regexp_replace("citation", r"([\[\]().])", r"\\$1"), -1)
-    near = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), lambda i: F.concat(F.right(F.try_element_at(pieces, i), F.lit(around)), F.lit(" "), F.left(F.try_element_at(pieces, i + 1), F.lit(around))))
-    windows = joined.filter(F.size(pieces) > 1).select("doc_id", "citation", F.explode(near).alias("w"))
-    hits = F.array_compact(F.array(*[F.when(F.col("w").rlike(p), F.struct(F.lit(k).alias("kind"), F.lit(n).alias("label"))) for k, n, p in TREATMENTS]))
-    return windows.select("doc_id", "citation", F.explode(hits).alias("h")).select("doc_id", "citation", "h.kind", "h.label").distinct()
+    asked = mentions.withColumn("names", F.array().cast("array<string>")) if "names" not in mentions.columns else mentions
+    asked = asked.groupBy("doc_id", "citation").agg(F.flatten(F.collect_set(F.coalesce("names", F.array().cast("array<string>")))).alias("names"))
+    short = case_short_names(docs, text=text).groupBy("doc_id", "citation").agg(F.collect_set("short_name").alias("_short"))
+    asked = asked.join(short, ["doc_id", "citation"], "left")
+    needles = F.array_distinct(F.concat(F.array("citation"), F.col("names"), F.coalesce("_short", F.array().cast("array<string>"))))
+    quoted = F.array_join(F.transform(F.filter(needles, lambda n: F.length(n) >= 3), lambda n: F.concat(F.lit(r"\Q"), n, F.lit(r"\E"))), "|")
+    joined = asked.select("doc_id", "citation", F.concat(F.lit("(?i)"), quoted).alias("_p")).join(docs.select("doc_id", F.col(text).alias("_t")), "doc_id").filter(F.rlike("_t", "_p"))
+    found = joined.select("doc_id", "citation", "_t", F.explode(match_offsets(F.col("_t"), F.col("_p"))).alias("m"))
+    begin = F.greatest(F.col("m.pos") - around, F.lit(0))
+    windows = found.select("doc_id", "citation", F.col("m.pos").alias("pos"), F.substr(F.col("_t"), begin + 1, F.col("m.pos") - begin + around).alias("w"))
+    hits = F.array_compact(F.array(*[F.when(F.col("w").rlike(phrase_pattern(p)), F.struct(F.lit(k).alias("kind"), F.lit(n).alias("label"))) for k, n, p in TREATMENTS]))
+    rows = windows.withColumns({"h": hits, "f": F.struct(F.col("w").rlike(phrase_pattern(DISSENT)).alias("dissent"), F.col("w").rlike(phrase_pattern(PLURALITY)).alias("plurality"))})
+    rows = rows.select("doc_id", "citation", "pos", "f", F.explode("h").alias("h"))
+    out = rows.groupBy("doc_id", "citation", F.col("h.kind").alias("kind"), F.col("h.label").alias("label")).agg(F.min_by("f", "pos").alias("f"))
+    return out.select("doc_id", "citation", "kind", "label", F.col("f.dissent").alias("near_dissent"), F.col("f.plurality").alias("near_plurality"))
 
 
 def case_short_names(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """X11. doc_id, citation, short_name for "(1992) 175 CLR 1 ('Mabo')"."""
-    pattern = rf"(?:{NEUTRAL}|{REPORT_VOLUME}) \(['‘\"]([^'’\"()]{{2,60}}(?:\([^()]*\))?)['’\"]\)"
-    rows = docs.select("doc_id", F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("raw"))
-    cite = F.regexp_extract("raw", rf"^({NEUTRAL}|{REPORT_VOLUME})", 1)
-    return rows.select("doc_id", cite.alias("citation"), F.regexp_extract("raw", r"\(['‘\"](.*)['’\"]\)$", 1).alias("short_name")).distinct()
+    quoted = r"\s?\(['‘\"“]([^'’\"”()]{2,60}(?:\([^()]*\))?)['’\"”]\)"
+    rows = docs.filter(F.col(text).rlike(r"\d\s?\(['‘\"“]")).select("doc_id", F.explode(F.regexp_extract_all(F.col(text), F.lit(CITE + quoted), F.lit(0))).alias("raw"))
+    return rows.select("doc_id", F.regexp_extract("raw", "^" + CITE, 0).alias("citation"), F.regexp_extract("raw", quoted + "$", 1).alias("short_name")).distinct()
 
 
 def split_trailing_citation(title: Column) -> tuple[Column, Column]:
     """X23. (title, citation) of 'Name v Name [2010] XYZ 1'; a null citation if there is none."""
-    tail = rf"\s*({NEUTRAL}|{REPORT_VOLUME})\s*$"
+    tail = rf"\s*({CITE})\s*$"
     return F.regexp_replace(title, tail, ""), F.nullif(F.regexp_extract(title, tail, 1), F.lit(""))
 
 

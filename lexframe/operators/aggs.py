@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexframe.operators.windows import container_rank, toc_ancestors
+
 #: The register's collections and statuses; counts of zero are shown too.
 COLLECTIONS = ("Act", "LegislativeInstrument", "NotifiableInstrument", "AdministrativeArrangementsOrder", "Constitution", "ContinuedLaw", "Gazette", "PrerogativeInstrument")
 STATUSES = ("InForce", "Ceased", "Repealed", "NeverEffective")
@@ -25,8 +27,13 @@ def register_counts(titles: DataFrame, by: str = "collection") -> DataFrame:
 
 
 def citation_report(verdicts: DataFrame) -> DataFrame:
-    """A2. doc_id, n, n_right, n_wrong, n_unclear, banner: ERRORS over PARTIAL over VERIFIED."""
-    out = verdicts.groupBy("doc_id").agg(F.count("verdict").alias("n"), *(F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("right", "wrong", "unclear")))
+    """A2. doc_id, n, n_right, n_wrong, n_unclear, n_existence, banner: ERRORS over PARTIAL over VERIFIED over NONE.
+
+    n_existence: the right ones of which only the existence was checked (existence_only true, if there is such a column).
+    """
+    only = F.col("existence_only") if "existence_only" in verdicts.columns else F.lit(False)
+    counts = (F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("right", "wrong", "unclear"))
+    out = verdicts.groupBy("doc_id").agg(F.count("verdict").alias("n"), *counts, F.count_if((F.col("verdict") == "right") & F.coalesce(only, F.lit(False))).alias("n_existence"))
     return out.withColumn("banner", F.when(F.col("n") == 0, "NONE").when(F.col("n_wrong") > 0, "ERRORS").when(F.col("n_unclear") > 0, "PARTIAL").otherwise("VERIFIED"))
 
 
@@ -60,10 +67,11 @@ def merge_traces(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("source").agg(F.count_distinct("id").alias("n_hits"), F.when(F.bool_and(F.col("status") == "ok"), "ok").otherwise("incomplete").alias("status"))
 
 
-def impact_summary(provisions: DataFrame, citing: DataFrame, instruments: DataFrame, amendments: DataFrame, coverage: DataFrame) -> DataFrame:
-    """A6. provisions (title_id, provision) with n_citing, n_instruments, n_naming, n_amendments.
+def impact_summary(provisions: DataFrame, citing: DataFrame, instruments: DataFrame, amendments: DataFrame, coverage: DataFrame, families: DataFrame | None = None) -> DataFrame:
+    """A6. provisions (title_id, provision) with n_citing, n_instruments, n_naming, n_amendments, n_families.
 
-    A count is null, not 0, where coverage (title_id, kind: citing, instruments or amendments) has no row.
+    A count is null, not 0, where coverage (title_id, kind: citing, instruments, amendments or families) has no row.
+    families: title_id, family; without it n_families is null.
     """
     key = ["title_id", "provision"]
     parts = (
@@ -72,22 +80,33 @@ def impact_summary(provisions: DataFrame, citing: DataFrame, instruments: DataFr
         ("instruments", instruments.groupBy(*key).agg(F.count("*").alias("n_naming")), key, ["n_naming"]),
         ("amendments", amendments.groupBy(*key).agg(F.count("*").alias("n_amendments")), key, ["n_amendments"]),
     )
+    if families is not None:
+        parts += (("families", families.groupBy("title_id").agg(F.count_distinct("family").alias("n_families")), ["title_id"], ["n_families"]),)
     known = coverage.groupBy("title_id").agg(F.collect_set("kind").alias("kinds"))
     out = provisions.join(known, "title_id", "left")
     for kind, counts, on, names in parts:
         out = out.join(counts, on, "left")
         covered = F.coalesce(F.array_contains("kinds", kind), F.lit(False))
         out = out.withColumns({n: F.when(covered, F.coalesce(n, F.lit(0))) for n in names})
-    return out.select(*key, "n_citing", "n_instruments", "n_naming", "n_amendments")
+    related = F.col("n_families") if families is not None else F.lit(None).cast("long").alias("n_families")
+    return out.select(*key, "n_citing", "n_instruments", "n_naming", "n_amendments", related)
 
 
 def toc_summary(toc: DataFrame) -> DataFrame:
-    """A7. title_id, n_entries, n_numbered, n_parts, first_number, last_number (in document order)."""
+    """A7. title_id, n_entries, n_numbered, n_parts, n_volumes, n_schedules, first_number, last_number (in document order).
+
+    n_volumes counts the documents of a column volume (null without one), n_schedules the schedules that are in no other.
+    """
     numbered = F.when(F.col("number").isNotNull(), F.col("ord"))
-    return toc.groupBy("title_id").agg(
+    held = toc_ancestors(toc)
+    outermost = F.size(F.filter("breadcrumb", lambda x: container_rank(x).eqNullSafe(F.lit(1)))) == 1
+    volumes = F.count_distinct("volume") if "volume" in toc.columns else F.lit(None).cast("long")
+    return held.groupBy("title_id").agg(
         F.count("*").alias("n_entries"),
         F.count("number").alias("n_numbered"),
         F.count_if(F.col("depth") == 1).alias("n_parts"),
+        volumes.alias("n_volumes"),
+        F.count_if(outermost & (F.col("schedule_ord") == F.col("ord"))).alias("n_schedules"),
         F.min_by("number", numbered).alias("first_number"),
         F.max_by("number", numbered).alias("last_number"),
     )
@@ -122,9 +141,17 @@ def source_totals(results: DataFrame) -> DataFrame:
 
 
 def amenders(versions: DataFrame) -> DataFrame:
-    """A11. title_id, n_versions and the versions of each affect as columns."""
+    """A11. title_id, n_versions, the versions of each affect as columns, and n_acts: the distinct Acts that amend or repeal.
+
+    Acts come from reasons (array<struct<affect, affecting_id>>); without that column n_acts is null. A version with
+    several reasons counts once as a version.
+    """
     kinds = ("AsMade", "Amend", "Repeal")
-    return versions.groupBy("title_id").agg(F.count("*").alias("n_versions"), *(F.count_if(F.col("affect") == k).alias(f"n_{k.lower()}") for k in kinds))
+    out = versions.groupBy("title_id").agg(F.count("*").alias("n_versions"), *(F.count_if(F.col("affect") == k).alias(f"n_{k.lower()}") for k in kinds))
+    if "reasons" not in versions.columns:
+        return out.withColumn("n_acts", F.lit(None).cast("long"))
+    acts = versions.select("title_id", F.explode("reasons").alias("r")).filter(F.col("r.affect").isin("Amend", "Repeal")).groupBy("title_id").agg(F.count_distinct("r.affecting_id").alias("n_acts"))
+    return out.join(acts, "title_id", "left").withColumn("n_acts", F.coalesce("n_acts", F.lit(0).cast("long")))
 
 
 def rule_hit_matrix(findings: DataFrame) -> DataFrame:

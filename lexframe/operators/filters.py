@@ -78,6 +78,8 @@ SHAPES = {
     "instrument_words": r"(?i)\b(regulations?|rules?|determination|instrument|order|notice)\b",
     "register_id": r"(?i)\b[cf]\d{4}[a-z]\d{5}\b",
     "citation_shaped": r"\[(1[89]|20)[0-9]{2}\] ?[A-Za-z][A-Za-z0-9.]{1,15} [0-9]{1,5}",
+    "product_code": r"(?i)^\s*(?:(?:TR|TD|GSTR|GSTD|PCG|LCR|CR|PR|MT|SGR|FTR|WETR|IT|PS)(?: LA)?|ATO ID) (?:19|20)[0-9]{2}/[0-9]{1,4}[A-Z]?\s*$",
+    "full_text": r"(?i)\b(?:full (?:text|reasons|judge?ment|decision)|verbatim|unabridged|entire (?:text|judgment)|complete text)\b",
     "bare_term": r"^\s*[A-Za-z][A-Za-z-]*(\s+[A-Za-z][A-Za-z-]*){0,2}\s*$",
 }
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexframe.functions.folds import fold_key
+from lexframe.functions.folds import fold_key, fold_words
 
 #: The jurisdictions that a name may end with in brackets.
 JURISDICTIONS = ("Cth", "NSW", "Vic", "Qld", "SA", "WA", "Tas", "ACT", "NT")
@@ -29,14 +29,16 @@ def resolve_alias(names: DataFrame, aliases: DataFrame, *, ascii_only: bool = Tr
     bare, stated = split_jurisdiction(F.col("name"))
     asked = names.select("name_id", fold_key(bare, ascii_only=ascii_only).alias("key"), stated.alias("stated"))
     by = [(aliases.select(fold_key(F.col(c), ascii_only=ascii_only).alias("key"), "alias", "official", "jurisdiction", F.lit(kind).alias("matched_by"), F.lit(rank).alias("by_rank"))) for rank, (c, kind) in enumerate((("alias", "alias"), ("official", "official")))]
-    every = Window.partitionBy("name_id")
-    found = asked.join(by[0].unionByName(by[1]), "key", "left")
-    found = found.withColumn("least", F.min("by_rank").over(every)).filter("by_rank is null or by_rank = least")
-    fits = F.col("jurisdiction") == F.col("stated")
-    found = found.withColumn("narrows", F.max(F.coalesce(fits, F.lit(False))).over(every)).filter(~F.col("narrows") | fits)
-    many = F.size(F.collect_set("jurisdiction").over(every)) > 1
+    held = by[0].unionByName(by[1])
+    # What decides about a name is summed up by key first: the least rank, and the few jurisdictions at each rank.
+    kinds = held.groupBy("key").agg(F.min("by_rank").alias("least"), *(F.collect_set(F.when(F.col("by_rank") == r, F.col("jurisdiction"))).alias(f"_j{r}") for r in (0, 1)))
+    kinds = kinds.select("key", "least", F.when(F.col("least") == 0, F.col("_j0")).otherwise(F.col("_j1")).alias("_in"))
+    known = asked.join(kinds, "key", "left")
+    known = known.withColumn("narrows", F.coalesce(F.array_contains("_in", F.col("stated")), F.lit(False)))
+    known = known.select("name_id", "key", "stated", "least", "narrows", (~F.col("narrows") & (F.coalesce(F.size("_in"), F.lit(0)) > 1)).alias("needs_jurisdiction"))
+    found = known.join(held.withColumnRenamed("by_rank", "least"), ["key", "least"], "left").filter(~F.col("narrows") | (F.col("jurisdiction") == F.col("stated")))
     status = F.when(F.col("official").isNull(), "absent").otherwise("found")
-    return found.withColumns({"needs_jurisdiction": many, "status": status}).select("name_id", "alias", "official", "jurisdiction", "matched_by", "needs_jurisdiction", "status")
+    return found.select("name_id", "alias", "official", "jurisdiction", "matched_by", "needs_jurisdiction", status.alias("status"))
 
 
 def aliases_for(titles: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -111,10 +113,10 @@ def locate_provision(refs: DataFrame, toc: DataFrame) -> DataFrame:
 def statute_existence(citations: DataFrame, titles: DataFrame, toc: DataFrame, coverage: DataFrame) -> DataFrame:
     """J7. cite_id, verdict, reason for citations (cite_id, law_name, jurisdiction, number).
 
-    In this order: non_federal, no_name, title_absent, contents_unread (no coverage row for the title), section_absent,
-    found; existence_only for a citation without a number. verdict is right, wrong or unclear.
+    In this order: non_federal, no_name, title_absent, ambiguous (several titles of that name), existence_only (no
+    number), contents_unread (no coverage row for the title), section_absent, found. verdict is right, wrong or unclear.
     """
-    named = titles.select(F.col("name").alias("law_name"), F.col("id").alias("title_id")).dropDuplicates(["law_name"])
+    named = titles.groupBy(F.col("name").alias("law_name")).agg(F.min("id").alias("title_id"), (F.count_distinct("id") > 1).alias("several"))
     entries = toc.filter("number is not null").select("title_id", "number", F.lit(True).alias("listed")).distinct()
     read = coverage.select("title_id", F.lit(True).alias("read")).distinct()
     joined = citations.join(named, "law_name", "left").join(entries, ["title_id", "number"], "left").join(read, "title_id", "left")
@@ -122,6 +124,7 @@ def statute_existence(citations: DataFrame, titles: DataFrame, toc: DataFrame, c
         F.when(F.col("jurisdiction") != "Cth", "non_federal")
         .when(F.col("law_name").isNull(), "no_name")
         .when(F.col("title_id").isNull(), "title_absent")
+        .when(F.col("several"), "ambiguous")
         .when(F.col("number").isNull(), "existence_only")
         .when(F.col("read").isNull(), "contents_unread")
         .when(F.col("listed").isNull(), "section_absent")
@@ -223,14 +226,28 @@ def amended_after(events: DataFrame, amendments: DataFrame) -> DataFrame:
 def state_counterparts(names: DataFrame, families: DataFrame, members: DataFrame) -> DataFrame:
     """J16. name_id, family, score, member rows of the family whose fragments match best.
 
-    Score 3 for a fragment equal to the folded name, 2 if one contains the other (4 characters at least), 1 if a word
-    of it occurs. families (family, fragment) is a table of dozens of rows and part of every plan.
+    Score 3 for a fragment equal to the folded name, 2 if one contains the other (4 characters at least), 1 if they
+    share a word of 4 letters or more. Candidates come by equi-joins: on the whole fold, on a shared run of 4 characters
+    (the first one of the shorter side) and on a shared word; names and families are never paired without one of them.
     """
-    key = fold_key(F.col("name"), ascii_only=True)
-    part = fold_key(F.col("fragment"), ascii_only=True)
-    score = F.when(F.col("k") == F.col("f"), 3).when((F.length("f") >= 4) & (F.length("k") >= 4) & (F.col("k").contains(F.col("f")) | F.col("f").contains(F.col("k"))), 2).otherwise(0)
-    scored = names.select("name_id", key.alias("k")).join(F.broadcast(families.select("family", part.alias("f"))), F.lit(True)).withColumn("score", score).filter("score > 0")
-    best = scored.groupBy("name_id").agg(F.max_by("family", F.struct("score", F.length("f"))).alias("family"), F.max("score").alias("score"))
+    asked = names.select("name_id", fold_key(F.col("name"), ascii_only=True).alias("k"), F.split(fold_words(F.col("name")), " ").alias("kw"))
+    held = families.select("family", fold_key(F.col("fragment"), ascii_only=True).alias("f"), F.split(fold_words(F.col("fragment")), " ").alias("fw"))
+
+    def runs(text: str) -> Column:
+        """All runs of 4 characters of a fold, once each."""
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - 3, F.lit(1)))
+        return F.array_distinct(F.transform(starts, lambda i: F.substr(F.col(text), i, F.lit(4))))
+
+    def by(left: Column, right: Column) -> DataFrame:
+        a = asked.select("name_id", "k", "kw", F.explode(left).alias("_on"))
+        return a.join(held.select("family", "f", "fw", F.explode(right).alias("_on")), "_on").drop("_on")
+
+    long_words = lambda c: F.filter(F.col(c), lambda w: F.length(w) >= 4)
+    pairs = by(runs("k"), F.array(F.substring("f", 1, 4))).unionByName(by(F.array(F.substring("k", 1, 4)), runs("f"))).unionByName(by(long_words("kw"), long_words("fw"))).distinct()
+    within = (F.length("f") >= 4) & (F.length("k") >= 4) & (F.col("k").contains(F.col("f")) | F.col("f").contains(F.col("k")))
+    score = F.when(F.col("k") == F.col("f"), 3).when(within, 2).when(F.arrays_overlap(long_words("kw"), long_words("fw")), 1).otherwise(0)
+    scored = pairs.withColumn("score", score).filter("score > 0")
+    best = scored.groupBy("name_id").agg(F.max_by("family", F.struct("score", F.length("f"), "family")).alias("family"), F.max("score").alias("score"))
     return best.join(members, "family")
 
 
@@ -247,21 +264,36 @@ def citing_documents(targets: DataFrame, mentions: DataFrame, *, k: int | None =
     return found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
 
 
+#: The most bytes of phrases that are sent to every task.
+PHRASE_BYTES = 8 << 20
+
+
 def phrase_mentions(docs: DataFrame, phrases: DataFrame, *, text: str = "text") -> DataFrame:
     """J18. doc_id, phrase_id for documents that contain a phrase word by word, case and punctuation aside.
 
-    An equi-join on the phrase's first word pair (or its only word) finds candidates; only their texts are held
-    against the whole phrase.
+    An equi-join on one word pair of the phrase (its only word) finds candidates; only their texts are held against the
+    whole phrase. The pair is the phrase's rarest in the documents, and of the documents only pairs that some phrase
+    has are shuffled, if the phrases are few enough (PHRASE_BYTES) for every task to have them.
     """
 
     def plain(c: str) -> Column:
         return F.trim(F.regexp_replace(F.lower(F.col(c)), r"[^\p{L}\p{N}]+", " "))
 
-    sought = phrases.select("phrase_id", plain("phrase").alias("p")).filter("p <> ''").withColumn("head", F.substring_index("p", " ", 2))
+    def pairs(words: Column) -> Column:
+        """The word pairs of a text, or its only word."""
+        each = F.zip_with(words, F.slice(words, 2, 2**30), lambda a, b: F.concat_ws(" ", a, b))
+        return F.array_distinct(F.when(F.size(words) > 1, F.slice(each, F.lit(1), F.size(words) - 1)).otherwise(words))
+
+    sought = phrases.select("phrase_id", plain("phrase").alias("p")).filter("p <> ''").withColumn("heads", pairs(F.split("p", " ")))
+    heads = sought.select(F.explode("heads").alias("head")).distinct()
+    size = heads.agg(F.sum(F.octet_length("head") + 8)).first()[0] or 0
+    heads = F.broadcast(heads) if size <= PHRASE_BYTES else heads
     words = docs.select("doc_id", F.split(plain(text), " ").alias("w"))
-    pairs = F.zip_with("w", F.slice("w", 2, 2**30), lambda a, b: F.concat_ws(" ", a, b))
-    heads = words.select("doc_id", F.explode(F.array_distinct(F.concat(F.col("w"), pairs))).alias("head"))
-    found = heads.join(sought, "head").select("doc_id", "phrase_id", "p").distinct()
+    # A phrase of one word needs the single words too.
+    have = words.select("doc_id", F.explode(F.array_distinct(F.concat(F.col("w"), pairs(F.col("w"))))).alias("head")).join(heads, "head")
+    counts = have.groupBy("head").agg(F.count("*").alias("n"))
+    rarest = sought.select("phrase_id", "p", F.explode("heads").alias("head")).join(counts, "head", "left").groupBy("phrase_id", "p").agg(F.min_by("head", F.struct(F.coalesce("n", F.lit(0)), "head")).alias("head"))
+    found = have.join(rarest, "head").select("doc_id", "phrase_id", "p").distinct()
     padded = docs.select("doc_id", F.concat(F.lit(" "), plain(text), F.lit(" ")).alias("body"))
     return found.join(padded, "doc_id").filter(F.col("body").contains(F.concat(F.lit(" "), "p", F.lit(" ")))).select("doc_id", "phrase_id").distinct()
 

@@ -6,23 +6,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexframe.functions.folds import fold_key, fold_words, stem_tokens
+from lexframe.operators.containing import containing
 
 
-def _name_points(query: Column, name: Column) -> Column:
-    return F.when(name == query, 100).when(name.startswith(query), 60).when(name.contains(query), 30).otherwise(0)
+#: Points of a title for how its name meets the query, and for what it is.
+NAME_EXACT, NAME_PREFIX, NAME_WITHIN, FORMER_NAME = 100, 60, 30, 45
+PRINCIPAL, ACT, IN_FORCE, REPEALED = 25, 20, 15, -10
+
+
+def title_points(query: Column, key: Column, former: Column) -> Column:
+    """K1's points of a title (is_principal, collection, status) whose folded name is `key` and former ones `former`."""
+    name = F.when(key == query, NAME_EXACT).when(key.startswith(query), NAME_PREFIX).when(key.contains(query), NAME_WITHIN).otherwise(0)
+    kind = F.when(F.col("is_principal"), PRINCIPAL).otherwise(0) + F.when(F.col("collection") == "Act", ACT).otherwise(0)
+    state = F.when(F.col("status") == "InForce", IN_FORCE).when(F.col("status") == "Repealed", REPEALED).otherwise(0)
+    return name + kind + state + FORMER_NAME * F.size(F.filter(former, lambda x: x == query))
+
+
+def folded_titles(titles: DataFrame) -> DataFrame:
+    """titles with key (the folded name) and former (the folded former names, none without a name_history)."""
+    history = F.coalesce("name_history", F.array().cast(titles.schema["name_history"].dataType)) if "name_history" in titles.columns else None
+    former = F.array().cast("array<string>") if history is None else F.transform(history, lambda h: fold_key(h["name"], ascii_only=True))
+    return titles.select("id", "name", "is_principal", "collection", "status", fold_key(F.col("name"), ascii_only=True).alias("key"), former.alias("former"))
 
 
 def rank_titles(queries: DataFrame, titles: DataFrame, k: int = 10) -> DataFrame:
     """K1. query_id, rank, id, points for the k best titles of each query.
 
-    Name 100 equal, 60 prefix, 30 within; principal 25, Act 20, in force 15, repealed -10. Ties by id. Only titles whose
-    folded name meets the query's count. queries is a small table and goes to every task; titles may be of any size.
+    Name 100 equal, 60 prefix, 30 within, 45 for each equal former name (name_history array<struct<name, ...>>);
+    principal 25, Act 20, in force 15, repealed -10. Ties by id. Only titles whose folded name contains the query, or a
+    former name of which is the query, count; they are found by equi-joins (see containing), whatever the tables' sizes.
     """
     asked = queries.select("query_id", fold_key(F.col("query"), ascii_only=True).alias("q")).filter("q <> ''")
-    held = titles.withColumn("key", fold_key(F.col("name"), ascii_only=True))
-    points = _name_points(F.col("q"), F.col("key")) + F.when(F.col("is_principal"), 25).otherwise(0) + F.when(F.col("collection") == "Act", 20).otherwise(0)
-    points = points + F.when(F.col("status") == "InForce", 15).when(F.col("status") == "Repealed", -10).otherwise(0)
-    found = held.join(asked, F.col("key").contains(F.col("q"))).withColumn("points", points)
+    held = folded_titles(titles)
+    within = containing(asked.select(F.col("q").alias("needle"), F.col("q").alias("s")).distinct(), held.select(F.col("id").alias("hay"), F.col("key").alias("s")))
+    renamed = held.select(F.explode("former").alias("needle"), F.col("id").alias("hay"))
+    pairs = within.unionByName(renamed).distinct().join(asked.withColumn("needle", F.col("q")), "needle").select("query_id", "q", F.col("hay").alias("id"))
+    found = pairs.join(held, "id").withColumn("points", title_points(F.col("q"), F.col("key"), F.col("former")))
     order = Window.partitionBy("query_id").orderBy(F.desc("points"), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "points")
 
@@ -50,11 +69,18 @@ def rank_terms(queries: DataFrame, terms: DataFrame, k: int = 5) -> DataFrame:
 
     exact 100, alias 90, prefix (either way) 78 less the difference in length up to 12, contains 66, words 45 + 25 of
     the overlap from one half on, text 24 for queries of 4 letters or more. Shorter terms first on ties,
-    then by name. terms (term, aliases, text) is a dictionary of thousands, sent to every task.
+    then by name. terms: term, aliases, text. Distinct queries meet only terms that contain them or are inside them (see
+    containing) or share a word with them.
     """
     q, t = F.col("q"), F.col("t")
     asked = queries.select("query_id", fold_words(F.col("query")).alias("q")).filter("q <> ''")
     held = terms.select("term", fold_words(F.col("term")).alias("t"), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), fold_words).alias("a"), fold_words(F.coalesce("text", F.lit(""))).alias("x"))
+    sought = asked.select("q").distinct()
+    every = F.array_distinct(F.concat(F.array("t", "x"), F.col("a")))
+    inside = containing(sought.select(q.alias("needle"), q.alias("s")), held.select(F.col("term").alias("hay"), F.explode(every).alias("s"))).select(F.col("needle").alias("q"), F.col("hay").alias("term"))
+    around = containing(held.select(F.col("term").alias("needle"), t.alias("s")), sought.select(q.alias("hay"), q.alias("s"))).select(F.col("hay").alias("q"), F.col("needle").alias("term"))
+    common = sought.select("q", F.explode(F.array_distinct(F.split(q, " "))).alias("w")).join(held.select("term", F.explode(F.array_distinct(F.split(t, " "))).alias("w")), "w").select("q", "term")
+    pairs = inside.unionByName(around).unionByName(common).distinct()
     words = F.split(q, " ")
     overlap = F.size(F.array_intersect(words, F.split(t, " "))) / F.greatest(F.size(F.array_distinct(words)), F.lit(1))
     cases = [
@@ -68,7 +94,8 @@ def rank_terms(queries: DataFrame, terms: DataFrame, k: int = 5) -> DataFrame:
     score, by = F.lit(None).cast("double"), F.lit(None).cast("string")
     for name, test, points in reversed(cases):
         score, by = F.when(test, points).otherwise(score), F.when(test, F.lit(name)).otherwise(by)
-    found = asked.join(F.broadcast(held), F.lit(True)).withColumns({"score": score.cast("int"), "matched_by": by}).filter("score is not null")
+    scored = pairs.join(held, "term").withColumns({"score": score.cast("int"), "matched_by": by}).filter("score is not null").select("q", "term", "score", "matched_by").distinct()
+    found = asked.join(scored, "q")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.length("term"), "term")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "term", "score", "matched_by")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,7 +35,8 @@ def later_versions(events: DataFrame, versions: DataFrame, today=None) -> DataFr
     """
     starts = versions if today is None else versions.filter(F.col("since") <= F.lit(today).cast("date"))
     both = events.select(*events.columns, F.lit(0).alias("_v")).unionByName(starts.select("title_id", F.col("since").alias("d"), F.lit(1).alias("_v")), allowMissingColumns=True)
-    after = Window.partitionBy("title_id").orderBy(F.col("d").cast("timestamp").cast("long")).rangeBetween(1, Window.unboundedFollowing)
+    # From the latest day back, so that the sum runs on and no frame is read twice.
+    after = Window.partitionBy("title_id").orderBy(-F.col("d").cast("timestamp").cast("long")).rangeBetween(Window.unboundedPreceding, -1)
     return both.withColumn("n_later", F.coalesce(F.sum("_v").over(after), F.lit(0))).filter("_v = 0").drop("_v")
 
 
@@ -44,29 +45,61 @@ def interleave(hits: DataFrame, order: str = "source_order") -> DataFrame:
     return hits.withColumn("slot", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", order)))
 
 
-MAX_DEPTH = 8
+def _deepest(toc: DataFrame) -> int:
+    """The greatest depth of a table of contents, one number: there is a window for each level, however many there are."""
+    return toc.agg(F.max("depth")).first()[0] or 0
+
+
+#: The units that hold others, outermost first.
+CONTAINERS = ("schedule", "chapter", "part", "division", "subdivision")
+
+
+def container_rank(label: Column) -> Column:
+    """1 for a label that begins with the outermost of CONTAINERS, and so on; null for others."""
+    word = F.regexp_replace(F.lower(F.regexp_extract(label, r"^\w+", 0)), "^schedules$", "schedule")
+    place = F.array_position(F.array(*[F.lit(c) for c in CONTAINERS]), word)
+    return F.when(place > 0, place)
 
 
 def toc_ancestors(toc: DataFrame) -> DataFrame:
-    """W6. toc with parent_ord and breadcrumb (labels from the top to the node), by one forward fill for each level."""
+    """W6. toc with parent_ord, breadcrumb (labels from the top to the node), schedule_ord (the schedule that it is in,
+    its own ord for a schedule, null outside), by one forward fill for each level that the data has."""
     sofar = Window.partitionBy("title_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    last = {k: F.last(F.when(F.col("depth") == k, F.struct("ord", "label")), ignorenulls=True).over(sofar) for k in range(1, MAX_DEPTH + 1)}
+    levels = range(1, _deepest(toc) + 1)
+    kind = "array<struct<ord:bigint,label:string>>"
+    last = {k: F.last(F.when(F.col("depth") == k, F.struct("ord", "label")), ignorenulls=True).over(sofar) for k in levels}
     out = toc.withColumns({f"_a{k}": c for k, c in last.items()})
     # A level that the node's own branch left out would show a node of an earlier branch; a later level's node
     # always stands behind that of the level above it, so what goes back in order is dropped.
-    chain = F.array_compact(F.array(*[F.when(F.col("depth") >= k, F.col(f"_a{k}")) for k in range(1, MAX_DEPTH + 1)]))
-    none = F.array().cast("array<struct<ord:bigint,label:string>>")
-    chain = F.reverse(F.aggregate(F.reverse(chain.cast("array<struct<ord:bigint,label:string>>")), none, lambda kept, x: F.when((F.size(kept) == 0) | (x["ord"] < F.try_element_at(kept, F.lit(-1))["ord"]), F.array_append(kept, x)).otherwise(kept)))
-    out = out.withColumn("_chain", chain).withColumn("parent_ord", F.try_element_at("_chain", F.lit(-2))["ord"])
-    return out.withColumn("breadcrumb", F.transform("_chain", lambda x: x["label"])).drop("_chain", *(f"_a{k}" for k in last))
+    chain = F.array_compact(F.array(*[F.when(F.col("depth") >= k, F.col(f"_a{k}")) for k in levels])) if levels else F.array()
+    kept = F.aggregate(F.reverse(chain.cast(kind)), F.array().cast(kind), lambda kept, x: F.when((F.size(kept) == 0) | (x["ord"] < F.try_element_at(kept, F.lit(-1))["ord"]), F.array_append(kept, x)).otherwise(kept))
+    out = out.withColumn("_chain", F.reverse(kept)).withColumn("parent_ord", F.try_element_at("_chain", F.lit(-2))["ord"])
+    owner = F.try_element_at(F.filter("_chain", lambda x: container_rank(x["label"]).eqNullSafe(F.lit(1))), F.lit(-1))["ord"]
+    return out.withColumns({"breadcrumb": F.transform("_chain", lambda x: x["label"]), "schedule_ord": owner}).drop("_chain", *(f"_a{k}" for k in levels))
 
 
 def toc_subtree_range(toc: DataFrame) -> DataFrame:
-    """W7. toc with end_ord: the first later ord of its title at the same depth or above, or one past the last."""
-    after = Window.partitionBy("title_id").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
+    """W7. toc with end_ord: the first later ord of its title at the same depth or above, or one past the last.
+
+    A container (CONTAINERS) without entries below it owns the entries of its own depth behind it, down to the next
+    container of its rank or above, an endnote, or anything less deep.
+    """
+    # Read from the end of a title, so that the nearest later entry is the last one met.
+    later = Window.partitionBy("title_id").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("title_id")
-    ends = [F.when(F.col("depth") == k, F.min(F.when(F.col("depth") <= k, F.col("ord"))).over(after)) for k in range(1, MAX_DEPTH + 1)]
-    return toc.withColumn("end_ord", F.coalesce(*ends, F.max("ord").over(whole) + 1))
+    levels = range(1, _deepest(toc) + 1)
+    ranked = toc.withColumns({"_rank": container_rank(F.col("label")), "_note": F.col("label").rlike(r"(?i)^(endnotes?\b|notes? to the\b)")})
+    nearest = lambda test: F.last(F.when(test, F.col("ord")), ignorenulls=True).over(later)
+    depth, rank = F.col("depth"), F.col("_rank")
+    ends = F.coalesce(*(F.when(depth == k, nearest(depth <= k)) for k in levels), F.lit(None).cast("long"))
+    runs = F.coalesce(
+        *(F.when((depth == k) & (rank == r), nearest((depth < k) | ((depth == k) & (F.col("_note") | (rank <= r))))) for k in levels for r in range(1, len(CONTAINERS) + 1)),
+        F.lit(None).cast("long"),
+    )
+    past = F.max("ord").over(whole) + 1
+    following = F.lag("ord").over(Window.partitionBy("title_id").orderBy(F.desc("ord")))
+    out = ranked.withColumns({"_end": F.coalesce(ends, past), "_run": F.coalesce(runs, past), "_next": F.coalesce(following, past)})
+    return out.withColumn("end_ord", F.when(rank.isNotNull() & (F.col("_end") == F.col("_next")), F.col("_run")).otherwise(F.col("_end"))).drop("_rank", "_note", "_end", "_run", "_next")
 
 
 def slice_provision(volumes: DataFrame, toc: DataFrame) -> DataFrame:
@@ -85,12 +118,25 @@ def slice_provision(volumes: DataFrame, toc: DataFrame) -> DataFrame:
 def nearest_entries(refs: DataFrame, toc: DataFrame, k: int = 3) -> DataFrame:
     """W9. For each missing number (ref_id, title_id, number) the k numbered entries closest to it (ties: lower ord).
 
-    A ref meets the entries of its own title only, of which there are some thousands at most.
+    The k distinct numbers at or below a ref and the k above it come from windows over both in the order of numbers,
+    the entries of these numbers (of each the k first) by an equi-join: no ref meets all entries of its title.
     """
-    near = refs.join(toc.filter("number is not null").withColumnRenamed("number", "entry_number"), "title_id")
-    near = near.withColumn("distance", F.abs(F.col("entry_number") - F.col("number")))
-    order = Window.partitionBy("ref_id").orderBy("distance", "ord")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("ref_id", "title_id", "number", "rank", "ord", "label", "distance")
+    entries = toc.filter("number is not null").select("title_id", "number", "ord", "label")
+    first = Window.partitionBy("title_id", "number").orderBy("ord")
+    entries = entries.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k).drop("_n")
+    points = entries.select("title_id", "number").distinct().withColumn("ref_id", F.lit(None).cast(refs.schema["ref_id"].dataType))
+    both = refs.select("title_id", F.col("number").cast("long").alias("number"), "ref_id").unionByName(points)
+    is_point = F.col("ref_id").isNull()
+    point = F.when(is_point, F.col("number"))
+    # The j-th entry before a ref is the (count so far - j)-th of its title, so counts and an equi-join lead to it.
+    order = Window.partitionBy("title_id").orderBy("number", (~is_point).cast("int")).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_at", F.count(point).over(order))
+    numbered = both.filter(is_point).select("title_id", F.col("_at"), F.col("number").alias("_near"))
+    asked = both.filter(~is_point).select("title_id", "number", "ref_id", F.explode(F.sequence(F.col("_at") - (k - 1), F.col("_at") + k)).alias("_at"))
+    near = asked.join(numbered, ["title_id", "_at"]).join(entries.withColumnRenamed("number", "_near"), ["title_id", "_near"])
+    near = near.withColumn("distance", F.abs(F.col("_near") - F.col("number")))
+    best = Window.partitionBy("ref_id").orderBy("distance", "ord")
+    return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("ref_id", "title_id", "number", "rank", "ord", "label", "distance")
 
 
 def forward_fill_scope(lines: DataFrame, heading: str = "heading") -> DataFrame:

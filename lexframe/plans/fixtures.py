@@ -6,6 +6,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Customers in titles of 100, parts of 50 and divisions of 10.
+_BLOCKS = "(SELECT c_custkey, c_name, CAST(floor(c_custkey / 100.0) AS BIGINT) AS t, CAST(floor(c_custkey / 50.0) AS BIGINT) AS p, CAST(floor(c_custkey / 10.0) AS BIGINT) AS d FROM customer) c"
+
 #: name -> SQL over the raw tables.
 VIEWS: dict[str, str] = {
     "titles": """SELECT 'C' || p_partkey AS id, p_name || ' Act ' || (1950 + p_size) AS name,
@@ -16,10 +19,10 @@ VIEWS: dict[str, str] = {
   FROM (SELECT o_custkey AS title_id, CAST(o_orderdate AS DATE) AS since, o_orderkey AS register_id, o_orderstatus,
     row_number() OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE) ORDER BY o_orderkey) AS rn FROM orders) o WHERE rn = 1""",
     "law_events": """SELECT l_orderkey * 100 + l_linenumber AS event_id, o_custkey AS title_id, CAST(l_shipdate AS DATE) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
-    "toc": """SELECT 'T' || (r % 2) AS title_id, row_number() OVER (ORDER BY r, n, c) AS ord, depth, label, number FROM (
-  SELECT CAST(r_regionkey AS BIGINT) AS r, CAST(-1 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS c, 1 AS depth, 'Part ' || r_regionkey || '—' || r_name AS label, CAST(NULL AS BIGINT) AS number FROM region
-  UNION ALL SELECT CAST(n_regionkey AS BIGINT), CAST(n_nationkey AS BIGINT), CAST(-1 AS BIGINT), 2, 'Division ' || n_nationkey || '—' || n_name, CAST(NULL AS BIGINT) FROM nation
-  UNION ALL SELECT CAST(n_regionkey AS BIGINT), CAST(n_nationkey AS BIGINT), c_custkey, 3, c_custkey || ' ' || c_name, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey) t""",
+    "toc": f"""SELECT DISTINCT title_id, ord, depth, label, number FROM (
+  SELECT 'T' || t AS title_id, p * 56 AS ord, 1 AS depth, 'Part ' || p || '—' || 'SCOPE OF PART ' || p AS label, CAST(NULL AS BIGINT) AS number FROM {_BLOCKS}
+  UNION ALL SELECT 'T' || t, p * 56 + 1 + (d % 5) * 11, 2, 'Division ' || d || '—' || 'RULES ' || d, CAST(NULL AS BIGINT) FROM {_BLOCKS}
+  UNION ALL SELECT 'T' || t, p * 56 + 2 + (d % 5) * 11 + c_custkey % 10, 3, c_custkey || ' ' || c_name, c_custkey FROM {_BLOCKS}) x""",
     "authorises": """SELECT 'S' || l_suppkey AS affecting, 'C' || l_partkey AS affected, 's ' || min(l_linenumber) AS provisions FROM lineitem GROUP BY l_suppkey, l_partkey""",
     "amendments": """SELECT DISTINCT l_suppkey AS title_id, 's ' || l_linenumber AS provision,
   CASE l_returnflag WHEN 'A' THEN 'ad' WHEN 'N' THEN 'am' ELSE 'rep' END AS effect, year(l_shipdate) AS act_year, l_partkey AS act_number FROM lineitem""",
@@ -29,13 +32,13 @@ VIEWS: dict[str, str] = {
   FROM (SELECT *, CAST(floor(doc_id / 2.0) AS BIGINT) AS half FROM documents) d""",
     "drafts": """SELECT doc_id, text || chr(10) || chr(10) || 'Under the Widget Act ' || (1950 + doc_id % 50) || ' (Cth) s ' || (doc_id % 40 + 1) || ', conduct is prohibited. The Act s ' || (doc_id % 30 + 1)
   || ' also applies. ss ' || (doc_id % 9 + 1) || ', ' || (doc_id % 9 + 2) || ' and ' || (doc_id % 9 + 3) || ' of the Widget Act.' AS text FROM documents""",
-    "clauses_src": """SELECT doc_id, '1. ' || substr(text, 1, 200) || chr(10) || '2. A fee of $' || (doc_id * 10 + 5) || ' is payable within ' || (doc_id % 30 + 1) || ' days.' || chr(10) || '3. '
+    "clauses_src": """SELECT doc_id, '1. ' || text || chr(10) || '2. A fee of $' || (doc_id * 10 + 5) || ' is payable within ' || (doc_id % 30 + 1) || ' days.' || chr(10) || '3. '
   || CASE doc_id % 3 WHEN 0 THEN 'We may terminate immediately.' WHEN 1 THEN 'You indemnify us for any and all claims.' ELSE 'Governed by the laws of NSW.' END AS text FROM documents""",
     "queries": """SELECT conv_id * 100 + turn AS query_id, conv_id, text || ' as at ' || (conv_id % 28 + 1) || ' March ' || (1990 + conv_id % 30) AS query FROM conversations WHERE role = 'user'""",
     "aliases": """SELECT 'T' || (p_partkey % 50) AS alias, p_name || ' Act ' || (1950 + p_size) AS official, CASE p_partkey % 3 WHEN 0 THEN 'Cth' WHEN 1 THEN 'NSW' ELSE 'Vic' END AS jurisdiction FROM part""",
     "task_events": """SELECT user_id AS matter, ts, event_id, CASE event_type WHEN 'signup' THEN 'planned' WHEN 'view' THEN 'running' WHEN 'click' THEN 'evidence_collected' WHEN 'purchase' THEN 'assessed' ELSE 'unresolved' END AS state,
   CAST(floor(value) AS INT) AS pages FROM events""",
-    "hits": """SELECT lang AS query_id, source, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rank, CAST(substr(source, 4) AS INT) AS source_order, doc_id AS id, substr(text, 1, 40) AS title FROM documents""",
+    "hits": """SELECT lang AS query_id, source, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rank, CAST(substr(source, 4) AS INT) AS source_order, doc_id AS id, text AS title FROM documents""",
 }
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")

@@ -1,15 +1,17 @@
-"""Flows of several operators (P1, P2, P3, P5, P6, P9) and the queries of the evidence operators, with their SQL."""
+"""Flows of several operators (P1-P9) and the queries of the evidence operators, with their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexframe.functions import citations, texts
-from lexframe.operators import aggs, evidence, joins, setops, windows
+from lexframe.functions import citations, folds, questions, texts
+from lexframe.operators import aggs, evidence, joins, rank, setops, windows
+from lexframe.operators.containing import containing
 from lexframe.plans.fixtures import table, view, with_views
+from lexframe.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,48 +29,228 @@ def query(name: str, sql: str | None = None, *views: str):
     return keep
 
 
-def verify_citations(docs: DataFrame, titles: DataFrame, toc: DataFrame, coverage: DataFrame) -> DataFrame:
-    """P1. doc_id and the report (see aggs.citation_report) over all statute citations of each document."""
-    found = citations.extract_statute_citations(docs).withColumn("cite_id", F.struct("doc_id", "para", "pos", "item"))
-    asked = found.select("cite_id", "law_name", F.coalesce("jurisdiction", F.lit("Cth")).alias("jurisdiction"), F.regexp_extract("ref", "([0-9]+)", 1).cast("long").alias("number"))
-    verdicts = joins.statute_existence(asked, titles, toc, coverage)
-    return aggs.citation_report(verdicts.select("cite_id.doc_id", "verdict"))
-
-
-def cite_check(judgments: DataFrame) -> DataFrame:
-    """P2. target_id, n_confirmed, verdict: how later judgments (doc_id, citation, text) treat each of them."""
-    mentions = citations.extract_case_citations(judgments).filter("kind = 'neutral'").select("doc_id", citations.canonical_citation(F.col("year"), F.col("token"), F.col("number")).alias("citation"))
-    targets = judgments.select(F.col("doc_id").alias("target_id"), "citation")
-    citing = joins.citing_documents(targets, mentions).withColumn("confirmed", F.lit(True))
-    scanned = citations.treatment_scan(judgments, mentions).join(targets, "citation").filter("doc_id <> target_id")
-    known = targets.select("target_id", F.lit("found").alias("status"), F.lit(True).alias("complete"))
-    return aggs.citator_verdict(known, scanned.select("target_id", "kind"), known.select("target_id").filter("false"), citing)
-
+def verify_citations(docs: DataFrame, titles: DataFrame, toc: DataFrame, coverage: DataFrame, judgments: DataFrame | None = None, courts_read: DataFrame | None = None) -> DataFrame:
+    """P1. doc_id, cite, kind, claim, verdict, reason, better: a row for each citation of each document.
 
-def applicable_law(events: DataFrame, versions: DataFrame) -> DataFrame:
-    """P3. events with the version in force at d, its status, the repeal status and the number of later versions."""
+    Statutes (X3): the verdict of J7; where the provision is there and the text says what it does (X6), the claim is held
+    against the entry's heading (X7): 'content_mismatch' is wrong, and better names the entry of the same title that fits
+    best (X9). Cases (X2, neutral ones): J8 over judgments (doc_id, citation) and courts_read (court, year, complete);
+    absent is wrong, unsupported or unreachable unclear, as are reports and unknown courts. toc: title_id, ord, label,
+    number. citation_summary() counts these by document.
+    """
+    found = citations.extract_statute_citations(docs).withColumn("cite_id", F.struct("doc_id", "para", "pos", "item"))
+    asked = found.select("cite_id", "raw", "at", "ref", "law_name", F.coalesce("jurisdiction", F.lit("Cth")).alias("jurisdiction"), F.regexp_extract("ref", "([0-9]+)", 1).cast("long").alias("number"))
+    verdicts = joins.statute_existence(asked.select("cite_id", "law_name", "jurisdiction", "number"), titles, toc, coverage)
+    claims = citations.extract_claim(asked.select("cite_id", F.col("cite_id.doc_id").alias("doc_id"), "raw", F.col("at").alias("pos")), docs).select("cite_id", "claim")
+    named = titles.groupBy(F.col("name").alias("law_name")).agg(F.min("id").alias("title_id"))
+    told = asked.join(claims, "cite_id", "left").join(named, "law_name", "left")
+    labelled = toc.filter("number is not null").groupBy("title_id", "number").agg(F.min_by("label", "ord").alias("label")) if "label" in toc.columns else None
+    out = verdicts.join(told.select("cite_id", "ref", "claim", "title_id", "number"), "cite_id")
+    if labelled is not None:
+        pairs = out.filter("claim is not null and reason = 'found'").join(labelled, ["title_id", "number"]).select("cite_id", "title_id", "claim", texts.heading_title(F.col("label")).alias("actual"))
+        wrong = texts.content_match(pairs).filter("not matched").select("cite_id", "title_id", "claim")
+        better = texts.best_heading(wrong.withColumnRenamed("cite_id", "claim_id"), toc).select(F.col("claim_id").alias("cite_id"), F.col("label").alias("better"))
+        missed = wrong.select("cite_id", F.lit(True).alias("_missed")).join(better, "cite_id", "left")
+        out = out.join(missed, "cite_id", "left")
+        out = out.withColumns({"verdict": F.when(F.col("_missed"), "wrong").otherwise(F.col("verdict")), "reason": F.when(F.col("_missed"), "content_mismatch").otherwise(F.col("reason"))})
+    else:
+        out = out.withColumn("better", F.lit(None).cast("string"))
+    statutes = out.select("cite_id.doc_id", F.col("ref").alias("cite"), F.lit("statute").alias("kind"), "claim", "verdict", "reason", "better")
+    if judgments is None or courts_read is None:
+        return statutes
+    cases = citations.extract_case_citations(docs).select("doc_id", F.col("raw").alias("cite"), "kind", F.col("reason").alias("_unclear"), "year", F.col("token").alias("court"), F.col("number").cast("long").alias("number"))
+    held = citations.citation_parts(F.col("citation"))
+    held = judgments.select("doc_id", held["year"].alias("year"), held["token"].alias("court"), held["number"].cast("long").alias("number"))
+    checked = joins.case_existence(cases.filter("kind = 'neutral' and _unclear is null"), held, courts_read)
+    status = F.col("status")
+    none = F.lit(None).cast("string")
+    known = checked.select("doc_id", "cite", F.lit("case").alias("kind"), none.alias("claim"), F.when(status == "found", "right").when(status == "absent", "wrong").otherwise("unclear").alias("verdict"), status.alias("reason"), none.alias("better"))
+    rest = cases.filter("kind <> 'neutral' or _unclear is not null").select("doc_id", "cite", F.lit("case").alias("kind"), none.alias("claim"), F.lit("unclear").alias("verdict"), F.coalesce("_unclear", F.lit("report_unchecked")).alias("reason"), none.alias("better"))
+    return statutes.unionByName(known).unionByName(rest)
+
+
+def citation_summary(verdicts: DataFrame) -> DataFrame:
+    """P1. The report of aggs.citation_report() over the rows of verify_citations()."""
+    return aggs.citation_report(verdicts.select("doc_id", "verdict", F.col("claim").isNull().alias("existence_only")))
+
+
+def cite_check(targets: DataFrame, judgments: DataFrame, courts_read: DataFrame, applied: DataFrame | None = None, amendments: DataFrame | None = None, *, register: DataFrame | None = None, k: int | None = None) -> DataFrame:
+    """P2. target_id, n_confirmed, verdict, first_citing (array of the k citing judgments to read first, all by default).
+
+    targets: target_id, citation. judgments: doc_id, citation, text. Whether a target exists is looked up (J8) in register
+    (doc_id, citation; the judgments if not given) by courts_read (court, year, complete); later judgments that mention it (J17) are scanned for treatment (X10) and put in
+    order (W13). applied (target_id, title_id, provision, d: what a target applied, and when) and amendments (X32) give the
+    legislative overrides: amendments of that provision in the year of d or later (J15).
+    """
+    parts = citations.citation_parts(F.col("citation"))
+    keyed = lambda df, *cols: df.select(*cols, "citation", parts["year"].alias("year"), parts["token"].alias("court"), parts["number"].cast("long").alias("number"))
+    known = joins.case_existence(keyed(targets, "target_id"), keyed(judgments if register is None else register, "doc_id"), courts_read)
+    known = known.select("target_id", "status", (F.col("status") != "unreachable").alias("complete"))
+    every = citations.extract_case_citations(judgments).filter("kind = 'neutral'")
+    mentions = every.select("doc_id", citations.canonical_citation(F.col("year"), F.col("token"), F.col("number")).alias("citation"))
+    own = judgments.select("doc_id", F.col("citation").alias("own"))
+    citing = mentions.join(targets, "citation").join(own, "doc_id").filter("own <> citation")
+    scanned = citations.treatment_scan(judgments, citing.select("doc_id", "citation")).join(targets, "citation")
+    ranked = windows.prioritise_citing(citing.select("doc_id", F.col("own").alias("citation"), F.col("target_id").alias("target"), F.regexp_extract("own", "([0-9]{4})", 1).alias("date")).distinct(), k)
+    first = ranked.groupBy(F.col("target").alias("target_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("first_citing"))
+    if applied is None or amendments is None:
+        over = known.select("target_id").filter("false")
+    else:
+        later = joins.amended_after(applied.select(F.col("target_id").alias("event_id"), "title_id", "d").distinct(), amendments)
+        over = later.withColumnRenamed("event_id", "target_id").join(applied.select("target_id", "title_id", "provision").distinct(), ["target_id", "title_id", "provision"], "left_semi").select("target_id").distinct()
+    confirmed = citing.select("target_id", "doc_id", F.lit(True).alias("confirmed")).distinct()
+    return aggs.citator_verdict(known, scanned.select("target_id", "kind"), over, confirmed).join(first, "target_id", "left")
+
+
+def applicable_law(events: DataFrame, versions: DataFrame, *, now=None, amendments: DataFrame | None = None, toc: DataFrame | None = None, amending: DataFrame | None = None) -> DataFrame:
+    """P3. events with the version in force at d, its status, repeal_status, n_later, and what else was asked for.
+
+    A null d is read from the event's question (X12, by `now`) where events have a column question. lags: whether the
+    text in force at `now` lags behind the latest registered version (W2). n_amended_after: effects of Acts of the event's
+    year or later (J15; amendments). n_transitional: transitional headings (J20) in the Acts of amending (title_id,
+    amending_id) by toc. What isn't given is left out.
+    """
+    if "question" in events.columns and now is not None:
+        events = events.withColumn("d", F.coalesce("d", texts.parse_date(F.col("question"), now)))
     keys = ["event_id", "title_id", "d"]
     asked = events.select(*keys).distinct()
     at = joins.version_as_at(asked, versions)
     repeal = joins.repeal_status_at(asked, versions).select(*keys, "repeal_status")
-    later = windows.later_versions(asked, versions)
-    return at.join(repeal, keys).join(later, keys)
-
-
-def compare_versions(texts_of_versions: DataFrame) -> DataFrame:
-    """P5. pair_id and line counts between each version's text and the one before it (title_id, since, register_id, text)."""
+    # Joined by the ids and null-safe dates: an event may have no date.
+    def with_days(left: DataFrame, right: DataFrame, *take: str, how: str = "inner") -> DataFrame:
+        other = right.select(F.col("event_id").alias("_e"), F.col("title_id").alias("_t"), F.col("d").alias("_d"), *take)
+        return left.join(other, F.col("event_id").eqNullSafe(F.col("_e")) & F.col("title_id").eqNullSafe(F.col("_t")) & F.col("d").eqNullSafe(F.col("_d")), how).drop("_e", "_t", "_d")
+
+    out = with_days(with_days(at, repeal, "repeal_status"), windows.later_versions(asked, versions), "n_later")
+    if now is not None:
+        out = out.join(windows.current_vs_latest(versions, now).select("title_id", "lags"), "title_id", "left")
+    if amendments is not None:
+        later = joins.amended_after(asked.select(F.struct(*keys).alias("event_id"), "title_id", "d"), amendments)
+        counts = later.groupBy("event_id").agg(F.count("*").alias("n_amended_after")).select("event_id.*", "n_amended_after")
+        out = with_days(out, counts, "n_amended_after", how="left").withColumn("n_amended_after", F.coalesce("n_amended_after", F.lit(0)))
+    if toc is not None and amending is not None:
+        heads = joins.transitional_headings(amending.select(F.col("amending_id").alias("title_id")), toc)
+        counts = amending.join(heads, amending["amending_id"] == heads["title_id"]).groupBy(amending["title_id"]).agg(F.count("*").alias("n_transitional"))
+        out = out.join(counts, "title_id", "left").withColumn("n_transitional", F.coalesce("n_transitional", F.lit(0)))
+    return out
+
+
+def impact_map(provisions: DataFrame, toc: DataFrame, judgments: DataFrame, titles: DataFrame, authorises: DataFrame, amendments: DataFrame, families: DataFrame, members: DataFrame, coverage: DataFrame) -> DataFrame:
+    """P4. A provision's surroundings: ref_id, located (found or absent), and the counts of A6 with the state families.
+
+    provisions: ref_id, title_id, law_name, provision ('s 18'), number, schedule. J6 locates it; citing judgments mention
+    'law_name provision' word by word (J18), of several sources merged by A5's rule (distinct documents); instruments in
+    force under the title (J10) and those that name the provision (J13); families by the law's name (J16); amendment rows
+    of the same scope (X33). A count is null where coverage (title_id, kind) doesn't have it.
+    """
+    located = joins.locate_provision(provisions.select("ref_id", "title_id", "number", "schedule"), toc).select("ref_id", F.col("status").alias("located"))
+    phrases = provisions.select(F.col("ref_id").alias("phrase_id"), F.concat_ws(" ", "law_name", "provision").alias("phrase"))
+    keyed = provisions.select("ref_id", "title_id", "provision")
+    citing = joins.phrase_mentions(judgments, phrases).join(keyed.withColumnRenamed("ref_id", "phrase_id"), "phrase_id").select("title_id", "provision", "doc_id")
+    made = joins.enabled_instruments(titles, authorises).select(F.col("act").alias("title_id"), F.col("id").alias("instrument"), "provisions")
+    naming = joins.enabling_provision_match(made.select("instrument", F.col("title_id").alias("act"), "provisions"), keyed.select("ref_id", F.col("title_id").alias("act"), "provision")).select(F.col("act").alias("title_id"), "instrument", "provision").distinct()
+    by_title = made.join(naming.withColumnRenamed("provision", "_named"), ["title_id", "instrument"], "left").select("title_id", F.col("_named").alias("provision"), "instrument")
+    related = joins.state_counterparts(provisions.select(F.col("title_id").alias("name_id"), F.col("law_name").alias("name")).distinct(), families, members).select(F.col("name_id").alias("title_id"), "family")
+    changed = evidence.amendment_rows_for(provisions.select("ref_id", "title_id", "provision", "schedule"), amendments).join(keyed, "ref_id").select("title_id", "provision", "effect", "act_year", "act_number").distinct()
+    counts = aggs.impact_summary(keyed.select("title_id", "provision").distinct(), citing, by_title, changed, coverage, related)
+    return keyed.join(counts, ["title_id", "provision"]).join(located, "ref_id")
+
+
+def natural_search(queries: DataFrame, aliases: DataFrame, titles: DataFrame, k: int = 10) -> DataFrame:
+    """P7. query_id, rank, id, via, points: titles for questions in plain words.
+
+    Two passes, each title by the first that found it (U2): 'query', titles whose names have all content words of the
+    question (F1's 'all', as an equi-join on words), and 'alias', titles whose names contain the official name of the law
+    that the question names (X30, unless it is an agency or needs a jurisdiction). All are ranked by K1's points for that
+    name, or for the question where none is named.
+    """
+    mention = questions.law_mentions(queries, aliases).filter("is_primary and not body and not needs_jurisdiction").select("query_id", F.col("name").alias("law"))
+    words = lambda c: F.array_distinct(F.filter(F.split(folds.fold_words(c), " "), lambda w: (F.length(w) > 1) & ~w.isin(*folds.STOP_WORDS)))
+    asked = queries.select("query_id", words(F.col("query")).alias("_w"))
+    named = titles.select("id", F.explode(words(F.col("name"))).alias("_x"))
+    shared = asked.select("query_id", F.size("_w").alias("_n"), F.explode("_w").alias("_x")).join(named, "_x").groupBy("query_id", "id", "_n").agg(F.count("*").alias("_m"))
+    by_query = shared.filter("_m = _n").select("query_id", "id")
+    keys = mention.select("query_id", folds.fold_key(F.col("law"), ascii_only=True).alias("_k"))
+    held = rank.folded_titles(titles)
+    inside = containing(keys.select(F.col("_k").alias("needle"), F.col("_k").alias("s")).distinct(), held.select(F.col("id").alias("hay"), F.col("key").alias("s")))
+    by_alias = keys.join(inside, keys["_k"] == inside["needle"]).select("query_id", F.col("hay").alias("id"))
+    merged = setops.dedupe_hits([("query", by_query), ("alias", by_alias)])
+    text = queries.join(mention, "query_id", "left").select("query_id", folds.fold_key(F.coalesce("law", "query"), ascii_only=True).alias("_q"))
+    scored = merged.join(text, "query_id").join(held, "id").withColumn("points", rank.title_points(F.col("_q"), F.col("key"), F.col("former")))
+    order = Window.partitionBy("query_id").orderBy(F.desc("points"), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "via", "points")
+
+
+#: The legs that each research task runs.
+LEGS = {
+    "law_system": ("instruments", "versions"), "amendment_track": ("changes", "versions"), "state_law_compare": ("counterparts",), "action_basis": ("instruments", "decisions"),
+    "dispute_prep": ("decisions",), "procedure_detail": ("schedules",), "full_research": ("instruments", "versions", "changes", "counterparts", "decisions", "schedules"),
+}
+
+
+def research(queries: DataFrame, titles: DataFrame, anchors: DataFrame, authorises: DataFrame, versions: DataFrame, toc: DataFrame, hits: DataFrame, families: DataFrame, members: DataFrame, *, decisions: int = 5) -> DataFrame:
+    """P8. query_id, task, scenario, domain, base_id, leg, item, n: what each research question (query_id, query, task) leads to.
+
+    The base law is K2's first; scenario and domain are X28 and X29. Legs, by LEGS: instruments and versions of the base law
+    by kind (J21), changes by affect (R1 over all its days), state counterparts of its name (J16), the best `decisions` of
+    the question's domain (hits: query_id, domain, rank, id; U7, K7's cut), schedules with their entries (X37). A question
+    without a base law has no legs about it. versions and toc have the ids of titles in title_id.
+    """
+    told = questions.scenario_label(queries).withColumn("domain", questions.dispute_domain(F.col("query")))
+    base = rank.rank_base_law(queries, titles, anchors, 1).select("query_id", F.col("id").alias("base_id"))
+    legs = F.coalesce(*(F.when(F.col("task") == t, F.array(*map(F.lit, l))) for t, l in LEGS.items()), F.array().cast("array<string>"))
+    plan = told.join(base, "query_id", "left").select("query_id", "task", "scenario", "domain", "base_id", F.explode(legs).alias("leg"))
+    bases = base.select("base_id").distinct()
+    about = lambda df, c: df.join(bases, df[c] == bases["base_id"], "left_semi")
+    around = joins.law_surroundings(titles, about(authorises, "affecting"), about(versions, "title_id")).filter(F.col("leg").isin("instruments", "versions")).select(F.col("id").alias("base_id"), "leg", "item", "n")
+    feed = changes.change_feed(about(versions, "title_id"), "0001-01-01", "9999-12-31").groupBy(F.col("title_id").cast("string").alias("base_id"), F.col("affect").alias("item")).agg(F.count("*").alias("n")).withColumn("leg", F.lit("changes"))
+    names = about(titles, "id").select(F.col("id").alias("name_id"), "name")
+    state = joins.state_counterparts(names, families, members).select(F.col("name_id").alias("base_id"), F.lit("counterparts").alias("leg"), F.col("member").alias("item"), F.col("score").cast("long").alias("n"))
+    schedules = evidence.find_schedules(about(toc, "title_id")).select(F.col("title_id").alias("base_id"), F.lit("schedules").alias("leg"), F.col("label").alias("item"), F.col("n_items").cast("long").alias("n"))
+    rows = around.unionByName(feed).unionByName(state).unionByName(schedules)
+    by_base = plan.join(rows, ["base_id", "leg"])
+    order = Window.partitionBy("query_id").orderBy("rank", "id")
+    best = hits.join(told.select("query_id", "domain"), ["query_id", "domain"], "left_semi").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= decisions)
+    decided = plan.filter("leg = 'decisions'").join(best.select("query_id", F.col("id").cast("string").alias("item"), F.col("rank").cast("long").alias("n")), "query_id")
+    columns = ["query_id", "task", "scenario", "domain", "base_id", "leg", "item", "n"]
+    return by_base.select(*columns).unionByName(decided.select(*columns))
+
+
+def compare_versions(texts_of_versions: DataFrame, toc: DataFrame | None = None) -> DataFrame:
+    """P5. pair_id, the line counts (X34) between each version's text and the one before it, and n_acts of the title.
+
+    texts_of_versions: title_id, since, register_id, affect, text, and reasons if there are any. With toc (register_id,
+    label) also the entries that the contents gained and lost (U5): n_entries_added, n_entries_removed.
+    """
     paired = windows.version_pairs(texts_of_versions)
     before = texts_of_versions.select(F.col("register_id").alias("previous_id"), F.col("text").alias("a"))
-    return texts.diff_stats(paired.join(before, "previous_id").select(F.col("register_id").alias("pair_id"), "a", F.col("text").alias("b")))
-
-
-def document_review(docs: DataFrame, rules, signals) -> DataFrame:
-    """P6. doc_id, doc_type, n_clauses, score, grade (low and 0 without findings)."""
-    clauses = texts.split_clauses(docs)
+    pairs = paired.join(before, "previous_id").select(F.col("register_id").alias("pair_id"), "previous_id", "title_id", "a", F.col("text").alias("b"))
+    out = texts.diff_stats(pairs).join(pairs.select("pair_id", "title_id"), "pair_id").join(aggs.amenders(texts_of_versions).select("title_id", "n_acts"), "title_id", "left").drop("title_id")
+    if toc is None:
+        return out
+    ids = pairs.select("pair_id", "previous_id")
+    # Both tables of contents of a pair in one, so that the difference is one aggregate and not a job for each pair.
+    new = ids.join(toc.withColumnRenamed("register_id", "pair_id"), "pair_id").select("pair_id", "label", F.lit(1).alias("side")).distinct()
+    old = ids.join(toc.withColumnRenamed("register_id", "previous_id"), "previous_id").select("pair_id", "label", F.lit(2).alias("side")).distinct()
+    sides = new.unionByName(old).groupBy("pair_id", "label").agg(F.sum("side").alias("side"))
+    counts = sides.groupBy("pair_id").agg(F.count_if(F.col("side") == 1).alias("n_entries_added"), F.count_if(F.col("side") == 2).alias("n_entries_removed"))
+    return out.join(counts, "pair_id", "left")
+
+
+def document_review(docs: DataFrame, rules, signals, conflicts=()) -> DataFrame:
+    """P6. doc_id, doc_type, n_clauses, score, grade (low and 0 without findings), n_amounts, n_periods (X15), n_conflicts."""
     risk = aggs.risk_score(texts.document_risks(docs, rules))
-    counts = clauses.groupBy("doc_id").agg(F.count("*").alias("n_clauses"))
-    out = aggs.doc_type(docs, signals).select("doc_id", "doc_type").join(counts, "doc_id", "left").join(risk, "doc_id", "left")
-    return out.select("doc_id", "doc_type", F.coalesce("n_clauses", F.lit(0)).alias("n_clauses"), F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("grade", F.lit("low")).alias("grade"))
+    counted = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
+    parts = [counted(texts.split_clauses(docs), "n_clauses"), counted(texts.extract_amounts(docs), "n_amounts"), counted(texts.extract_periods(docs), "n_periods")]
+    if conflicts:
+        parts.append(counted(texts.document_conflicts(docs, list(conflicts)), "n_conflicts"))
+    out = aggs.doc_type(docs, signals).select("doc_id", "doc_type").join(risk, "doc_id", "left")
+    for part in parts:
+        out = out.join(part, "doc_id", "left")
+    if not conflicts:
+        out = out.withColumn("n_conflicts", F.lit(0).cast("long"))
+    numbers = ("n_clauses", "score", "n_amounts", "n_periods", "n_conflicts")
+    return out.select("doc_id", "doc_type", F.coalesce("grade", F.lit("low")).alias("grade"), *(F.coalesce(n, F.lit(0)).alias(n) for n in numbers))
 
 
 def provision_history(refs: DataFrame, tables: DataFrame, titles: DataFrame) -> DataFrame:
@@ -77,58 +259,244 @@ def provision_history(refs: DataFrame, tables: DataFrame, titles: DataFrame) ->
     return joins.amending_acts(evidence.amendment_rows_for(refs, parsed), titles).drop("act_name")
 
 
+#: What P1 reads: laws and sections of a register by title, cases of some courts; and drafts that cite right and wrong ones.
+_P1_SQL = """WITH reg AS (SELECT DISTINCT p_size AS y FROM part WHERE p_size <= 40), c AS (
+SELECT doc_id, 1 + doc_id % 50 AS y, doc_id % 40 + 1 AS n, CASE doc_id % 3 WHEN 0 THEN 'rule ' || (doc_id % 40 + 1) || ' of the scheme' WHEN 1 THEN 'zebra crossings and traffic' END AS claim FROM documents),
+v AS (SELECT c.*, CASE WHEN reg.y IS NULL THEN 'title_absent' WHEN n > 25 THEN 'section_absent' WHEN claim LIKE 'zebra%' THEN 'content_mismatch' ELSE 'found' END AS reason FROM c LEFT JOIN reg USING (y)),
+k AS (SELECT doc_id, half, CASE half % 4 WHEN 3 THEN 'unsupported' WHEN 2 THEN CASE WHEN doc_id % 5 = 0 THEN 'unreachable' ELSE 'found' END ELSE CASE WHEN doc_id % 5 = 0 THEN 'absent' ELSE 'found' END END AS reason FROM (SELECT doc_id, CAST(floor(doc_id / 2.0) AS BIGINT) AS half FROM documents))
+SELECT doc_id, 's ' || n AS cite, 'statute' AS kind, claim, CASE reason WHEN 'found' THEN 'right' ELSE 'wrong' END AS verdict, reason, CAST(NULL AS VARCHAR) AS better FROM v
+UNION ALL SELECT doc_id, '[' || (2000 + half % 25) || '] ' || CASE half % 4 WHEN 0 THEN 'HCA' WHEN 1 THEN 'NSWCA' WHEN 2 THEN 'QSC' ELSE 'VSC' END || ' ' || (half + CASE WHEN doc_id % 5 = 0 THEN 90000 ELSE 0 END), 'case', NULL,
+  CASE WHEN half % 4 <> 3 AND doc_id % 5 <> 0 THEN 'right' WHEN half % 4 = 3 AND doc_id % 5 <> 0 THEN 'right' WHEN half % 4 = 3 THEN 'unclear' WHEN half % 4 = 2 THEN 'unclear' ELSE 'wrong' END, CASE WHEN half % 4 = 3 AND doc_id % 5 <> 0 THEN 'found' ELSE reason END, NULL FROM k
+UNION ALL SELECT doc_id, '(1992) 175 CLR ' || (doc_id + 1), 'case', NULL, 'unclear', 'report_unchecked', NULL FROM documents"""
+
+
+def _p1_verdicts(v, t) -> DataFrame:
+    d = F.col("doc_id")
+    half = F.floor(d / 2.0)
+    court = F.when(half % 4 == 0, "HCA").when(half % 4 == 1, "NSWCA").when(half % 4 == 2, "QSC").otherwise("VSC")
+    n = (d % 40 + 1).cast("string")
+    claim = F.when(d % 3 == 0, F.concat(F.lit(" (rule "), n, F.lit(" of the scheme)"))).when(d % 3 == 1, " (zebra crossings and traffic)").otherwise("")
+    says = F.concat("text", F.lit("\n\nSee Widget Act "), 1951 + d % 50, F.lit(" (Cth) s "), n, claim, F.lit(". Then ["), 2000 + half % 25, F.lit("] "), court, F.lit(" "), half + F.when(d % 5 == 0, 90000).otherwise(0), F.lit("; (1992) 175 CLR "), d + 1, F.lit("."))
+    docs = t("documents").select("doc_id", says.alias("text"))
+    laws = t("part").filter("p_size <= 40").select(F.concat(F.lit("Widget Act "), 1950 + F.col("p_size")).alias("name"), F.concat(F.lit("W"), "p_size").alias("id")).distinct()
+    toc = laws.select(F.col("id").alias("title_id"), F.explode(F.sequence(F.lit(1), F.lit(25))).alias("k")).select("title_id", F.col("k").cast("long").alias("ord"), F.col("k").cast("long").alias("number"), F.concat("k", F.lit(" Rule "), "k", F.lit(" of the scheme")).alias("label"))
+    j = v("judgments").select("doc_id", "citation")
+    parts = citations.citation_parts(F.col("citation"))
+    read = j.select(parts["token"].alias("court"), parts["year"].alias("year")).distinct().filter("court <> 'VSC'").withColumn("complete", F.col("court") != "QSC")
+    return verify_citations(docs, laws, toc, laws.select(F.col("id").alias("title_id")), j, read)
+
+
+@query("p1_verify_citations", _P1_SQL)
+def _(v, t):
+    return _p1_verdicts(v, t)
+
+
 @query(
-    "p1_verify_citations",
-    """WITH c AS (SELECT doc_id, 1950 + doc_id % 50 AS y, doc_id % 40 + 1 AS n FROM documents UNION ALL SELECT doc_id, 1950 + doc_id % 50, doc_id % 30 + 1 FROM documents UNION ALL SELECT doc_id, NULL, doc_id % 9 + k FROM documents, (SELECT unnest([1, 2, 3]) AS k)),
-v AS (SELECT doc_id, CASE WHEN y IS NULL OR y >= 1990 THEN 'wrong' WHEN n > 25 THEN 'wrong' ELSE 'right' END AS verdict FROM c)
-SELECT doc_id, count(verdict) AS n, count(*) FILTER (verdict = 'right') AS n_right, count(*) FILTER (verdict = 'wrong') AS n_wrong, count(*) FILTER (verdict = 'unclear') AS n_unclear, CASE WHEN count(*) FILTER (verdict = 'wrong') > 0 THEN 'ERRORS' ELSE 'VERIFIED' END AS banner FROM v GROUP BY doc_id""",
+    "p1_citation_summary",
+    f"SELECT doc_id, count(verdict) AS n, count(*) FILTER (verdict = 'right') AS n_right, count(*) FILTER (verdict = 'wrong') AS n_wrong, count(*) FILTER (verdict = 'unclear') AS n_unclear, count(*) FILTER (verdict = 'right' AND claim IS NULL) AS n_existence, CASE WHEN count(*) FILTER (verdict = 'wrong') > 0 THEN 'ERRORS' ELSE 'PARTIAL' END AS banner FROM ({_P1_SQL}) x GROUP BY doc_id",
 )
 def _(v, t):
-    drafts = v("drafts")
-    titles = drafts.sparkSession.range(1950, 1990).select(F.concat(F.lit("Widget Act "), "id").alias("name"), F.concat(F.lit("W"), "id").alias("id"))
-    toc = titles.select(F.col("id").alias("title_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(25).cast("long"))).alias("number"))
-    return verify_citations(drafts, titles, toc, toc.select("title_id"))
+    return citation_summary(_p1_verdicts(v, t))
 
 
 @query(
     "p2_cite_check",
-    """WITH c AS (SELECT CAST(floor(doc_id / 2.0) AS BIGINT) AS target_id, doc_id FROM documents), g AS (SELECT target_id, count(*) AS n, count(*) FILTER (doc_id % 7 = 0) AS bad FROM c WHERE doc_id <> target_id GROUP BY target_id)
-SELECT d.doc_id AS target_id, coalesce(n, 0) AS n_confirmed, CASE WHEN coalesce(bad, 0) > 0 THEN 'overruled_candidate' WHEN coalesce(n, 0) > 0 THEN 'cited' ELSE 'unverified_treatment' END AS verdict FROM documents d LEFT JOIN g ON g.target_id = d.doc_id""",
+    """WITH c AS (SELECT CAST(floor(doc_id / 2.0) AS BIGINT) AS target_id, doc_id, CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS tier, 2000 + doc_id % 25 AS y FROM documents),
+g AS (SELECT target_id, count(*) AS n, count(*) FILTER (doc_id % 7 = 0) AS bad, list(doc_id ORDER BY tier, y DESC, doc_id) AS first_citing FROM c WHERE doc_id <> target_id GROUP BY target_id),
+a AS (SELECT p_partkey AS k, min(p_size) AS s FROM part GROUP BY 1),
+t AS (SELECT doc_id AS target_id, CASE WHEN doc_id % 3 = 0 THEN 'absent' ELSE 'found' END AS status FROM documents)
+SELECT t.target_id, coalesce(n, 0) AS n_confirmed, CASE WHEN coalesce(bad, 0) > 0 THEN 'overruled_candidate' WHEN t.target_id % 5 = 0 AND a.s > 25 THEN 'legislative_override' WHEN status = 'absent' AND n IS NULL THEN 'not_found' WHEN n IS NOT NULL THEN 'cited' ELSE 'unverified_treatment' END AS verdict, g.first_citing
+FROM t LEFT JOIN g USING (target_id) LEFT JOIN a ON a.k = t.target_id""",
 )
 def _(v, t):
-    return cite_check(v("judgments"))
+    j = v("judgments")
+    targets = j.select(F.col("doc_id").alias("target_id"), "citation")
+    parts = citations.citation_parts(F.col("citation"))
+    read = j.select(parts["token"].alias("court"), parts["year"].alias("year")).distinct().withColumn("complete", F.lit(True))
+    # A third of the targets is not among the judgments by its number, though others cite it.
+    gone = F.regexp_replace("citation", "^", "")
+    known = j.withColumn("citation", F.when(F.col("doc_id") % 3 == 0, F.concat(gone, F.lit("000000"))).otherwise(F.col("citation")))
+    applied = t("documents").filter("doc_id % 5 = 0").select(F.col("doc_id").alias("target_id"), F.col("doc_id").alias("title_id"), F.lit("s 1").alias("provision"), F.lit("2010-05-01").cast("date").alias("d"))
+    amendments = t("part").groupBy(F.col("p_partkey").alias("title_id")).agg(F.lit("s 1").alias("provision"), F.lit("am").alias("effect"), F.when(F.min("p_size") > 25, 2012).otherwise(2001).alias("act_year"), F.lit(1).alias("act_number"))
+    # Judgments are cited under their own citations; only the register of numbers lacks a third of them.
+    held = j.select("doc_id", "citation", "text")
+    return cite_check(targets, held, read, applied, amendments, register=known.select("doc_id", "citation"))
 
 
 @query(
     "p3_applicable_law",
-    """WITH e AS (SELECT DISTINCT event_id, title_id, d FROM law_events), n AS (SELECT e.title_id, e.d, count(x.since) AS n_later FROM (SELECT DISTINCT title_id, d FROM e) e LEFT JOIN versions x ON x.title_id = e.title_id AND x.since > e.d GROUP BY e.title_id, e.d),
-r AS (SELECT title_id, min(since) AS repealed_on FROM versions WHERE affect = 'Repeal' GROUP BY title_id)
+    """WITH e AS (SELECT DISTINCT event_id, title_id, CASE WHEN event_id % 9 = 0 THEN make_date(1998, 3, CAST(event_id % 28 + 1 AS INT)) ELSE d END AS d FROM law_events), n AS (SELECT e.title_id, e.d, count(x.since) AS n_later FROM (SELECT DISTINCT title_id, d FROM e) e LEFT JOIN versions x ON x.title_id = e.title_id AND x.since > e.d GROUP BY e.title_id, e.d),
+r AS (SELECT title_id, min(since) AS repealed_on FROM versions WHERE affect = 'Repeal' GROUP BY title_id),
+w AS (SELECT title_id, max(register_id) FILTER (since <= DATE '1997-01-01' AND (until IS NULL OR DATE '1997-01-01' < until)) IS DISTINCT FROM arg_max(register_id, since) AS lags FROM versions GROUP BY title_id),
+a AS (SELECT e.event_id, e.d, count(*) AS n FROM e JOIN (SELECT DISTINCT c_custkey AS title_id, 1994 + c_custkey % 9 AS act_year FROM customer) m ON m.title_id = e.title_id AND m.act_year >= year(e.d) GROUP BY e.event_id, e.d),
+h AS (SELECT c_custkey AS title_id, 2 AS n FROM customer WHERE c_custkey % 4 = 0)
 SELECT e.event_id, e.title_id, e.d, x.register_id, x.since, x.affect, CASE WHEN x.register_id IS NOT NULL THEN 'found' ELSE 'before_first' END AS status,
-  CASE WHEN repealed_on IS NULL THEN 'not_repealed' WHEN repealed_on <= e.d THEN 'repealed_before' ELSE 'in_force_then_repealed' END AS repeal_status, n_later
-FROM e ASOF LEFT JOIN versions x ON e.title_id = x.title_id AND e.d >= x.since JOIN n ON n.title_id = e.title_id AND n.d = e.d LEFT JOIN r ON r.title_id = e.title_id""",
+  CASE WHEN repealed_on IS NULL THEN 'not_repealed' WHEN repealed_on <= e.d THEN 'repealed_before' ELSE 'in_force_then_repealed' END AS repeal_status, n_later, w.lags, coalesce(a.n, 0) AS n_amended_after, coalesce(h.n, 0) AS n_transitional
+FROM e ASOF LEFT JOIN versions x ON e.title_id = x.title_id AND e.d >= x.since JOIN n ON n.title_id = e.title_id AND n.d = e.d LEFT JOIN r ON r.title_id = e.title_id LEFT JOIN w ON w.title_id = e.title_id LEFT JOIN a ON a.event_id = e.event_id AND a.d = e.d LEFT JOIN h ON h.title_id = e.title_id""",
     "versions",
     "law_events",
 )
 def _(v, t):
-    return applicable_law(v("law_events"), v("versions"))
+    # Every ninth event gives its day in words.
+    spoken = F.col("event_id") % 9 == 0
+    events = v("law_events").withColumn("question", F.when(spoken, F.concat(F.lit("which law applied as at "), F.col("event_id") % 28 + 1, F.lit(" March 1998?")))).withColumn("d", F.when(~spoken, F.col("d")))
+    c = F.col("c_custkey")
+    amendments = t("customer").select(c.alias("title_id"), F.lit("s 1").alias("provision"), F.lit("am").alias("effect"), (1994 + c % 9).alias("act_year"), F.lit(1).alias("act_number"))
+    amending = t("customer").filter("c_custkey % 4 = 0").select(c.alias("title_id"), F.concat(F.lit("A"), c).alias("amending_id"))
+    toc = amending.select(F.col("amending_id").alias("title_id"), F.posexplode(F.array(F.lit("1 Short title"), F.lit("2 Application of amendments"), F.lit("3 Transitional rules"))).alias("ord", "label"))
+    return applicable_law(events, v("versions"), now="1997-01-01", amendments=amendments, toc=toc, amending=amending)
+
+
+@query(
+    "p4_impact_map",
+    """WITH p AS (SELECT p_partkey AS k, 'C' || p_partkey AS title_id, 's ' || (p_partkey % 7 + 1) AS provision FROM part),
+i AS (SELECT 'C' || l_suppkey AS title_id, 'C' || l_partkey AS id, 's ' || min(l_linenumber) AS provisions FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_partkey % 4 = 1 AND p_partkey % 5 <> 0 GROUP BY 1, 2)
+SELECT k AS ref_id, p.title_id, p.provision, CASE WHEN d.doc_id IS NULL THEN 0 ELSE 1 END AS n_citing, coalesce(x.n, 0) AS n_instruments, coalesce(y.n, 0) AS n_naming, CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS n_amendments,
+  CASE WHEN k % 3 = 0 THEN CASE WHEN k % 6 = 0 THEN 1 ELSE 0 END END AS n_families, CASE WHEN k % 10 = 3 THEN 'absent' ELSE 'found' END AS located
+FROM p LEFT JOIN documents d ON d.doc_id = k LEFT JOIN (SELECT title_id, count(*) AS n FROM i GROUP BY 1) x ON x.title_id = p.title_id LEFT JOIN (SELECT title_id, provisions AS provision, count(*) AS n FROM i GROUP BY 1, 2) y ON y.title_id = p.title_id AND y.provision = p.provision""",
+)
+def _(v, t):
+    k = F.col("p_partkey")
+    name = F.concat(F.when(k % 6 == 0, "Evidence").otherwise("Widget"), F.lit(" Law "), k)
+    asked = t("part").select(k.alias("ref_id"), F.concat(F.lit("C"), k).alias("title_id"), name.alias("law_name"), F.concat(F.lit("s "), k % 7 + 1).alias("provision"), (k % 7 + 1).alias("number"), F.lit(None).cast("string").alias("schedule"))
+    entries = asked.filter("ref_id % 10 <> 3").select("title_id", F.lit(1).cast("long").alias("ord"), F.lit(2).alias("depth"), F.lit("1 x").alias("label"), "number", F.lit(None).cast("string").alias("schedule"))
+    d = F.col("doc_id")
+    judgments = t("documents").select("doc_id", F.concat("text", F.lit(". By the "), F.when(d % 6 == 0, "Evidence").otherwise("Widget"), F.lit(" law, "), d, F.lit(" S. "), d % 7 + 1, F.lit(" it is so.")).alias("text"))
+    authorises = v("authorises").withColumn("affecting", F.regexp_replace("affecting", "^S", "C"))
+    amendments = asked.filter("ref_id % 2 = 0").select("title_id", "provision", "schedule", F.lit("am").alias("effect"), F.lit(1999).alias("act_year"), F.lit(1).alias("act_number"))
+    families = asked.sparkSession.createDataFrame([("evidence", "evidence law")], "family string, fragment string")
+    members = asked.sparkSession.createDataFrame([("evidence", "Evidence Act 1995 (NSW)")], "family string, member string")
+    kinds = F.array_compact(F.array(F.lit("citing"), F.lit("instruments"), F.lit("amendments"), F.when(F.col("ref_id") % 3 == 0, F.lit("families"))))
+    coverage = asked.select("title_id", F.explode(kinds).alias("kind"))
+    return impact_map(asked, entries, judgments, v("titles"), authorises, amendments, families, members, coverage)
 
 
 @query(
     "p5_compare_versions",
-    "SELECT register_id AS pair_id, 1 AS added, 1 AS removed, 1 AS unchanged, 'compared' AS status FROM (SELECT register_id, lag(register_id) OVER (PARTITION BY title_id ORDER BY since) AS p FROM versions) WHERE p IS NOT NULL",
+    """WITH v AS (SELECT *, lag(register_id) OVER (PARTITION BY title_id ORDER BY since) AS p FROM versions), a AS (SELECT title_id, count(DISTINCT CASE WHEN affect IN ('Amend', 'Repeal') THEN register_id % 7 END) AS n FROM versions GROUP BY title_id)
+SELECT register_id AS pair_id, 1 AS added, 1 AS removed, 1 AS unchanged, 'compared' AS status, a.n AS n_acts, 1 + CASE WHEN register_id % 2 = 0 AND p % 2 = 1 THEN 1 ELSE 0 END AS n_entries_added, 1 + CASE WHEN register_id % 2 = 1 AND p % 2 = 0 THEN 1 ELSE 0 END AS n_entries_removed FROM v JOIN a USING (title_id) WHERE p IS NOT NULL""",
     "versions",
 )
 def _(v, t):
-    return compare_versions(v("versions").withColumn("text", F.concat(F.lit("same line\nversion "), "register_id")))
+    r = F.col("register_id")
+    held = v("versions").withColumns({"text": F.concat(F.lit("same line\nversion "), r), "reasons": F.array(F.struct("affect", (r % 7).alias("affecting_id")))})
+    labels = F.array_compact(F.array(F.lit("1 Title"), F.concat(F.lit("2 Version "), r), F.when(r % 2 == 0, F.lit("3 Even"))))
+    return compare_versions(held, v("versions").select("register_id", F.explode(labels).alias("label")))
 
 
 _RULES = [("unilateral", "termination", "high", [], [r"(?i)terminate immediately"]), ("payment", "fees", "medium", [r"(?i)\bfee\b", r"(?i)payable"], [])]
 _SIGNALS = [("contract", "payable", 3), ("contract", "terminate", 3)]
+_CONFLICTS = [("fee_and_exit", "payable", "terminate")]
 
 
-@query("p6_document_review", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'contract' ELSE 'other' END AS doc_type, 3 AS n_clauses, CASE doc_id % 3 WHEN 0 THEN 4 ELSE 1 END AS score, CASE doc_id % 3 WHEN 0 THEN 'elevated' ELSE 'moderate' END AS grade FROM documents")
+@query("p6_document_review", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'contract' ELSE 'other' END AS doc_type, 3 AS n_clauses, CASE doc_id % 3 WHEN 0 THEN 4 ELSE 1 END AS score, CASE doc_id % 3 WHEN 0 THEN 'elevated' ELSE 'moderate' END AS grade, 1 AS n_amounts, 1 AS n_periods, CASE doc_id % 3 WHEN 0 THEN 1 ELSE 0 END AS n_conflicts FROM documents")
 def _(v, t):
-    return document_review(v("clauses_src").withColumn("text", F.regexp_replace("text", r"(?s)^.*\n2\. ", "1. opening\n2. ")), _RULES, _SIGNALS)
+    return document_review(v("clauses_src"), _RULES, _SIGNALS, _CONFLICTS)
+
+
+@query(
+    "p7_natural_search",
+    """WITH q AS (SELECT s_suppkey AS query_id, s_suppkey % 5 AS k, s_suppkey % 30 + 1 AS z, 'Act' || (1950 + s_suppkey % 30 + 1) AS a FROM supplier), t AS (SELECT id, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS key, string_split(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), ' ') AS w, is_principal, collection, status FROM titles),
+f AS (SELECT query_id, id, 'query' AS via, 'which' || 'act' || (1950 + z) || 'applies' AS q FROM q JOIN t ON k <> 0 AND false),
+w AS (SELECT query_id, id, 'query' AS via, 'act' || (1950 + z) AS q FROM q JOIN t ON k <> 0 AND list_contains(w, 'act') AND list_contains(w, CAST(1950 + z AS VARCHAR))),
+m AS (SELECT query_id, id, 'alias' AS via, 'act' || (1950 + z) AS q FROM q JOIN t ON k = 0 AND contains(key, 'act' || (1950 + z))),
+u AS (SELECT * FROM w UNION ALL SELECT * FROM m), p AS (SELECT query_id, id, via, CASE WHEN key = q THEN 100 WHEN starts_with(key, q) THEN 60 WHEN contains(key, q) THEN 30 ELSE 0 END + CASE WHEN is_principal THEN 25 ELSE 0 END + CASE WHEN collection = 'Act' THEN 20 ELSE 0 END + CASE status WHEN 'InForce' THEN 15 WHEN 'Repealed' THEN -10 ELSE 0 END AS points FROM u JOIN t USING (id))
+SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, id) AS rank, id, via, points FROM p) WHERE rank <= 10""",
+    "titles",
+)
+def _(v, t):
+    k = F.col("s_suppkey")
+    year = 1950 + k % 30 + 1
+    asked = t("supplier").select(k.alias("query_id"), F.when(k % 5 == 0, F.concat(F.lit("what does QX"), year, F.lit(" say about tents"))).otherwise(F.concat(F.lit("act "), year)).alias("query"))
+    aliases = t("supplier").select(F.concat(F.lit("QX"), year).alias("alias"), F.concat(F.lit("Act "), year).alias("official"), F.lit("Cth").alias("jurisdiction")).distinct()
+    return natural_search(asked, aliases, v("titles"))
+
+
+@query(
+    "p8_research",
+    """WITH q AS (SELECT s_suppkey AS query_id, CASE s_suppkey % 4 WHEN 0 THEN 'law_system' WHEN 1 THEN 'amendment_track' WHEN 2 THEN 'dispute_prep' ELSE 'full_research' END AS task, CASE s_suppkey % 4 WHEN 0 THEN 'law_system' WHEN 1 THEN 'time_travel' WHEN 2 THEN 'dispute' ELSE 'action_plan' END AS scenario,
+  CASE s_suppkey % 2 WHEN 0 THEN 'tax' ELSE 'workplace' END AS domain, 'C' || s_suppkey AS base_id, s_suppkey AS k FROM supplier JOIN part ON p_partkey = s_suppkey),
+i AS (SELECT 'C' || l_suppkey AS base_id, l_partkey AS p FROM lineitem GROUP BY 1, 2), made AS (SELECT base_id, collection AS item, count(*) AS n FROM i JOIN titles ON id = 'C' || p GROUP BY 1, 2),
+ver AS (SELECT 'C' || title_id AS base_id, affect AS item, count(*) AS n FROM versions GROUP BY 1, 2),
+h AS (SELECT query_id, id, rank FROM (SELECT q.query_id, d.doc_id AS id, row_number() OVER (PARTITION BY q.query_id ORDER BY d.doc_id) AS rank FROM q JOIN documents d ON d.doc_id % 50 = q.k % 50) WHERE rank <= 5)
+SELECT query_id, task, scenario, domain, q.base_id, 'instruments' AS leg, item, n FROM q JOIN made USING (base_id) WHERE task IN ('law_system', 'full_research')
+UNION ALL SELECT query_id, task, scenario, domain, q.base_id, 'versions', item, n FROM q JOIN ver USING (base_id) WHERE task IN ('law_system', 'amendment_track', 'full_research')
+UNION ALL SELECT query_id, task, scenario, domain, q.base_id, 'changes', item, n FROM q JOIN ver USING (base_id) WHERE task IN ('amendment_track', 'full_research')
+UNION ALL SELECT query_id, task, scenario, domain, base_id, 'counterparts', 'Act of ' || r_name, 2 FROM q, region WHERE task = 'full_research' AND k % 3 = 0 AND r_regionkey < 2
+UNION ALL SELECT query_id, task, scenario, domain, base_id, 'schedules', 'Schedule ' || k, 1 FROM q WHERE task = 'full_research'
+UNION ALL SELECT q.query_id, task, scenario, domain, base_id, 'decisions', CAST(id AS VARCHAR), rank FROM q JOIN h USING (query_id) WHERE task IN ('dispute_prep', 'full_research')""",
+    "titles",
+    "versions",
+)
+def _(v, t):
+    k = F.col("s_suppkey")
+    task = F.when(k % 4 == 0, "law_system").when(k % 4 == 1, "amendment_track").when(k % 4 == 2, "dispute_prep").otherwise("full_research")
+    words = F.when(k % 4 == 0, "how does the tax scheme fit together: legislative framework").when(k % 4 == 1, "what changed for employees").when(k % 4 == 2, "prepare for a hearing on GST").otherwise("what can I do about my dismissal")
+    known = t("part").select(F.col("p_partkey").alias("s_suppkey"))
+    asked = t("supplier").join(known, "s_suppkey").select(k.alias("query_id"), words.alias("query"), task.alias("task"), k.alias("k"))
+    anchors = asked.select("query_id", F.concat(F.lit("C"), "k").alias("id"))
+    titles = v("titles").withColumn("name", F.when(F.regexp_extract("id", "([0-9]+)", 1).cast("long") % 3 == 0, F.concat(F.lit("Evidence zq"), "id")).otherwise(F.concat(F.lit("zq"), "id")))
+    authorises = v("authorises").withColumn("affecting", F.regexp_replace("affecting", "^S", "C"))
+    versions = v("versions").withColumn("title_id", F.concat(F.lit("C"), "title_id"))
+    toc = anchors.select(F.col("id").alias("title_id"), F.posexplode(F.array(F.struct(F.lit(1).alias("depth"), F.concat(F.lit("Schedule "), "query_id").alias("label")), F.struct(F.lit(2).alias("depth"), F.lit("item").alias("label")), F.struct(F.lit(1).alias("depth"), F.lit("Part 1").alias("label")))).alias("ord", "e")).select("title_id", "ord", "e.depth", "e.label")
+    domain = F.when(F.col("k") % 2 == 0, "tax").otherwise("workplace")
+    hits = asked.select("query_id", domain.alias("domain"), (F.col("k") % 50).alias("m")).join(t("documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 50).alias("m")), "m").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).drop("m")
+    families = asked.sparkSession.createDataFrame([("evidence", "evidence")], "family string, fragment string")
+    members = t("region").filter("r_regionkey < 2").select(F.lit("evidence").alias("family"), F.concat(F.lit("Act of "), "r_name").alias("member"))
+    return research(asked.drop("k"), titles, anchors, authorises, versions, toc, hits, families, members)
+
+
+_QUESTIONS = (
+    ("NSW versus Cth law on {d}", "state_law_compare", "compliance", "general", []), ("compare the 2015 versions {d}", "amendment_track", "time_travel", "general", []), ("review this draft lease {d}", "document_review", "document_review", "general", []),
+    ("delegated legislation about wages {d}", "law_system", "delegation", "workplace", []), ("consequential amendments and data breaches {d}", "law_system", "impact", "general", []), ("tariff classification fee {d}", "full_research", "customs", "general", ["schedule_fee"]),
+    ("how do I lodge an approved form {d}", "procedure_detail", "procedure", "general", ["schedule_form"]), ("what are the penalties for cartels {d}", "action_basis", "penalty", "competition", ["schedule_fee"]), ("am I eligible under the aps scheme {d}", "action_basis", "eligibility", "public_service", []),
+    ("can we rely on whistleblower rulings {d}", "full_research", "action_plan", "integrity", ["rulings"]), ("a $5 charge in the rate table, cases on privacy {d}", "dispute_prep", None, "privacy", ["schedule_fee", "schedule_table", "cases"]), ("income tax {d}", "law_system", None, "tax", []),
+)
+
+
+@query(
+    "x28_scenario_label",
+    "SELECT doc_id AS query_id, CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN '{t}'" for i, (_, t, _, _, _) in enumerate(_QUESTIONS)) + " END AS task, CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN " + (f"'{x}'" if x else "NULL") for i, (_, _, x, _, _) in enumerate(_QUESTIONS))
+    + " END AS scenario FROM documents",
+)
+def _(v, t):
+    return questions.scenario_label(_asked(t)).drop("query")
+
+
+@query(
+    "x29_dispute_domain",
+    "SELECT doc_id AS query_id, CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN '{x}'" for i, (_, _, _, x, _) in enumerate(_QUESTIONS)) + " END AS domain, CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN '{','.join(x)}'" for i, (_, _, _, _, x) in enumerate(_QUESTIONS))
+    + " END AS wanted FROM documents",
+)
+def _(v, t):
+    q = F.col("query")
+    return _asked(t).select("query_id", questions.dispute_domain(q).alias("domain"), F.array_join(questions.expansions(q), ",").alias("wanted"))
+
+
+def _asked(t) -> DataFrame:
+    d = F.col("doc_id")
+    pick = lambda i: F.coalesce(*(F.when(d % len(_QUESTIONS) == k, F.lit(x[i])) for k, x in enumerate(_QUESTIONS)))
+    return t("documents").select(d.alias("query_id"), F.replace(pick(0), F.lit("{d}"), d.cast("string")).alias("query"), pick(1).alias("task"))
+
+
+@query(
+    "x30_law_mentions",
+    """WITH d AS (SELECT doc_id AS query_id, doc_id % 5 AS k, 1950 + doc_id % 40 AS y FROM documents)
+SELECT query_id, 4 AS pos, 'Widget Act ' || y AS raw, CASE WHEN y < 1980 THEN 'Widget Act ' || y ELSE 'Widget Act ' || y END AS name, CASE WHEN y < 1980 THEN 'Cth' END AS jurisdiction, false AS needs_jurisdiction, false AS body, true AS is_primary FROM d WHERE k = 0
+UNION ALL SELECT query_id, 0, 'ATO', 'Tax Office', 'Cth', false, true, false FROM d WHERE k = 1
+UNION ALL SELECT query_id, 8, 'CCA', 'Consumer Act 2010', 'Cth', false, false, true FROM d WHERE k = 1
+UNION ALL SELECT query_id, 0, 'Crimes Act', 'Crimes Act 1900', 'ACT', true, false, true FROM d WHERE k = 2
+UNION ALL SELECT query_id, 0, 'Crimes Act 1900 (NSW)', 'Crimes Act 1900', 'NSW', false, false, true FROM d WHERE k = 3
+UNION ALL SELECT query_id, 4, 'Qld Fair Trading Act 2031', 'Fair Trading Act', 'Qld', false, false, true FROM d WHERE k = 4""",
+)
+def _(v, t):
+    d = F.col("doc_id")
+    y = (1950 + d % 40).cast("string")
+    said = F.when(d % 5 == 0, F.concat(F.lit("the Widget Act "), y, F.lit(" says"))).when(d % 5 == 1, "ATO and CCA, cca too").when(d % 5 == 2, "Crimes Act or not").when(d % 5 == 3, "Crimes Act 1900 (NSW) s 5").otherwise("the Qld Fair Trading Act 2031 now")
+    asked = t("documents").select(d.alias("query_id"), said.alias("query"))
+    rows = [("ATO", "Tax Office", "Cth", True), ("CCA", "Consumer Act 2010", "Cth", False), ("Crimes Act", "Crimes Act 1900", "NSW", False), ("Crimes Act", "Crimes Act 1900", "ACT", False), ("FTA", "Fair Trading Act", "Qld", False)]
+    rows += [(f"WGA{x}", f"Widget Act {x}", "Cth", False) for x in range(1950, 1980)]
+    return questions.law_mentions(asked, asked.sparkSession.createDataFrame(rows, "alias string, official string, jurisdiction string, body boolean"))
 
 
 @query(
@@ -144,26 +512,32 @@ def _(v, t):
     return provision_history(refs, tables, v("titles"))
 
 
-@query("x9_best_heading", "SELECT c_custkey AS claim_id, c_custkey AS number, 1.0 AS score FROM customer WHERE c_custkey <= 50")
+@query("x9_best_heading", "SELECT c_custkey AS claim_id, c_custkey AS number, 1.0 AS score FROM customer")
 def _(v, t):
     c = F.col("c_custkey")
     entries = t("customer").select(F.floor(c / 10).alias("title_id"), c.alias("ord"), F.concat(c, F.lit(" The rule of "), F.md5(c.cast("string"))).alias("label"))
-    claims = t("customer").filter("c_custkey <= 50").select(c.alias("claim_id"), F.floor(c / 10).alias("title_id"), F.concat(F.lit("rule of "), F.md5(c.cast("string"))).alias("claim"))
+    claims = t("customer").select(c.alias("claim_id"), F.floor(c / 10).alias("title_id"), F.concat(F.lit("rule of "), F.md5(c.cast("string"))).alias("claim"))
     return texts.best_heading(claims, entries).select("claim_id", F.col("ord").alias("number"), "score")
 
 
-@query("x33_amendment_rows", "SELECT DISTINCT l_suppkey * 10 + l_linenumber AS ref_id, a.effect, a.act_year, a.act_number FROM (SELECT DISTINCT l_suppkey, l_linenumber FROM lineitem WHERE l_linenumber < 3) r JOIN amendments a ON a.title_id = l_suppkey AND a.provision = 's ' || l_linenumber WHERE a.act_number % 2 = 0", "amendments")
+@query("x33_amendment_rows", "SELECT DISTINCT l_suppkey * 10 + l_linenumber AS ref_id, a.effect, a.act_year, a.act_number FROM (SELECT DISTINCT l_suppkey, l_linenumber FROM lineitem) r JOIN amendments a ON a.title_id = l_suppkey AND a.provision = 's ' || l_linenumber WHERE a.act_number % 2 = l_linenumber % 2", "amendments")
 def _(v, t):
+    # Rows of odd Acts stand in schedule 1; refs with an odd number ask for that schedule, others for the body.
     marked = v("amendments").withColumn("schedule", F.when(F.col("act_number") % 2 == 1, "1"))
-    refs = t("lineitem").filter("l_linenumber < 3").select((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("ref_id"), F.col("l_suppkey").alias("title_id"), F.concat(F.lit("S. "), "l_linenumber").alias("provision"), F.lit(None).cast("string").alias("schedule")).distinct()
+    n = F.col("l_linenumber")
+    refs = t("lineitem").select((F.col("l_suppkey") * 10 + n).alias("ref_id"), F.col("l_suppkey").alias("title_id"), F.concat(F.lit("S. "), n).alias("provision"), F.when(n % 2 == 1, "1").alias("schedule")).distinct()
     return evidence.amendment_rows_for(refs, marked)
 
 
-@query("x35_evidence_check", "SELECT doc_id AS evidence_id, concat_ws(',', CASE WHEN doc_id % 5 = 0 THEN 'no_task' END, CASE WHEN doc_id % 3 = 0 THEN 'no_url' END, CASE WHEN doc_id % 7 = 0 THEN 'quote_missing' END) AS problems, doc_id % 5 <> 0 AND doc_id % 3 <> 0 AND doc_id % 7 <> 0 AS supported FROM documents")
+@query("x35_evidence_check", "SELECT doc_id AS evidence_id, concat_ws(',', CASE WHEN doc_id % 5 = 0 THEN 'no_task' END, CASE WHEN doc_id % 11 = 0 AND doc_id % 5 <> 0 THEN 'wrong_citation' END, CASE WHEN doc_id % 3 = 0 THEN 'no_url' END, CASE WHEN doc_id % 8 = 0 THEN 'incomplete' END, CASE WHEN doc_id % 13 = 0 AND length(text) > 0 THEN 'no_locator' END, CASE WHEN doc_id % 17 = 0 THEN 'ocr' END, CASE WHEN doc_id % 7 = 0 THEN 'quote_missing' END) AS problems, doc_id % 5 <> 0 AND doc_id % 3 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 8 <> 0 AND doc_id % 13 <> 0 AND doc_id % 17 <> 0 AS supported FROM documents")
 def _(v, t):
     d = F.col("doc_id")
-    rows = t("documents").select(d.alias("evidence_id"), d.alias("task_id"), F.when(d % 3 == 0, "").otherwise("u").alias("url"), F.col("text").alias("passage"), F.when(d % 7 == 0, "no such words 123").otherwise(F.substring("text", 1, 9)).alias("expected_quote"), F.lit("2020-01-01").cast("date").alias("as_at"))
-    tasks = t("documents").filter("doc_id % 5 <> 0").select(d.alias("task_id"), F.lit("2020-06-30").cast("date").alias("as_at"))
+    quote = F.when(d % 7 == 0, "no such words 123").otherwise(F.col("text"))
+    rows = t("documents").select(
+        d.alias("evidence_id"), d.alias("task_id"), F.when(d % 3 == 0, "").otherwise("u").alias("url"), F.col("text").alias("passage"), quote.alias("expected_quote"), F.lit("2020-01-01").cast("date").alias("as_at"),
+        F.when(d % 11 == 0, "[2020] HCA 1").otherwise("[2020] H.C.A. 7").alias("citation"), F.when(d % 8 == 0, "excerpt").otherwise("original_body").alias("coverage"), F.when(d % 13 != 0, "[5]").alias("locator"), F.when(d % 17 == 0, "ocr").otherwise("text").alias("extraction"),
+    )
+    tasks = t("documents").filter("doc_id % 5 <> 0").select(d.alias("task_id"), F.lit("2020-06-30").cast("date").alias("as_at"), F.lit("[2020] h.c.a 7").alias("citation"))
     return evidence.evidence_check(rows, tasks).select("evidence_id", F.array_join("problems", ",").alias("problems"), "supported")
 
 
@@ -190,10 +564,11 @@ def _(v, t):
     return evidence.outline(v("toc"), v("toc").filter("depth = 1"))
 
 
-@query("x39_related_hits", "SELECT lang AS query_id, bool_or(contains(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]', '', 'g'), 'thing')) AS related FROM documents GROUP BY lang")
+@query("x39_related_hits", "SELECT lang || (doc_id % 50) AS query_id, bool_or(contains(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 'th' || CASE doc_id % 50 % 2 WHEN 0 THEN 'ing' ELSE 'atxq' END)) AS related FROM documents GROUP BY 1")
 def _(v, t):
-    d = t("documents")
-    return evidence.related_hit_guard(d.select(F.col("lang").alias("query_id"), F.lit("Thing").alias("query")).distinct(), d.select(F.col("lang").alias("query_id"), F.substring("text", 1, 60).alias("name")))
+    d = t("documents").withColumn("query_id", F.concat("lang", F.col("doc_id") % 50))
+    asked = d.select("query_id", F.when(F.col("doc_id") % 50 % 2 == 0, "T-hing").otherwise("Thatxq").alias("query")).distinct()
+    return evidence.related_hit_guard(asked, d.select("query_id", F.col("text").alias("name")))
 
 
 @query("u5_contents_delta", "WITH a AS (SELECT label FROM toc WHERE title_id = 'T0'), b AS (SELECT label FROM toc WHERE title_id = 'T1') SELECT label, 'added' AS change FROM b WHERE label NOT IN (SELECT label FROM a) UNION ALL SELECT label, 'removed' FROM a WHERE label NOT IN (SELECT label FROM b)", "toc")

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexframe.functions.folds import stem_tokens
 from lexframe.operators import aggs, filters, joins, rank, setops, windows
 from lexframe.plans.fixtures import table, view, with_views
+from lexframe.sources import landed
+from lexframe.sources.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -75,7 +78,7 @@ def _(v, t):
     "f6_looks_like",
     r"""SELECT query_id, regexp_matches(query, '(?i)\b(tenancy|tenancies|conveyancing|strata|local government|planning|traffic)\b') AS state_subject,
   regexp_matches(query, '(?i)\b(regulations?|rules?|determination|instrument|order|notice)\b') AS instrument_words, regexp_matches(query, '(?i)\b[cf]\d{4}[a-z]\d{5}\b') AS register_id,
-  regexp_matches(query, '\[(1[89]|20)[0-9]{2}\] ?[A-Za-z][A-Za-z0-9.]{1,15} [0-9]{1,5}') AS citation_shaped, regexp_matches(query, '^\s*[A-Za-z][A-Za-z-]*(\s+[A-Za-z][A-Za-z-]*){0,2}\s*$') AS bare_term FROM queries""",
+  regexp_matches(query, '\[(1[89]|20)[0-9]{2}\] ?[A-Za-z][A-Za-z0-9.]{1,15} [0-9]{1,5}') AS citation_shaped, false AS product_code, regexp_matches(query, '(?i)\b(full (text|reasons|judge?ment|decision)|verbatim|unabridged|entire (text|judgment)|complete text)\b') AS full_text, regexp_matches(query, '^\s*[A-Za-z][A-Za-z-]*(\s+[A-Za-z][A-Za-z-]*){0,2}\s*$') AS bare_term FROM queries""",
     "queries",
 )
 def _(v, t):
@@ -149,10 +152,12 @@ def _scheduled(toc: DataFrame) -> DataFrame:
 
 
 def _refs(customers: DataFrame) -> DataFrame:
-    return customers.select(F.col("c_custkey").alias("ref_id"), F.concat(F.lit("T"), F.col("c_custkey") % 2).alias("title_id"), (F.col("c_custkey") * 7 % 200).alias("number"), F.when(F.col("c_custkey") % 5 == 0, "1").alias("schedule"))
+    c = F.col("c_custkey")
+    block = F.floor(c / 100)
+    return customers.select(c.alias("ref_id"), F.concat(F.lit("T"), block).alias("title_id"), (block * 100 + c * 7 % 130).alias("number"), F.when(c % 5 == 0, "1").alias("schedule"))
 
 
-_REFS = "r AS (SELECT c_custkey AS ref_id, 'T' || (c_custkey % 2) AS title_id, c_custkey * 7 % 200 AS number, CASE WHEN c_custkey % 5 = 0 THEN '1' END AS schedule FROM customer)"
+_REFS = "r AS (SELECT c_custkey AS ref_id, 'T' || CAST(floor(c_custkey / 100.0) AS BIGINT) AS title_id, CAST(floor(c_custkey / 100.0) AS BIGINT) * 100 + c_custkey * 7 % 130 AS number, CASE WHEN c_custkey % 5 = 0 THEN '1' END AS schedule FROM customer)"
 
 
 @query(
@@ -169,18 +174,17 @@ def _(v, t):
 
 @query(
     "j7_statute_existence",
-    """WITH c AS (SELECT o_orderkey AS cite_id, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE 'Law ' || (o_orderkey % 4) END AS law_name, CASE o_orderkey % 7 WHEN 0 THEN 'NSW' ELSE 'Cth' END AS jurisdiction, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderkey % 300 END AS number FROM orders),
-n AS (SELECT 'Law 0' AS law_name, 'T0' AS title_id UNION ALL SELECT 'Law 1', 'T1' UNION ALL SELECT 'Law 2', 'T2'), e AS (SELECT DISTINCT title_id, number FROM toc WHERE number IS NOT NULL),
-j AS (SELECT c.*, n.title_id, e.number AS hit FROM c LEFT JOIN n USING (law_name) LEFT JOIN e ON e.title_id = n.title_id AND e.number = c.number),
-x AS (SELECT cite_id, CASE WHEN jurisdiction <> 'Cth' THEN 'non_federal' WHEN law_name IS NULL THEN 'no_name' WHEN title_id IS NULL THEN 'title_absent' WHEN number IS NULL THEN 'existence_only' WHEN title_id = 'T2' THEN 'contents_unread' WHEN hit IS NULL THEN 'section_absent' ELSE 'found' END AS reason FROM j)
+    """WITH c AS (SELECT o_orderkey AS cite_id, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE 'Law ' || (o_orderkey % 5) END AS law_name, CASE o_orderkey % 7 WHEN 0 THEN 'NSW' ELSE 'Cth' END AS jurisdiction, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderkey % 300 END AS number FROM orders),
+n AS (SELECT 'Law 0' AS law_name, 'T0' AS title_id, 1 AS k UNION ALL SELECT 'Law 1', 'T1', 1 UNION ALL SELECT 'Law 2', 'X2', 1 UNION ALL SELECT 'Law 3', 'T0', 2), e AS (SELECT DISTINCT title_id, number FROM toc WHERE number IS NOT NULL),
+j AS (SELECT c.*, n.title_id, n.k, e.number AS hit FROM c LEFT JOIN n USING (law_name) LEFT JOIN e ON e.title_id = n.title_id AND e.number = c.number),
+x AS (SELECT cite_id, CASE WHEN jurisdiction <> 'Cth' THEN 'non_federal' WHEN law_name IS NULL THEN 'no_name' WHEN title_id IS NULL THEN 'title_absent' WHEN k > 1 THEN 'ambiguous' WHEN number IS NULL THEN 'existence_only' WHEN title_id = 'X2' THEN 'contents_unread' WHEN hit IS NULL THEN 'section_absent' ELSE 'found' END AS reason FROM j)
 SELECT cite_id, CASE WHEN reason IN ('found', 'existence_only') THEN 'right' WHEN reason IN ('title_absent', 'section_absent') THEN 'wrong' ELSE 'unclear' END AS verdict, reason FROM x""",
     "toc",
 )
 def _(v, t):
     o = F.col("o_orderkey")
-    cites = t("orders").select(o.alias("cite_id"), F.when(o % 11 != 0, F.concat(F.lit("Law "), o % 4)).alias("law_name"), F.when(o % 7 == 0, "NSW").otherwise("Cth").alias("jurisdiction"), F.when(o % 13 != 0, o % 300).alias("number"))
-    spark = cites.sparkSession
-    names = spark.range(3).select(F.concat(F.lit("Law "), "id").alias("name"), F.concat(F.lit("T"), "id").alias("id"))
+    cites = t("orders").select(o.alias("cite_id"), F.when(o % 11 != 0, F.concat(F.lit("Law "), o % 5)).alias("law_name"), F.when(o % 7 == 0, "NSW").otherwise("Cth").alias("jurisdiction"), F.when(o % 13 != 0, o % 300).alias("number"))
+    names = cites.sparkSession.createDataFrame([("Law 0", "T0"), ("Law 1", "T1"), ("Law 2", "X2"), ("Law 3", "T0"), ("Law 3", "T1")], "name string, id string")
     return joins.statute_existence(cites, names, v("toc"), v("toc").select("title_id").distinct())
 
 
@@ -252,12 +256,14 @@ def _(v, t):
 
 @query(
     "j13_enabling_provision_match",
-    "SELECT l_orderkey * 100 + l_linenumber AS ref_id, 'S' || l_suppkey AS act, 's ' || l_linenumber AS provision, affected AS instrument, false AS narrowed FROM lineitem JOIN authorises ON affecting = 'S' || l_suppkey AND provisions = 's ' || l_linenumber WHERE l_orderkey % 50 = 0",
+    "SELECT DISTINCT l_suppkey * 10 + l_linenumber AS ref_id, 'S' || l_suppkey AS act, 's ' || l_linenumber AS provision, affected AS instrument, l_linenumber % 2 = 0 AS narrowed FROM lineitem JOIN authorises ON affecting = 'S' || l_suppkey AND provisions = 's ' || l_linenumber",
     "authorises",
 )
 def _(v, t):
-    refs = t("lineitem").filter("l_orderkey % 50 = 0").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ref_id"), F.concat(F.lit("S"), "l_suppkey").alias("act"), F.concat(F.lit("s "), "l_linenumber").alias("provision"))
-    return joins.enabling_provision_match(v("authorises").select(F.col("affected").alias("instrument"), F.col("affecting").alias("act"), "provisions"), refs)
+    refs = t("lineitem").select((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("ref_id"), F.concat(F.lit("S"), "l_suppkey").alias("act"), F.concat(F.lit("s "), "l_linenumber").alias("provision")).distinct()
+    several = F.regexp_extract("provisions", "([0-9]+)", 1).cast("int") % 2 == 0
+    edges = v("authorises").select(F.col("affected").alias("instrument"), F.col("affecting").alias("act"), F.when(several, F.concat("provisions", F.lit(" and s 99"))).otherwise(F.col("provisions")).alias("provisions"))
+    return joins.enabling_provision_match(edges, refs)
 
 
 @query(
@@ -273,27 +279,29 @@ def _(v, t):
 
 @query(
     "j15_amended_after",
-    "SELECT event_id, e.title_id, provision, effect, act_year FROM (SELECT event_id, title_id % 10 + 1 AS title_id, d FROM law_events WHERE event_id % 97 = 0) e JOIN amendments a ON a.title_id = e.title_id AND act_year >= year(d)",
-    "law_events",
+    "SELECT e.event_id, e.title_id, provision, effect, act_year FROM (SELECT l_suppkey AS title_id, year(l_shipdate) AS y, min(l_orderkey * 100 + l_linenumber) AS event_id FROM lineitem GROUP BY 1, 2) e JOIN amendments a ON a.title_id = e.title_id AND act_year >= y",
     "amendments",
 )
 def _(v, t):
-    events = v("law_events").filter("event_id % 97 = 0").withColumn("title_id", F.col("title_id") % 10 + 1)
+    # An event for each supplier and year, over all lines.
+    events = t("lineitem").groupBy(F.col("l_suppkey").alias("title_id"), F.year("l_shipdate").alias("y")).agg(F.min(F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("event_id"), F.to_date(F.min("l_shipdate")).alias("d"))
     return joins.amended_after(events, v("amendments")).select("event_id", "title_id", "provision", "effect", "act_year")
 
 
 @query(
     "j16_state_counterparts",
-    """WITH f AS (SELECT 'R' || r_regionkey AS family, lower(r_name) AS f FROM region), k AS (SELECT c_custkey AS name_id, lower(CASE c_custkey % 3 WHEN 0 THEN r_name ELSE r_name || ' law' END) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-s AS (SELECT name_id, family, length(regexp_replace(f, '[^a-z0-9]', '', 'g')) AS n, CASE WHEN regexp_replace(k, '[^a-z0-9]', '', 'g') = regexp_replace(f, '[^a-z0-9]', '', 'g') THEN 3 WHEN contains(regexp_replace(k, '[^a-z0-9]', '', 'g'), regexp_replace(f, '[^a-z0-9]', '', 'g')) THEN 2 ELSE 0 END AS score FROM k, f),
-b AS (SELECT name_id, arg_max(family, score * 1000 + n) AS family, max(score) AS score FROM s WHERE score > 0 GROUP BY name_id)
-SELECT b.family, b.name_id, b.score, n_name AS member FROM b JOIN nation ON family = 'R' || n_regionkey""",
+    """WITH f AS (SELECT 'R' || r_regionkey AS family, lower(r_name) AS w, regexp_replace(lower(r_name), '[^a-z0-9]', '', 'g') AS f FROM region),
+k AS (SELECT c_custkey AS name_id, CASE c_custkey % 4 WHEN 0 THEN lower(r_name) WHEN 1 THEN lower(r_name) || ' law' WHEN 2 THEN 'old ' || split_part(lower(r_name), ' ', 2) || ' evidence ' || split_part(lower(r_name), ' ', 1) || ' rules' ELSE 'zz' END AS w FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+s AS (SELECT name_id, family, length(f) AS n, CASE WHEN regexp_replace(k.w, '[^a-z0-9]', '', 'g') = f THEN 3 WHEN contains(regexp_replace(k.w, '[^a-z0-9]', '', 'g'), f) THEN 2 WHEN list_has_any(list_filter(string_split(k.w, ' '), lambda x: length(x) >= 4), list_filter(string_split(f.w, ' '), lambda x: length(x) >= 4)) THEN 1 ELSE 0 END AS score FROM k, f),
+b AS (SELECT name_id, family, score, row_number() OVER (PARTITION BY name_id ORDER BY score DESC, n DESC, family DESC) AS rn FROM s WHERE score > 0)
+SELECT b.family, b.name_id, b.score, n_name AS member FROM b JOIN nation ON family = 'R' || n_regionkey WHERE rn = 1""",
 )
 def _(v, t):
     geo = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    names = geo.select(F.col("c_custkey").alias("name_id"), F.when(F.col("c_custkey") % 3 == 0, F.col("r_name")).otherwise(F.concat("r_name", F.lit(" law"))).alias("name"))
+    c, word = F.col("c_custkey") % 4, lambda i: F.coalesce(F.try_element_at(F.split("r_name", " "), F.lit(i)), F.lit(""))
+    named = F.when(c == 0, F.col("r_name")).when(c == 1, F.concat("r_name", F.lit(" law"))).when(c == 2, F.concat(F.lit("Old "), word(2), F.lit(" evidence "), word(1), F.lit(" rules"))).otherwise("zz")
     families = t("region").select(F.concat(F.lit("R"), "r_regionkey").alias("family"), F.col("r_name").alias("fragment"))
-    return joins.state_counterparts(names, families, t("nation").select(F.concat(F.lit("R"), "n_regionkey").alias("family"), F.col("n_name").alias("member")))
+    return joins.state_counterparts(geo.select(F.col("c_custkey").alias("name_id"), named.alias("name")), families, t("nation").select(F.concat(F.lit("R"), "n_regionkey").alias("family"), F.col("n_name").alias("member")))
 
 
 _MENTIONS = r"""m AS (SELECT doc_id, regexp_extract(text, 'See (\[[0-9]+\] [A-Za-z]+ [0-9]+) at', 1) AS citation FROM judgments)"""
@@ -383,9 +391,9 @@ def _(v, t):
     return joins.identity_match(j.select(F.col("doc_id").alias("request_id"), wanted.alias("wanted")), j)
 
 
-@query("j25_related_laws", "SELECT 'term ' || (t.number % 20) AS term, t.name AS official, list_sort(list(DISTINCT alias)) AS aliases FROM titles t JOIN aliases ON official = t.name WHERE t.number % 5 = 0 GROUP BY ALL", "titles", "aliases")
+@query("j25_related_laws", "SELECT 'term ' || (t.number % 20) AS term, t.name AS official, list_sort(list(DISTINCT alias)) AS aliases FROM titles t JOIN aliases ON official = t.name GROUP BY ALL", "titles", "aliases")
 def _(v, t):
-    terms = v("titles").filter("number % 5 = 0").groupBy(F.concat(F.lit("term "), F.col("number") % 20).alias("term")).agg(F.collect_set("name").alias("laws"))
+    terms = v("titles").groupBy(F.concat(F.lit("term "), F.col("number") % 20).alias("term")).agg(F.collect_set("name").alias("laws"))
     return joins.related_laws(terms, v("aliases"))
 
 
@@ -404,14 +412,14 @@ def _(v, t):
 
 @query(
     "a2_citation_report",
-    """SELECT doc_id % 100 AS doc_id, count(verdict) AS n, count(*) FILTER (verdict = 'right') AS n_right, count(*) FILTER (verdict = 'wrong') AS n_wrong, count(*) FILTER (verdict = 'unclear') AS n_unclear,
+    """SELECT doc_id % 100 AS doc_id, count(verdict) AS n, count(*) FILTER (verdict = 'right') AS n_right, count(*) FILTER (verdict = 'wrong') AS n_wrong, count(*) FILTER (verdict = 'unclear') AS n_unclear, count(*) FILTER (verdict = 'right' AND doc_id % 3 = 0) AS n_existence,
   CASE WHEN count(verdict) = 0 THEN 'NONE' WHEN count(*) FILTER (verdict = 'wrong') > 0 THEN 'ERRORS' WHEN count(*) FILTER (verdict = 'unclear') > 0 THEN 'PARTIAL' ELSE 'VERIFIED' END AS banner
-FROM (SELECT doc_id, CASE WHEN doc_id % 100 < 3 THEN NULL WHEN doc_id % 101 = 0 THEN 'wrong' WHEN doc_id % 7 = 0 AND doc_id % 2 = 0 THEN 'unclear' ELSE 'right' END AS verdict FROM documents) GROUP BY 1""",
+FROM (SELECT doc_id, CASE WHEN doc_id % 100 < 3 THEN NULL WHEN doc_id % 101 = 0 THEN 'wrong' WHEN doc_id % 7 = 0 AND doc_id % 2 = 0 THEN 'unclear' ELSE 'right' END AS verdict FROM documents) GROUP BY doc_id % 100""",
 )
 def _(v, t):
     d = F.col("doc_id")
     verdict = F.when(d % 100 < 3, None).when(d % 101 == 0, "wrong").when((d % 7 == 0) & (d % 2 == 0), "unclear").otherwise("right")
-    return aggs.citation_report(t("documents").select((d % 100).alias("doc_id"), verdict.alias("verdict")))
+    return aggs.citation_report(t("documents").select((d % 100).alias("doc_id"), verdict.alias("verdict"), (d % 3 == 0).alias("existence_only")))
 
 
 @query("a3_citation_graph", f"WITH {_MENTIONS} SELECT m.citation AS target, count(*) AS n_mentions, count(DISTINCT m.doc_id) AS n_docs, count(DISTINCT regexp_extract(j.citation, '\\] ([A-Za-z]+)', 1)) AS n_courts FROM m JOIN judgments j USING (doc_id) GROUP BY m.citation", "judgments")
@@ -443,7 +451,7 @@ def _(v, t):
 @query(
     "a6_impact_summary",
     """WITH p AS (SELECT DISTINCT 'S' || title_id AS title_id, provision, title_id AS k FROM amendments), i AS (SELECT affecting AS title_id, provisions AS provision FROM authorises)
-SELECT p.title_id, p.provision, CASE WHEN k % 2 = 0 THEN 0 END AS n_citing, CASE WHEN k % 3 <> 0 THEN coalesce(x.n, 0) END AS n_instruments, CASE WHEN k % 3 <> 0 THEN coalesce(y.n, 0) END AS n_naming, z.n AS n_amendments
+SELECT p.title_id, p.provision, CASE WHEN k % 2 = 0 THEN 0 END AS n_citing, CASE WHEN k % 3 <> 0 THEN coalesce(x.n, 0) END AS n_instruments, CASE WHEN k % 3 <> 0 THEN coalesce(y.n, 0) END AS n_naming, z.n AS n_amendments, CASE WHEN k % 5 <> 0 THEN CASE k % 2 WHEN 1 THEN 2 ELSE 0 END END AS n_families
 FROM p LEFT JOIN (SELECT title_id, count(*) AS n FROM i GROUP BY title_id) x ON x.title_id = p.title_id LEFT JOIN (SELECT title_id, provision, count(*) AS n FROM i GROUP BY title_id, provision) y ON y.title_id = p.title_id AND y.provision = p.provision
 JOIN (SELECT 'S' || title_id AS title_id, provision, count(*) AS n FROM amendments GROUP BY 1, 2) z ON z.title_id = p.title_id AND z.provision = p.provision""",
     "amendments",
@@ -453,14 +461,18 @@ def _(v, t):
     amended = v("amendments").withColumn("k", F.col("title_id")).withColumn("title_id", F.concat(F.lit("S"), "title_id"))
     made = v("authorises").select(F.col("affecting").alias("title_id"), F.col("provisions").alias("provision"))
     ids = amended.select("title_id", "k").distinct()
-    kinds = [ids.filter(cond).select("title_id", F.lit(kind).alias("kind")) for kind, cond in (("citing", "k % 2 = 0"), ("instruments", "k % 3 <> 0"), ("amendments", "true"))]
+    kinds = [ids.filter(cond).select("title_id", F.lit(kind).alias("kind")) for kind, cond in (("citing", "k % 2 = 0"), ("instruments", "k % 3 <> 0"), ("amendments", "true"), ("families", "k % 5 <> 0"))]
     nobody = amended.select("title_id", "provision", F.lit(1).alias("doc_id")).filter("false")
-    return aggs.impact_summary(amended.select("title_id", "provision").distinct(), nobody, made, amended, kinds[0].union(kinds[1]).union(kinds[2]))
+    return aggs.impact_summary(amended.select("title_id", "provision").distinct(), nobody, made, amended, kinds[0].union(kinds[1]).union(kinds[2]).union(kinds[3]), ids.filter("k % 2 = 1").select("title_id", F.explode(F.array(F.lit("F1"), F.lit("F2"))).alias("family")))
 
 
-@query("a7_toc_summary", "SELECT title_id, count(*) AS n_entries, count(number) AS n_numbered, count(*) FILTER (depth = 1) AS n_parts, arg_min(number, ord) FILTER (number IS NOT NULL) AS first_number, arg_max(number, ord) FILTER (number IS NOT NULL) AS last_number FROM toc GROUP BY title_id", "toc")
+@query("a7_toc_summary", "SELECT title_id, count(*) AS n_entries, count(number) AS n_numbered, count(*) FILTER (depth = 1) AS n_parts, count(DISTINCT CAST(floor(ord / 40.0) AS BIGINT)) AS n_volumes, count(*) FILTER (depth = 2 AND ord % 2 = 0) AS n_schedules, arg_min(number, ord) FILTER (number IS NOT NULL) AS first_number, arg_max(number, ord) FILTER (number IS NOT NULL) AS last_number FROM toc GROUP BY title_id", "toc")
 def _(v, t):
-    return aggs.toc_summary(v("toc"))
+    ord_ = F.col("ord")
+    # Every second division is a schedule, and each has an entry below it that looks like one more.
+    label = F.when((F.col("depth") == 2) & (ord_ % 2 == 0), F.concat(F.lit("Schedule "), ord_)).when(F.col("number") % 10 == 5, F.concat(F.lit("Schedule of "), "number")).otherwise(F.col("label"))
+    inside = F.when((F.col("depth") == 3) & (F.col("number") % 10 == 5), F.concat(F.lit("Item "), "number")).otherwise(label)
+    return aggs.toc_summary(v("toc").withColumns({"label": inside, "volume": F.floor(ord_ / 40)}))
 
 
 _FINDINGS = "f AS (SELECT doc_id % 200 AS doc_id, CASE doc_id % 3 WHEN 0 THEN 'termination' WHEN 1 THEN 'indemnity' ELSE 'law' END AS category, CASE WHEN doc_id % 200 < 10 THEN 'low' ELSE CASE doc_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END END AS severity FROM documents WHERE doc_id % 13 <> 0)"
@@ -501,9 +513,9 @@ def _(v, t):
     return aggs.source_totals(rows.select("query_id", "n_rows", F.when(n % 3 != 0, n * 10).alias("total"), (n % 3 == 0).alias("unreliable"), F.when(n % 3 == 0, F.concat(F.lit("capped "), n)).alias("note")))
 
 
-@query("a11_amenders", "SELECT title_id, count(*) AS n_versions, count(*) FILTER (affect = 'AsMade') AS n_asmade, count(*) FILTER (affect = 'Amend') AS n_amend, count(*) FILTER (affect = 'Repeal') AS n_repeal FROM versions GROUP BY title_id", "versions")
+@query("a11_amenders", "SELECT title_id, count(*) AS n_versions, count(*) FILTER (affect = 'AsMade') AS n_asmade, count(*) FILTER (affect = 'Amend') AS n_amend, count(*) FILTER (affect = 'Repeal') AS n_repeal, count(DISTINCT CASE WHEN affect IN ('Amend', 'Repeal') THEN register_id % 7 END) AS n_acts FROM versions GROUP BY title_id", "versions")
 def _(v, t):
-    return aggs.amenders(v("versions"))
+    return aggs.amenders(v("versions").withColumn("reasons", F.array(F.struct("affect", (F.col("register_id") % 7).alias("affecting_id")))))
 
 
 @query("a12_rule_hit_matrix", f"WITH {_FINDINGS} SELECT CASE WHEN grouping(category) = 1 THEN 'all' ELSE category END AS category, CASE WHEN grouping(severity) = 1 THEN 'all' ELSE severity END AS severity, count(*) AS n FROM f GROUP BY CUBE (category, severity)")
@@ -570,6 +582,19 @@ def _(v, t):
     return windows.toc_subtree_range(v("toc")).select("title_id", "ord", "end_ord")
 
 
+@query(
+    "w8_slice_provision",
+    """WITH t AS (SELECT *, last_value(CASE WHEN depth < 3 THEN ord END IGNORE NULLS) OVER (PARTITION BY title_id ORDER BY ord) AS k FROM toc)
+SELECT title_id, 'a' || k AS anchor, string_agg(regexp_replace(label, '\\s+', ' ', 'g') || ' body of ' || ord, ' ' ORDER BY ord) AS text FROM t GROUP BY title_id, k""",
+    "toc",
+)
+def _(v, t):
+    # A volume for each title: every entry has an anchor, but only parts and divisions are listed.
+    piece = F.concat(F.lit('<h2 id="a'), "ord", F.lit('">'), "label", F.lit("</h2><p>body of "), "ord", F.lit("</p>"))
+    volumes = v("toc").groupBy("title_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", piece.alias("p")))), lambda x: x["p"]), "").alias("html"))
+    return windows.slice_provision(volumes, v("toc").filter("depth < 3").select("title_id", F.concat(F.lit("a"), "ord").alias("anchor")))
+
+
 @query(
     "w9_nearest_entries",
     f"""WITH {_REFS}, n AS (SELECT r.ref_id, r.title_id, r.number, ord, label, abs(t.number - r.number) AS distance, row_number() OVER (PARTITION BY ref_id ORDER BY abs(t.number - r.number), ord) AS rank FROM r JOIN toc t ON t.title_id = r.title_id AND t.number IS NOT NULL)
@@ -729,14 +754,70 @@ def _(v, t):
 _SPANS = "s AS (SELECT o_custkey AS doc_id, o_orderkey % 1000 AS \"start\", o_orderkey % 1000 + 20 AS \"end\", o_orderkey FROM orders)"
 
 
-@query("u6_unread_shapes", f"WITH {_SPANS}, a AS (SELECT * FROM s WHERE o_orderkey % 3 = 0), r AS (SELECT * FROM s WHERE o_orderkey % 3 = 1) SELECT doc_id, \"start\", \"end\" FROM a WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = a.doc_id AND r.\"start\" < a.\"end\" AND a.\"start\" < r.\"end\")")
+@query("u6_unread_shapes", f"WITH {_SPANS}, a AS (SELECT * FROM s WHERE o_orderkey % 2 = 0), r AS (SELECT * FROM s WHERE o_orderkey % 2 = 1) SELECT doc_id, \"start\", \"end\" FROM a WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = a.doc_id AND r.\"start\" < a.\"end\" AND a.\"start\" < r.\"end\")")
 def _(v, t):
     o = F.col("o_orderkey")
     spans = t("orders").select(F.col("o_custkey").alias("doc_id"), (o % 1000).alias("start"), (o % 1000 + 20).alias("end"), "o_orderkey")
-    return setops.unread_shapes(spans.filter("o_orderkey % 3 = 0").drop("o_orderkey"), spans.filter("o_orderkey % 3 = 1"))
+    return setops.unread_shapes(spans.filter("o_orderkey % 2 = 0").drop("o_orderkey"), spans.filter("o_orderkey % 2 = 1"))
 
 
-@query("u7_domain_union", "SELECT query_id, id, CASE WHEN source_order = 0 THEN 'tax' ELSE 'privacy' END AS domain, CASE WHEN source_order = 0 THEN 'Tax rulings' ELSE 'Privacy decisions' END AS label, source_order = 0 AS full_text FROM hits WHERE source_order < 2", "hits")
+@query("u7_domain_union", "SELECT query_id, id, CASE source_order % 2 WHEN 0 THEN 'tax' ELSE 'privacy' END AS domain, CASE source_order % 2 WHEN 0 THEN 'Tax rulings' ELSE 'Privacy decisions' END AS label, source_order % 2 = 0 AS full_text FROM hits", "hits")
 def _(v, t):
     h = v("hits").select("query_id", "id", "source_order")
-    return setops.domain_union({"tax": h.filter("source_order = 0"), "privacy": h.filter("source_order = 1")}, {"tax": ("Tax rulings", True), "privacy": ("Privacy decisions", False)}).drop("source_order")
+    return setops.domain_union({"tax": h.filter("source_order % 2 = 0"), "privacy": h.filter("source_order % 2 = 1")}, {"tax": ("Tax rulings", True), "privacy": ("Privacy decisions", False)}).drop("source_order")
+
+
+# Landed files, as the texts that a reader gets
+
+
+@query("s1_register_rows", "SELECT title_id, since, until, 'R' || register_id AS register_id, affect FROM versions", "versions")
+def _(v, t):
+    day = lambda c: F.date_format(c, "yyyy-MM-dd'T'00:00:00")
+    code = F.when(F.col("affect") == "Amend", "1").otherwise(F.col("affect"))
+    item = F.map_from_arrays(F.array(*map(F.lit, ("titleId", "Start", "end", "RegisterId", "affect"))), F.array(F.col("title_id").cast("string"), day("since"), day("until"), F.concat(F.lit("R"), "register_id"), code))
+    files = v("versions").groupBy("title_id").agg(F.to_json(F.struct(F.collect_list(item).alias("value"))).alias("value"))
+    return landed.register_rows(files.select("value")).withColumn("title_id", F.col("title_id").cast("long"))
+
+
+@query("s2_toc_rows", "SELECT title_id AS file, row_number() OVER (PARTITION BY title_id ORDER BY ord) AS ord, CAST(depth AS BIGINT) AS depth, regexp_replace(label, '\\s+', ' ', 'g') AS label, 'd#' || ord AS src FROM toc".replace("\\\\", "\\"), "toc")
+def _(v, t):
+    entries = F.array_sort(F.collect_list(F.struct("ord", "depth", "label")))
+    one = v("toc").groupBy("title_id").agg(entries.alias("e"))
+    # An entry closes as many elements as the next one is less deep, and its own.
+    ends = F.transform(F.sequence(F.lit(1), F.size("e")), lambda i: F.greatest(F.try_element_at("e", i)["depth"] - F.coalesce(F.try_element_at("e", i + 1)["depth"], F.lit(1)) + 1, F.lit(0)))
+    piece = F.zip_with("e", ends, lambda e, n: F.concat(F.lit("<navPoint id='x'><navLabel><text>"), e["label"], F.lit('</text></navLabel><content src="d#'), e["ord"].cast("string"), F.lit('"/>'), F.repeat(F.lit("</navPoint>"), n)))
+    return landed.toc_rows(one.select(F.col("title_id").alias("file"), F.concat(F.lit("<ncx>"), F.array_join(piece, ""), F.lit("</ncx>")).alias("value")))
+
+
+@query("s8_treaty_rows", "SELECT 'Treaty ' || p_partkey AS title, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'A' || p_partkey END AS number, make_date(CAST(1950 + p_partkey % 50 AS INT), 2, 3) AS done_at, ['X', p_name] AS countries FROM part")
+def _(v, t):
+    p = F.col("p_partkey")
+    item = F.struct(F.concat(F.lit("Treaty "), p).alias("Title"), F.when(p % 3 == 0, " None").otherwise(F.concat(F.lit("A"), p)).alias("AtsNumber"), F.concat(1950 + p % 50, F.lit("-02-03T00:00")).alias("DoneAtDate"), F.array(F.lit("X"), "p_name").alias("Countries"))
+    files = t("part").groupBy((p % 40).alias("k")).agg(F.to_json(F.struct(F.collect_list(item).alias("results"))).alias("value"))
+    return landed.treaty_rows(files.select("value"))
+
+
+@query("s9_projectdata_rows", "SELECT 'i' || s_suppkey AS id, 'Title ' || s_name AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'act' END AS type, CAST(NULL AS VARCHAR) AS status FROM supplier WHERE s_suppkey % 5 <> 0")
+def _(v, t):
+    k = F.col("s_suppkey")
+    wrapped = lambda c: F.concat(F.lit('{"__type__": "s", "__value__": "'), c, F.lit('"}'))
+    item = F.concat(F.lit('{"id": '), wrapped(F.concat(F.lit("i"), k)), F.when(k % 5 != 0, F.concat(F.lit(', "title": "Title '), "s_name", F.lit('"'))).otherwise(""), F.when(k % 2 == 0, F.concat(F.lit(', "print.type": '), wrapped(F.lit("act")))).otherwise(""), F.lit("}"))
+    files = t("supplier").groupBy((k % 7).alias("k")).agg(F.concat(F.lit('{"data": ['), F.array_join(F.collect_list(item), ", "), F.lit("]}")).alias("value"))
+    return landed.projectdata_rows(files.select("value"))
+
+
+@query("s12_write_tables", "SELECT id, name, year FROM titles", "titles")
+def _(v, t):
+    titles = v("titles").select("id", "name", "year")
+    path = scratch_path(titles.sparkSession, "s12")
+    landed.write_tables({"titles": titles}, path)
+    return titles.sparkSession.read.schema(titles.schema).parquet(f"{path}/titles")
+
+
+@query(
+    "x25_stem_tokens",
+    "SELECT id, list_transform(list_filter(string_split(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: len(x) > 1), lambda x: CASE WHEN len(x) > 5 THEN regexp_replace(x, '(ings|ing|ies|ed|es|s)$', '') ELSE x END) AS stems FROM titles",
+    "titles",
+)
+def _(v, t):
+    return v("titles").select("id", stem_tokens(F.col("name")).alias("stems"))

@@ -28,10 +28,9 @@ def query(name: str, sql: str | None = None, *views: str):
     return keep
 
 
-@query("x1_fold_words", "SELECT doc_id, regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]', '', 'g') AS key, trim(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', ' ', 'g')) AS words FROM documents")
+@query("x1_fold_words", "SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS key, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS words FROM documents")
 def _(v, t):
-    head = F.substring("text", 1, 200)
-    return t("documents").select("doc_id", folds.fold_key(head, ascii_only=True).alias("key"), folds.fold_words(head).alias("words"))
+    return t("documents").select("doc_id", folds.fold_key(F.col("text"), ascii_only=True).alias("key"), folds.fold_words(F.col("text")).alias("words"))
 
 
 @query("x1_fold_key_nfkc", None)
@@ -39,25 +38,45 @@ def _(v, t):
     return t("documents").select("doc_id", folds.fold_key(F.col("text")).alias("key"))
 
 
+#: Sentences with citations of five shapes, by the document's number: a neutral one, a report by volume, reports by year with and
+#: without a volume, an unknown court, a series in the wrong bracket.
+_SHAPES = """SELECT doc_id, text || ' See [' || (2000 + doc_id % 25) || '] HCA ' || (doc_id + 1) || ' at [' || (doc_id % 9 + 1) || '] and (' || (1950 + doc_id % 50) || ') ' || (doc_id % 300 + 1) || ' CLR ' || (doc_id + 1) || ', '
+  || (doc_id + 3) || '; [' || (1930 + doc_id % 60) || '] VR ' || (doc_id + 2) || '; [2008] ' || (doc_id % 4 + 1) || ' All ER ' || (doc_id + 4) || '; [2011] Zzzz ' || (doc_id + 5) || '; (1977) ' || (doc_id % 9 + 1) || ' Qd R ' || (doc_id + 6) || '.' AS text FROM documents"""
+
+
 @query(
     "x2_case_citations",
-    r"""SELECT doc_id, length(regexp_extract(text, '(?s)^(.*?)\[[0-9]{4}\] (?:HCA|NSWCA|QSC|VSC) ', 1)) AS pos, regexp_extract(text, '\[[0-9]{4}\] (?:HCA|NSWCA|QSC|VSC) [0-9]+ at \[[0-9]+\]', 0) AS raw, 'neutral' AS kind,
-  CAST(regexp_extract(text, '\[([0-9]{4})\] (?:HCA|NSWCA|QSC|VSC) ', 1) AS INT) AS year, regexp_extract(text, '\[[0-9]{4}\] (HCA|NSWCA|QSC|VSC) ', 1) AS token, CAST(NULL AS INT) AS volume,
-  CAST(regexp_extract(text, '(?:HCA|NSWCA|QSC|VSC) ([0-9]+) at', 1) AS INT) AS number, regexp_extract(text, ' at \[([0-9]+)\]', 1) AS pin FROM judgments""",
-    "judgments",
+    r"""SELECT doc_id, '[' || (2000 + doc_id % 25) || '] HCA ' || (doc_id + 1) || ' at [' || (doc_id % 9 + 1) || ']' AS raw, 'neutral' AS kind, CAST(2000 + doc_id % 25 AS INT) AS year, 'square' AS bracket, CAST(NULL AS INT) AS volume, 'HCA' AS token, CAST(doc_id + 1 AS INT) AS number, CAST(NULL AS INT) AS page, CAST(doc_id % 9 + 1 AS VARCHAR) AS pin, NULL AS reason, length(text) + 5 AS pos FROM documents
+UNION ALL SELECT doc_id, '(' || (1950 + doc_id % 50) || ') ' || (doc_id % 300 + 1) || ' CLR ' || (doc_id + 1) || ', ' || (doc_id + 3), 'report', 1950 + doc_id % 50, 'round', doc_id % 300 + 1, 'CLR', doc_id + 1, doc_id + 3, NULL, NULL, length(text) + 5 + length('[' || (2000 + doc_id % 25) || '] HCA ' || (doc_id + 1) || ' at [' || (doc_id % 9 + 1) || '] and ') FROM documents
+UNION ALL SELECT doc_id, '[' || (1930 + doc_id % 60) || '] VR ' || (doc_id + 2), 'report', 1930 + doc_id % 60, 'square', NULL, 'VR', doc_id + 2, NULL, NULL, NULL, instr(text, '; [' || (1930 + doc_id % 60) || '] VR') + 1 FROM (SHAPES) x
+UNION ALL SELECT doc_id, '[2008] ' || (doc_id % 4 + 1) || ' All ER ' || (doc_id + 4), 'report', 2008, 'square', doc_id % 4 + 1, 'All ER', doc_id + 4, NULL, NULL, 'unknown_series', instr(text, '; [2008] ') + 1 FROM (SHAPES) x
+UNION ALL SELECT doc_id, '[2011] Zzzz ' || (doc_id + 5), 'neutral', 2011, 'square', NULL, 'Zzzz', doc_id + 5, NULL, NULL, 'unknown_court', instr(text, '; [2011] ') + 1 FROM (SHAPES) x
+UNION ALL SELECT doc_id, '(1977) ' || (doc_id % 9 + 1) || ' Qd R ' || (doc_id + 6), 'report', 1977, 'round', doc_id % 9 + 1, 'Qd R', doc_id + 6, NULL, NULL, 'bracket_style', instr(text, '; (1977) ') + 1 FROM (SHAPES) x""".replace("SHAPES", _SHAPES),
 )
 def _(v, t):
-    return citations.extract_case_citations(v("judgments"))
+    docs = t("documents").sparkSession.sql(_SHAPES.replace("FROM documents", "FROM {documents}"), documents=t("documents"))
+    return citations.extract_case_citations(docs).drop("pin_to")
 
 
 @query(
     "x3_statute_citations",
-    """SELECT doc_id, 's ' || (doc_id % 40 + 1) AS ref, 'Widget Act ' || (1950 + doc_id % 50) AS law_name, 'Cth' AS jurisdiction, 'trailing-cite' AS attached_by FROM documents
-UNION ALL SELECT doc_id, 's ' || (doc_id % 30 + 1), 'Widget Act ' || (1950 + doc_id % 50), 'Cth', 'anaphora' FROM documents
-UNION ALL SELECT doc_id, 's ' || (doc_id % 9 + k), 'Widget Act', NULL, 'leading-cite' FROM documents, (SELECT unnest([1, 2, 3]) AS k)""",
+    """WITH d AS (SELECT doc_id, doc_id % 40 + 1 AS a, doc_id % 30 + 1 AS b, doc_id % 9 AS c, CAST(1950 + doc_id % 50 AS VARCHAR) AS y FROM documents)
+SELECT doc_id, 's ' || a AS ref, 'Widget Act ' || y AS law_name, 'Cth' AS jurisdiction, 'trailing-cite' AS attached_by FROM d
+UNION ALL SELECT doc_id, 's ' || b, 'Widget Act ' || y, 'Cth', 'anaphora' FROM d
+UNION ALL SELECT doc_id, 's ' || (c + k), 'Widget Act', NULL, 'leading-cite' FROM d, (SELECT unnest([1, 2, 3]) AS k)
+UNION ALL SELECT doc_id, 's ' || (c + k), 'Widget Act ' || y, 'Cth', 'short-form' FROM d, (SELECT unnest([5, 6, 7, 8]) AS k)
+UNION ALL SELECT doc_id, 'reg 7', 'Gadget Rules', NULL, 'bare-name' FROM d
+UNION ALL SELECT doc_id, 's 9A', 'Consumer Act 2010', 'Cth', 'abbreviation' FROM d
+UNION ALL SELECT doc_id, 's 18', 'Consumer Act 2010', 'Cth', 'leading-cite' FROM d
+UNION ALL SELECT doc_id, 's 44(2)', NULL, NULL, 'none' FROM d
+UNION ALL SELECT doc_id, 's 3', NULL, NULL, 'anaphora' FROM d""",
 )
 def _(v, t):
-    return citations.extract_statute_citations(v("drafts")).select("doc_id", "ref", F.regexp_replace("law_name", "^Under the ", "").alias("law_name"), "jurisdiction", "attached_by")
+    d = F.col("doc_id")
+    more = F.concat(F.lit(" The Widget Act "), 1950 + d % 50, F.lit(" (Cth) ('WGA') began. WGA ss "), d % 9 + 5, F.lit("-"), d % 9 + 8, F.lit(" and Gadget Rules reg 7; CCA s 9A, and s 18 of the CCA; see s 44(2).\n\nThe Act s 3 alone."))
+    aliases = v("drafts").sparkSession.createDataFrame([("CCA", "Consumer Act 2010", "Cth")], "alias string, official string, jurisdiction string")
+    docs = v("drafts").withColumn("text", F.concat("text", more))
+    return citations.extract_statute_citations(docs, aliases).select("doc_id", "ref", "law_name", "jurisdiction", "attached_by")
 
 
 @query(
@@ -76,12 +95,38 @@ def _(v, t):
     return citations.extract_refs(v("drafts")).select("doc_id", "ref")
 
 
-@query("x6_extract_claim", "SELECT doc_id, 'requires notice ' || doc_id AS claim, 'verb' AS claim_source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'meetings of ' || doc_id, 'parenthetical' FROM documents WHERE doc_id % 2 = 1")
+#: What a text says of 's N', with the claim to be read and its source.
+_CLAIMS = (
+    ("", " requires written notice {d}. More.", "written notice {d}", "verb"),
+    ("", " (meetings of board {d}). More.", "meetings of board {d}", "parenthetical"),
+    ("", ", headed 'Unfair terms of {d}', applies.", "Unfair terms of {d}", "titled"),
+    ("", " — false claims about {d}. More.", "false claims about {d}", "dash"),
+    ("", " makes misleading conduct {d} unlawful. More.", "misleading conduct {d}", "verb"),
+    ("Under ", ", misleading conduct {d} is prohibited. More.", "misleading conduct {d}", "verb"),
+    ("Under ", ", a person must keep records {d}. More.", "a person must keep records {d}", "proposition"),
+    ("The prohibition on unfair contract terms in ", ". More {d}.", "unfair contract terms", "preceding"),
+    ("Deceptive business conduct is prohibited by ", ". More {d}.", "Deceptive business conduct", "preceding"),
+    ("", " (Cth). More {d}.", None, None),
+)
+
+
+@query(
+    "x6_extract_claim",
+    "SELECT doc_id, CASE doc_id % 10 " + " ".join(f"WHEN {i} THEN " + ("NULL" if c is None else "'" + c.replace("{d}", "' || doc_id || '") + "'") for i, (_, _, c, _) in enumerate(_CLAIMS)) + " END AS claim, CASE doc_id % 10 "
+    + " ".join(f"WHEN {i} THEN " + ("NULL" if x is None else f"'{x}'") for i, (_, _, _, x) in enumerate(_CLAIMS)) + " END AS claim_source FROM documents",
+)
 def _(v, t):
     d = F.col("doc_id")
     raw = F.concat(F.lit("s "), d + 1, F.lit("A"))
-    docs = t("documents").select("doc_id", raw.alias("raw"), F.concat(F.lit("It is said that "), raw, F.when(d % 2 == 0, F.concat(F.lit(" requires notice "), d)).otherwise(F.concat(F.lit(" (meetings of "), d, F.lit(")"))), F.lit(". More.")).alias("text"))
-    return citations.extract_claim(docs.select("doc_id", "raw"), docs).select("doc_id", "claim", "claim_source")
+
+    def shaped(i: int, text: str):
+        return F.when(d % len(_CLAIMS) == i, F.format_string(text.replace("{d}", "%s"), *[d] * text.count("{d}")))
+
+    before, after = (F.coalesce(*(shaped(i, x[k]) for i, x in enumerate(_CLAIMS))) for k in (0, 1))
+    # The same provision is named once before, without a claim: the place decides which mention is meant.
+    docs = t("documents").select("doc_id", raw.alias("raw"), F.concat("text", F.lit(". See "), raw, F.lit("; also. "), before).alias("head"), after.alias("tail"))
+    docs = docs.select("doc_id", "raw", F.length("head").alias("pos"), F.concat("head", "raw", "tail").alias("text"))
+    return citations.extract_claim(docs.select("doc_id", "raw", "pos"), docs).select("doc_id", "claim", "claim_source")
 
 
 @query(
@@ -101,18 +146,26 @@ def _(v, t):
 
 @query(
     "x10_treatment_scan",
-    r"""SELECT doc_id, regexp_extract(text, 'See (\[[0-9]+\] [A-Za-z]+ [0-9]+) at', 1) AS citation, CASE doc_id % 7 WHEN 0 THEN 'overruling' ELSE 'doubting' END AS kind, CASE doc_id % 7 WHEN 0 THEN 'overruled' ELSE 'distinguished' END AS label FROM judgments WHERE doc_id % 7 < 2""",
+    r"""WITH j AS (SELECT doc_id, regexp_extract(text, 'See (\[[0-9]+\] [A-Za-z]+ [0-9]+) at', 1) AS citation FROM judgments)
+SELECT doc_id, citation, CASE doc_id % 7 WHEN 0 THEN 'overruling' ELSE 'doubting' END AS kind, CASE doc_id % 7 WHEN 0 THEN 'overruled' ELSE 'distinguished' END AS label, false AS near_dissent, false AS near_plurality FROM j WHERE doc_id % 7 < 2
+UNION ALL SELECT doc_id, citation, 'overruling', CASE doc_id % 3 WHEN 0 THEN 'declined to follow' WHEN 1 THEN 'wrongly decided' ELSE 'departed from' END, doc_id % 2 = 0, doc_id % 5 = 0 FROM j""",
     "judgments",
 )
 def _(v, t):
-    j = v("judgments")
-    return citations.treatment_scan(j, j.select("doc_id", F.regexp_extract("text", r"See (\[[0-9]+\] [A-Za-z]+ [0-9]+) at", 1).alias("citation")))
+    d = F.col("doc_id")
+    j = v("judgments").withColumn("citation", F.regexp_extract("text", r"See (\[[0-9]+\] [A-Za-z]+ [0-9]+) at", 1))
+    # A short name is given, far behind the first mention, and the treatment stands beside that name.
+    words = F.when(d % 3 == 0, "we  declined to follow").when(d % 3 == 1, "was wrongly decided, says").otherwise("the court departs from the reasoning of")
+    flags = F.concat(F.when(d % 2 == 0, " Dissenting, I add.").otherwise(""), F.when(d % 5 == 0, " The plurality agreed.").otherwise(""))
+    far = F.concat(F.lit(" "), F.repeat(F.lit("plain words go on. "), F.lit(60)))
+    docs = j.select("doc_id", "citation", F.concat("text", far, "citation", F.lit(" ('Mabo Case')."), far, words, F.lit(" MABO case."), flags).alias("text"))
+    return citations.treatment_scan(docs, j.select("doc_id", "citation"))
 
 
-@query("x11_short_names", "SELECT doc_id, '[' || (2000 + doc_id % 20) || '] HCA ' || doc_id AS citation, 'Mabo ' || doc_id AS short_name FROM documents")
+@query("x11_short_names", "SELECT doc_id, '[' || (2000 + doc_id % 20) || '] HCA ' || doc_id AS citation, 'Mabo ' || doc_id AS short_name FROM documents UNION ALL SELECT doc_id, '(1992) 175 CLR ' || (doc_id + 1), 'Mabo (No 2)' FROM documents")
 def _(v, t):
     d = F.col("doc_id")
-    text = F.concat(F.lit("See ["), 2000 + d % 20, F.lit("] HCA "), d, F.lit(" ('Mabo "), d, F.lit("') and more."))
+    text = F.concat("text", F.lit(" See ["), 2000 + d % 20, F.lit("] HCA "), d, F.lit(" ('Mabo "), d, F.lit("') and (1992) 175 CLR "), d + 1, F.lit(" (\"Mabo (No 2)\") and more."))
     return citations.case_short_names(t("documents").select("doc_id", text.alias("text")))
 
 
@@ -121,21 +174,49 @@ def _(v, t):
     return v("queries").select("query_id", texts.parse_date(F.col("query"), "2020-06-30").alias("d"))
 
 
-@query("x12_relative_dates", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN make_date(CAST(2020 - doc_id % 9 AS INT), 6, 30) WHEN 1 THEN DATE '2020-06-30' - CAST(doc_id % 50 AS INT) ELSE make_date(CAST(1950 + doc_id % 70 AS INT), 12, 31) END AS d FROM documents WHERE doc_id % 9 <> 0 OR doc_id % 3 <> 0")
+#: Phrases with what they mean by 30 June 2020; {n} is the document's number modulo 20, and 1.
+_PHRASES = (
+    ("decided {n} years ago", "make_date(CAST(2020 - n AS INT), 6, 30)"), ("made {n} days ago", "DATE '2020-06-30' - CAST(n AS INT)"), ("enacted in 19{m}", "make_date(CAST(1950 + n AS INT), 12, 31)"),
+    ("on 31/02/2015 or 1/{q}/2016", "make_date(2016, CAST(n % 9 + 1 AS INT), 1)"), ("as at March {n}th, 2001", "make_date(2001, 3, CAST(n AS INT))"), ("in June 20{m}", "make_date(CAST(2050 + n AS INT), 6, 30)"),
+    ("on {n} July", "make_date(2019, 7, CAST(n AS INT))"), ("since {n} May", "make_date(2020, 5, CAST(n AS INT))"), ("two months ago", "DATE '2020-04-30'"), ("last week it fell", "DATE '2020-06-23'"),
+    ("this year", "DATE '2020-06-30'"), ("as of yesterday", "DATE '2020-06-29'"), ("31 February 2015", "CAST(NULL AS DATE)"), ("nothing {n}", "CAST(NULL AS DATE)"),
+)
+
+
+def _phrase(d, phrases=_PHRASES):
+    n = d % 20 + 1
+
+    def filled(text: str):
+        parts = [F.lit(x) if x not in ("n", "m", "q") else {"n": n, "m": 50 + n, "q": n % 9 + 1}[x].cast("string") for x in text.replace("{", "|").replace("}", "|").split("|")]
+        return F.concat(*parts)
+
+    return F.coalesce(*(F.when(d % len(phrases) == i, filled(x)) for i, (x, _) in enumerate(phrases)))
+
+
+@query("x12_relative_dates", "SELECT doc_id, CASE doc_id % 14 " + " ".join(f"WHEN {i} THEN {x}" for i, (_, x) in enumerate(_PHRASES)) + " END AS d FROM (SELECT doc_id, doc_id % 20 + 1 AS n FROM documents)")
 def _(v, t):
-    d = F.col("doc_id")
-    phrase = F.when(d % 3 == 0, F.concat(F.lit("decided "), d % 9, F.lit(" years ago"))).when(d % 3 == 1, F.concat(F.lit("made "), d % 50, F.lit(" days ago"))).otherwise(F.concat(F.lit("enacted in "), 1950 + d % 70))
-    return t("documents").filter("doc_id % 9 <> 0 or doc_id % 3 <> 0").select("doc_id", texts.parse_date(phrase, "2020-06-30").alias("d"))
+    return t("documents").select("doc_id", texts.parse_date(_phrase(F.col("doc_id")), "2020-06-30").alias("d"))
+
+
+#: Phrases of periods with the SQL of their first and last day, by 30 June 2020.
+_PERIODS = (
+    ("between 19{m} and 20{m}", "make_date(CAST(1950 + n AS INT), 1, 1)", "make_date(CAST(2050 + n AS INT), 12, 31)"), ("between 1 May 2001 and June 20{m}", "DATE '2001-05-01'", "make_date(CAST(2050 + n AS INT), 6, 30)"),
+    ("from March 2015 to {n} May 2016", "DATE '2015-03-01'", "make_date(2016, 5, CAST(n AS INT))"), ("in FY20{m}", "make_date(CAST(2049 + n AS INT), 7, 1)", "make_date(CAST(2050 + n AS INT), 6, 30)"),
+    ("in FY99", "DATE '1998-07-01'", "DATE '1999-06-30'"), ("the 2020-21 financial year", "DATE '2020-07-01'", "DATE '2021-06-30'"), ("financial years 2019-2024", "DATE '2019-07-01'", "DATE '2024-06-30'"),
+    ("2010 to 20{m}", "DATE '2010-01-01'", "make_date(CAST(2050 + n AS INT), 12, 31)"), ("before 19{m}", "DATE '1901-01-01'", "make_date(CAST(1949 + n AS INT), 12, 31)"), ("since 19{m}", "make_date(CAST(1950 + n AS INT), 1, 1)", "DATE '2020-06-30'"),
+    ("the past {n} years", "make_date(CAST(2020 - n AS INT), 6, 30)", "DATE '2020-06-30'"), ("the last three months", "DATE '2020-03-30'", "DATE '2020-06-30'"), ("in June 2019", "DATE '2019-06-01'", "DATE '2019-06-30'"),
+    ("as at June 2019", "CAST(NULL AS DATE)", "CAST(NULL AS DATE)"), ("on {n} July 2019", "CAST(NULL AS DATE)", "CAST(NULL AS DATE)"), ("changes of 19{m} only", "make_date(CAST(1950 + n AS INT), 1, 1)", "make_date(CAST(1950 + n AS INT), 12, 31)"),
+    ("between 2015 and 2010", "DATE '2010-01-01'", "DATE '2010-12-31'"),
+)
 
 
 @query(
     "x13_date_ranges",
-    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN make_date(CAST(1990 + doc_id % 9 AS INT), 1, 1) WHEN 1 THEN make_date(CAST(2009 + doc_id % 9 AS INT), 7, 1) WHEN 2 THEN DATE '1901-01-01' ELSE make_date(CAST(1980 + doc_id % 30 AS INT), 1, 1) END AS "from",
-  CASE doc_id % 4 WHEN 0 THEN make_date(CAST(2000 + doc_id % 9 AS INT), 12, 31) WHEN 1 THEN make_date(CAST(2010 + doc_id % 9 AS INT), 6, 30) WHEN 2 THEN make_date(CAST(1979 + doc_id % 30 AS INT), 12, 31) ELSE DATE '2020-06-30' END AS "to" FROM documents""",
-)
+    "SELECT doc_id, CASE doc_id % 17 " + " ".join(f"WHEN {i} THEN {x}" for i, (_, x, _) in enumerate(_PERIODS)) + ' END AS "from", CASE doc_id % 17 ' + " ".join(f"WHEN {i} THEN {x}" for i, (_, _, x) in enumerate(_PERIODS))
+    + ' END AS "to" FROM (SELECT doc_id, doc_id % 20 + 1 AS n FROM documents)',
+)
 def _(v, t):
-    d = F.col("doc_id")
-    phrase = F.when(d % 4 == 0, F.concat(F.lit("between "), 1990 + d % 9, F.lit(" and "), 2000 + d % 9)).when(d % 4 == 1, F.concat(F.lit("in FY"), 10 + d % 9)).when(d % 4 == 2, F.concat(F.lit("before "), 1980 + d % 30)).otherwise(F.concat(F.lit("since "), 1980 + d % 30))
+    phrase = _phrase(F.col("doc_id"), tuple((x, None) for x, _, _ in _PERIODS))
     return t("documents").select("doc_id", texts.parse_date_range(phrase, "2020-06-30").alias("r")).select("doc_id", "r.from", "r.to")
 
 
@@ -144,14 +225,31 @@ def _(v, t):
     return v("queries").select("query_id", texts.strip_dates(F.col("query")).alias("query"))
 
 
-@query("x15_amounts", "SELECT doc_id, '$' || (doc_id * 10 + 5) AS value, 'AUD amount' AS label FROM documents WHERE doc_id * 10 + 5 >= 0")
+#: The money, periods and dates of a document beside its own text, by its number.
+_TERMS = """SELECT doc_id, text || chr(10) || 'A fee of $' || (doc_id * 10 + 5) || '.50, or A$' || (doc_id % 9 + 1) || ' million, or 2,500 dollars; 12.5% or ' || (doc_id % 50) || ' per cent. $' || (doc_id * 10 + 5) || '.50 again. Notice of '
+  || (doc_id % 30 + 31) || ' days is due within ' || (doc_id % 30 + 1) || ' business  days. The term is ' || (doc_id % 4 + 2) || ' years. Then ' || (doc_id % 5 + 6) || ' weeks, ' || (doc_id % 28 + 1) || ' March 2020 and 3/4/2021.' AS text FROM documents"""
+
+
+@query(
+    "x15_amounts",
+    r"""WITH t AS (TERMS), a AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '(?i)(?:AUD ?|A[$]|[$]) ?[0-9]+(?:,[0-9]+)*(?:[.][0-9]+)?(?: ?(?:thousand|million|billion|bn|k|m)\b)?|\b[0-9]+(?:,[0-9]+)*(?:[.][0-9]+)? dollars\b'))) AS value FROM t),
+p AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '(?i)\b[0-9]+(?:,[0-9]+)*(?:[.][0-9]+)? ?(?:%|per ?cent\b)'))) AS value FROM t)
+SELECT DISTINCT doc_id, value, 'AUD amount' AS label FROM a UNION ALL SELECT DISTINCT doc_id, value, 'percentage' FROM p""".replace("TERMS", _TERMS),
+)
 def _(v, t):
-    return texts.extract_amounts(v("clauses_src").withColumn("text", F.regexp_extract("text", r"(?s)\n2\. (A fee .*)$", 1)))
+    docs = t("documents").sparkSession.sql(_TERMS.replace("FROM documents", "FROM {documents}").replace("chr(10)", "char(10)"), documents=t("documents"))
+    return texts.extract_amounts(docs)
 
 
-@query("x15_periods", "SELECT doc_id, (doc_id % 30 + 1) || ' days' AS value, 'deadline' AS label FROM documents")
+@query(
+    "x15_periods",
+    """SELECT doc_id, (doc_id % 30 + 31) || ' days' AS value, 'notice period' AS label FROM documents UNION ALL SELECT doc_id, (doc_id % 30 + 1) || ' business days', 'deadline' FROM documents
+UNION ALL SELECT doc_id, (doc_id % 4 + 2) || ' years', 'term' FROM documents UNION ALL SELECT doc_id, (doc_id % 5 + 6) || ' weeks', 'period' FROM documents
+UNION ALL SELECT doc_id, (doc_id % 28 + 1) || ' march 2020', 'date' FROM documents UNION ALL SELECT doc_id, '3/4/2021', 'date' FROM documents""",
+)
 def _(v, t):
-    return texts.extract_periods(v("clauses_src").withColumn("text", F.regexp_extract("text", r"(?s)\n2\. (A fee .*)$", 1)))
+    docs = t("documents").sparkSession.sql(_TERMS.replace("FROM documents", "FROM {documents}").replace("chr(10)", "char(10)"), documents=t("documents"))
+    return texts.extract_periods(docs)
 
 
 RISK_RULES = [
@@ -161,23 +259,34 @@ RISK_RULES = [
 ]
 
 
-@query("x16_risk_scan", "SELECT doc_id, 2 AS n, 'payment' AS rule, 'fees' AS category, 'medium' AS severity FROM documents UNION ALL SELECT doc_id, 3, 'unilateral', 'termination', 'high' FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 3, 'uncapped', 'indemnity', 'high' FROM documents WHERE doc_id % 3 = 1")
+@query("x16_risk_scan", "SELECT doc_id, 2 AS n, 'payment' AS rule, 'fees' AS category, 'medium' AS severity FROM documents UNION ALL SELECT doc_id, 3, 'unilateral', 'termination', 'high' FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 3, 'uncapped', 'indemnity', 'high' FROM documents WHERE doc_id % 3 = 1 UNION ALL SELECT doc_id, NULL, 'preamble', 'scope', 'low' FROM documents WHERE doc_id % 2 = 0")
 def _(v, t):
-    return texts.document_risks(v("clauses_src").withColumn("text", F.regexp_replace("text", r"(?s)^.*\n2\. ", "1. x\n2. ")), RISK_RULES)
+    docs = v("clauses_src").withColumn("text", F.concat(F.when(F.col("doc_id") % 2 == 0, "A preamble applies\n").otherwise(""), F.col("text")))
+    return texts.document_risks(docs, [*RISK_RULES, ("preamble", "scope", "low", [r"(?i)\bpreamble applies"], [])])
 
 
-@query("x17_split_clauses", "SELECT doc_id, n, CAST(n AS VARCHAR) AS label, CASE n WHEN 1 THEN 'opening' WHEN 2 THEN 'A fee of $' || (doc_id * 10 + 5) || ' is payable within ' || (doc_id % 30 + 1) || ' days.' ELSE CASE doc_id % 3 WHEN 0 THEN 'We may terminate immediately.' WHEN 1 THEN 'You indemnify us for any and all claims.' ELSE 'Governed by the laws of NSW.' END END AS body FROM documents, (SELECT unnest([1, 2, 3]) AS n)")
+@query(
+    "x17_split_clauses",
+    r"""SELECT doc_id, n, CAST(n AS VARCHAR) AS label, CASE n WHEN 1 THEN array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ') WHEN 2 THEN 'A fee of $' || (doc_id * 10 + 5) || ' is payable within ' || (doc_id % 30 + 1) || ' days.'
+  ELSE CASE doc_id % 3 WHEN 0 THEN 'We may terminate immediately.' WHEN 1 THEN 'You indemnify us for any and all claims.' ELSE 'Governed by the laws of NSW.' END END AS body FROM documents, (SELECT unnest([1, 2, 3]) AS n)""",
+)
 def _(v, t):
-    return texts.split_clauses(v("clauses_src").withColumn("text", F.regexp_replace("text", r"(?s)^.*\n2\. ", "1. opening\n2. ")))
+    return texts.split_clauses(v("clauses_src"), body_chars=None)
 
 
 @query("x18_clause_conflicts", "SELECT doc_id, 'fee_and_exit' AS conflict, '2' AS first_label, '3' AS second_label FROM documents WHERE doc_id % 3 = 0")
 def _(v, t):
-    docs = v("clauses_src").withColumn("text", F.regexp_replace("text", r"(?s)^.*\n2\. ", "1. opening\n2. "))
-    return texts.document_conflicts(docs, [("fee_and_exit", "payable", "terminate"), ("none", "zzz", "yyy")])
+    return texts.document_conflicts(v("clauses_src"), [("fee_and_exit", "payable", "terminate"), ("none", "zzz9", "yyy9")])
 
 
-@query("x19_compact_body", "SELECT doc_id, CASE WHEN length(text) - 500 >= 500 THEN substr(text, 1, 300) || chr(10) || '[... ' || (length(text) - 500) || ' characters omitted ...]' || chr(10) || right(text, 200) ELSE text END AS body FROM documents")
+@query(
+    "x19_compact_body",
+    r"""WITH a AS (SELECT doc_id, text, substr(text, 1, 300) AS h, right(text, 200) AS b FROM documents),
+c AS (SELECT *, CASE WHEN regexp_matches(h, '(\n\n|\n\[[0-9]{1,4}\]|[.] |[.]\n)') AND length(regexp_extract(h, '(?s)^(.*)(?:\n\n|\n\[[0-9]{1,4}\]|[.] |[.]\n)', 1)) > 150 THEN length(regexp_extract(h, '(?s)^(.*)(?:\n\n|\n\[[0-9]{1,4}\]|[.] |[.]\n)', 1)) + 2 ELSE 300 END AS upto,
+  CASE WHEN regexp_matches(b, '(\n\n|\n\[[0-9]{1,4}\]|[.] )') AND length(regexp_extract(b, '(?s)^(.*?)(?:\n\n|\n\[[0-9]{1,4}\]|[.] )', 1)) < 100 THEN length(regexp_extract(b, '(?s)^(.*?)(?:\n\n|\n\[[0-9]{1,4}\]|[.] )', 1)) + 2 ELSE 0 END AS skip FROM a),
+d AS (SELECT *, regexp_replace(substr(text, 1, upto), '\s+$', '') AS f, regexp_replace(substr(b, skip + 1), '^\s+', '') AS l FROM c)
+SELECT doc_id, CASE WHEN length(text) > 1000 AND length(text) - length(f) - length(l) >= 500 THEN f || chr(10) || '[... ' || (length(text) - length(f) - length(l)) || ' characters omitted ...]' || chr(10) || l ELSE text END AS body FROM d""",
+)
 def _(v, t):
     return t("documents").select("doc_id", texts.compact_body(F.col("text"), 300, 200).alias("body"))
 
@@ -214,11 +323,15 @@ def _(v, t):
     return t("documents").select("doc_id", citations.canonical_citation(2000 + F.col("doc_id") % 25, F.lit("H.C.A."), F.col("doc_id")).alias("citation"))
 
 
-@query("x26_dice", "SELECT a.n_nationkey AS a, b.r_regionkey AS b, CASE WHEN lower(n_name) = lower(r_name) THEN 1.0 ELSE -1.0 END AS same, levenshtein(n_name, r_name) AS edits FROM nation a, region b WHERE n_regionkey = r_regionkey")
+@query(
+    "x26_dice",
+    """WITH p AS (SELECT doc_id, regexp_replace(lower(substr(text, 1, 30)), '[^a-z0-9]', '', 'g') AS a, regexp_replace(lower(substr(text, 9, 30)), '[^a-z0-9]', '', 'g') AS b, substr(text, 1, 30) AS x, substr(text, 9, 30) AS y FROM documents),
+g AS (SELECT *, CASE WHEN a = '' THEN [] ELSE list_distinct(list_transform(range(1, greatest(length(a) - 1, 1) + 1), lambda i: substr(a, i, 2))) END AS ga, CASE WHEN b = '' THEN [] ELSE list_distinct(list_transform(range(1, greatest(length(b) - 1, 1) + 1), lambda i: substr(b, i, 2))) END AS gb FROM p)
+SELECT doc_id, CASE WHEN len(ga) + len(gb) > 0 THEN 2.0 * len(list_intersect(ga, gb)) / (len(ga) + len(gb)) ELSE 0.0 END AS dice FROM g""",
+)
 def _(v, t):
-    pairs = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    dice = texts.dice_similarity(F.col("n_name"), F.col("r_name"))
-    return pairs.select(F.col("n_nationkey").alias("a"), F.col("r_regionkey").alias("b"), F.when(dice == 1.0, 1.0).otherwise(-1.0).alias("same"), F.levenshtein("n_name", "r_name").alias("edits"))
+    a, b = F.substring("text", 1, 30), F.substring("text", 9, 30)
+    return t("documents").select("doc_id", texts.dice_similarity(a, b).alias("dice"))
 
 
 ROUTES = [("dated", 20, [r"(?i)\bas at\b"], "applicable_law", ("march",)), ("march", 30, [r"(?i)\b(1|2|3) March\b"], "history", ()), ("long", 10, [r"(?s)^.{900,}$"], "analyse", ())]
@@ -238,9 +351,16 @@ def _(v, t):
     return t("documents").select("doc_id", texts.jurisdictions(F.when(F.col("doc_id") % 3 == 2, "NSW law, Vic law and NSW").otherwise("An Act (Cth)")).alias("found"))
 
 
-@query("x32_amendment_table", "SELECT c_custkey AS title_id, 's ' || k AS provision, 'Part ' || c_custkey AS scope, CASE k WHEN 1 THEN 'am' ELSE 'rep' END AS effect, CAST(k * 10 + j AS INT) AS act_number, CAST(1980 + j AS INT) AS act_year FROM customer, (SELECT unnest([1, 2]) AS k), (SELECT unnest([1, 2]) AS j)")
+@query(
+    "x32_amendment_table",
+    """WITH r AS (SELECT c_custkey AS title_id, * FROM customer, (VALUES ('s 1', 'Part 9', 'am', 11, 1981, 'known'), ('s 1', 'Part 9', 'am', 12, 1982, 'known'), ('s 2', 'Part 9', 'rep', 21, 1981, 'known'), ('s 2', 'Part 9', 'ed', 22, 1982, 'known'),
+  ('s 3', 'Schedule 2', 'am and rs', 3, 1999, 'known'), ('s 3', 'Schedule 2', 'zz', 4, 2000, 'unknown_code')) x(provision, scope, effect, act_number, act_year, status))
+SELECT title_id, provision, scope, effect, CAST(act_number + title_id % 3 * 100 AS INT) AS act_number, CAST(act_year AS INT) AS act_year, status FROM r""",
+)
 def _(v, t):
-    text = F.concat(F.lit("Part "), "c_custkey", F.lit("\ns 1..........\nam No 11, 1981; No 12, 1982\ns 2....... rep No 21, 1981; No 22, 1982"))
+    k = F.col("c_custkey") % 3 * 100
+    lines = ("Part 9\ns 1..........\nam No ", k + 11, ", 1981; No ", k + 12, ", 1982\ns 2....... rep No ", k + 21, ", 1981\ned No ", k + 22, ", 1982\nSchedule 2\ns 3.....\nam and rs No ", k + 3, ", 1999\nzz No ", k + 4, ", 2000\nA note on nothing")
+    text = F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in lines))
     return texts.parse_amendment_table(t("customer").select(F.col("c_custkey").alias("title_id"), text.alias("text")))
 
 
@@ -250,10 +370,21 @@ def _(v, t):
     return texts.diff_stats(t("documents").select(F.col("doc_id").alias("pair_id"), F.col("text").alias("a"), b.alias("b")), 10**6)
 
 
+@query("x34_diff_ops", "SELECT doc_id AS pair_id, n, CASE WHEN n = 1 THEN 'remove' WHEN n = 2 THEN 'add' ELSE 'keep' END AS op, CASE WHEN n = 1 THEN 'old ' || doc_id WHEN n = 2 THEN 'new ' || doc_id ELSE l[n - 2] END AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 3)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")
+def _(v, t):
+    a, b = (F.concat(F.lit(f"{w} "), "doc_id", F.lit("\n"), "text") for w in ("old", "new"))
+    return texts.diff_ops(t("documents").select(F.col("doc_id").alias("pair_id"), a.alias("a"), b.alias("b")), 10**6)
+
+
 # Landed pages
 
 
-@query("s3_html_to_text", None)
+#: A page as text lines, in SQL: the entities that the pages have are named here, others would show as a difference.
+_PAGE_TEXT = r"""list_filter(list_transform(string_split(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'),
+  '(?i)<\s*/?(p|div|br|tr|td|th|li|h[1-6]|section|article|table|thead|tbody|ul|ol|dl|dt|dd|blockquote|hr|header|footer|title|head|body)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&amp;', '&'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'))), lambda x: x <> '')"""
+
+
+@query("s3_html_to_text", f"SELECT page_id, array_to_string({_PAGE_TEXT}, chr(10)) AS text FROM pages")
 def _(v, t):
     return t("pages").select("page_id", landed.html_to_text(F.col("html")).alias("text"))
 
@@ -263,21 +394,47 @@ def _(v, t):
     return landed.extract_links(t("pages")).select("page_id", "href", "anchor")
 
 
-@query("s5_parse_listing", r"""SELECT page_id, 'any' AS source, 1 AS rank, trim(regexp_extract(html, '(?is)<title>([^<]{0,10})', 1)) AS id, trim(regexp_extract(html, '(?is)<title>([^<]*)</title>', 1)) AS title, CAST(NULL AS VARCHAR) AS date FROM pages WHERE regexp_extract(html, '(?is)<title>([^<]{0,10})', 1) <> ''""")
+@query(
+    "s5_parse_listing",
+    r"""WITH b AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<li><a href="[^"]*">.*?</a></li>')) AS b, unnest(range(1, len(regexp_extract_all(html, '(?is)<li><a href="[^"]*">.*?</a></li>')) + 1)) AS n FROM pages),
+e AS (SELECT page_id, n, nullif(trim(regexp_extract(b, 'href="/([^"/?#]+)"', 1)), '') AS id, nullif(trim(regexp_replace(regexp_replace(regexp_extract(b, '(?is)<a\b[^>]*>(.*?)</a>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')), '') AS title FROM b)
+SELECT page_id, 'menu' AS source, row_number() OVER (PARTITION BY page_id ORDER BY n) AS rank, id, title, CAST(NULL AS VARCHAR) AS date FROM e WHERE id IS NOT NULL""",
+)
 def _(v, t):
-    recipe = t("pages").sparkSession.createDataFrame([("any", "(?is)<title>[^<]*</title>", "(?is)<title>([^<]{0,10})", "(?is)<title>([^<]*)</title>", "nodate([0-9]+)")], "source string, block string, id string, title string, date string")
-    return landed.parse_listing(t("pages").withColumn("source", F.lit("any")), recipe)
+    recipe = t("pages").sparkSession.createDataFrame([("menu", r'(?is)<li><a href="[^"]*">.*?</a></li>', 'href="/([^"/?#]+)"', r"(?is)<a\b[^>]*>(.*?)</a>", "nodate([0-9]+)")], "source string, block string, id string, title string, date string")
+    return landed.parse_listing(t("pages").withColumn("source", F.lit("menu")), recipe)
 
 
-@query("s6_parse_decision", None)
+@query(
+    "s5_listing_recipes",
+    """SELECT doc_id AS page_id, source, k AS rank, CASE source WHEN 'row_divs' THEN lpad(CAST(doc_id * 10 + k AS VARCHAR), 20, '0') ELSE 'e' || (doc_id * 10 + k) END AS id, 'Ng v Lee ' || (doc_id * 10 + k) AS title, k || ' May 2020' AS date
+FROM (SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'row_divs' ELSE 'field_rows' END AS source FROM documents), (SELECT unnest([1, 2]) AS k)""",
+)
+def _(v, t):
+    d = F.col("doc_id")
+    e = [(d * 10 + k).cast("string") for k in (1, 2)]
+    divs = [F.concat(F.lit('<div class="row result"><a href="/decision/'), F.lpad(x, 20, "0"), F.lit('"><b>Ng</b> v Lee '), x, F.lit(f"</a><p><strong>Decision date:</strong> {k} May 2020</p></div>")) for k, x in enumerate(e, 1)]
+    rows = [F.concat(F.lit('<div class="views-row"><a href="/judgments/e'), x, F.lit('">more</a><div class="field field--title">Ng v Lee '), x, F.lit(f'</div><div class="field date-issued"><strong>Date</strong> {k} May 2020</div></div>')) for k, x in enumerate(e, 1)]
+    page = F.concat(F.lit("<body><p>"), F.regexp_replace("text", "[<>]", " "), F.lit("</p>"), F.when(d % 2 == 0, F.concat(*divs)).otherwise(F.concat(*rows)), F.lit("</body>"))
+    pages = t("documents").select(d.alias("page_id"), F.when(d % 2 == 0, "row_divs").otherwise("field_rows").alias("source"), page.alias("html"))
+    return landed.parse_listing(pages, landed.listing_recipes(pages.sparkSession))
+
+
+@query(
+    "s6_parse_decision",
+    """SELECT doc_id AS page_id, 'Ng v Lee ' || doc_id AS title, '{"Citation":"[2020] HCA ' || doc_id || '","Judge":"Lee J"}' AS metadata, 'Citation:' || chr(10) || '[2020] HCA ' || doc_id || chr(10) || 'Judge:' || chr(10) || 'Lee J' || chr(10)
+  || array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '[<>&]', ' ', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text, ['/d/' || doc_id || '.pdf'] AS downloads, 'full' AS body_status FROM documents""",
+)
 def _(v, t):
-    return landed.parse_decision(t("pages")).withColumn("metadata", F.to_json("metadata"))
+    html = F.concat(F.lit("<html><head><title>Ng v Lee "), "doc_id", F.lit('</title></head><body><a href="/d/'), "doc_id", F.lit('.pdf">x</a><div class="judgment"><table><tr><td>Citation:</td><td>[2020] HCA '), "doc_id", F.lit("</td></tr><tr><td>Judge:</td><td><i>Lee</i> J</td></tr></table><p>"), F.regexp_replace("text", "[<>&]", " "), F.lit("</p>"))
+    pages = t("documents").select(F.col("doc_id").alias("page_id"), F.lit("row_divs").alias("source"), html.alias("html"))
+    return landed.parse_decision(pages, landed.decision_recipes(pages.sparkSession)).withColumn("metadata", F.to_json("metadata"))
 
 
-@query("s7_parse_glossary", "SELECT n_name AS term, 'the nation ' || n_nationkey AS definition FROM nation")
+@query("s7_parse_glossary", "SELECT 'word' || doc_id AS term, 'means ' || doc_id AS definition FROM documents UNION ALL SELECT 'twin' || doc_id, 'means ' || doc_id FROM documents")
 def _(v, t):
-    html = F.concat(F.lit("<dl><!-- <dt>no</dt> --><dt>"), "n_name", F.lit("</dt><dd>the <b>nation</b> "), "n_nationkey", F.lit("</dd></dl>"))
-    return landed.parse_glossary(t("nation").select(F.col("n_nationkey").alias("page_id"), html.alias("html")))
+    html = F.concat(F.lit("<p>"), F.regexp_replace("text", "<", " "), F.lit("</p><dl><!-- <dt>no</dt> --><dt>word"), "doc_id", F.lit(" / twin"), "doc_id", F.lit("</dt><dd>means <b>"), "doc_id", F.lit("</b></dd></dl>"))
+    return landed.parse_glossary(t("documents").select(F.col("doc_id").alias("page_id"), html.alias("html")))
 
 
 @query("s10_landing_audit", "SELECT page_id, CASE WHEN trim(coalesce(html, '')) = '' THEN 'blank' WHEN NOT contains(lower(html), '<html') THEN 'html_missing' WHEN NOT contains(html, 'lang=\"en\"') THEN 'landmark_missing' ELSE 'ok' END AS status FROM pages")
@@ -294,9 +451,9 @@ def _(v, t):
 # Batch twins of the streams
 
 
-@query("r1_change_feed", "SELECT title_id, register_id, since, affect FROM versions WHERE since BETWEEN DATE '1994-01-01' AND DATE '1994-12-31' AND affect = 'Amend'", "versions")
+@query("r1_change_feed", "SELECT title_id, register_id, since, affect FROM versions WHERE since BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' AND affect = 'Amend'", "versions")
 def _(v, t):
-    return changes.change_feed(v("versions"), "1994-01-01", "1994-12-31", ("Amend",)).select("title_id", "register_id", "since", "affect")
+    return changes.change_feed(v("versions"), "1996-01-01", "1996-12-31", ("Amend",)).select("title_id", "register_id", "since", "affect")
 
 
 @query("r2_changes_per_period", "SELECT date_trunc('day', ts) AS start, state AS affect, count(*) AS n FROM task_events GROUP BY ALL", "task_events")

@@ -10,14 +10,18 @@ AFFECTS = ("AsMade", "Amend", "Repeal", "Cease", "ChangeDate", "Disallow")
 
 
 def read_register(spark: SparkSession, path: str) -> DataFrame:
-    """S1. title_id, since, until, register_id, affect from JSON envelopes {value: [...]}.
+    """S1. The rows of register files, see register_rows()."""
+    return register_rows(spark.read.text(path, wholetext=True))
+
+
+def register_rows(texts: DataFrame) -> DataFrame:
+    """S1. title_id, since, until, register_id, affect from JSON envelopes {value: [...]}, one in each value of texts.
 
     Keys in camel or Pascal case are one; affect comes as a number or a name. The rows are read as maps, so that a
     session's case sensitivity doesn't matter.
     """
-    text = spark.read.text(path, wholetext=True)
     items = F.from_json(F.get_json_object("value", "$.value"), "array<map<string,string>>")
-    rows = text.select(F.explode(items).alias("m")).select(F.transform_keys("m", lambda k, _: F.lower(k)).alias("m"))
+    rows = texts.select(F.explode(items).alias("m")).select(F.transform_keys("m", lambda k, _: F.lower(k)).alias("m"))
     named = F.col("m")["affect"]
     affect = F.coalesce(*(F.when(named == str(i), F.lit(n)) for i, n in enumerate(AFFECTS)), named)
     day = lambda k: F.try_to_date(F.substring(F.col("m")[k], 1, 10), "yyyy-MM-dd")
@@ -25,8 +29,12 @@ def read_register(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_toc(spark: SparkSession, path: str) -> DataFrame:
-    """S2. file, ord, depth, label, src from table-of-contents XML: a row for each navPoint, in document order."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    """S2. The entries of table-of-contents files, see toc_rows()."""
+    return toc_rows(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"))
+
+
+def toc_rows(text: DataFrame) -> DataFrame:
+    """S2. file, ord, depth, label, src from table-of-contents XML (file, value): a row for each navPoint, in document order."""
     tokens = F.regexp_extract_all("value", F.lit(r"(<navPoint\b|</navPoint>|<text>[^<]*</text>|<content [^>]*>)"), F.lit(1))
     rows = text.select("file", F.posexplode(tokens).alias("n", "t"))
     sofar = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
@@ -38,53 +46,123 @@ def read_toc(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: Named entities.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&rsquo;", "’"), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&"))
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "hellip": "…", "bull": "•", "middot": "·", "eacute": "é", "uuml": "ü", "ouml": "ö"}
+#: Tags that end a line of text; cells of a coversheet stand on lines of their own.
+BLOCKS = ("p", "div", "br", "tr", "td", "th", "li", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "table", "thead", "tbody", "ul", "ol", "dl", "dt", "dd", "blockquote", "hr", "header", "footer", "title", "head", "body")
+_ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,10});"
+
+
+def decode_entities(text: Column) -> Column:
+    """Named (ENTITIES), decimal and hexadecimal entities as characters, each once; what is none stays as it is."""
+    names = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+
+    def read(e: Column) -> Column:
+        body = F.substr(e, F.lit(2), F.length(e) - 2)
+        code = F.when(body.rlike("^#[xX]"), F.conv(F.substr(body, F.lit(3), F.lit(6)), 16, 10)).when(body.startswith("#"), F.substr(body, F.lit(2), F.lit(7))).try_cast("int")
+        fine = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+        letter = F.decode(F.unhex(F.lpad(F.hex(F.when(fine, code).otherwise(32)), 8, "0")), "UTF-32")
+        return F.coalesce(F.when(fine, letter), F.when(~body.startswith("#"), F.try_element_at(names, F.lower(body))), e)
+
+    found = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
+    gaps = F.split(text, _ENTITY, -1)
+    joined = F.array_join(F.zip_with(gaps, F.concat(F.transform(found, read), F.array(F.lit(""))), lambda gap, e: F.concat(gap, e)), "")
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
 def html_to_text(html: Column) -> Column:
     """S3. The text of a page: scripts, styles and comments dropped, block tags as line ends, entities decoded, spaces collapsed."""
-    out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)>", "")
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->", "")
-    out = F.regexp_replace(out, r"(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|title|head|body)\b[^>]*>", "\n")
-    out = F.regexp_replace(out, r"<[^>]*>", "")
-    for name, value in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(value))
+    out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)\s*>", " ")
+    out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
+    out = F.regexp_replace(out, rf"(?i)<\s*/?(?:{'|'.join(BLOCKS)})\b[^>]*>", "\n")
+    out = decode_entities(F.regexp_replace(out, r"<[^>]*>", ""))
     lines = F.filter(F.transform(F.split(out, "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \\t\\r]+", " "))), lambda x: x != "")
     return F.array_join(lines, "\n")
 
 
+#: An href in double quotes, in single ones, or without any.
+_HREF = r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
 def extract_links(pages: DataFrame) -> DataFrame:
     """S4. page_id, n, href, anchor, absolute: the links of each page in order, resolved against the page's url."""
-    raw = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r'(?is)<a\b[^>]*?\bhref="[^"]*"[^>]*>.*?</a>'), F.lit(0))).alias("n", "a"))
-    href = F.regexp_extract("a", r'(?is)\bhref="([^"]*)"', 1)
+    raw = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(rf"(?is)<a\b[^>]*?{_HREF}[^>]*>.*?</a\s*>"), F.lit(0))).alias("n", "a"))
+    href = F.concat(*(F.regexp_extract("a", rf"(?is)^<a\b[^>]*?{_HREF}", i) for i in (1, 2, 3)))
     site = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     base = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^?#]*/)", 1)
     whole = F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract("url", "^([^:]*:)", 1), href)).when(href.startswith("/"), F.concat(site, href)).when(href.startswith("#"), F.concat(F.regexp_replace("url", "#.*$", ""), href)).otherwise(F.concat(base, href))
     return raw.select("page_id", "n", href.alias("href"), F.trim(F.regexp_replace(F.regexp_replace("a", r"(?s)<[^>]*>", ""), r"\s+", " ")).alias("anchor"), whole.alias("absolute"))
 
 
+def _listing(source: str, start: str, link: str, title: str, date: str) -> tuple[str, str, str, str, str]:
+    """A recipe whose entries go from one start tag to the next, and whose id is in a link."""
+    return source, rf"(?is){start}.*?(?={start}|</main>|</body>|$)", rf"(?is){link}", rf"(?is){title}", rf"(?is){date}"
+
+
+#: Listing recipes by kind of source, as rows of source, block, id, title, date: how an entry begins, and where it has these.
+RECIPES = (
+    _listing("row_divs", r'<div[^>]*class="[^"]*\brow\b[^"]*\bresult\b[^"]*"[^>]*>', r'href="/decision/([0-9a-f]{16,32})"', r'<a\b[^>]*href="/decision/[^"]*"[^>]*>(.*?)</a>', r"decision date:?\s*(?:<[^>]*>\s*)*([0-9]{1,2} \w+ [0-9]{4})"),
+    _listing("field_rows", r'<div[^>]*class="[^"]*\bviews-row\b[^"]*"[^>]*>', r'href="[^"]*/([^"/?#]+)"', r'class="[^"]*field--title[^"]*"[^>]*>(.*?)</div>', r'class="[^"]*date[^"]*"[^>]*>(?:\s*<strong\b[^>]*>.*?</strong>)?(.*?)</div>'),
+    _listing("list_items", r"<li\b[^>]*>", r'href="/case/id/([0-9]+)"', r'<span[^>]*class="[^"]*caseName[^"]*"[^>]*>(.*?)</span>', r'<span[^>]*class="[^"]*date[^"]*"[^>]*>(.*?)</span>'),
+    _listing("table_rows", r"<tr\b[^>]*>", r'href="[^"]*/([^"/?#]+)"', r"<a\b[^>]*>(.*?)</a>", r'<td[^>]*headers="[^"]*date[^"]*"[^>]*>(.*?)</td>'),
+    _listing("link_list", r'<a\b[^>]*href="/en/Legislation/[^"]*"[^>]*>', r'href="/en/Legislation/([^"/?#]+)"', r"<a\b[^>]*>(.*?)</a>", r"(?!)()"),
+)
+
+
+def listing_recipes(spark: SparkSession) -> DataFrame:
+    """RECIPES as a table for parse_listing()."""
+    return spark.createDataFrame(list(RECIPES), "source string, block string, id string, title string, date string")
+
+
 def parse_listing(pages: DataFrame, recipes: DataFrame) -> DataFrame:
     """S5. page_id, source, rank, id, title, date: the entries of result lists, by the recipe of each page's source.
 
-    recipes: source, block, id, title, date (regular expressions, group 1). A table of some dozens of rows.
+    recipes: source, block, id, title, date (regular expressions, group 1), see RECIPES; a small table, that Spark
+    broadcasts by its own check of the size. Entries without an id don't count.
     """
-    held = pages.join(F.broadcast(recipes), "source")
+    held = pages.join(recipes, "source")
     blocks = held.select("page_id", "source", F.posexplode(F.expr("regexp_extract_all(html, block, 0)")).alias("n", "b"), "id", "title", "date")
-    got = {c: F.nullif(F.trim(F.regexp_replace(F.expr(f"regexp_extract(b, {c}, 1)"), "<[^>]*>", "")), F.lit("")) for c in ("id", "title", "date")}
+    got = {c: F.nullif(F.trim(F.regexp_replace(F.regexp_replace(F.expr(f"regexp_extract(b, {c}, 1)"), "<[^>]*>", ""), r"\s+", " ")), F.lit("")) for c in ("id", "title", "date")}
     rows = blocks.select("page_id", "source", "n", *(v.alias(k) for k, v in got.items())).filter("id is not null")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy("n"))).drop("n")
 
 
-def parse_decision(pages: DataFrame) -> DataFrame:
-    """S6. page_id, title, metadata (map of coversheet labels), text, body_status (full or empty)."""
-    pairs = F.regexp_extract_all("html", F.lit(r'(?is)<(?:dt|th|meta name=")[^>]*?>?\s*([^<">]+)'), F.lit(1))
+#: Where decision pages have their body and the rows and labels of their coversheet, by source; pages of no source are read as a whole.
+DECISIONS = (
+    ("row_divs", r'(?is)<div[^>]*class="[^"]*\bjudgment\b[^"]*"[^>]*>(.*)', r"(?is)<tr\b[^>]*>(.*?)</tr>", r"(?is)<td\b[^>]*>\s*(.*?):\s*</td>", r"(?is)</td>\s*<td\b[^>]*>(.*?)</td>"),
+    ("field_rows", r'(?is)<main\b[^>]*>(.*)</main>', r'(?is)<div[^>]*class="[^"]*\bfield\b[^"]*"[^>]*>(.*?)</div>', r"(?is)<strong\b[^>]*>(.*?):?\s*</strong>", r"(?is)</strong>(.*)"),
+)
+
+
+def decision_recipes(spark: SparkSession) -> DataFrame:
+    """DECISIONS as a table for parse_decision()."""
+    return spark.createDataFrame(list(DECISIONS), "source string, body string, row string, label string, value string")
+
+
+def parse_decision(pages: DataFrame, recipes: DataFrame | None = None) -> DataFrame:
+    """S6. page_id, title, metadata (map of coversheet labels), text, downloads (array of links), body_status (full or empty).
+
+    recipes (see DECISIONS) say by a page's source where the body and the labelled rows are. Without a recipe labels are
+    dt, th and meta names with the dd, td and content behind them, and the body is the page without its head. Of a
+    repeated label the first value counts.
+    """
+    strip = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", ""), r"\s+", " "))
+    if recipes is None:
+        held = pages.withColumns({c: F.lit(None).cast("string") for c in ("_body", "_row", "_label", "_value")})
+    else:
+        held = pages.join(recipes.select("source", *(F.col(c).alias(f"_{c}") for c in ("body", "row", "label", "value"))), "source", "left")
+    names = F.regexp_extract_all("html", F.lit(r'(?is)<(?:dt|th|meta name=")[^>]*?>?\s*([^<">]+)'), F.lit(1))
     values = F.regexp_extract_all("html", F.lit(r'(?is)(?:<dd[^>]*>|<td[^>]*>|content=")\s*([^<">]*)'), F.lit(1))
-    n = F.least(F.size(pairs), F.size(values))
-    entries = F.arrays_zip(F.slice(F.transform(pairs, lambda x: F.trim(x)), F.lit(1), n).alias("k"), F.slice(F.transform(values, lambda x: F.trim(x)), F.lit(1), n).alias("v"))
-    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    metadata = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), 1)["v"]))
-    text = html_to_text(F.regexp_replace("html", r"(?is)<head\b.*?</head>", ""))
-    return pages.select("page_id", F.trim(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)).alias("title"), metadata.alias("metadata"), text.alias("text"), F.when(text == "", "empty").otherwise("full").alias("body_status"))
+    n = F.least(F.size(names), F.size(values))
+    plain = F.arrays_zip(F.slice(F.transform(names, strip), F.lit(1), n).alias("k"), F.slice(F.transform(values, strip), F.lit(1), n).alias("v"))
+    body = F.coalesce(F.nullif(F.expr("regexp_extract(html, _body, 1)"), F.lit("")), F.regexp_replace("html", r"(?is)<head\b.*?</head>", ""))
+    rows = F.expr("regexp_extract_all(html, _row, 0)")
+    labelled = F.filter(F.transform(rows, lambda r: F.struct(strip(F.try_element_at(F.regexp_extract_all(r, F.col("_label"), F.lit(1)), F.lit(1))).alias("k"), strip(F.try_element_at(F.regexp_extract_all(r, F.col("_value"), F.lit(1)), F.lit(1))).alias("v"))), lambda e: F.coalesce(e["k"] != "", F.lit(False)))
+    held = held.withColumns({"_entries": F.when(F.col("_row").isNull(), plain).otherwise(labelled), "_text": html_to_text(body)})
+    keys = F.array_distinct(F.transform("_entries", lambda e: e["k"]))
+    metadata = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter("_entries", lambda e: e["k"] == k), 1)["v"]))
+    downloads = F.array_distinct(F.regexp_extract_all("html", F.lit(r'(?i)href="([^"]+[.](?:pdf|docx?|rtf))"'), F.lit(1)))
+    title = F.trim(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1))
+    return held.select("page_id", title.alias("title"), metadata.alias("metadata"), F.col("_text").alias("text"), downloads.alias("downloads"), F.when(F.col("_text") == "", "empty").otherwise("full").alias("body_status"))
 
 
 def parse_glossary(pages: DataFrame) -> DataFrame:
@@ -101,15 +179,25 @@ def parse_glossary(pages: DataFrame) -> DataFrame:
 
 
 def read_treaties(spark: SparkSession, path: str) -> DataFrame:
-    """S8. title, number, done_at, countries from treaty JSON; 'none' is null."""
-    raw = spark.read.schema("results array<struct<Title:string,AtsNumber:string,DoneAtDate:string,Countries:array<string>>>").option("multiLine", True).json(path)
+    """S8. The rows of treaty files, see treaty_rows()."""
+    return treaty_rows(spark.read.text(path, wholetext=True))
+
+
+def treaty_rows(texts: DataFrame) -> DataFrame:
+    """S8. title, number, done_at, countries from treaty JSON, one in each value of texts; 'none' is null."""
+    raw = texts.select(F.from_json("value", "results array<struct<Title:string,AtsNumber:string,DoneAtDate:string,Countries:array<string>>>")["results"].alias("results"))
     known = lambda c: F.when(F.lower(F.trim(c)) != "none", F.trim(c))
     return raw.select(F.explode("results").alias("r")).select(known(F.col("r.Title")).alias("title"), known(F.col("r.AtsNumber")).alias("number"), F.try_to_date(F.substring("r.DoneAtDate", 1, 10), "yyyy-MM-dd").alias("done_at"), F.coalesce("r.Countries", F.array().cast("array<string>")).alias("countries"))
 
 
 def read_projectdata(spark: SparkSession, path: str) -> DataFrame:
+    """S9. The rows of project-data files, see projectdata_rows()."""
+    return projectdata_rows(spark.read.text(path, wholetext=True))
+
+
+def projectdata_rows(texts: DataFrame) -> DataFrame:
     """S9. id, title, type, status from JSON whose scalars are wrapped as {__type__, __value__}; rows without id or title go."""
-    raw = spark.read.text(path, wholetext=True).select(F.explode(F.expr("cast(variant_get(parse_json(value), '$.data') as array<variant>)")).alias("v"))
+    raw = texts.select(F.explode(F.expr("cast(variant_get(parse_json(value), '$.data') as array<variant>)")).alias("v"))
     got = lambda k: F.coalesce(F.expr(f"try_variant_get(v, '$[\"{k}\"].__value__', 'string')"), F.expr(f"try_variant_get(v, '$[\"{k}\"]', 'string')"))
     return raw.select(got("id").alias("id"), got("title").alias("title"), got("print.type").alias("type"), got("status").alias("status")).filter("id is not null and title is not null")
 
@@ -131,9 +219,12 @@ def displayed_total(text: Column, cap: int = 10_000) -> tuple[Column, Column]:
 
 
 def write_tables(tables: dict[str, DataFrame], path: str, partition_by: tuple[str, ...] = ("jurisdiction", "year")) -> None:
-    """S12. Each table as Parquet below path, partitioned by those of the columns that it has; rows of a partition are
-    dealt to a few files each."""
+    """S12. Each table as Parquet below path, partitioned by those of the columns that it has.
+
+    The rows are rebalanced by these columns: Spark makes files of its advisory size, and splits a partition with many
+    rows over several tasks.
+    """
     for name, df in tables.items():
         keys = [c for c in partition_by if c in df.columns]
-        out = df.repartition(*[F.col(c) for c in keys]) if keys else df
+        out = df.hint("rebalance", *keys) if keys else df
         out.write.mode("overwrite").partitionBy(*keys).parquet(f"{path.rstrip('/')}/{name}")
