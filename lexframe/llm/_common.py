@@ -4,23 +4,14 @@ from __future__ import annotations
 
 import gc
 import time
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, a single machine).
-LOCAL_SCRATCH = "file:///tmp/checkpoints"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared spark.checkpoint.dir."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    return f"{top.rstrip('/')}/lexframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
+from lexframe.sources.scratch import scratch_path
 
 #: Bytes of an Arrow batch that goes to a Python worker. Spark's own bound is 64 MB, and a worker holds a
 #: batch several times over: as Arrow, as strings, as words.
@@ -45,14 +36,58 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written intermediates of one operator, removed from the shared folder as soon as what they lead to is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Remove what was written so far; no table read from it may be used after this."""
+        for path in self.paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = []
+
+
+#: A key is hot if it has more than one in so many of all rows, so there are at most as many hot keys.
+HOT = 200
+#: Up to so many rows a join needs no care for hot keys.
+FEW = 2000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined to right, which has each key once and in _n the number of left's rows with it; _n goes.
+
+    Hot keys, HOT at most, are sent to all tasks, so their rows stay where they are; others are shuffled by key.
+    """
+    if total <= FEW:
+        return left.join(right.drop("_n"), key, how)
+    hot = right.filter(F.col("_n") * HOT > total).drop("_n")
+    cold = right.filter(F.col("_n") * HOT <= total).drop("_n")
+    few = F.broadcast(hot.limit(HOT))
+    return left.join(few, key).unionByName(left.join(F.broadcast(hot.select(key).limit(HOT)), key, "left_anti").join(cold, key, how), allowMissingColumns=True)
+
+
+def whole_number(doc_id: str = "doc_id") -> Column:
+    """An id as a long: itself if it is a number or the text of one, else a hash of it; null stays null."""
+    return F.coalesce(F.col(doc_id).try_cast("long"), F.when(F.col(doc_id).isNotNull(), F.xxhash64(F.col(doc_id).cast("string"))))
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list:
-    """Two columns that tell rows apart: the id (a text hash where it is null) and the text's CRC.
+    """Two columns that tell rows apart: the id as a number (a text hash where it is null) and the text's CRC.
 
     Rows that agree in both hold the same id and text, and so get the same result.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     return [
-        F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(body)).alias("_k1"),
+        F.coalesce(whole_number(doc_id), F.xxhash64(body)).alias("_k1"),
         F.crc32(body).alias("_k2"),
     ]
 

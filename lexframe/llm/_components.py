@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexframe.llm._common import written
+from lexframe.llm._common import Scratch, hot_join, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Larger neighbours of each node move to its smallest neighbour."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")).select("u", F.least("u", "m").alias("m"), "_n")
+    return hot_join(both, least, "u", 2 * total).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node and its smaller neighbours move to the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n"))
+    moved = hot_join(edges, least, "a", total).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -30,15 +30,27 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, label) for every node of an edge table (a, b), label being the smallest node it reaches.
 
-    Null ends and loops are left out, repeated edges count once. Each round is one job whose edges are
-    written to the shared folder; about log n rounds are needed. The driver sees only a count and a sum.
+    Null ends and loops are left out, repeated edges count once. Each half round is one job whose edges are
+    written to the shared folder; about log n rounds are needed. The driver sees only a count and a sum. Nodes with
+    many edges are joined where they are (hot_join), so a large component is no large task.
     """
-    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    spark = edges.sparkSession
+    held = Scratch(spark)
+    now = held.written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     mark = _mark(now)
     while mark[0]:
-        now = written(_small_star(_large_star(now)), name)
-        after = _mark(now)
-        if after == mark:
+        after_large = Scratch(spark)
+        large = after_large.written(_large_star(now, mark[0]), name)
+        after = Scratch(spark)
+        now = after.written(_small_star(large, large.count()), name)
+        after_large.clear()
+        held.clear()
+        held = after
+        found = _mark(now)
+        if found == mark:
             break
-        mark = after
-    return now.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
+        mark = found
+    ends = now.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
+    out = written(ends, name)
+    held.clear()
+    return out

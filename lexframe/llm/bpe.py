@@ -15,16 +15,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from lexframe.llm._common import bounded_batches
+from lexframe.llm._common import bounded_batches, stashed
 
 #: The rank of a pair that no merge joins.
 NONE = np.int32(2**31 - 1)
 #: Words of more bytes than this take the heap, as a scan for each merge is quadratic in them.
 SHORT = 64
+#: Words of more bytes than this are merged in whole arrays, as a heap would take a hundred times their size.
+HUGE = 1 << 16
 #: Encoded words that a worker remembers, twice at most.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 #: A word starts anew wherever white space follows another character, so a text may be cut there.
 _SAFE = re.compile(r"(?<=\S)(?=[ \n])")
 #: The pre-tokenization pattern of byte-level BPE vocabularies of this format.
@@ -74,15 +77,15 @@ def safe_pieces(text: str, most: int) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def byte_batches(texts: Iterable[tuple[int, str]], piece_chars: int, batch_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """Group the safe pieces of (row, text) pairs into batches of about equal size, whatever the row count."""
+def byte_batches(texts: Iterable[tuple[int, str]], piece_chars: int, batch_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """Group the safe pieces of (row, text) pairs into batches of about equal UTF-8 bytes, whatever the row count."""
     batch: list[tuple[int, str]] = []
     size = 0
     for row, text in texts:
         for piece in safe_pieces(text, piece_chars):
             batch.append((row, piece))
-            size += len(piece)
-            if size >= batch_chars:
+            size += len(piece) if piece.isascii() else len(piece.encode())
+            if size >= batch_bytes:
                 yield batch
                 batch, size = [], 0
     if batch:
@@ -210,6 +213,55 @@ class Codec:
                 heapq.heappush(queue, (r, p, ids[p], ids[a]))
         return np.array([x for x, here in zip(ids, alive) if here], dtype="<u4").tobytes()
 
+    def huge_word(self, word: bytes) -> bytes:
+        """The same for a word of any size, by arrays of a few numbers a byte.
+
+        A merge makes a token whose own merges all come later, so the pairs of one rank can be merged together, from left
+        to right, and the ranks in their order. Pairs wait by rank as the places of their left parts.
+        """
+        n = len(word)
+        ids = self.byte_ids[np.frombuffer(word, np.uint8)].astype(np.int32)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        alive = np.ones(n, dtype=bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks_due: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            ranks = self.pairs.ranks(ids[places], ids[after[places]])
+            places, ranks = places[ranks != NONE], ranks[ranks != NONE]
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(np.diff(ranks)) + 1
+            for rank, part in zip(ranks[np.r_[0, cuts]].tolist() if len(ranks) else (), np.split(places, cuts)):
+                if rank not in waiting:
+                    waiting[rank] = []
+                    heapq.heappush(ranks_due, rank)
+                waiting[rank].append(part)
+
+        wait(np.arange(n - 1, dtype=np.int32))
+        while ranks_due:
+            rank = heapq.heappop(ranks_due)
+            at = np.unique(np.concatenate(waiting.pop(rank)))
+            at = at[alive[at]]
+            at = at[after[at] < n]
+            at = at[self.pairs.ranks(ids[at], ids[after[at]]) == rank]
+            if not len(at):
+                continue
+            # Of pairs that overlap (a run of one token) every second one counts, from the left.
+            first = np.ones(len(at), dtype=bool)
+            first[1:] = at[1:] != after[at[:-1]]
+            place = np.arange(len(at))
+            at = at[(place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0]
+            gone = after[at]
+            alive[gone] = False
+            ids[at] = self.joined[rank]
+            after[at] = after[gone]
+            inner = at[after[at] < n]
+            before[after[inner]] = inner
+            left = before[at]
+            wait(np.unique(np.concatenate([inner, left[left >= 0]])))
+        return ids[alive].astype("<u4").tobytes()
+
     def learn(self, words: set[str]) -> list[str]:
         """See that self.young has these words; returns those too long to be remembered."""
         if len(self.young) >= REMEMBERED:
@@ -225,7 +277,7 @@ class Codec:
                 continue
             raw = word.encode()
             if len(raw) > SHORT:
-                self.young[word] = self.long_word(raw)
+                self.young[word] = self.long_word(raw) if len(raw) <= HUGE else self.huge_word(raw)
                 long.append(word)
             else:
                 by_size.setdefault(len(raw), []).append(word)
@@ -288,15 +340,26 @@ def _arrays(values: Iterable, kind: pa.DataType, most: int = 1 << 24) -> pa.Arra
     return pa.concat_arrays(done)
 
 
-def encoded(codec: Codec, column: pa.Array, piece_chars: int = 32_768, batch_chars: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
+def encoded(codec: Codec, column: pa.Array, piece_chars: int = 32_768, batch_bytes: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
     """(row, ids) for the pieces of an Arrow column of texts, in order; null and empty texts have no piece."""
     rows = ((i, x) for i, v in enumerate(column) if (x := v.as_py()))
-    for batch in byte_batches(rows, piece_chars, batch_chars):
+    for batch in byte_batches(rows, piece_chars, batch_bytes):
         yield from zip([row for row, _ in batch], codec.batch([piece for _, piece in batch]))
 
 
+def _ids(codec: Codec, column: pa.Array) -> list[bytes]:
+    """The packed ids of each text of a column."""
+    whole = [b""] * len(column)
+    for row, pieces in groupby(encoded(codec, column), key=lambda x: x[0]):
+        whole[row] = b"".join(x for _, x in pieces)
+    return whole
+
+
+_BOTH = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+
+
 class Bpe:
-    """Spark columns of one vocabulary: encode(text) and decode(ids), ids packed as little-endian uint32."""
+    """Spark columns of one vocabulary: encode(text), decode(ids) and both at once, ids packed as little-endian uint32."""
 
     def __init__(self, spark: SparkSession, tokenizer_path: str):
         with open(tokenizer_path, encoding="utf-8") as f:
@@ -310,10 +373,7 @@ class Bpe:
         def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             codec = codec_of(spec.value)
             for column in batches:
-                whole = [b""] * len(column)
-                for row, pieces in groupby(encoded(codec, column), key=lambda x: x[0]):
-                    whole[row] = b"".join(x for _, x in pieces)
-                yield _arrays(whole, pa.binary())
+                yield _arrays(_ids(codec, column), pa.binary())
 
         return ids(text)
 
@@ -329,21 +389,33 @@ class Bpe:
 
         return text(ids)
 
+    def roundtrip(self, text: Column) -> Column:
+        """struct<ids, decoded> in one evaluation, so that a task has one Python worker and not two."""
+        spec = self.spec
+
+        @arrow_udf(_BOTH)
+        def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            codec = codec_of(spec.value)
+            for column in batches:
+                whole = _ids(codec, column)
+                yield pa.StructArray.from_arrays([_arrays(whole, pa.binary()), _arrays((codec.decode(x) for x in whole), pa.string())], ["ids", "decoded"])
+
+        return both(text)
+
 
 def bpe_roundtrip(df: DataFrame, tokenizer_path: str, *, text: str = "text") -> DataFrame:
     """df with ids (binary: little-endian uint32), n_tokens (long) and decoded (the text of these ids).
 
-    Every text is encoded whole. Special strings in a text become their own ids and decode to
-    themselves. Null counts as empty; repeated rows are encoded each; an empty table stays empty. Other
-    columns stay, columns of the three names are replaced. One pass, no shuffle.
+    Every text is encoded whole, however long: its words are, and a word of megabytes takes memory in proportion.
+    Special strings in a text become their own ids and decode to themselves. Null counts as empty; repeated rows are
+    encoded each; an empty table stays empty. Other columns stay, columns of the three names are replaced. One pass, no
+    shuffle.
     """
     bounded_batches(df.sparkSession)
-    codec = Bpe(df.sparkSession, tokenizer_path)
-    return (
-        df.withColumn("ids", codec.encode(F.col(text)))
-        .withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
-        .withColumn("decoded", codec.decode(F.col("ids")))
-    )
+    made = stashed(df.drop("ids", "n_tokens", "decoded"), text).withColumn("_both", Bpe(df.sparkSession, tokenizer_path).roundtrip(F.col(text)))
+    rest = [c for c in df.columns if c not in ("ids", "n_tokens", "decoded")]
+    columns = [F.col(c) if c == text else F.col("_row")[c].alias(c) for c in rest]
+    return made.select(*columns, F.col("_both.ids").alias("ids"), (F.octet_length("_both.ids") / 4).cast("long").alias("n_tokens"), F.col("_both.decoded").alias("decoded"))
 
 
 def unpack_ids(ids: bytes) -> list[int]:

@@ -253,6 +253,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", accept_at: float = 0.7, train_rows: int = 20_000) -> DataFrame:
-    """The rows of docs whose score is at least accept_at; all columns as they were."""
+    """The rows of docs whose score is at least accept_at; all columns as they were, whatever their names.
+
+    Null and empty texts have a score like any other text, equal texts the same one; repeated rows stay or go together.
+    Without labels of both kinds the score is one for all. An empty table stays empty.
+    """
     model = fit_quality(docs, labels, doc_id=doc_id, text=text, label=label, train_rows=train_rows)
     return docs.filter(model.score(docs, F.col(text)) >= accept_at)

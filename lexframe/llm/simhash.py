@@ -8,13 +8,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from lexframe.llm._common import SPACE_WORDS, bounded_batches, lower_ascii, row_key, texts_of, word_spans, written
-from lexframe.llm._components import components
+from lexframe.llm._buckets import linked
+from lexframe.llm._common import SPACE_WORDS, Scratch, bounded_batches, hot_join, lower_ascii, row_key, stashed, texts_of, unstashed, word_spans, written
 from lexframe.llm.golay import codeword_keys
 
 #: Fixed value: the seed of the shingle hashes.
@@ -94,7 +93,7 @@ def segment_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 @arrow_udf(T.ArrayType(T.LongType()))
-def _keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def golay_keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in batches:
         done = []
         for at in range(0, max(1, len(column)), 2048):
@@ -107,47 +106,35 @@ def _keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.concat_arrays(done)
 
 
-def _near(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MOST_BITS
+def _near(most: int):
+    return lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
 
 
 def linked_fingerprints(fingerprints: DataFrame) -> DataFrame:
     """(fp, label) for the distinct fingerprints (column fp) with a link; label is the least one of the component.
 
-    All links count, yet no group is paired with itself. First every member of a key's bucket is held
-    against the least member only, which joins dense groups into components in linear work. Then only
-    members of different components are compared: in a bucket, all against those outside the component with the
-    least label.
+    All links count; see linked() for how dense groups and frequent keys are dealt with.
     """
-    by_key = Window.partitionBy("key")
     # Each fingerprint becomes about 180 rows, so the few bytes of them are dealt to all tasks first.
-    fingerprints = fingerprints.repartition(int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    buckets = fingerprints.select("fp", F.explode(_keys("fp")).alias("key"))
-    buckets = buckets.withColumns({"rep": F.min("fp").over(by_key), "top": F.max("fp").over(by_key)}).filter("rep < top").drop("top")
-    buckets = written(buckets, "simhash-buckets")
-    stars = written(buckets.filter((F.col("fp") != F.col("rep")) & _near("fp", "rep")).select(F.col("fp").alias("a"), F.col("rep").alias("b")).distinct(), "simhash-stars")
-    first = components(stars, "simhash-first")
-    marked = buckets.select("key", "fp").join(first.withColumnRenamed("id", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    marked = marked.withColumns({"main": F.min("label").over(by_key), "last": F.max("label").over(by_key)}).filter("main < last").drop("last")
-    marked = written(marked, "simhash-mixed")
-    other = marked.filter("label <> main").select("key", F.col("fp").alias("fq"), F.col("label").alias("other"))
-    across = marked.join(other, "key").filter((F.col("label") != F.col("other")) & _near("fp", "fq")).select(F.col("label").alias("a"), F.col("other").alias("b"))
-    found = components(stars.unionByName(across), "simhash-links")
-    return found.select(F.col("id").alias("fp"), "label")
-
-
-def _resolved(df: DataFrame, doc_id: str, text: str, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """(_k1, _k2, doc_id, fp) of each row, and (fp, label, component_id) of each distinct fingerprint."""
+    dealt = fingerprints.repartition(int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    nodes = dealt.select(F.col("fp").alias("node"), F.col("fp").alias("mark"), golay_keys(F.col("fp")).alias("keys"))
+    return linked(nodes, _near(MOST_BITS)).select(F.col("id").alias("fp"), "label")
+
+
+def _resolved(df: DataFrame, doc_id: str, text: str, shingle: int) -> tuple[DataFrame, DataFrame, int]:
+    """(_k1, _k2, doc_id, fp) of each row, (fp, label, component_id, _n) of each distinct fingerprint, the number of rows."""
     bounded_batches(df.sparkSession)
+    held = Scratch(df.sparkSession)
     keyed = df.select(*row_key(doc_id, text), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     marks = written(keyed.select("_k1", "_k2", "doc_id", fingerprint(F.col("text"), shingle).alias("fp")), "simhash-marks")
-    nodes = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labels = linked_fingerprints(nodes.select("fp"))
-    joined = nodes.join(labels, "fp")
-    reached = joined.groupBy("label").agg(F.min("least").alias("reached"))
-    reached = joined.select("fp", "label").join(reached, "label")
-    known = nodes.join(reached, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("reached", "least").alias("component_id"))
-    return marks, written(known, "simhash-known")
+    nodes = held.written(marks.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("_n")), "simhash-nodes")
+    total = nodes.agg(F.sum("_n")).first()[0] or 0
+    labels = held.written(nodes.join(linked_fingerprints(nodes.select("fp")), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "simhash-labels")
+    reached = labels.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("_k"))
+    known = hot_join(labels.select("fp", "label", F.col("_n").alias("_m")), reached.withColumnRenamed("_k", "_n"), "label", nodes.count())
+    known = written(known.select("fp", "label", "component_id", F.col("_m").alias("_n")), "simhash-known")
+    held.clear()
+    return marks, known, total
 
 
 def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
@@ -158,12 +145,14 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     is one shingle, one without words or null has fingerprint 0 and links like any other. Fingerprints
     link at 4 or fewer differing bits; links carry on (components). Rows of equal texts share a fingerprint,
     and repeated rows come out repeated. A null doc_id never is a component's smallest id, unless all of
-    them are null: then component_id is null. Other columns of df are not read. An empty table gives none.
+    them are null: then component_id is null. Ids may be of any type that orders. Other columns of df are not read. An
+    empty table gives none.
 
-    The texts are read once. What follows works on distinct fingerprints, so copies cost nothing there.
+    The texts are read once. What follows works on distinct fingerprints, so copies cost nothing there; rows of a
+    frequent fingerprint are not shuffled.
     """
-    marks, known = _resolved(df, doc_id, text, shingle)
-    return marks.join(known, "fp").select("doc_id", "fp", "component_id")
+    marks, known, total = _resolved(df, doc_id, text, shingle)
+    return hot_join(marks, known, "fp", total).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
@@ -172,13 +161,15 @@ def drop_near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "
     Null ids come last; of rows with the same id the one with the least text CRC stays, of rows that are
     the same in both any one.
     """
-    marks, known = _resolved(df, doc_id, text, shingle)
-    return keep_least(df, marks.join(known, "fp"), doc_id, text)
+    marks, known, total = _resolved(df, doc_id, text, shingle)
+    return keep_least(df, hot_join(marks, known, "fp", total), doc_id, text)
 
 
 def keep_least(df: DataFrame, known: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Of the rows of df one for each label; known: label, doc_id, _k1, _k2 of each row."""
     each = known.select("label", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k2", "_k1").alias("row"))
     keep = each.groupBy("label").agg(F.min("row").alias("row")).select("row._k1", "row._k2").distinct()
-    held = df.withColumns({f"_k{i + 1}": k for i, k in enumerate(row_key(doc_id, text))})
-    return held.join(keep, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")
+    rest = list(dict.fromkeys((doc_id, text)))
+    held = stashed(df, *rest)
+    held = held.withColumns({f"_k{i + 1}": k for i, k in enumerate(row_key(doc_id, text))})
+    return unstashed(held.join(keep, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]), df, *rest)

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from lexframe.llm._common import SPACE_WORDS, bounded_batches, mix, release_shuffles, row_key, stashed, text_runs, texts_of, unstashed, window_hashes, word_hashes, word_spans, written
+from lexframe.llm._common import SPACE_WORDS, Scratch, bounded_batches, mix, release_shuffles, row_key, stashed, text_runs, texts_of, unstashed, window_hashes, word_hashes, word_spans
 
 #: Windows that a task holds before it sums up equal ones and passes them on.
-_HELD = 1 << 20
+_HELD = 1 << 18
 #: The first level's windows are at least this long, unless the windows asked for are shorter.
 _BASE = 16
 
@@ -170,23 +170,30 @@ def _repeated(rows: DataFrame) -> DataFrame:
 def repeated_starts(df: DataFrame, *, length: int = 35, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """_k1, _k2 (see row_key), blocks: the starts of all windows of `length` words that occur elsewhere too.
 
-    The first level takes windows of about half of `length` or less. Of those in a longer one it needs the anchor
-    only: if a long window repeats, so does its anchor. Windows that repeat at a level alone are
-    extended to twice the length (to `length` at last), until the last level or none is left. What
-    occurs in a task more than once is summed up there, so a window that a third of the rows share
-    is no hot key. Windows count as equal if 96 bits of two hashes agree.
+    The first level takes windows of about half of `length` or less (level_lengths). Of those in a longer one it needs the
+    anchor only: if a long window repeats, so does its anchor. Windows that repeat at a level alone are extended to twice
+    the length (to `length` at last), until the last level or until none is left. For 35 words these are two levels, 18 and
+    35: windows of 9 words or fewer repeat in unrelated texts, so a level below costs a shuffle and cuts out little. What
+    occurs in a task more than once is summed up there, so a window that a third of the rows share is no hot key. Windows
+    count as equal if 96 bits of two hashes agree; among 10^12 windows two unlike ones do with probability 0.000006.
     """
     spark = df.sparkSession
     bounded_batches(spark)
+    held = Scratch(spark)
     keyed = df.select(*row_key(doc_id, text), F.coalesce(F.col(text), F.lit("")).alias("text"))
     lengths = level_lengths(length)
     top = lengths[1] if len(lengths) > 1 else length
-    found = written(_repeated(_level(keyed, lengths[0], None, True, lengths[0], top)), "repeated-windows")
+    found = held.written(_repeated(_level(keyed, lengths[0], None, True, lengths[0], top)), "repeated-windows")
     for k in range(1, len(lengths)):
+        if found.isEmpty():
+            break
         release_shuffles(spark)
         alive = keyed.join(found, ["_k1", "_k2"]).select("_k1", "_k2", "text", "blocks")
         rows = _level(alive, lengths[k], lengths[k - 1], False, lengths[0], top)
-        found = written(_repeated(rows), "repeated-windows")
+        longer = Scratch(spark)
+        found = longer.written(_repeated(rows), "repeated-windows")
+        held.clear()
+        held = longer
         del alive, rows
     release_shuffles(spark)
     return found
@@ -228,16 +235,25 @@ def remove_repeats(df: DataFrame, *, length: int = 35, doc_id: str = "doc_id", t
     Words end at ASCII white space. Removed is each word that lies in a window of `length` words whose
     sequence also starts anywhere else, in the same text or another; all occurrences go, and all windows are
     judged on the input. Null and short texts lose nothing (null: kept is ''). Rows that are the same twice
-    are two places. Columns of df stay, those of the three names are replaced.
+    are two places. An empty table gives none. Columns of df stay, whatever their names; those of the three names are
+    replaced.
     """
     found = repeated_starts(df, length=length, doc_id=doc_id, text=text)
-    keyed = df.drop("n_words", "n_removed", "kept").withColumns({f"_k{i + 1}": k for i, k in enumerate(row_key(doc_id, text))})
+    old = df.drop("n_words", "n_removed", "kept")
+    needed = list(dict.fromkeys((doc_id, text)))
+    keyed = stashed(old, *needed)
+    keyed = keyed.withColumns({f"_k{i + 1}": k for i, k in enumerate(row_key(doc_id, text))})
     joined = keyed.join(found, ["_k1", "_k2"], "left").withColumn("_kept", _without(length)(F.col(text), F.col("blocks")))
-    return joined.select(*keyed.columns, "_kept.*").drop("_k1", "_k2")
+    back = [F.col(c) if c in needed else F.col("_row")[c].alias(c) for c in old.columns]
+    return joined.select(*back, *(F.col("_kept")[c].alias(c) for c in ("n_words", "n_removed", "kept")))
 
 
 def dedup_text(df: DataFrame, *, length: int = 35, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """df with repeated passages cut out of the text (words then joined by one space) and n_chars set anew."""
+    """df with repeated passages cut out of the text (words then joined by one space) and n_chars set anew.
+
+    Texts without a repeat stay as they are, null ones too; of a text that is all repeats '' is left. Repeated rows are
+    repeats of each other. n_chars is set in a table that has it; all other columns stay. An empty table stays empty.
+    """
     rest = [c for c in dict.fromkeys((doc_id, text, n_chars)) if c in df.columns]
     out = remove_repeats(stashed(df, *rest), length=length, doc_id=doc_id, text=text)
     out = out.withColumn(text, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(text)))

@@ -51,15 +51,15 @@ def _byte_level(spec: bytes) -> bool:
     )
 
 
-def token_count(spark: SparkSession, tokenizer_path: str, text: str | Column = "text", *, piece_chars: int = 16_384, batch_chars: int = 1 << 20) -> Column:
+def token_count(spark: SparkSession, tokenizer_path: str, text: str | Column = "text", *, piece_chars: int = 16_384, batch_bytes: int = 1 << 20) -> Column:
     """A column with the number of tokens of a text column.
 
     tokenizer_path: a .json file (tokenizers) or a .model file (sentencepiece). It is read on
     the driver and sent to the tasks once; a vocabulary has a fixed size. Byte-level BPE files go through
     the batch encoder of lexframe.llm.bpe, others through their library. Batches hold about
-    batch_chars characters whatever the number of rows; longer texts are cut at safe boundaries
-    into pieces of about piece_chars. (Texts for .model files stay whole: their pieces depend on what is
-    before them.) Special strings inside a text are handled as is the library's default; no begin,
+    batch_bytes bytes (UTF-8) whatever the number of rows; longer texts are cut at safe boundaries into pieces of
+    about piece_chars characters. (Texts for .model files and for .json files with other pre-tokenizers stay whole:
+    their pieces depend on what is before them.) Special strings inside a text are handled as is the library's default; no begin,
     end or padding tokens are added, nothing is truncated. Null and empty texts have 0 tokens. Only
     integers leave the Python workers.
     """
@@ -80,7 +80,7 @@ def token_count(spark: SparkSession, tokenizer_path: str, text: str | Column = "
         for column in batches:
             total = np.zeros(len(column), dtype=np.int64)
             rows = ((i, x) for i, v in enumerate(column) if (x := v.as_py()))
-            for batch in byte_batches(rows, piece_chars if kind == "bytes" else 1 << 62, batch_chars):
+            for batch in byte_batches(rows, piece_chars if kind == "bytes" else 1 << 62, batch_bytes):
                 np.add.at(total, [i for i, _ in batch], lengths([p for _, p in batch]))
             yield pa.array(total)
 
