@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 from collections.abc import Iterator
@@ -233,6 +234,17 @@ def text_runs(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.n
 _NEWLINE = np.frombuffer(b"\n", dtype=np.uint8)
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def tidy() -> None:
+    """Give back to the system what a Python worker has freed, as it lives on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of plans that are done, so that levels don't add up on the executors' disks.
 

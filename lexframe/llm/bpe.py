@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from lexframe.llm._common import bounded_batches, stashed
+from lexframe.llm._common import bounded_batches, stashed, tidy
 
 #: The rank of a pair that no merge joins.
 NONE = np.int32(2**31 - 1)
@@ -374,6 +374,7 @@ class Bpe:
             codec = codec_of(spec.value)
             for column in batches:
                 yield _arrays(_ids(codec, column), pa.binary())
+            tidy()
 
         return ids(text)
 
@@ -399,6 +400,7 @@ class Bpe:
             for column in batches:
                 whole = _ids(codec, column)
                 yield pa.StructArray.from_arrays([_arrays(whole, pa.binary()), _arrays((codec.decode(x) for x in whole), pa.string())], ["ids", "decoded"])
+            tidy()
 
         return both(text)
 

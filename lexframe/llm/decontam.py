@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from lexframe.llm._common import ALNUM_WORDS, bounded_batches, lower_ascii, stashed, texts_of, unstashed, word_hashes, word_spans, written
+from lexframe.llm._common import ALNUM_WORDS, Scratch, bounded_batches, lower_ascii, stashed, texts_of, tidy, unstashed, word_hashes, word_spans, written
 
 #: Words of a document that are in work at once.
 _CHUNK = 1 << 16
@@ -140,28 +140,51 @@ _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def _search(sent: Broadcast, window: int):
-    """An Arrow function (text, found so far) -> found, for one block of items."""
+    """An Arrow function text -> n_words, hit_spans, items for one block of items."""
 
     @arrow_udf(_FOUND)
-    def found(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         patterns = _patterns(sent, window)
-        for texts, before in batches:
+        for texts in batches:
             counts, spans, items = [], [], []
-            for data, old in zip(texts_of(texts), before):
+            for data in texts_of(texts):
                 n, hit, names = patterns.search(data)
-                if (old := old.as_py()) is not None:
-                    hit = hit + [(x["start"], x["end"]) for x in old["hit_spans"]]
-                    names = names | set(old["items"])
                 counts.append(n)
                 spans.append([{"start": a, "end": b} for a, b in merged(hit)])
                 items.append(sorted(names))
             yield pa.StructArray.from_arrays(
                 [pa.array(counts, pa.int64()), pa.array(spans, _ARROW_SPANS), pa.array(items, pa.list_(pa.string()))], ["n_words", "hit_spans", "items"]
             )
+        tidy()
 
     return found
 
 
+#: Words of an item that stay together; longer ones go to the blocks in pieces that overlap by a window.
+_PIECE = 4096
+
+
+def _pieces(benchmark: DataFrame, item_id: str, item_text: str, window: int) -> DataFrame:
+    """name, body: the distinct items, long ones cut into pieces that have every window of theirs in one of them."""
+    names = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(item_text), F.lit("")).alias("body")).distinct()
+    words = F.regexp_extract_all("body", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(_PIECE))
+    cut = F.transform(starts, lambda i: F.array_join(F.slice(words, i, _PIECE + window - 1), " "))
+    return names.select("name", F.explode(cut).alias("body")).filter("body <> ''").distinct()
+
+
+def _dealt(pieces: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """pieces with a block, and the number of blocks: doubled until none has over block_bytes, or a single piece each has."""
+    size = F.octet_length("body") + F.octet_length("name")
+    known = pieces.agg(F.sum(size).alias("all"), F.max(size).alias("most")).first()
+    blocks = max(1, math.ceil((known["all"] or 0) / block_bytes))
+    while True:
+        dealt = pieces.withColumn("block", F.pmod(F.xxhash64("name", "body"), F.lit(blocks)))
+        if blocks == 1 or dealt.groupBy("block").agg(F.sum(size).alias("s")).agg(F.max("s")).first()[0] <= max(block_bytes, 2 * known["most"]):
+            return dealt, blocks
+        blocks *= 2
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """docs with n_words (long), hit_spans (array of word spans start, end, end exclusive) and items (array of strings).
 
@@ -169,24 +192,54 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, te
     of `window` words of an item; an item of fewer words is one pattern, one without words none. hit_spans
     covers the document's words inside any occurrence of a pattern, items names the items with an
     occurrence, sorted as strings. Null texts have no words; a null item_id is named ''. Repeated items count once
-    by name, repeated documents each. Columns of docs stay, those of the three names are replaced.
+    by name, repeated documents each. Empty tables have no hits or no rows. Columns of docs stay, whatever their names;
+    those of the three names are replaced.
 
-    The items go to the tasks in blocks of about block_bytes of text, so that the tables of a worker have
-    a bound whatever the size of the benchmark; all documents are searched for each block, and between blocks the
-    rows are written to the shared folder. With one block there is one pass and no shuffle.
+    The items, each once and long ones in pieces, go to the tasks in blocks of block_bytes of text at most (or two
+    pieces), so that the tables of a worker and what the driver holds have a bound whatever the size of the benchmark. With
+    one block there is one pass and no shuffle. With more, all documents are searched for each block; what is found is
+    written by the rows' keys, not the texts, and joined to the documents once.
     """
-    bounded_batches(docs.sparkSession)
-    names = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(item_text), F.lit("")).alias("body"))
-    size = names.agg(F.sum(F.octet_length("body") + F.octet_length("name"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    names = names.withColumn("block", F.pmod(F.xxhash64("name", "body"), F.lit(blocks)))
-    out = docs.withColumn("_found", F.lit(None).cast(_FOUND))
-    for k in range(blocks):
-        items = [(r["name"], r["body"]) for r in names.filter(F.col("block") == k).select("name", "body").toLocalIterator()]
-        out = out.withColumn("_found", _search(docs.sparkSession.sparkContext.broadcast(items), window)(F.col(text), F.col("_found")))
-        if k + 1 < blocks:
-            out = written(out, "decontamination")
-    return out.withColumns({c: F.col(f"_found.{c}") for c in ("n_words", "hit_spans", "items")}).drop("_found")
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    held = Scratch(spark)
+    items, blocks = _dealt(held.written(_pieces(benchmark, item_id, item_text, window), "benchmark"), block_bytes)
+    old = docs.drop("n_words", "hit_spans", "items")
+    rows = stashed(old, text)
+
+    def sent(k: int) -> Broadcast:
+        return spark.sparkContext.broadcast([(r["name"], r["body"]) for r in items.filter(F.col("block") == k).select("name", "body").toLocalIterator()])
+
+    if blocks == 1:
+        found = rows.withColumn("_found", _search(sent(0), window)(F.col(text)))
+        held.clear()
+    else:
+        keys = [F.xxhash64(text, F.lit(1)).alias("_k1"), F.xxhash64(F.lit(2), text).alias("_k2")]
+        each = held.written(docs.select(*keys, F.col(text).alias("_text")).dropDuplicates(["_k1", "_k2"]), "distinct-texts")
+        parts = None
+        for k in range(blocks):
+            block = sent(k)
+            part = held.written(each.select("_k1", "_k2", _search(block, window)(F.col("_text")).alias("f")), "block-hits")
+            block.destroy()
+            parts = part if parts is None else parts.unionByName(part)
+        gathered = parts.groupBy("_k1", "_k2").agg(F.max("f.n_words").alias("n_words"), F.flatten(F.collect_list("f.hit_spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("f.items")))).alias("items"))
+        gathered = written(gathered.select("_k1", "_k2", F.struct("n_words", joined_spans(F.col("spans")).alias("hit_spans"), "items").alias("_found")), "hits")
+        held.clear()
+        found = rows.withColumns({"_k1": keys[0], "_k2": keys[1]}).join(gathered, ["_k1", "_k2"])
+    back = [F.col(c) if c == text else F.col("_row")[c].alias(c) for c in old.columns]
+    return found.select(*back, *(F.col("_found")[c].alias(c) for c in ("n_words", "hit_spans", "items")))
+
+
+def joined_spans(spans: Column) -> Column:
+    """An array of spans in order, those that overlap or touch as one."""
+    kind = "array<struct<start:int,end:int>>"
+
+    def step(out: Column, x: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when((F.size(out) > 0) & (x["start"] <= last["end"]), F.array_append(F.slice(out, F.lit(1), F.size(out) - 1), grown)).otherwise(F.array_append(out, x))
+
+    return F.aggregate(F.array_sort(spans).cast(kind), F.array().cast(kind), step)
 
 
 def hit_words() -> Column:
@@ -195,6 +248,9 @@ def hit_words() -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
-    """The rows of docs without a word inside an occurrence; all columns as they were."""
+    """The rows of docs without a word inside an occurrence; all columns as they were, whatever their names.
+
+    Null and empty texts have no words and stay, repeated rows stay or go together; without items all stay.
+    """
     found = contamination(stashed(docs, text), benchmark, text=text, **options)
     return unstashed(found.filter(F.size("hit_spans") == 0), docs, text)

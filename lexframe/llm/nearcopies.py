@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from lexframe.llm._buckets import linked
-from lexframe.llm._common import SPACE_WORDS, Scratch, bounded_batches, hot_join, lower_ascii, mix, row_key, texts_of, window_hashes, word_hashes, word_spans, written
+from lexframe.llm._common import SPACE_WORDS, Scratch, bounded_batches, hot_join, lower_ascii, mix, row_key, texts_of, tidy, window_hashes, word_hashes, word_spans, written
 from lexframe.llm.simhash import golay_keys, keep_least
 
 #: A pair of similarity s shares none of the bands with probability (1 - s ** _ROWS) ** _BANDS: 0.00006 at 0.8.
@@ -78,6 +78,7 @@ def _marks(keyed: DataFrame, shingle: int) -> DataFrame:
             keys = pa.ListArray.from_arrays(bounds, pa.array(band_keys(signatures).reshape(-1).view(np.int64)))
             columns = [*(batch.column(c) for c in ("_k1", "_k2", "doc_id")), pa.array(sets.view(np.int64)), pa.array(prints.view(np.int64)), keys]
             yield pa.RecordBatch.from_arrays(columns, ["_k1", "_k2", "doc_id", "set", "fp", "keys"])
+        tidy()
 
     kinds = keyed.schema
     long = T.LongType()
@@ -102,6 +103,7 @@ class _Sets:
                 bounds = np.zeros(len(each) + 1, dtype=np.int32)
                 np.cumsum([len(x) for x in each], out=bounds[1:])
                 yield pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.empty(0, np.uint64), *each]).view(np.int64)))
+            tidy()
 
         rows = held.written(self.rows.join(needed, "set").select(*needed.columns, "row._k1", "row._k2"), "near-needed")
         bodies = self.keyed.select("_k1", "_k2", "text").join(rows, ["_k1", "_k2"]).dropDuplicates(["set"])
@@ -154,7 +156,7 @@ def _resolved(df: DataFrame, doc_id: str, text: str, shingle: int, similarity: f
     nodes = marks.groupBy("set").agg(F.min("doc_id").alias("least"), F.min(F.struct("_k1", "_k2")).alias("row"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count("*").alias("_n"))
     nodes = held.written(nodes, "near-nodes")
     total = nodes.agg(F.sum("_n")).first()[0] or 0
-    keyed_nodes = nodes.select(F.col("set").alias("node"), F.col("fp").alias("mark"), F.concat("keys", golay_keys(F.col("fp"))).alias("keys"))
+    keyed_nodes = nodes.select(F.col("set").alias("node"), F.col("fp").alias("mark"), F.concat("keys", golay_keys(F.col("fp"), every=False)).alias("keys"))
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= _MOST_BITS
     sets = _Sets(keyed, nodes, shingle, similarity)
     labels = linked(keyed_nodes, near, sets.verify, sets.measure, sets.fits)
@@ -172,7 +174,7 @@ def near_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sh
     Two texts link if the sets of their shingles (runs of `shingle` words, A-Z lower-cased; words end at ASCII
     white space) have a Jaccard similarity of at least `similarity`; links carry on (components). A text of
     fewer words is one shingle, texts without words and nulls are alike. Candidates share a Golay key of their SimHash
-    fingerprints (all within 4 bits do) or a MinHash band; keys only name candidates, the sets themselves decide. So no
+    fingerprints (all within 4 bits and with one of three segments the same do) or a MinHash band; keys only name candidates, the sets themselves decide. So no
     pair below the similarity links; of pairs at exactly 0.8 about 0.006 % have no key in common, above it fewer.
     Shingles and sets are known by 64 hash bits. For a lower similarity than 0.8 the keys miss more. Repeated rows come out
     each; a null id is a component's smallest only if all are null; an empty table gives none.

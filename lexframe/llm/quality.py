@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from lexframe.llm._common import SPACE_WORDS, bounded_batches, text_runs, word_hashes, word_spans
+from lexframe.llm._common import SPACE_WORDS, bounded_batches, text_runs, tidy, word_hashes, word_spans
 
 #: Buckets of words and of word shapes, and the width of their vectors: the model's size is fixed.
 WORDS, SHAPES, WIDTH = 16_384, 4_096, 32
@@ -91,6 +91,7 @@ def context_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
         seen = np.flatnonzero(np.abs(total).sum(axis=1) > 0)
         columns = [pa.array(seen.astype(np.int32)), *(pa.array(total[seen, k].astype(np.int64)) for k in range(WIDTH))]
         yield pa.RecordBatch.from_arrays(columns, ["entry", *names])
+        tidy()
 
     bounded_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("entry", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in names)])
@@ -205,6 +206,7 @@ class QualityModel:
             vectors, network = sent.value
             for column in batches:
                 yield pa.array(network.scores(pooled(column, vectors)), pa.float64())
+            tidy()
 
         return scores(text)
 

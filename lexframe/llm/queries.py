@@ -127,37 +127,46 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, URL_RULES, labelled)
 
 
+#: Levels of the SQL of op10; the operator itself has as many as the longest path.
+_SQL_LEVELS = 6
+
+
+def _apart_sql(l: str, b: str, ol: str, ob: str) -> str:
+    """-1, 0 or 1 as urlfilter._apart() has it."""
+    share = f"(({ob} + 0.5) / ({ol} + 1.0))"
+    error = f"sqrt({share} * (1.0 - {share}) * (1.0 / {l} + 1.0 / ({ol} - {l})))"
+    gap = f"({b} / {l} - ({ob} - {b}) / ({ol} - {l}))"
+    return f"CASE WHEN {l} > 0 AND {ol} - {l} > 0 THEN CASE WHEN {gap} >= 1.96 * {error} THEN 1 WHEN {gap} <= -1.96 * {error} THEN -1 ELSE 0 END ELSE 0 END"
+
+
 def op10_sql() -> str:
-    """The template tree in SQL, level by level; rates fold from the root down to the leaf."""
+    """The template tree in SQL, level by level from the host down."""
     word = r"list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: regexp_replace(regexp_replace(s, '^[0-9]+($|\.)', '<n>\1'), '^[0-9a-f-]{8,}($|\.)', '<x>\1'))"
     parts = [
         r"u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages)",
-        f"f AS (SELECT *, {word} AS parts FROM u)",
-        "p AS (SELECT page_id, host, path, CASE WHEN len(parts) > 4 THEN list_concat(parts[1:4], ['**']) ELSE parts END AS form FROM f)",
+        f"p AS (SELECT *, {word} AS form FROM u)",
         r"m AS (SELECT page_id, max(1 - quality) AS bad FROM (SELECT page_id, TRY_CAST(regexp_extract(path, '/([0-9]{1,18})[^/]*/?$', 1) AS BIGINT) AS doc_id FROM p) x JOIN labels USING (doc_id) GROUP BY page_id)",
-        "l0 AS (SELECT host, form, form AS template, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM p LEFT JOIN m USING (page_id) GROUP BY host, form)",
+        "f AS (SELECT host, form, form AS template, count(*) AS n, count(bad) AS labelled, CAST(coalesce(sum(bad), 0) AS BIGINT) AS bad FROM p LEFT JOIN m USING (page_id) GROUP BY host, form)",
+        "w AS (SELECT (coalesce(sum(bad), 0) + 5.0 * CAST(0.1 AS DOUBLE)) / (coalesce(sum(labelled), 0) + 5.0) AS root FROM f)",
+        "h AS (SELECT host, (sum(bad) + 5.0 * any_value(root)) / (sum(labelled) + 5.0) AS rate FROM f, w GROUP BY host)",
+        "l0 AS (SELECT f.*, h.rate FROM f JOIN h USING (host))",
     ]
-    for d in range(4):
+    for d in range(_SQL_LEVELS):
+        side, again = _apart_sql("c.l", "c.b", "n.l", "n.b"), _apart_sql("s.l", "s.b", "t.l", "t.b")
         parts += [
-            f"n{d} AS (SELECT host, template[1:{d}] AS above, template[{d + 1}] AS seg, sum(n) AS n FROM l{d} WHERE len(template) > {d} GROUP BY ALL)",
-            f"w{d} AS (SELECT host, above, sum(n) AS total FROM n{d} GROUP BY ALL HAVING count(*) > 50)",
-            f"r{d} AS (SELECT n{d}.host, n{d}.above, n{d}.seg FROM n{d} JOIN w{d} ON w{d}.host = n{d}.host AND w{d}.above = n{d}.above WHERE n < total * 0.02)",
-            f"l{d + 1} AS (SELECT l.host, l.form, CASE WHEN r.seg IS NULL THEN l.template ELSE list_concat(l.template[1:{d}], ['*'], l.template[{d + 2}:]) END AS template, l.n, l.labelled, l.bad FROM l{d} l LEFT JOIN r{d} r ON r.host = l.host AND r.above = l.template[1:{d}] AND r.seg = l.template[{d + 1}])",
+            f"c{d} AS (SELECT host, template[1:{d}] AS above, template[{d + 1}] AS seg, CAST(sum(labelled) AS DOUBLE) AS l, CAST(sum(bad) AS DOUBLE) AS b, min(rate) AS over FROM l{d} WHERE len(template) > {d} GROUP BY ALL)",
+            f"n{d} AS (SELECT host, above, sum(l) AS l, sum(b) AS b FROM c{d} GROUP BY ALL)",
+            f"s{d} AS (SELECT c.*, {side} AS side FROM c{d} c JOIN n{d} n ON n.host = c.host AND n.above = c.above)",
+            f"t{d} AS (SELECT host, above, side, sum(l) AS l, sum(b) AS b, count(*) AS k FROM s{d} GROUP BY ALL)",
+            f"k{d} AS (SELECT s.host, s.above, s.seg, s.l, s.b, s.over, CASE WHEN t.k = 1 OR (s.side <> 0 AND {again} <> 0) THEN s.seg WHEN s.side = 0 THEN '*' WHEN s.side > 0 THEN '*+' ELSE '*-' END AS branch FROM s{d} s JOIN t{d} t ON t.host = s.host AND t.above = s.above AND t.side = s.side)",
+            f"b{d} AS (SELECT host, above, branch, (sum(b) + 5.0 * min(over)) / (sum(l) + 5.0) AS rate FROM k{d} GROUP BY ALL)",
+            f"l{d + 1} AS (SELECT l.host, l.form, CASE WHEN k.branch IS NULL THEN l.template ELSE list_concat(l.template[1:{d}], [k.branch], l.template[{d + 2}:]) END AS template, l.n, l.labelled, l.bad, coalesce(b.rate, l.rate) AS rate FROM l{d} l LEFT JOIN k{d} k ON k.host = l.host AND k.above = l.template[1:{d}] AND k.seg = l.template[{d + 1}] LEFT JOIN b{d} b ON b.host = k.host AND b.above = k.above AND b.branch = k.branch)",
         ]
-    parts += [
-        "c AS (SELECT host, form, template, labelled, bad, unnest(range(0, len(template) + 2)) AS level FROM l4)",
-        "k AS (SELECT *, CASE level WHEN 0 THEN '' ELSE '/' || array_to_string(list_concat([host], template[1:level - 1]), '/') END AS node FROM c)",
-        "s AS (SELECT level, node, sum(labelled) AS lab, sum(bad) AS bad FROM k GROUP BY level, node)",
-        "q AS (SELECT k.host, k.form, k.template, " + ", ".join(f"max(CASE WHEN k.level = {i} THEN s.lab END) AS lab{i}, max(CASE WHEN k.level = {i} THEN s.bad END) AS bad{i}" for i in range(7)) + " FROM k JOIN s ON s.level = k.level AND s.node = k.node GROUP BY k.host, k.form, k.template)",
-        "a0 AS (SELECT *, CAST(0.1 AS DOUBLE) AS rate FROM q)",
-    ]
-    for i in range(7):
-        parts.append(f"a{i + 1} AS (SELECT * EXCLUDE (rate), CASE WHEN lab{i} > 0 AND abs(bad{i} / lab{i} - rate) >= 1.96 * sqrt(rate * (1.0 - rate) / lab{i}) THEN (bad{i} + 5.0 * rate) / (lab{i} + 5.0) ELSE rate END AS rate FROM a{i})")
     fits = lambda domain, rest: f"(host = '{domain}' OR ends_with(host, '.{domain}')) AND starts_with(path, '{rest}')"
     rules = [(r, v, *r.partition("/")[::2]) for r, v in sorted(URL_RULES, key=lambda r: -len(r[0]))]
     rule = "CASE " + " ".join(f"WHEN {fits(d, '/' + rest)} THEN '{r}'" for r, _, d, rest in rules) + " END"
     says = "CASE " + " ".join(f"WHEN {fits(d, '/' + rest)} THEN '{v}'" for _, v, d, rest in rules) + " WHEN rate >= 0.5 THEN 'block' ELSE 'allow' END"
-    return f"WITH {', '.join(parts)} SELECT p.page_id, p.host, p.path, {rule} AS rule, '/' || array_to_string(template, '/') AS template, rate AS bad_rate, {says} AS verdict FROM p JOIN a7 USING (host, form)"
+    return f"WITH {', '.join(parts)} SELECT p.page_id, p.host, p.path, {rule} AS rule, '/' || array_to_string(template, '/') AS template, rate AS bad_rate, {says} AS verdict FROM p JOIN l{_SQL_LEVELS} USING (host, form)"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexframe.llm._common import whole_number, written
+
 
 @dataclass(frozen=True)
 class Node:
@@ -64,7 +66,7 @@ def tree_shard(key: Column, tree: Node) -> Column:
 
 def shard_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """What a row is dealt by: its id, or the hash of its text where the id is null."""
-    return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    return F.coalesce(whole_number(doc_id), F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
 
 
 def assign_shards(df: DataFrame, tree: Node, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -85,6 +87,8 @@ def with_slots(rows: DataFrame, *, by: str = "shard", slot: str = "slot", bucket
     names = [c for c in rows.columns if c != by]
     counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("_copies")).withColumn("_bucket", F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int"))
     inside = Window.partitionBy(by, "_bucket").orderBy(*names)
+    # Read twice below, so written once: a few numbers for each distinct row, and no text.
+    counted = written(counted, "shard-rows")
     counted = counted.withColumn("_first", F.sum("_copies").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_copies"))
     sizes = counted.groupBy(by, "_bucket").agg(F.sum("_copies").alias("_size"))
     before = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)

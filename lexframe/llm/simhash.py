@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from lexframe.llm._buckets import linked
-from lexframe.llm._common import SPACE_WORDS, Scratch, bounded_batches, hot_join, lower_ascii, row_key, stashed, texts_of, unstashed, word_spans, written
+from lexframe.llm._common import SPACE_WORDS, Scratch, bounded_batches, hot_join, lower_ascii, row_key, stashed, texts_of, tidy, unstashed, word_spans, written
 from lexframe.llm.golay import codeword_keys
 
 #: Fixed value: the seed of the shingle hashes.
@@ -57,18 +57,20 @@ def fingerprint(text: Column, shingle: int = 4) -> Column:
         for column in batches:
             found = np.fromiter((fingerprint_of(x, shingle) for x in texts_of(column)), dtype=np.uint64, count=len(column))
             yield pa.array(found.view(np.int64))
+        tidy()
 
     return marks(text)
 
 
-def segment_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def segment_keys(fingerprints: np.ndarray, every: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) pairs: two fingerprints that differ in at most 4 bits have a key in common.
 
     A fingerprint is cut into segments of 21, 21 and 22 bits, each a word of the Golay code with 2, 2 and 1
     zero data bits. Of 4 errors over three segments, either none falls into some segment: then that segment is
     the same, another has at most 2 errors, and the key is the one's bits with a codeword index of the
     other. Or each segment has some: then none has over 2, and the key is an index of each. So every key
-    fixes 33 to 36 bits, and keys of unrelated fingerprints seldom meet.
+    fixes 33 to 36 bits, and keys of unrelated fingerprints seldom meet. Without `every` the keys of the second kind
+    are left out, five sixths of all: those that are left hold for pairs with a segment in common.
     """
     fp = fingerprints.view(np.uint64)
     cut = np.uint64((1 << 21) - 1)
@@ -83,7 +85,7 @@ def segment_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                     row = np.flatnonzero(count > a)
                     rows.append(row)
                     keys.append((np.int64(i * 3 + j + 1) << 40) | plain[i][row] << 12 | index[row, a])
-    for a in range(6):
+    for a in range(6 if every else 0):
         for b in range(6):
             for c in range(6):
                 row = np.flatnonzero((near[0][1] > a) & (near[1][1] > b) & (near[2][1] > c))
@@ -92,18 +94,24 @@ def segment_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-@arrow_udf(T.ArrayType(T.LongType()))
-def golay_keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for column in batches:
-        done = []
-        for at in range(0, max(1, len(column)), 2048):
-            part = column.slice(at, 2048)
-            rows, keys = segment_keys(part.to_numpy(zero_copy_only=False))
-            order = np.argsort(rows, kind="stable")
-            bounds = np.zeros(len(part) + 1, dtype=np.int32)
-            np.cumsum(np.bincount(rows, minlength=len(part)), out=bounds[1:])
-            done.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys[order])))
-        yield pa.concat_arrays(done)
+def golay_keys(fingerprint: Column, every: bool = True) -> Column:
+    """The segment_keys() of a column of fingerprints, as an array."""
+
+    @arrow_udf(T.ArrayType(T.LongType()))
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            done = []
+            for at in range(0, max(1, len(column)), 2048):
+                part = column.slice(at, 2048)
+                rows, keys = segment_keys(part.to_numpy(zero_copy_only=False), every)
+                order = np.argsort(rows, kind="stable")
+                bounds = np.zeros(len(part) + 1, dtype=np.int32)
+                np.cumsum(np.bincount(rows, minlength=len(part)), out=bounds[1:])
+                done.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys[order])))
+            yield pa.concat_arrays(done)
+        tidy()
+
+    return made(fingerprint)
 
 
 def _near(most: int):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from lexframe.llm._common import SPACE_WORDS, Scratch, bounded_batches, mix, release_shuffles, row_key, stashed, text_runs, texts_of, unstashed, window_hashes, word_hashes, word_spans
+from lexframe.llm._common import SPACE_WORDS, Scratch, bounded_batches, mix, release_shuffles, row_key, stashed, text_runs, texts_of, tidy, unstashed, window_hashes, word_hashes, word_spans
 
 #: Windows that a task holds before it sums up equal ones and passes them on.
 _HELD = 1 << 18
@@ -150,6 +150,8 @@ def _level(docs: DataFrame, length: int, before: int | None, first: bool, base:
                 if sums.add(h, g, k1[row + at], k2[row + at], starts - run.bounds[at]):
                     yield from sums.flush()
         yield from sums.flush()
+        del sums
+        tidy()
 
     return docs.mapInArrow(windows, _ROWS)
 
@@ -225,6 +227,7 @@ def _without(length: int):
                 out.append(body)
             strings = pa.array(out, pa.binary()).cast(pa.string())
             yield pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(removed, pa.int64()), strings], ["n_words", "n_removed", "kept"])
+        tidy()
 
     return kept
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lexframe.llm._common import bounded_batches
+from lexframe.llm._common import bounded_batches, tidy
 from lexframe.llm.bpe import byte_batches, codec_of
 
 
@@ -83,6 +83,7 @@ def token_count(spark: SparkSession, tokenizer_path: str, text: str | Column = "
             for batch in byte_batches(rows, piece_chars if kind == "bytes" else 1 << 62, batch_bytes):
                 np.add.at(total, [i for i, _ in batch], lengths([p for _, p in batch]))
             yield pa.array(total)
+        tidy()
 
     return count(F.col(text) if isinstance(text, str) else text)
 

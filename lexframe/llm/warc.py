@@ -79,6 +79,10 @@ def resolve_revisits(records: DataFrame, *, bucket_seconds: int = 86_400) -> Dat
             "response": F.when(full, F.struct(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"))),
         }
     )
+    # A record without a url or a time is in no order: it stays out of the windows, where all such would meet.
+    placed = F.col("url").isNotNull() & F.col("ts").isNotNull()
+    adrift = rows.filter(~placed & (F.col("kind") == "revisit")).withColumn("found", F.lit(None).cast(rows.schema["response"].dataType))
+    rows = rows.filter(placed)
     inside = Window.partitionBy("url", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("near", F.last("response", ignorenulls=True).over(inside))
     lasts = rows.filter("response is not null").groupBy("url", "bucket").agg(F.max_by("response", F.struct("ts", "record_id")).alias("last"))
@@ -86,7 +90,7 @@ def resolve_revisits(records: DataFrame, *, bucket_seconds: int = 86_400) -> Dat
     before = Window.partitionBy("url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = buckets.select("url", "bucket", F.last("last", ignorenulls=True).over(before).alias("carried")).filter("carried is not null")
     visits = rows.filter("kind = 'revisit'").join(carried, ["url", "bucket"], "left").withColumn("found", F.coalesce("near", "carried"))
-    visits = visits.withColumn("found", F.when(F.col("url").isNotNull() & F.col("ts").isNotNull(), F.col("found")))
+    visits = visits.select(*adrift.columns).unionByName(adrift)
     own, theirs = F.col("headers"), F.col("found.stored")
     tags = _strong(own["etag"]) == _strong(theirs["etag"])
     agrees = F.coalesce(tags, own["last-modified"] == theirs["last-modified"])

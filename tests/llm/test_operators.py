@@ -243,6 +243,170 @@ def test_templates_of_bad_pages_are_blocked(spark):
     assert judge_urls(pages.limit(0), [], labelled).count() == 0
 
 
+def test_deep_branches_and_alike_siblings(spark):
+    rows = [(i, f"http://deep.com/a/b/c/d/{'spam' if i % 2 else 'fine'}/{i}") for i in range(400)]
+    rows += [(1000 + i, f"http://many.com/{'bad' if i % 2 else 'good'}{'abcdefgh'[i % 16 // 2]}/{i}") for i in range(480)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("x")).withColumn("form", F.lit(1))
+    labelled = spark.createDataFrame([(i, i % 2) for i in [*range(200), *range(1000, 1480)]], "page_id long, bad int")
+    got = {r.page_id: r for r in judge_urls(pages, [], labelled).collect()}
+    assert all((got[i].verdict == "block") == bool(i % 2) for i in [*range(400), *range(1000, 1480)])
+    assert got[1].template == "/a/b/c/d/spam/<n>" and {got[i].template for i in range(1000, 1480)} == {"/*+/<n>", "/*-/<n>"}
+
+
+def plain_tree(urls, prior=0.1, strength=5.0, z=1.96):
+    """The template tree by plain loops: (host, form) -> (template, rate)."""
+    leaves = collections.defaultdict(lambda: [0, 0])
+    for host, path, bad in urls:
+        form = tuple(re.sub(r"^[0-9a-f-]{8,}(?=$|\.)", "<x>", re.sub(r"^[0-9]+(?=$|\.)", "<n>", s)) for s in path.split("/") if s)
+        leaves[host, form][0] += bad is not None
+        leaves[host, form][1] += bad or 0
+    smooth = lambda n, b, above: (b + strength * above) / (n + strength)
+    total = [sum(x[i] for x in leaves.values()) for i in (0, 1)]
+    out = {}
+
+    def side(n, b, alln, allb):
+        if n == 0 or alln == n:
+            return 0
+        share = (allb + 0.5) / (alln + 1)
+        error = (share * (1 - share) * (1 / n + 1 / (alln - n))) ** 0.5
+        gap = b / n - (allb - b) / (alln - n)
+        return 1 if gap >= z * error else -1 if gap <= -z * error else 0
+
+    def walk(host, mine, depth, rate):
+        """mine: (form, template so far) of a branch."""
+        for form, template in mine:
+            if len(form) <= depth:
+                out[host, form] = (template, rate)
+        kids = collections.defaultdict(list)
+        for form, template in mine:
+            if len(form) > depth:
+                kids[form[depth]].append((form, template))
+        counts = {s: [sum(leaves[host, f][i] for f, _ in x) for i in (0, 1)] for s, x in kids.items()}
+        every = [sum(c[i] for c in counts.values()) for i in (0, 1)]
+        sides = {s: side(*c, *every) for s, c in counts.items()}
+        branches = collections.defaultdict(list)
+        for s, c in counts.items():
+            alike = [counts[x] for x in counts if sides[x] == sides[s]]
+            pool = [sum(x[i] for x in alike) for i in (0, 1)]
+            own = len(alike) == 1 or (sides[s] and side(*c, *pool))
+            branches[s if own else {0: "*", 1: "*+", -1: "*-"}[sides[s]]].append(s)
+        for name, segments in branches.items():
+            n, b = (sum(counts[s][i] for s in segments) for i in (0, 1))
+            walk(host, [(f, (*t, name)) for s in segments for f, t in kids[s]], depth + 1, smooth(n, b, rate))
+
+    root = smooth(*total, prior)
+    for host in {h for h, _ in leaves}:
+        forms = [f for h, f in leaves if h == host]
+        n, b = (sum(leaves[host, f][i] for f in forms) for i in (0, 1))
+        walk(host, [(f, ()) for f in forms], 0, smooth(n, b, root))
+    return out
+
+
+def test_template_tree_against_brute_force(spark):
+    from lexframe.llm.urlfilter import template_tree
+
+    rng = random.Random(8)
+    urls = []
+    for _ in range(3000):
+        path = "/".join(rng.choice(["a", "bad", "ok", "x1", "12", "deadbeef", "u" + str(rng.randrange(40))]) for _ in range(rng.randint(0, 6)))
+        chance = 0.8 if "bad" in path else 0.1
+        urls.append((rng.choice(["h1", "h1", "h2", "", "h3"]), "/" + path, rng.choice([None, int(rng.random() < chance), int(rng.random() < chance)])))
+    got = {(r.host, tuple(r.form)): (tuple(r.template), r.bad_rate) for r in template_tree(spark.createDataFrame(urls, "host string, path string, bad int")).collect()}
+    want = plain_tree(urls)
+    assert set(got) == set(want)
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
+
+
+def test_benchmark_of_repeats_and_of_one_large_item(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(20000)]
+    long_item = " ".join(words)
+    docs = [(i, " ".join(words[i * 50 : i * 50 + 12])) for i in range(400)] + [(900, "none of it"), (901, None), (901, None), (902, "x y z")]
+    items = [(5, "x Y z")] * 2000 + [(6, long_item), (7, " ".join(rng.sample(words, 30)))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("_found", F.lit(3)).withColumn("_k1", F.lit(4))
+    marks = spark.createDataFrame(items, "item_id long, text string")
+    want = plain_hits(docs, items, 10)
+    for size in (1000, 1 << 22):
+        rows = contamination(frame, marks, block_bytes=size).withColumn("n_hit", hit_words()).collect()
+        assert len(rows) == len(docs) and {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in rows} == want and {(r._found, r._k1) for r in rows} == {(3, 4)}
+    kept = drop_contaminated(frame, marks, block_bytes=1000)
+    assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [900, 901, 901]
+
+
+def test_ids_that_are_no_numbers(spark):
+    from lexframe.llm.simhash import drop_near_duplicates, near_duplicates
+    from lexframe.llm.substring import remove_repeats
+
+    body = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([("a-1", body), ("b", body), (None, "short"), ("7", body + " more")], "doc_id string, text string").withColumns({c: F.lit(c) for c in ("_k1", "_k2", "blocks", "label", "fp", "_row")})
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == {"a-1": "7", "b": "7", "7": "7", None: None}
+    kept = drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and {(r.doc_id, r._k1, r.label) for r in kept.collect()} == {("7", "_k1", "label"), (None, "_k1", "label")}
+    cut = remove_repeats(docs)
+    assert cut.columns == [*docs.columns, "n_words", "n_removed", "kept"] and {(r.doc_id, r.n_removed, r.blocks) for r in cut.collect()} == {("a-1", 60, "blocks"), ("b", 60, "blocks"), (None, 0, "blocks"), ("7", 60, "blocks")}
+    got = shard_table(docs, even_tree(4)).collect()
+    assert {r.doc_id for r in got} == {"a-1", "b", "7", None}
+    with pytest.raises(ValueError):
+        search(docs, docs)
+
+
+def test_draws_of_shards_by_a_second_version(spark):
+    """The hash tree with draws in plain Python, over Spark's own hashes of (node name, key)."""
+    import math
+
+    tree = Node("root", (Node("r0", (Node("s0", shard=0, own_weight=3.0), Node("s1", shard=1))), Node("r1", (Node("s2", shard=2), Node("s3", shard=3, own_weight=0.0))), Node("r2", (Node("s4", shard=4),))))
+    names = [n.name for n in (*tree.children, *(c for r in tree.children for c in r.children))]
+    docs = table(spark, [f"t{i}" for i in range(800)])
+    hashed = {r.doc_id: r for r in docs.select("doc_id", *(F.xxhash64(F.lit(n), F.col("doc_id")).alias(n) for n in names)).collect()}
+
+    def shard(doc, node):
+        while node.children:
+            draw = lambda c: -math.log((((hashed[doc][c.name] & (1 << 64) - 1) >> 11) + 0.5) / (1 << 53)) / c.weight
+            node = min((c for c in node.children if c.weight > 0), key=draw)
+        return node.shard
+
+    assert {r.doc_id: r.shard for r in assign_shards(docs, tree).collect()} == {i: shard(i, tree) for i in range(800)}
+
+
+def test_search_skips_postings_and_takes_odd_tables(spark):
+    from lexframe.llm import search as module
+
+    rng = random.Random(11)
+    texts = [" ".join([*rng.choices([f"t{i * 8 // 600}x{j}" for j in range(30)], k=40), f"of{i % 7}"]) for i in range(600)]  # eight subjects
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumns({c: F.lit(0) for c in ("term", "score", "query_id", "_n", "ids")}).coalesce(1)
+    asked = docs.filter("doc_id % 20 = 0")
+    first = search(docs, asked, k=3).collect()
+    assert len(first) == 90 and {r.query_id for r in first if r["rank"] == 1 and r.doc_id == r.query_id} == set(range(0, 600, 20))
+    assert 0 < module.LAST_TALLY[1] < module.LAST_TALLY[0]
+    assert search(docs, asked.limit(0)).count() == 0
+
+
+def test_revisits_without_url_or_time(spark):
+    rows = [(1, None, 5, "revisit", "HTTP/1.1 304 N\r\nA: 1\r\n"), (2, "http://h/", None, "revisit", "HTTP/1.1 304 N\r\n"), (3, None, 1, "response", "HTTP/1.1 200 OK\r\n"), (1, None, 5, "revisit", "HTTP/1.1 304 N\r\nA: 1\r\n")]
+    frame = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, block string").withColumns({c: F.lit(1) for c in ("bucket", "late", "found", "response")})
+    got = [(r.record_id, r.response_id, r.outcome, r.headers) for r in resolve_revisits(frame).orderBy("record_id").collect()]
+    assert got == [(1, None, "no_response", {"a": "1"}), (1, None, "no_response", {"a": "1"}), (2, None, "no_response", {})]
+    assert resolve_revisits(frame.limit(0)).count() == 0
+
+
+def test_words_of_any_length():
+    with open(path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        codec = Codec(f.read())
+    rng = random.Random(12)
+    for word in ["".join(rng.choices("aabcdeéthingré", k=rng.randint(2, 500))) for _ in range(60)] + ["a" * 999, "ab" * 400, "!" * 70]:
+        assert codec.huge_word(word.encode()) == codec.long_word(word.encode())
+    lib = library("byte_bpe_50k.json")
+    word = "".join(rng.choices("etaoinshrdlu", k=90_000))
+    assert unpack_ids(codec.batch([word])[0]) == lib.encode(word, add_special_tokens=False).ids
+
+
+def test_batches_count_bytes():
+    from lexframe.llm.bpe import byte_batches
+
+    sizes = [sum(len(p.encode()) for _, p in b) for b in byte_batches(enumerate(["中文 " * 50] * 20), 64, 1000)]
+    assert all(1000 <= s < 1300 for s in sizes[:-1])
+
+
 def test_queries_have_the_agreed_columns(spark, sf_dir):
     known = queries.queries()
     row = known["op3_bpe"](spark, sf_dir).orderBy("doc_id").first()
