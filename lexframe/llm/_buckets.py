@@ -51,13 +51,21 @@ def linked(nodes: DataFrame, near: Callable[[str, str], Column], verify: Callabl
     total = buckets.count()
     popular = held.written(buckets.groupBy("node").agg(F.sum("n").alias("company")), "company")
     reps = buckets.join(popular, "node").groupBy("key").agg(F.max(F.struct("company", "node", "mark")).alias("rep"), F.count("*").alias("_n"))
-    reps = held.written(reps.select("key", F.col("rep.node").alias("rep"), F.col("rep.mark").alias("rep_mark"), "_n"), "reps")
+    reps = held.written(reps.select("key", F.col("rep.node").alias("rep"), F.col("rep.mark").alias("rep_mark"), F.col("rep.company").alias("company"), "_n"), "reps")
     if total > 1_000_000:
         release_shuffles(spark)
     stars = hot_join(buckets, reps, "key", total).filter((F.col("node") != F.col("rep")) & near("mark", "rep_mark"))
-    stars = held.written(stars.select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), "star-pairs")
-    links = stars if verify is None else held.written(verify(stars), "star-links")
-    first = components(links, "first")
+    stars = held.written(stars.groupBy(F.col("node").alias("a"), F.col("rep").alias("b")).agg(F.max("company").alias("company")), "star-pairs")
+    # A node's most popular representative first; the others only where that has left them in another component.
+    best = stars.groupBy("a").agg(F.max_by("b", F.struct("company", "b")).alias("b"))
+    links = held.written(best if verify is None else verify(best), "star-links")
+    first = held.written(components(links, "first"), "first-labels")
+    known = stars.join(first.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left")
+    ends = stars.groupBy("b").agg(F.count("*").alias("_n")).join(first.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
+    rest = hot_join(known, ends, "b", stars.count()).filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
+    more = held.written(rest if verify is None else verify(rest), "more-links")
+    links = held.written(links.unionByName(more), "links")
+    first = components(links, "second")
 
     labelled = held.written(buckets.join(first.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("_n")).filter("lo < hi").select("key", "_n")

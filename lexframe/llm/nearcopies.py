@@ -123,22 +123,32 @@ class _Sets:
         return out
 
     def measure(self, nodes: DataFrame) -> DataFrame:
-        """node, size (struct: all shingles of the set, and those that a set of another label has too) for nodes (node, label)."""
+        """node, size for nodes (node, label): how many shingles a set has, how many of them are frequent, and those that are rare.
+
+        Only shingles that sets of several labels have are in an overlap across labels, so only they count. Frequent is
+        what more than one in 64 of these sets has: a dense group has its common text there, and its edits among the rare.
+        """
         held = Scratch(nodes.sparkSession)
         sets = self.hashes(nodes.withColumnRenamed("node", "set"), held)
         each = held.written(sets.select("set", "label", F.explode("hashes").alias("h")), "near-shingles")
-        # A shingle that one label alone has is in no overlap with others.
-        inside = each.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("_n")).filter("lo = hi").select("h", "_n")
-        own = hot_join(each, inside, "h", each.count()).groupBy("set").agg(F.count("*").alias("own"))
-        sizes = sets.select("set", F.size("hashes").alias("every")).join(own, "set", "left")
-        out = written(sizes.select(F.col("set").alias("node"), F.struct("every", (F.col("every") - F.coalesce("own", F.lit(0))).alias("shared")).alias("size")), "near-sizes")
+        many = max(4, sets.count() // 64)
+        known = each.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("_n")).filter("lo < hi").select("h", "_n", F.col("_n").alias("df"))
+        met = hot_join(each.select("set", "h"), known, "h", each.count()).groupBy("set").agg(F.count_if(F.col("df") > many).alias("frequent"), F.collect_list(F.when(F.col("df") <= many, F.col("h"))).alias("rare"))
+        sizes = sets.select("set", F.size("hashes").alias("every")).join(met, "set", "left")
+        none = F.array().cast("array<bigint>")
+        size = F.struct("every", F.coalesce("frequent", F.lit(0)).alias("frequent"), F.coalesce("rare", none).alias("rare"))
+        out = written(sizes.select(F.col("set").alias("node"), size.alias("size")), "near-sizes")
         held.clear()
         return out
 
     def fits(self, a: str, b: str) -> Column:
-        """Whether two sets can be similar enough by their sizes: at best they have in common what the one with less shares."""
-        most = F.least(F.col(a)["shared"], F.col(b)["shared"])
-        return most >= F.lit(self.similarity) * (F.col(a)["every"] + F.col(b)["every"] - most)
+        """Whether two sets can be similar enough: they have the rare shingles in common that both have, and of the
+        frequent ones at best as many as the one with fewer."""
+        one, two = F.col(a), F.col(b)
+        some = F.least(one["frequent"], two["frequent"]) + F.least(F.size(one["rare"]), F.size(two["rare"]))
+        most = F.least(one["frequent"], two["frequent"]) + F.size(F.array_intersect(one["rare"], two["rare"]))
+        enough = lambda n: n >= F.lit(self.similarity) * (one["every"] + two["every"] - n)
+        return F.when(enough(some), enough(most)).otherwise(False)
 
 
 #: Fingerprints of sets of similarity 0.8 differ in 9.7 of 64 bits on average and, bit for bit, in over 22 with probability
