@@ -389,7 +389,14 @@ _SIGNALS = [("contract", "payable", 3), ("contract", "terminate", 3)]
 _CONFLICTS = [("fee_and_exit", "payable", "terminate")]
 
 
-@query("p6_document_review", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'contract' ELSE 'other' END AS doc_type, 3 AS n_clauses, CASE doc_id % 3 WHEN 0 THEN 4 ELSE 1 END AS score, CASE doc_id % 3 WHEN 0 THEN 'elevated' ELSE 'moderate' END AS grade, 1 AS n_amounts, 1 AS n_periods, CASE doc_id % 3 WHEN 0 THEN 1 ELSE 0 END AS n_conflicts FROM documents")
+@query(
+    "p6_document_review",
+    r"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'contract' ELSE 'other' END AS doc_type, 3 AS n_clauses, CASE doc_id % 3 WHEN 0 THEN 4 ELSE 1 END AS score, CASE doc_id % 3 WHEN 0 THEN 'elevated' ELSE 'moderate' END AS grade,
+  len(list_distinct(list_transform(list_concat(regexp_extract_all(text, '(?i)(?:AUD ?|A[$]|[$]) ?[0-9]+(?:,[0-9]+)*(?:[.][0-9]+)?(?: ?(?:thousand|million|billion|bn|k|m)\b)?|\b[0-9]+(?:,[0-9]+)*(?:[.][0-9]+)?(?: ?(?:thousand|million|billion|bn|k|m)\b)? (?:Australian )?dollars\b'),
+    regexp_extract_all(text, '(?i)\b[0-9]+(?:,[0-9]+)*(?:[.][0-9]+)? ?(?:%|per ?cent\b)')), lambda x: lower(regexp_replace(trim(x), '\s+', ' ', 'g'))))) AS n_amounts,
+  len(list_distinct(list_transform(regexp_extract_all(text, '(?i)\b[0-9]{1,4}\s*(?:(?:business|working|calendar)\s+)?(?:day|week|month|year)s?\b'), lambda x: lower(regexp_replace(trim(x), '\s+', ' ', 'g'))))) AS n_periods, CASE doc_id % 3 WHEN 0 THEN 1 ELSE 0 END AS n_conflicts FROM clauses_src""",
+    "clauses_src",
+)
 def _(v, t):
     return document_review(v("clauses_src"), _RULES, _SIGNALS, _CONFLICTS)
 
