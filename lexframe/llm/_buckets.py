@@ -47,15 +47,17 @@ def linked(nodes: DataFrame, near: Callable[[str, str], Column], verify: Callabl
     spark = nodes.sparkSession
     held = Scratch(spark)
     flat = nodes.select("node", "mark", F.explode("keys").alias("key"))
-    buckets = _shared(flat, held)
-    total = buckets.count()
-    popular = held.written(buckets.groupBy("node").agg(F.sum("n").alias("company")), "company")
-    reps = buckets.join(popular, "node").groupBy("key").agg(F.max(F.struct("company", "node", "mark")).alias("rep"), F.count("*").alias("_n"))
-    reps = held.written(reps.select("key", F.col("rep.node").alias("rep"), F.col("rep.mark").alias("rep_mark"), F.col("rep.company").alias("company"), "_n"), "reps")
+    # What is known of a node is kept once, with its shared keys beside it, and told to these by exploding them.
+    shared = _shared(flat, held).groupBy("node").agg(F.first("mark").alias("mark"), F.sum("n").alias("company"), F.collect_set("key").alias("keys"))
+    shared = held.written(shared, "shared-keys")
+    buckets = shared.select("node", "mark", "company", F.explode("keys").alias("key"))
+    total = shared.agg(F.sum(F.size("keys"))).first()[0] or 0
+    reps = buckets.groupBy("key").agg(F.max(F.struct("company", "node", "mark")).alias("rep"), F.count("*").alias("_n"))
+    reps = held.written(reps.select("key", F.col("rep.node").alias("rep"), F.col("rep.mark").alias("rep_mark"), F.col("rep.company").alias("rep_company"), "_n"), "reps")
     if total > 1_000_000:
         release_shuffles(spark)
     stars = hot_join(buckets, reps, "key", total).filter((F.col("node") != F.col("rep")) & near("mark", "rep_mark"))
-    stars = held.written(stars.groupBy(F.col("node").alias("a"), F.col("rep").alias("b")).agg(F.max("company").alias("company")), "star-pairs")
+    stars = held.written(stars.groupBy(F.col("node").alias("a"), F.col("rep").alias("b")).agg(F.max("rep_company").alias("company")), "star-pairs")
     # A node's most popular representative first; the others only where that has left them in another component.
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("company", "b")).alias("b"))
     links = held.written(best if verify is None else verify(best), "star-links")
@@ -67,15 +69,17 @@ def linked(nodes: DataFrame, near: Callable[[str, str], Column], verify: Callabl
     links = held.written(links.unionByName(more), "links")
     first = components(links, "second")
 
-    labelled = held.written(buckets.join(first.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    named = held.written(shared.join(first.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    labelled = named.select("node", "mark", "label", F.explode("keys").alias("key"))
     several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("_n")).filter("lo < hi").select("key", "_n")
-    mixed = held.written(hot_join(labelled, several, "key", total).select("node", "mark", "key", "label"), "mixed")
+    left = hot_join(labelled, several, "key", total).groupBy("node").agg(F.first("mark").alias("mark"), F.first("label").alias("label"), F.sort_array(F.collect_set("key")).alias("keys"))
+    left = held.written(left, "mixed")
     if measure is not None:
-        mixed = held.written(mixed.join(measure(mixed.select("node", "label").distinct()), "node"), "measured")
+        left = held.written(left.join(measure(left.select("node", "label")), "node"), "measured")
     else:
-        mixed = mixed.withColumn("size", F.lit(None).cast("int"))
+        left = left.withColumn("size", F.lit(None).cast("int"))
     # A pair is made at the least of the keys that both have, and so once.
-    mixed = held.written(mixed.join(mixed.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys")), "node"), "keyed")
+    mixed = left.select("node", "mark", "label", "size", "keys", F.explode("keys").alias("key"))
     sizes = mixed.groupBy("key", "label").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("_n")).select("key", F.col("m.label").alias("main"), "_n")
     others = hot_join(mixed, main, "key", total).filter("label <> main").select("key", F.col("node").alias("node2"), F.col("mark").alias("mark2"), F.col("label").alias("label2"), F.col("size").alias("size2"), F.col("keys").alias("keys2"))
