@@ -7,13 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from lexframe.llm._buckets import linked
 from lexframe.llm._common import SPACE_WORDS, Scratch, bounded_batches, hot_join, lower_ascii, row_key, stashed, texts_of, tidy, unstashed, word_spans, written
+from lexframe.llm._components import components
 from lexframe.llm.golay import codeword_keys
 
 #: Fixed value: the seed of the shingle hashes.
@@ -121,12 +121,28 @@ def _near(most: int):
 def linked_fingerprints(fingerprints: DataFrame) -> DataFrame:
     """(fp, label) for the distinct fingerprints (column fp) with a link; label is the least one of the component.
 
-    All links count; see linked() for how dense groups and frequent keys are dealt with.
+    All links count, yet no group is paired with itself. First every member of a key's bucket is held
+    against the least member only, which joins dense groups into components in linear work. Then only
+    members of different components are compared: in a bucket, all against those outside the component with the
+    least label.
     """
+    held = Scratch(fingerprints.sparkSession)
+    near, by_key = _near(MOST_BITS), Window.partitionBy("key")
     # Each fingerprint becomes about 180 rows, so the few bytes of them are dealt to all tasks first.
-    dealt = fingerprints.repartition(int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    nodes = dealt.select(F.col("fp").alias("node"), F.col("fp").alias("mark"), golay_keys(F.col("fp")).alias("keys"))
-    return linked(nodes, _near(MOST_BITS)).select(F.col("id").alias("fp"), "label")
+    fingerprints = fingerprints.repartition(int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    buckets = fingerprints.select("fp", F.explode(golay_keys(F.col("fp"))).alias("key"))
+    buckets = buckets.withColumns({"rep": F.min("fp").over(by_key), "top": F.max("fp").over(by_key)}).filter("rep < top").drop("top")
+    buckets = held.written(buckets, "simhash-buckets")
+    stars = held.written(buckets.filter((F.col("fp") != F.col("rep")) & near("fp", "rep")).select(F.col("fp").alias("a"), F.col("rep").alias("b")).distinct(), "simhash-stars")
+    first = components(stars, "simhash-first")
+    marked = buckets.select("key", "fp").join(first.withColumnRenamed("id", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    marked = marked.withColumns({"main": F.min("label").over(by_key), "last": F.max("label").over(by_key)}).filter("main < last").drop("last")
+    marked = held.written(marked, "simhash-mixed")
+    other = marked.filter("label <> main").select("key", F.col("fp").alias("fq"), F.col("label").alias("other"))
+    across = marked.join(other, "key").filter((F.col("label") != F.col("other")) & near("fp", "fq")).select(F.col("label").alias("a"), F.col("other").alias("b"))
+    found = components(stars.unionByName(across), "simhash-links")
+    held.clear()
+    return found.select(F.col("id").alias("fp"), "label")
 
 
 def _resolved(df: DataFrame, doc_id: str, text: str, shingle: int) -> tuple[DataFrame, DataFrame, int]:
