@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexframe.llm import structure_queries
 from lexframe.llm.bpe import bpe_roundtrip
 from lexframe.llm.decontam import contamination, hit_words
 from lexframe.llm.quality import score_quality
@@ -170,7 +171,7 @@ def op10_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts, "op5_warc": op5_warc, "op6_decontamination": op6_decontamination, "op7_search": op7_search, "op8_quality": op8_quality, "op9_substring": op9_substring, "op10_url_filter": op10_url_filter}
+    return {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts, "op5_warc": op5_warc, "op6_decontamination": op6_decontamination, "op7_search": op7_search, "op8_quality": op8_quality, "op9_substring": op9_substring, "op10_url_filter": op10_url_filter} | structure_queries.queries()
 
 
 _DOC_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -221,4 +222,4 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": OP5_SQL, "op6_decontamination": OP6_SQL, "op7_search": OP7_SQL, "op9_substring": OP9_SQL, "op10_url_filter": op10_sql()}
+    return {"op5_warc": OP5_SQL, "op6_decontamination": OP6_SQL, "op7_search": OP7_SQL, "op9_substring": OP9_SQL, "op10_url_filter": op10_sql()} | structure_queries.oracle_sql()
