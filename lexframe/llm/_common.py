@@ -66,14 +66,15 @@ FEW = 2000
 def hot_join(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
     """left joined to right, which has each key once and in _n the number of left's rows with it; _n goes.
 
-    Hot keys, HOT at most, are sent to all tasks, so their rows stay where they are; others are shuffled by key.
+    total is the sum of all _n, or more, so there are at most HOT hot keys. They are sent to all tasks, so their rows stay
+    where they are; others are shuffled by key.
     """
     if total <= FEW:
         return left.join(right.drop("_n"), key, how)
     hot = right.filter(F.col("_n") * HOT > total).drop("_n")
     cold = right.filter(F.col("_n") * HOT <= total).drop("_n")
-    few = F.broadcast(hot.limit(HOT))
-    return left.join(few, key).unionByName(left.join(F.broadcast(hot.select(key).limit(HOT)), key, "left_anti").join(cold, key, how), allowMissingColumns=True)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    return left.join(F.broadcast(hot), key).unionByName(rest, allowMissingColumns=True)
 
 
 def whole_number(doc_id: str = "doc_id") -> Column:

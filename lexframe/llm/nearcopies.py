@@ -117,7 +117,8 @@ class _Sets:
         needed = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).groupBy("set").agg(F.count("*").alias("_n"))
         sets = self.hashes(needed, held)
         one, two = (sets.select(F.col("set").alias(x), F.col("hashes").alias(f"in_{x}"), "_n") for x in ("a", "b"))
-        both = hot_join(hot_join(pairs, one, "a", total), two, "b", total).withColumn("same", F.size(F.array_intersect("in_a", "in_b")))
+        # _n counts both ends of the pairs, so its sum is twice their number.
+        both = hot_join(hot_join(pairs, one, "a", 2 * total), two, "b", 2 * total).withColumn("same", F.size(F.array_intersect("in_a", "in_b")))
         out = written(both.filter(F.col("same") / (F.size("in_a") + F.size("in_b") - F.col("same")) >= self.similarity).select("a", "b"), "near-links")
         held.clear()
         return out

@@ -80,3 +80,27 @@ def test_the_pipelines_stage(spark):
     words = [f"w{rng.randrange(5000)}" for _ in range(300)]
     rows = [(i, " ".join(edited(rng, words, 0 if i == 0 else 5))) for i in range(6)]
     assert [r.doc_id for r in p.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()] == [0]
+
+
+def test_a_join_with_more_hot_keys_than_its_bound(spark):
+    from pyspark.sql import functions as F
+
+    from lexframe.llm._common import hot_join
+
+    pairs = spark.range(300).select(F.col("id").alias("a")).crossJoin(spark.range(300).select(F.col("id").alias("b"))).filter("a < b")
+    both = pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).groupBy("x").agg(F.count("*").alias("_n"))
+    for total in (pairs.count(), 2 * pairs.count()):
+        joined = hot_join(hot_join(pairs, both.withColumnRenamed("x", "a"), "a", total), both.withColumnRenamed("x", "b"), "b", total)
+        assert joined.count() == pairs.count() == 44850
+
+
+def test_a_dense_group_with_many_links(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = []
+    for i in range(360):
+        words = list(base)
+        for place in range(8):
+            words[12 + 24 * place] = f"slot{place}x{rng.randrange(12)}"
+        rows.append((i, " ".join(words)))
+    assert got(near_copies(spark.createDataFrame(rows, SCHEMA))) == plain_components(rows)
