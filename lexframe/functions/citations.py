@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexframe.functions.courts import is_court, is_series, wrong_bracket
+from lexframe.functions.names import longest_ending
+from lexframe.functions.offsets import let, match_offsets
 
 #: A year as citations have it, and the name of a court or report series: capitalised words with dots, 'F.C.A.', 'All ER'.
 YEAR = r"(?:18|19|20)\d\d"
@@ -15,26 +17,34 @@ CITE = rf"(?:\[({YEAR})\]\s{{0,3}}(?:(\d{{1,3}})\s{{1,3}})?|\(({YEAR})\)\s{{1,3}
 #: What may follow: 'at 12', ', 12', 'at [5]', ', [5]-[7]', 'at 12 [5]'. Groups: page, paragraph, last paragraph.
 PIN = r"(?:(?:\s?,|\s[Aa]t)\s{1,2}(?=[\d\[])(\d{1,5}\b)?(?:\s?\[(\d{1,5})\](?:\s?[-–]\s?\[(\d{1,5})\])?)?)?"
 _WHOLE = CITE + PIN
-UNIT = r"(?:ss|s|sections|section|regs|reg|cll|cl|pts|pt|Part|sch|Schedule)"
-NUMBER = r"[0-9]{1,4}[A-Z]{0,3}(?:-[0-9]{1,4}[A-Z]{0,3})?(?:\([0-9A-Za-z]{1,4}\))*"
+#: Kinds of provisions, their short form and the words for them, singular and plural. Longer words may have a capital.
+UNITS = {
+    "section": ("s", ("section",), ("ss", "sections")),
+    "regulation": ("reg", ("regulation",), ("regs", "regulations")),
+    "clause": ("cl", ("clause",), ("cll", "clauses")),
+    "part": ("pt", ("part",), ("pts", "parts")),
+    "division": ("div", ("division",), ("divs", "divisions")),
+    "chapter": ("ch", ("chapter",), ("chs", "chapters")),
+    "schedule": ("sch", ("schedule",), ("schs", "schedules")),
+}
+#: Kinds that are numbered in Roman numerals too.
+ROMAN_KINDS = ("part", "division", "chapter", "schedule")
+
+
+def _words_of(kinds: tuple[str, ...]) -> str:
+    """A pattern for the words of some kinds, the longest first."""
+    words = {w for k in kinds for w in (UNITS[k][0], *UNITS[k][1], *UNITS[k][2])}
+    return "|".join(w if len(w) < 2 else f"[{w[0].upper()}{w[0]}]{w[1:]}" for w in sorted(words, key=lambda w: (-len(w), w)))
+
+
+UNIT = rf"(?:{_words_of(tuple(UNITS))})"
+#: Upper case, up to 39; letters behind it are a suffix: IVA is IV and A.
+ROMAN = r"(?=[IVX])X{0,3}(?:IX|IV|V?I{0,3})"
+_SUBS = r"(?:\([0-9A-Za-z]{1,6}\))*"
+NUMBER = rf"(?:[0-9]{{1,4}}(?:[.][0-9]{{1,3}})*[A-Z]{{0,3}}(?:-[0-9]{{1,4}}[A-Z]{{0,3}})?{_SUBS}|(?<=\b(?:{_words_of(ROMAN_KINDS)})[.]? ){ROMAN}[A-Z]{{0,3}}(?![A-Za-z]){_SUBS})"
 REFERENCE = rf"\b({UNIT})\.? ({NUMBER})"
 
 
-def match_offsets(text: Column, pattern: str | Column) -> Column:
-    """array<struct<pos, raw>> of all matches; pos counts characters from 0. The pattern must not match nothing."""
-    found = F.lit(pattern) if isinstance(pattern, str) else pattern
-    raws = F.regexp_extract_all(text, found, F.lit(0))
-    gaps = F.split(text, found, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,raw:string>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        pos = s["at"] + F.length(x["gap"])
-        return F.struct((pos + F.length(x["raw"])).alias("at"), F.array_append(s["out"], F.struct(pos.alias("pos"), x["raw"].alias("raw"))).alias("out"))
-
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(raws)), raws, lambda g, r: F.struct(g.alias("gap"), r.alias("raw")))
-    return F.aggregate(pairs, start, step, lambda s: s["out"])
-
-
 def citation_parts(raw: Column) -> dict[str, Column]:
     """The fields of one citation: year, bracket, volume, token, number, page, pin, pin_to, kind and reason.
 
@@ -68,36 +78,78 @@ def extract_case_citations(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return once.select("doc_id", "pos", "raw", *(c.alias(n) for n, c in citation_parts(F.col("raw")).items()))
 
 
-#: A full statute citation, 'Widget Act 1975 (Cth)': title and year, jurisdiction.
-FULL_LAW = r"((?:[A-Z][A-Za-z'-]+ )+(?:Act|Regulations?|Rules|Code|Ordinance) [12][0-9]{3})(?: \((Cth|NSW|Vic|Qld|SA|WA|Tas|ACT|NT)\))?"
+#: A word of a title, or several in brackets, and the small words that may stand between.
+_CAPITAL = r"[A-Z][A-Za-z'’&-]*"
+LINKS = ("and", "of", "the", "for", "to", "in", "on", "with", "by", "from", "or", "a", "an", "at")
+_LINK = rf"(?:{'|'.join(LINKS)})"
+TITLE_WORDS = rf"(?:(?:{_CAPITAL}|\({_CAPITAL}(?: (?:{_LINK}|{_CAPITAL}))*\)),? (?:{_LINK} ){{0,3}})"
+LAW_KINDS = r"(?:Act|Regulations?|Rules|Code|Ordinance)"
+#: A full statute citation, 'Widget and Gadget Act 1975 (Cth)': title and year, jurisdiction.
+FULL_LAW = rf"({TITLE_WORDS}+{LAW_KINDS} [12][0-9]{{3}})(?: \((Cth|NSW|Vic|Qld|SA|WA|Tas|ACT|NT)\))?"
 #: The same without a year.
-BARE_LAW = r"(?:[A-Z][A-Za-z'-]+ )+(?:Act|Regulations?|Rules|Code|Ordinance)"
+BARE_LAW = rf"{TITLE_WORDS}+{LAW_KINDS}"
+
+
+def _roman(n: int) -> str:
+    return "X" * (n // 10) + ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX")[n % 10]
+
+
+def _looked_up(of: dict, key: Column) -> Column:
+    """What a small table has for a key, null if it has none."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in of.items() for x in pair)), key)
+
+
+def roman_value(numeral: Column) -> Column:
+    """The number of an upper-case Roman numeral up to XXXIX, else null."""
+    return _looked_up({_roman(n): n for n in range(1, 40)}, numeral)
+
+
+_KIND_OF = {w: k for k, (short, one, many) in UNITS.items() for w in (short, *one, *many)}
+_PLURALS = tuple(w for _, _, many in UNITS.values() for w in many)
 
 
 def parse_ref(ref: Column) -> Column:
-    """X4. struct<kind, number, suffix, subsections, plural, schedule> of a provision reference, null if it is none.
+    """X4. struct<kind, number, suffix, subsections, plural, schedule, range_end, value> of a provision reference, null if it is none.
 
-    'sch 2 s 134A(1)' has schedule 2, number 134, suffix A, subsections [1]. 's 355-25' is one provision.
+    'sch 2 s 134A(1)' has schedule 2, number 134, suffix A, subsections [1]; 'reg 3.01' the number 3.01; 'Part IVA' the number
+    IV, suffix A, value 4. 's 355-25' is one provision; a hyphen is a range only behind a plural and between numbers
+    that go up: 'ss 5-7' has number 5, range_end 7. Roman numerals are in upper case.
     """
-    pattern = rf"^(?:sch(?:edule)? ([0-9]+[A-Z]*),? )?({UNIT})\.? ([0-9]{{1,4}}(?:-[0-9]{{1,4}})?)([A-Z]{{0,3}})((?:\([0-9A-Za-z]{{1,4}}\))*)$"
-    g = [F.regexp_extract(ref, pattern, i) for i in range(6)]
-    plural = g[2].isin("ss", "sections", "regs", "cll", "pts")
-    #: The kinds that the abbreviations stand for.
-    kinds = {"section": ("s", "ss", "section", "sections"), "regulation": ("reg", "regs"), "clause": ("cl", "cll"), "part": ("pt", "pts", "Part"), "schedule": ("sch", "Schedule")}
-    kind = F.coalesce(*(F.when(g[2].isin(*names), F.lit(k)) for k, names in kinds.items()))
-    made = F.struct(
-        kind.alias("kind"), g[3].alias("number"), F.nullif(g[4], F.lit("")).alias("suffix"),
-        F.regexp_extract_all(g[5], F.lit(r"\(([^()]+)\)"), F.lit(1)).alias("subsections"), plural.alias("plural"), F.nullif(g[1], F.lit("")).alias("schedule"),
-    )
-    return F.when(g[0] != "", made)
+    head = rf"^(?:[Ss]ch(?:edule)? ([0-9]+[A-Z]*),? )?({UNIT})[.]? "
+    arabic = head + rf"([0-9]{{1,4}}(?:[.][0-9]{{1,3}})*)(?:-([0-9]{{1,4}}))?([A-Z]{{0,3}})({_SUBS})$"
+    roman = head.replace(UNIT, f"(?:{_words_of(ROMAN_KINDS)})") + rf"({ROMAN})()([A-Z]{{0,3}})({_SUBS})$"
+    parts = ("schedule", "unit", "number", "high", "suffix", "subs")
+
+    def groups(pattern: str) -> Column:
+        return F.when(F.rlike(ref, F.lit(pattern)), F.struct(*(F.nullif(F.regexp_extract(ref, pattern, i + 1), F.lit("")).alias(x) for i, x in enumerate(parts))))
+
+    def made(g: Column) -> Column:
+        unit, span = F.lower(g["unit"]), g["high"].try_cast("int") - g["number"].try_cast("int")
+        ranges = F.coalesce(unit.isin(*_PLURALS) & span.between(1, 200), F.lit(False))
+        number = F.when(g["high"].isNull() | ranges, g["number"]).otherwise(F.concat(g["number"], F.lit("-"), g["high"]))
+        value = F.coalesce(g["number"].try_cast("int"), roman_value(g["number"]))
+        subsections = F.regexp_extract_all(F.coalesce(g["subs"], F.lit("")), F.lit(r"\(([^()]+)\)"), F.lit(1))
+        return F.when(
+            g.isNotNull(),
+            F.struct(
+                _looked_up(_KIND_OF, unit).alias("kind"), number.alias("number"), g["suffix"].alias("suffix"), subsections.alias("subsections"), unit.isin(*_PLURALS).alias("plural"),
+                g["schedule"].alias("schedule"), F.when(ranges, g["high"]).alias("range_end"), F.when(g["high"].isNull() | ranges, value).alias("value"),
+            ),
+        )
+
+    return let(F.coalesce(groups(arabic), groups(roman)), made)
 
 
 def format_ref(ref: Column) -> Column:
-    """The canonical text of a parsed reference; parse_ref of it gives the same again (singular)."""
-    short = F.coalesce(*(F.when(ref["kind"] == k, F.lit(v)) for k, v in (("section", "s"), ("regulation", "reg"), ("clause", "cl"), ("part", "pt"), ("schedule", "sch"))))
-    subs = F.array_join(F.transform(ref["subsections"], lambda x: F.concat(F.lit("("), x, F.lit(")"))), "")
-    head = F.when(ref["schedule"].isNotNull(), F.concat(F.lit("sch "), ref["schedule"], F.lit(" "))).otherwise("")
-    return F.concat(head, short, F.lit(" "), ref["number"], F.coalesce(ref["suffix"], F.lit("")), subs)
+    """The canonical text of a parsed reference; parse_ref of it gives the same again (singular, but for a range)."""
+
+    def made(r: Column) -> Column:
+        short = F.when(r["range_end"].isNull(), _looked_up({k: v[0] for k, v in UNITS.items()}, r["kind"])).otherwise(_looked_up({k: v[2][0] for k, v in UNITS.items()}, r["kind"]))
+        subs = F.array_join(F.transform(r["subsections"], lambda x: F.concat(F.lit("("), x, F.lit(")"))), "")
+        head = F.coalesce(F.concat(F.lit("sch "), r["schedule"], F.lit(" ")), F.lit(""))
+        return F.concat(head, short, F.lit(" "), r["number"], F.coalesce(F.concat(F.lit("-"), r["range_end"]), F.lit("")), F.coalesce(r["suffix"], F.lit("")), subs)
+
+    return let(ref, made)
 
 
 def extract_refs(docs: DataFrame, *, text: str = "text") -> DataFrame:
@@ -110,8 +162,14 @@ def extract_refs(docs: DataFrame, *, text: str = "text") -> DataFrame:
 NO_NAME = ("See", "Under", "In", "The", "By", "And", "But", "Cf", "Per", "For", "From", "With", "That", "Then", "Also", "Both", "Where", "While", "Since", "If", "As", "To", "Of", "On", "At", "This")
 
 
-def _law(name: Column) -> Column:
-    return F.regexp_replace(name, rf"^(?:(?:{'|'.join(NO_NAME)}) )+", "")
+def law_title(name: Column) -> Column:
+    """What a run of title words names when no register says it: without words that begin a sentence, and from the last
+    'and the' (or, by, in, with, for, to, on, at) on, which parts a law from what is named before it."""
+    bare = F.regexp_replace(name, rf"^(?:(?:{'|'.join(NO_NAME)}) (?:{_LINK} )*)+", "")
+    return F.regexp_replace(bare, r"^.* (?:and|or|by|in|with|from|at|for|to|on) the ", "")
+
+
+_law = law_title
 
 
 def short_forms(docs: DataFrame, *, text: str = "text") -> DataFrame:
@@ -123,9 +181,13 @@ def short_forms(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return rows.groupBy("doc_id", "short").agg(F.min_by(F.struct("law_name", "jurisdiction"), "n").alias("x")).select("doc_id", "short", "x.*")
 
 
+_LISTED = rf"[0-9]{{1,4}}(?:[.][0-9]{{1,3}})*[A-Z]{{0,3}}(?:-[0-9]{{1,4}}[A-Z]{{0,3}})?{_SUBS}|\b{ROMAN}[A-Z]{{0,3}}\b{_SUBS}"
+
+
 def _each_number(list_text: Column, plural: Column) -> Column:
     """The provision numbers of '1, 2 and 5-7' as an array; a range of whole numbers that goes up is spelled out after a plural."""
-    items = F.regexp_extract_all(list_text, F.lit(rf"({NUMBER}(?: to {NUMBER})?)"), F.lit(1))
+    # Behind the first number a Roman one has no unit before it, so each is taken as what stands between the commas.
+    items = F.regexp_extract_all(list_text, F.lit(rf"((?:{_LISTED})(?: to (?:{_LISTED}))?)"), F.lit(1))
 
     def spread(x: Column) -> Column:
         low, high = (F.regexp_extract(x, r"^(\d{1,4})(?:-| to )(\d{1,4})$", i).try_cast("int") for i in (1, 2))
@@ -135,7 +197,7 @@ def _each_number(list_text: Column, plural: Column) -> Column:
     return F.flatten(F.transform(items, spread))
 
 
-def extract_statute_citations(docs: DataFrame, aliases: DataFrame | None = None, *, text: str = "text") -> DataFrame:
+def extract_statute_citations(docs: DataFrame, aliases: DataFrame | None = None, titles: DataFrame | None = None, *, text: str = "text") -> DataFrame:
     """X3. doc_id, para, pos, item, at, raw, ref, law_name, jurisdiction, attached_by: a row for each provision that a text cites.
 
     pos counts in the paragraph para, at in the whole text; raw is all that was read, item the provision's number in it.
@@ -143,16 +205,18 @@ def extract_statute_citations(docs: DataFrame, aliases: DataFrame | None = None,
     citation right before the reference (trailing-cite); the last full citation in the same paragraph for 'the Act' before
     or 'of the Act' behind it (anaphora; null if there is none); a title or an alias after 'of the' (leading-cite); a name
     before it that the document has defined (short-form); a title without a year (bare-name); an alias (abbreviation). Others
-    have no law (none). aliases: alias, official, jurisdiction.
+    have no law (none). aliases: alias, official, jurisdiction. titles: name; a run of title words that ends with names of this
+    register is the longest of them, as the register spells it, so of 'Consumer Act 2010' and 'Competition and
+    Consumer Act 2010' the one that stands there is meant. Without a register (or for names not in it) see law_title().
     """
     breaks = match_offsets(F.col(text), r"\n\s*\n")
     starts = F.concat(F.array(F.lit(0)), F.transform(breaks, lambda b: b["pos"] + F.length(b["raw"])))
     paras = docs.select("doc_id", F.posexplode(F.arrays_zip(F.split(F.col(text), r"\n\s*\n", -1).alias("body"), starts.alias("start"))).alias("para", "p")).select("doc_id", "para", "p.body", "p.start")
     # A cheap test first: few paragraphs have a reference, and the whole grammar is costly on those without.
-    paras = paras.filter(F.col("body").rlike(rf"\b{UNIT}\.? [0-9]"))
+    paras = paras.filter(F.col("body").rlike(REFERENCE))
     more = rf"(?:(?:, | and |, and | to ){NUMBER})*"
-    lead = rf"(?:({FULL_LAW}|[Tt]he Act|{BARE_LAW}|[A-Z][A-Za-z]+) )?"
-    behind = rf"(?: (?:of|in) (?:the|this) ((?:[A-Z][A-Za-z'-]+ )*Act(?: [12][0-9]{{3}})?(?: \((?:Cth|NSW|Vic|Qld|SA|WA|Tas|ACT|NT)\))?|[A-Z]{{2,8}}\b))?"
+    lead = rf"(?:({FULL_LAW}|[Tt]he Act|{BARE_LAW}|[A-Z][A-Za-z]+),? )?"
+    behind = rf"(?: (?:of|in|under) (?:the|this) ({TITLE_WORDS}*(?:{LAW_KINDS}|Constitution)\b(?: [12][0-9]{{3}})?(?: \((?:Cth|NSW|Vic|Qld|SA|WA|Tas|ACT|NT)\))?|[A-Z]{{2,8}}\b))?"
     whole = rf"{lead}{REFERENCE}({more}){behind}"
     rows = paras.select("doc_id", "para", "start", F.explode(match_offsets(F.col("body"), whole)).alias("m")).select("doc_id", "para", F.col("m.pos").alias("pos"), (F.col("start") + F.col("m.pos")).alias("at"), F.col("m.raw").alias("raw"))
     g = lambda i: F.nullif(F.regexp_extract("raw", whole, i), F.lit(""))
@@ -174,7 +238,7 @@ def extract_statute_citations(docs: DataFrame, aliases: DataFrame | None = None,
         for on, out in (("name", "known"), ("other", "known_after")):
             rows = rows.join(table.select(F.col("_a").alias(f"_{out}"), F.col("_x").alias(out)), F.col(on) == F.col(f"_{out}"), "left").drop(f"_{out}")
     none = F.lit(None).cast("string")
-    after_title = F.when(F.col("after").rlike("Act") & (F.col("after") != "Act"), F.col("after"))
+    after_title = F.when(F.col("after").rlike(rf"(?: {LAW_KINDS}\b|Constitution)"), F.col("after"))
     bare = F.when(F.col("before").rlike(rf"^{BARE_LAW}$"), F.col("before"))
     ways = [
         ("trailing-cite", F.col("full").isNotNull(), F.col("full"), F.col("jur")),
@@ -185,13 +249,19 @@ def extract_statute_citations(docs: DataFrame, aliases: DataFrame | None = None,
         ("bare-name", bare.isNotNull(), bare, none),
         ("abbreviation", F.col("known").isNotNull(), F.col("known.law_name"), F.col("known.jurisdiction")),
     ]
-    chosen = F.coalesce(*(F.when(test, F.struct(F.lit(n).alias("by"), _law(law).alias("law"), j.alias("jur"))) for n, test, law, j in ways), F.struct(F.lit("none").alias("by"), none.alias("law"), none.alias("jur")))
+    chosen = F.coalesce(*(F.when(test, F.struct(F.lit(n).alias("by"), law.alias("law"), j.alias("jur"))) for n, test, law, j in ways), F.struct(F.lit("none").alias("by"), none.alias("law"), none.alias("jur")))
     unit = F.col("unit")
-    single = F.when(unit.isin("ss", "sections"), "s").when(unit == "regs", "reg").when(unit == "cll", "cl").when(unit == "pts", "pt").otherwise(unit)
-    plural = unit.isin("ss", "sections", "regs", "cll", "pts")
+    single = F.coalesce(_looked_up({w: short for short, _, many in UNITS.values() for w in many}, F.lower(unit)), unit)
+    plural = F.lower(unit).isin(*_PLURALS)
     out = rows.select("doc_id", "para", "pos", "at", "raw", chosen.alias("c"), single.alias("_unit"), F.posexplode(_each_number(F.col("list"), plural)).alias("item", "number"))
     ref = format_ref(parse_ref(F.concat("_unit", F.lit(" "), "number")))
-    return out.select("doc_id", "para", "pos", "item", "at", "raw", ref.alias("ref"), F.col("c.law").alias("law_name"), F.col("c.jur").alias("jurisdiction"), F.col("c.by").alias("attached_by"))
+    out = out.select("doc_id", "para", "pos", "item", "at", "raw", ref.alias("ref"), F.col("c.law").alias("law_name"), F.col("c.jur").alias("jurisdiction"), F.col("c.by").alias("attached_by"))
+    if titles is None:
+        return out.withColumn("law_name", law_title(F.col("law_name")))
+    named = titles.select("name").unionByName(titles.select(F.regexp_replace("name", " [12][0-9]{3}$", "").alias("name"))).distinct()
+    known = longest_ending(out.filter("law_name is not null"), named, asked_by="law_name").select(F.col("raw").alias("_raw"), F.col("name").alias("_name"))
+    joined = out.join(known, F.col("law_name") == F.col("_raw"), "left")
+    return joined.withColumn("law_name", F.coalesce("_name", law_title(F.col("law_name")))).drop("_raw", "_name")
 
 
 #: Verbs that say what a provision does (the third person is made from them), participles for the passive,

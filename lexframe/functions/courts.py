@@ -23,6 +23,14 @@ SQUARE_SERIES = ("VR", "Qd R", "NSWR")
 EITHER_BRACKET = ("WAR", "Tas R")
 
 
+#: Courts that hear appeals, and full benches.
+APPELLATE = (
+    "FCAFC", "FamCAFC", "FedCFamC1A", "NSWCA", "NSWCCA", "VSCA", "QCA", "SASCA", "SASCFC", "WASCA", "TASCCA", "TASFC", "ACTCA", "NTCA", "NTCCA",
+    "FWCFB", "FWAFB", "AIRCFB", "NSWADTAP", "NSWCATAP", "QCATA",
+)
+APEX = ("HCA", "HCASL", "HCASJ")
+
+
 def token_key(token: Column) -> Column:
     """A court token or series name as it is looked up: no dots, no white space, upper case."""
     return F.upper(F.regexp_replace(token, r"[.\s]", ""))
@@ -46,3 +54,9 @@ def wrong_bracket(token: Column, bracket: Column) -> Column:
     free = key.isin(*_keys(EITHER_BRACKET))
     round_one, square_one = key.isin(*_keys(ROUND_SERIES)) & (bracket != "round"), key.isin(*_keys(SQUARE_SERIES)) & (bracket != "square")
     return ~free & (round_one | square_one)
+
+
+def court_tier(token: Column) -> Column:
+    """0 for the High Court, 1 for courts of appeal and full benches, 2 for all else."""
+    key = token_key(token)
+    return F.when(key.isin(*_keys(APEX)), 0).when(key.isin(*_keys(APPELLATE)), 1).otherwise(2)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexframe.functions.citations import match_offsets, phrase_pattern
+from lexframe.functions.citations import LINKS, law_title, phrase_pattern
+from lexframe.functions.names import find_names
+from lexframe.functions.offsets import match_offsets
 from lexframe.operators.joins import JURISDICTIONS, split_jurisdiction
 from lexframe.functions.folds import fold_key
 
@@ -89,7 +91,8 @@ def expansions(query: Column, kinds=EXPANSIONS) -> Column:
 
 #: What a law's name looks like: capitalised words, a kind of law, and perhaps a number, a year, a jurisdiction.
 KINDS = ("Act", "Acts", "Regulation", "Regulations", "Rules", "Code", "Constitution", "Determination", "Standards", "Ordinance", "Bylaw", "Bylaws", "By-law", "By-laws", "Order")
-LAW_NAME = rf"(?:[A-Z][A-Za-z'’&-]*\s+){{1,7}}(?:{'|'.join(KINDS)})\b(?:\s+\(?No[.]?\s?[0-9]{{1,3}}\)?)?(?:\s+(?:18|19|20)[0-9]{{2}})?(?:\s*\((?:{'|'.join(JURISDICTIONS)})\))?"
+_TITLE = rf"(?:(?:[A-Z][A-Za-z'’&-]*|\([A-Z][A-Za-z'’& -]*\)),?\s+(?:(?:{'|'.join(LINKS)})\s+){{0,3}}){{1,9}}"
+LAW_NAME = rf"{_TITLE}(?:{'|'.join(KINDS)})\b(?:\s+\(?No[.]?\s?[0-9]{{1,3}}\)?)?(?:\s+(?:18|19|20)[0-9]{{2}})?(?:\s*\((?:{'|'.join(JURISDICTIONS)})\))?"
 #: Aliases of so many characters are matched by case, as their letters may be a word in lower case.
 SHORT_ALIAS = 4
 _LEADING = rf"^(?:{'|'.join((*JURISDICTIONS, *(j.upper() for j in JURISDICTIONS), *PLACES))})\s+"
@@ -97,32 +100,39 @@ _YEAR_AT_END = r"\s*(?:\(?No[.]?\s?[0-9]{1,3}\)?\s*)?(?:18|19|20)[0-9]{2}\s*$"
 
 
 def _named(queries: DataFrame, aliases: DataFrame) -> DataFrame:
-    """query_id, pos, end of what looks like a law's name or is an alias, overlaps and all."""
-    grammar = queries.select("query_id", F.explode(match_offsets(F.col("query"), LAW_NAME)).alias("m")).select("query_id", F.col("m.pos").alias("pos"), (F.col("m.pos") + F.length(F.rtrim("m.raw"))).alias("end"))
-    words = queries.select("query_id", "query", F.explode(match_offsets(F.col("query"), "[A-Za-z0-9]+")).alias("m"))
-    first = aliases.select("alias", F.lower(F.regexp_extract("alias", "[A-Za-z0-9]+", 0)).alias("_w")).filter("_w <> ''").distinct()
-    met = words.withColumn("_w", F.lower("m.raw")).join(first, "_w").withColumn("pos", F.col("m.pos") - (F.instr(F.lower("alias"), F.col("_w")) - 1)).filter("pos >= 0")
-    there, behind = F.substr("query", F.col("pos") + 1, F.length("alias")), F.substr("query", F.col("pos") + 1 + F.length("alias"), F.lit(1))
-    before = F.when(F.col("pos") > 0, F.substr("query", F.col("pos"), F.lit(1))).otherwise("")
-    same = (there == F.col("alias")) | ((F.length("alias") > SHORT_ALIAS) & (F.lower(there) == F.lower("alias")))
-    by_alias = met.filter(same & ~behind.rlike("[A-Za-z0-9]") & ~before.rlike("[A-Za-z0-9]")).select("query_id", "pos", (F.col("pos") + F.length("alias")).alias("end"))
-    return grammar.unionByName(by_alias).distinct()
+    """query_id, pos, end of what looks like a law's name, or is an alias or an official name; overlaps and all."""
+    found = queries.select("query_id", F.explode(match_offsets(F.col("query"), LAW_NAME)).alias("m")).select("query_id", (F.col("m.pos") + F.length("m.raw")).alias("_to"), F.rtrim("m.raw").alias("raw"), F.col("m.pos").alias("_at"))
+    title = law_title(F.col("raw"))
+    end = F.col("_at") + F.length("raw")
+    grammar = found.select("query_id", (end - F.length(title)).alias("pos"), end.alias("end"))
+    names = aliases.select(F.col("alias").alias("name")).unionByName(aliases.select(F.col("official").alias("name"))).distinct()
+    met = find_names(queries.select("query_id", "query"), names, by="query_id", text="query").join(queries.select("query_id", "query"), "query_id")
+    # Letters of a short name may be a word in lower case.
+    same = (F.length("name") > SHORT_ALIAS) | (F.substr("query", F.col("pos") + 1, F.col("end") - F.col("pos")) == F.col("name"))
+    return grammar.unionByName(met.filter(same).select("query_id", "pos", "end")).distinct()
+
+
+def _longest(spans: DataFrame) -> DataFrame:
+    """query_id, pos, end: of spans that overlap the longest, then the leftmost; shorter ones stay if they meet no kept one."""
+    order = Window.partitionBy("query_id").orderBy("pos", F.desc("end"))
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = spans.withColumn("_new", F.coalesce((F.col("pos") >= reach).cast("int"), F.lit(1))).withColumn("_g", F.sum("_new").over(order))
+    rows = islands.groupBy("query_id", "_g").agg(F.array_sort(F.collect_list(F.struct((F.col("pos") - F.col("end")).alias("size"), "pos", "end"))).alias("s"))
+    none = F.array().cast(rows.schema["s"].dataType)
+    step = lambda kept, x: F.when(F.exists(kept, lambda k: (k["pos"] < x["end"]) & (x["pos"] < k["end"])), kept).otherwise(F.array_append(kept, x))
+    return rows.select("query_id", F.explode(F.aggregate("s", none, step)).alias("m")).select("query_id", "m.pos", "m.end")
 
 
 def law_mentions(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """X30. query_id, pos, raw, name, jurisdiction, needs_jurisdiction, body, is_primary for each law that a query names.
 
-    aliases: alias, official, jurisdiction, and body (true for an agency) if there is one. Names that overlap are one
-    mention, from the first character to the last. A mention is looked up folded among aliases and official names; without
+    aliases: alias, official, jurisdiction, and body (true for an agency) if there is one. Of names that overlap
+    the longest is the mention, so no name inside another is one. A mention is looked up folded among aliases and official names; without
     success again without the jurisdiction before it, then without the year behind it, then without both. name is the
     official one (of several the least), else the mention's without the jurisdiction; needs_jurisdiction: several remain.
     The primary mention is the first that isn't an agency, else the first.
     """
-    spans = _named(queries, aliases)
-    order = Window.partitionBy("query_id").orderBy("pos", F.desc("end"))
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = spans.withColumn("_new", F.coalesce((F.col("pos") >= reach).cast("int"), F.lit(1))).withColumn("_g", F.sum("_new").over(order))
-    whole = islands.groupBy("query_id", "_g").agg(F.min("pos").alias("pos"), F.max("end").alias("end"))
+    whole = _longest(_named(queries, aliases))
     found = whole.join(queries.select("query_id", "query"), "query_id").select("query_id", "pos", F.substr("query", F.col("pos") + 1, F.col("end") - F.col("pos")).alias("raw"))
     bare = F.trim(F.regexp_replace("raw", _LEADING, ""))
     tries = F.array(F.col("raw"), bare, F.trim(F.regexp_replace("raw", _YEAR_AT_END, "")), F.trim(F.regexp_replace(bare, _YEAR_AT_END, "")))

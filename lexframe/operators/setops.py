@@ -60,11 +60,21 @@ def version_delta(a: DataFrame, b: DataFrame, key: str = "label") -> DataFrame:
 
 
 def unread_shapes(shapes: DataFrame, read: DataFrame) -> DataFrame:
-    """U6. Shapes (doc_id, start, end, raw) that no read span of the same document covers or touches."""
-    spans = read.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_read"))
-    out = shapes.join(spans, "doc_id", "left")
-    met = F.exists("_read", lambda r: (r["start"] < F.col("end")) & (F.col("start") < r["end"]))
-    return out.filter(~F.coalesce(met, F.lit(False))).drop("_read")
+    """U6. Shapes (doc_id, start, end, ...) that no read span (doc_id, start, end) of the same document overlaps.
+
+    A sweep over the places of a document: the spans that meet a shape are those that start before its end, less those that
+    end at its start or before (empty ones meet nothing). Both are running counts over one sorted row of places; no list is made of a document.
+    """
+    own = F.struct(*(F.col(c) for c in shapes.columns))
+    numbered = shapes.withColumn("shape", own).withColumn("n", F.monotonically_increasing_id())
+    asked = numbered.select("doc_id", "shape", "n", F.explode(F.array(F.struct(F.lit("from").alias("what"), F.col("start").alias("at")), F.struct(F.lit("to").alias("what"), F.col("end").alias("at")))).alias("p"))
+    spans = read.filter("start < end").select("doc_id", F.explode(F.array(F.struct(F.lit("begun").alias("what"), F.col("start").alias("at")), F.struct(F.lit("done").alias("what"), F.col("end").alias("at")))).alias("p"))
+    places = asked.select("doc_id", "shape", "n", "p.*").unionByName(spans.select("doc_id", "p.*"), allowMissingColumns=True)
+    turn = F.when(F.col("what") == "done", 0).when(F.col("what") == "begun", 2).otherwise(1)
+    sofar = Window.partitionBy("doc_id").orderBy("at", turn).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = places.withColumns({x: F.count_if(F.col("what") == x).over(sofar) for x in ("begun", "done")}).filter("shape is not null")
+    met = F.max(F.when(F.col("what") == "to", F.col("begun"))) - F.max(F.when(F.col("what") == "from", F.col("done")))
+    return counted.groupBy("doc_id", "n").agg(F.first("shape").alias("shape"), met.alias("met")).filter("met = 0").select("shape.*")
 
 
 def domain_union(sources: dict[str, DataFrame], domains: dict[str, tuple[str, bool]]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexframe.functions.courts import court_tier
+
 
 def latest_version(versions: DataFrame) -> DataFrame:
     """W1. The row with the greatest since of each title (ties: the greatest register_id)."""
@@ -159,8 +161,8 @@ def dedupe_citations(citations: DataFrame, *key: str) -> DataFrame:
 
 
 def prioritise_citing(hits: DataFrame, k: int | None = None) -> DataFrame:
-    """W13. hits with rank in their target: HCA first, then courts of appeal, then others; newest first, then by id."""
-    tier = F.when(F.col("citation").rlike(r"\bHCA\b"), 0).when(F.col("citation").rlike(r"(CA|CCA|SCA|FC|AFC)\b"), 1).otherwise(2)
+    """W13. hits with rank in their target: by the tier of their court (court_tier), newest first, then by id."""
+    tier = court_tier(F.regexp_extract("citation", r"^\[[0-9]{4}\] ([A-Za-z0-9.]+) ", 1))
     order = Window.partitionBy("target").orderBy("tier", F.desc_nulls_last("date"), "doc_id")
     out = hits.withColumn("tier", tier).withColumn("rank", F.row_number().over(order))
     return out if k is None else out.filter(F.col("rank") <= k)

@@ -38,7 +38,7 @@ def verify_citations(docs: DataFrame, titles: DataFrame, toc: DataFrame, coverag
     absent is wrong, unsupported or unreachable unclear, as are reports and unknown courts. toc: title_id, ord, label,
     number. citation_summary() counts these by document.
     """
-    found = citations.extract_statute_citations(docs).withColumn("cite_id", F.struct("doc_id", "para", "pos", "item"))
+    found = citations.extract_statute_citations(docs, titles=titles.select("name")).withColumn("cite_id", F.struct("doc_id", "para", "pos", "item"))
     asked = found.select("cite_id", "raw", "at", "ref", "law_name", F.coalesce("jurisdiction", F.lit("Cth")).alias("jurisdiction"), F.regexp_extract("ref", "([0-9]+)", 1).cast("long").alias("number"))
     verdicts = joins.statute_existence(asked.select("cite_id", "law_name", "jurisdiction", "number"), titles, toc, coverage)
     claims = citations.extract_claim(asked.select("cite_id", F.col("cite_id.doc_id").alias("doc_id"), "raw", F.col("at").alias("pos")), docs).select("cite_id", "claim")
@@ -506,6 +506,19 @@ def _(v, t):
     return questions.law_mentions(asked, asked.sparkSession.createDataFrame(rows, "alias string, official string, jurisdiction string, body boolean"))
 
 
+@query(
+    "x30_real_titles",
+    """SELECT query_id, pos, raw, name, 'Cth' AS jurisdiction, false AS needs_jurisdiction, false AS body, true AS is_primary FROM (SELECT conv_id * 100 + turn AS query_id, (conv_id * 100 + turn) % 4 AS k FROM conversations WHERE role = 'user') q
+JOIN (VALUES (0, 14, 'Competition and Consumer Act 2010', 'Competition and Consumer Act 2010'), (1, 12, 'Freedom of Information Act 1982', 'Freedom of Information Act 1982'), (2, 8, 'the foi act', 'Freedom of Information Act 1982'), (3, 14, 'Consumer Act 2010', 'Consumer Act 2010')) a (k, pos, raw, name) ON a.k = q.k""",
+)
+def _(v, t):
+    k = F.col("query_id") % 4
+    said = F.when(k == 0, "What does the Competition and Consumer Act 2010 say").when(k == 1, "Does it, as Freedom of Information Act 1982 has it").when(k == 2, "What is the foi act about").otherwise("Jones and the Consumer Act 2010")
+    asked = t("conversations").filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id")).withColumn("query", said)
+    rows = [("CCA", "Competition and Consumer Act 2010", "Cth"), ("CA", "Consumer Act 2010", "Cth"), ("The FOI Act", "Freedom of Information Act 1982", "Cth")]
+    return questions.law_mentions(asked, asked.sparkSession.createDataFrame(rows, "alias string, official string, jurisdiction string"))
+
+
 @query(
     "p9_provision_history",
     """SELECT c_custkey AS ref_id, 'am' AS effect, CAST(1955 + j AS INT) AS act_year, CAST(c_custkey % 40 + j AS INT) AS act_number, a.id AS act_id, CASE WHEN a.id IS NULL THEN 'absent' ELSE 'found' END AS status FROM customer, (SELECT unnest([1, 2]) AS j)

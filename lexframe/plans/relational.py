@@ -631,7 +631,7 @@ def _(v, t):
 
 @query(
     "w13_prioritise_citing",
-    r"""SELECT doc_id, target, rank FROM (SELECT doc_id, source AS target, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN regexp_matches(citation, '\bHCA\b') THEN 0 WHEN regexp_matches(citation, '(CA|CCA|SCA|FC|AFC)\b') THEN 1 ELSE 2 END, substr(citation, 2, 4) DESC, doc_id) AS rank FROM judgments) WHERE rank <= 3""",
+    r"""SELECT doc_id, target, rank FROM (SELECT doc_id, source AS target, row_number() OVER (PARTITION BY source ORDER BY CASE regexp_extract(citation, '\] (\w+) ', 1) WHEN 'HCA' THEN 0 WHEN 'NSWCA' THEN 1 ELSE 2 END, substr(citation, 2, 4) DESC, doc_id) AS rank FROM judgments) WHERE rank <= 3""",
     "judgments",
 )
 def _(v, t):

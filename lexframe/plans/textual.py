@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexframe.functions import citations, folds, texts
+from lexframe.functions import citations, folds, names, texts
 from lexframe.plans.fixtures import table, view, with_views
 from lexframe.sources import landed
 from lexframe.streaming import changes
@@ -79,6 +79,47 @@ def _(v, t):
     return citations.extract_statute_citations(docs, aliases).select("doc_id", "ref", "law_name", "jurisdiction", "attached_by")
 
 
+#: Real titles with small words and brackets in them, one of them inside another.
+_TITLES = ("Competition and Consumer Act 2010", "Consumer Act 2010", "Privacy Act 1988", "Freedom of Information Act 1982", "Federal Court of Australia Act 1976", "Widget Act 1975")
+
+
+@query(
+    "x3_real_titles",
+    """WITH d AS (SELECT doc_id, doc_id % 90 + 1 AS a, doc_id % 40 + 1 AS b FROM documents)
+SELECT doc_id, 's ' || a AS ref, 'Competition and Consumer Act 2010' AS law_name, 'Cth' AS jurisdiction, 'trailing-cite' AS attached_by FROM d
+UNION ALL SELECT doc_id, 's ' || b, 'Privacy Act 1988', 'Cth', 'leading-cite' FROM d
+UNION ALL SELECT doc_id, 's ' || b || 'B', 'Competition and Consumer Act 2010', 'Cth', 'leading-cite' FROM d
+UNION ALL SELECT doc_id, 'pt IVA', 'Federal Court of Australia Act 1976', 'Cth', 'leading-cite' FROM d
+UNION ALL SELECT doc_id, 's 51(xx)', 'Constitution', NULL, 'leading-cite' FROM d
+UNION ALL SELECT doc_id, 's 11A', 'Freedom of Information Act 1982', 'Cth', 'trailing-cite' FROM d
+UNION ALL SELECT doc_id, 's 9-' || k, 'A New Tax System (Goods and Services Tax) Act 1999', 'Cth', 'trailing-cite' FROM d, (SELECT unnest([5, 7]) AS k)
+UNION ALL SELECT doc_id, 'reg 3.01', 'Widget Act 1975', 'Vic', 'trailing-cite' FROM d""",
+)
+def _(v, t):
+    d = F.col("doc_id")
+    said = F.concat(
+        F.lit(". Under the Competition and Consumer Act 2010 (Cth) s "), d % 90 + 1, F.lit(" it must. Section "), d % 40 + 1, F.lit(" of the Privacy Act 1988 (Cth), and s "), d % 40 + 1,
+        F.lit("B of the Competition and Consumer Act 2010 (Cth); Part IVA of the Federal Court of Australia Act 1976 (Cth); s 51(xx) of the Constitution. Smith and the Freedom of Information Act 1982 (Cth), s 11A. "
+              "A New Tax System (Goods and Services Tax) Act 1999 (Cth) ss 9-5 and 9-7. Cf the Gadget and the Widget Act 1975 (Vic) reg 3.01."),
+    )
+    docs = t("documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), said).alias("text"))
+    titles = docs.sparkSession.createDataFrame([(x,) for x in _TITLES], "name string")
+    return citations.extract_statute_citations(docs, titles=titles).select("doc_id", "ref", "law_name", "jurisdiction", "attached_by")
+
+
+@query(
+    "x4_real_references",
+    """SELECT l_orderkey * 100 + l_linenumber AS id, CASE l_linenumber % 7 WHEN 0 THEN 'part' WHEN 1 THEN 'section' WHEN 2 THEN 'regulation' WHEN 3 THEN 'schedule' WHEN 4 THEN 'section' WHEN 5 THEN 'chapter' ELSE 'section' END AS kind,
+  CASE l_linenumber % 7 WHEN 0 THEN 'pt IVA' WHEN 1 THEN 's 51(xx)' WHEN 2 THEN 'reg ' || l_partkey || '.01' WHEN 3 THEN 'sch ' || l_linenumber WHEN 4 THEN 's ' || l_partkey WHEN 5 THEN 'ch X' ELSE 'ss ' || l_partkey || '-' || (l_partkey + 9) END AS canonical,
+  CASE l_linenumber % 7 WHEN 0 THEN 4 WHEN 1 THEN 51 WHEN 3 THEN CAST(l_linenumber AS INT) WHEN 4 THEN CAST(l_partkey AS INT) WHEN 5 THEN 10 WHEN 6 THEN CAST(l_partkey AS INT) END AS value FROM lineitem WHERE l_partkey < 9990""",
+)
+def _(v, t):
+    k, p = F.col("l_linenumber") % 7, F.col("l_partkey")
+    ref = F.when(k == 0, "Part IVA").when(k == 1, "s 51(xx)").when(k == 2, F.concat(F.lit("reg "), p, F.lit(".01"))).when(k == 3, F.concat(F.lit("Sch "), "l_linenumber")).when(k == 4, F.concat(F.lit("Section "), p)).when(k == 5, "Chapter X").otherwise(F.concat(F.lit("ss "), p, F.lit("-"), p + 9))
+    rows = t("lineitem").filter("l_partkey < 9990").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), citations.parse_ref(ref).alias("r"))
+    return rows.select("id", "r.kind", citations.format_ref(F.col("r")).alias("canonical"), "r.value")
+
+
 @query(
     "x4_parse_ref",
     "SELECT l_orderkey * 100 + l_linenumber AS id, 'section' AS kind, CAST(l_linenumber AS VARCHAR) AS number, CASE WHEN l_partkey % 2 = 0 THEN 'A' END AS suffix, [CAST(l_suppkey AS VARCHAR)] AS subsections, CASE WHEN l_partkey % 3 = 0 THEN '2' END AS schedule, CASE WHEN l_partkey % 3 = 0 THEN 'sch 2 ' ELSE '' END || 's ' || l_linenumber || CASE WHEN l_partkey % 2 = 0 THEN 'A' ELSE '' END || '(' || l_suppkey || ')' AS canonical FROM lineitem",
@@ -334,6 +375,33 @@ def _(v, t):
     return t("documents").select("doc_id", texts.dice_similarity(a, b).alias("dice"))
 
 
+@query(
+    "x26_edit_distance",
+    """WITH n AS (SELECT DISTINCT p_name AS name FROM part), q AS (SELECT DISTINCT query FROM (SELECT substr(p_name, 1, k) || CASE WHEN p_partkey % 3 = 0 THEN 'zq' ELSE '' END || substr(p_name, k + 2) AS query FROM (SELECT p_name, p_partkey, p_partkey % length(p_name) AS k FROM part) x) y),
+m AS (SELECT query, name, levenshtein(query, name) AS distance FROM q, n WHERE abs(length(query) - length(name)) <= 2)
+SELECT query, name, CAST(distance AS INT) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, name) AS r FROM m WHERE distance <= 2) z WHERE r = 1""",
+)
+def _(v, t):
+    part = t("part").withColumn("k", F.col("p_partkey") % F.length("p_name"))
+    wrong = F.concat(F.expr("substr(p_name, 1, k)"), F.when(F.col("p_partkey") % 3 == 0, "zq").otherwise(""), F.expr("substr(p_name, k + 2)"))
+    return names.nearest_names(part.select(wrong.alias("query")), part.select(F.col("p_name").alias("name")))
+
+
+@query(
+    "x30_names_in_texts",
+    """WITH n AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(p_name), '[a-z0-9]+'), ' ') AS name FROM part),
+d AS (SELECT c_custkey, 'see ' || lower(a.p_name) || ' / ' || upper(b.p_name) || '.' AS text, array_to_string(regexp_extract_all(lower(a.p_name), '[a-z0-9]+'), ' ') AS x, array_to_string(regexp_extract_all(lower(b.p_name), '[a-z0-9]+'), ' ') AS y, length(a.p_name) AS la, length(b.p_name) AS lb
+  FROM customer JOIN part a ON a.p_partkey = c_custkey % 100 + 1 JOIN part b ON b.p_partkey = c_custkey % 90 + 5)
+SELECT c_custkey, 4 AS pos, 4 + la AS "end", x AS words FROM d UNION ALL SELECT c_custkey, 7 + la, 7 + la + lb, y FROM d""",
+)
+def _(v, t):
+    named = lambda x: t("part").select(F.col("p_partkey").alias(x), F.col("p_name").alias(f"name_{x}"))
+    c = t("customer").select("c_custkey", (F.col("c_custkey") % 100 + 1).alias("a"), (F.col("c_custkey") % 90 + 5).alias("b"))
+    docs = c.join(named("a"), "a").join(named("b"), "b").select("c_custkey", F.concat(F.lit("see "), F.lower("name_a"), F.lit(" / "), F.upper("name_b"), F.lit(".")).alias("text"))
+    found = names.find_names(docs, t("part").select(F.col("p_name").alias("name")), by="c_custkey")
+    return found.select("c_custkey", "pos", "end", F.array_join(names.name_words(F.col("name")), " ").alias("words"))
+
+
 ROUTES = [("dated", 20, [r"(?i)\bas at\b"], "applicable_law", ("march",)), ("march", 30, [r"(?i)\b(1|2|3) March\b"], "history", ()), ("long", 10, [r"(?s)^.{900,}$"], "analyse", ())]
 
 
