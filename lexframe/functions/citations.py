@@ -5,18 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexframe.functions.courts import is_court, is_series, wrong_bracket
+from lexframe.functions.cases import BRACKETED_YEAR, case_citations, read_citation
 from lexframe.functions.names import longest_ending
 from lexframe.functions.offsets import let, match_offsets
 
-#: A year as citations have it, and the name of a court or report series: capitalised words with dots, 'F.C.A.', 'All ER'.
-YEAR = r"(?:18|19|20)\d\d"
-TOKEN = r"[A-Z][A-Za-z0-9.]*(?:\s[A-Z][A-Za-z.]*){0,3}"
-#: Groups: the year in square brackets, a volume behind it if any; else the year in round ones and its volume; the token; the number.
-CITE = rf"(?:\[({YEAR})\]\s{{0,3}}(?:(\d{{1,3}})\s{{1,3}})?|\(({YEAR})\)\s{{1,3}}(\d{{1,4}})\s{{1,3}})({TOKEN})\s{{1,3}}(\d{{1,5}})\b"
-#: What may follow: 'at 12', ', 12', 'at [5]', ', [5]-[7]', 'at 12 [5]'. Groups: page, paragraph, last paragraph.
-PIN = r"(?:(?:\s?,|\s[Aa]t)\s{1,2}(?=[\d\[])(\d{1,5}\b)?(?:\s?\[(\d{1,5})\](?:\s?[-–]\s?\[(\d{1,5})\])?)?)?"
-_WHOLE = CITE + PIN
 #: Kinds of provisions, their short form and the words for them, singular and plural. Longer words may have a capital.
 UNITS = {
     "section": ("s", ("section",), ("ss", "sections")),
@@ -45,37 +37,26 @@ NUMBER = rf"(?:[0-9]{{1,4}}(?:[.][0-9]{{1,3}})*[A-Z]{{0,3}}(?:-[0-9]{{1,4}}[A-Z]
 REFERENCE = rf"\b({UNIT})\.? ({NUMBER})"
 
 
-def citation_parts(raw: Column) -> dict[str, Column]:
-    """The fields of one citation: year, bracket, volume, token, number, page, pin, pin_to, kind and reason.
+CITATION_FIELDS = ("kind", "year", "bracket", "volume", "token", "number", "page", "pin", "pin_to", "reason")
 
-    The grammars overlap ('[1977] VR 430' has the form of a neutral citation), so the tables decide: a known court
-    in square brackets without a volume is neutral, a known series is a report. An unknown token is kept: a report if it
-    has a volume, else neutral in form, with a reason.
-    """
-    g = lambda i: F.nullif(F.regexp_extract(raw, _WHOLE, i), F.lit(""))
-    square, volume, token = g(1).isNotNull(), F.coalesce(g(2), g(4)), g(5)
-    court = square & volume.isNull() & is_court(token)
-    series = ~court & is_series(token)
-    bracket = F.when(square, "square").otherwise("round")
-    kind = F.when(court, "neutral").when(series | volume.isNotNull(), "report").otherwise("neutral")
-    reason = F.when(court | (series & ~wrong_bracket(token, bracket)), F.lit(None).cast("string")).when(series, "bracket_style").when(volume.isNotNull(), "unknown_series").otherwise("unknown_court")
-    return {
-        "kind": kind, "year": F.coalesce(g(1), g(3)).cast("int"), "bracket": bracket, "volume": volume.cast("int"), "token": token, "number": g(6).cast("int"),
-        "page": g(7).cast("int"), "pin": g(8), "pin_to": g(9), "reason": reason,
-    }
+
+def citation_parts(raw: Column) -> dict[str, Column]:
+    """The fields of one citation: year, bracket, volume, token, number, page, pin, pin_to, kind and reason; see lexframe.functions.cases."""
+    read = read_citation(raw)
+    return {x: read[x] for x in CITATION_FIELDS}
 
 
 def extract_case_citations(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """X2. doc_id, pos, raw and the fields of citation_parts() for each distinct citation text of a document.
 
-    '[2020] HCA 41', '(1992) 175 CLR 1', '[1977] VR 430', '[2008] 3 All ER 1069', each with a pinpoint behind it; pos is
-    that of the first mention. Null texts give none.
+    '[2020] HCA 41', '[2020] hca 41', '(1992) 175 CLR 1', '[1977] VR 430', '[2008] 3 All ER 1069', each with a pinpoint
+    behind it; pos is that of the first mention. Null texts give none.
     """
     # A cheap test first: most texts have no bracketed year.
-    some = docs.filter(F.col(text).rlike(rf"[\[(]{YEAR}[\])]"))
-    rows = some.select("doc_id", F.explode(match_offsets(F.col(text), _WHOLE)).alias("m")).select("doc_id", F.col("m.pos").alias("pos"), F.col("m.raw").alias("raw"))
-    once = rows.groupBy("doc_id", "raw").agg(F.min("pos").alias("pos"))
-    return once.select("doc_id", "pos", "raw", *(c.alias(n) for n, c in citation_parts(F.col("raw")).items()))
+    some = docs.filter(F.col(text).rlike(BRACKETED_YEAR))
+    rows = some.select("doc_id", F.explode(case_citations(F.col(text))).alias("m")).select("doc_id", "m.pos", "m.cite")
+    once = rows.groupBy("doc_id", F.col("cite.raw").alias("raw")).agg(F.min("pos").alias("pos"), F.min_by("cite", "pos").alias("cite"))
+    return once.select("doc_id", "pos", "raw", *(F.col(f"cite.{x}").alias(x) for x in CITATION_FIELDS))
 
 
 #: A word of a title, or several in brackets, and the small words that may stand between.
@@ -390,17 +371,22 @@ def treatment_scan(docs: DataFrame, mentions: DataFrame, *, text: str = "text",
     return out.select("doc_id", "citation", "kind", "label", F.col("f.dissent").alias("near_dissent"), F.col("f.plurality").alias("near_plurality"))
 
 
+#: A short name in brackets and quotes right behind a citation; it may have a part in brackets itself.
+_SHORT_NAME = r"^\s?\(['‘\"“]([^'’\"”()]{2,60}(?:\([^()]*\))?)['’\"”]\)"
+
+
 def case_short_names(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """X11. doc_id, citation, short_name for "(1992) 175 CLR 1 ('Mabo')"."""
-    quoted = r"\s?\(['‘\"“]([^'’\"”()]{2,60}(?:\([^()]*\))?)['’\"”]\)"
-    rows = docs.filter(F.col(text).rlike(r"\d\s?\(['‘\"“]")).select("doc_id", F.explode(F.regexp_extract_all(F.col(text), F.lit(CITE + quoted), F.lit(0))).alias("raw"))
-    return rows.select("doc_id", F.regexp_extract("raw", "^" + CITE, 0).alias("citation"), F.regexp_extract("raw", quoted + "$", 1).alias("short_name")).distinct()
+    some = docs.filter(F.col(text).rlike(r"\d\]?\s?\(['‘\"“]"))
+    rows = some.select("doc_id", F.explode(case_citations(F.col(text))).alias("m")).select("doc_id", F.col("m.cite.core").alias("citation"), F.regexp_extract("m.cite.after", _SHORT_NAME, 1).alias("short_name"))
+    return rows.filter("short_name <> ''").distinct()
 
 
 def split_trailing_citation(title: Column) -> tuple[Column, Column]:
     """X23. (title, citation) of 'Name v Name [2010] XYZ 1'; a null citation if there is none."""
-    tail = rf"\s*({CITE})\s*$"
-    return F.regexp_replace(title, tail, ""), F.nullif(F.regexp_extract(title, tail, 1), F.lit(""))
+    last = F.try_element_at(case_citations(title), F.lit(-1))
+    raw = F.when(F.trim(last["cite"]["after"]) == "", last["cite"]["raw"])
+    return F.when(raw.isNull(), title).otherwise(F.rtrim(F.substr(title, F.lit(1), last["pos"]))), raw
 
 
 def canonical_citation(year: Column, court: Column, number: Column) -> Column:
