@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexframe.functions.cases import BRACKETED_YEAR, case_citations, read_citation
+from lexframe.functions.claims import extract_claim
 from lexframe.functions.names import longest_ending
 from lexframe.functions.offsets import let, match_offsets
 
@@ -245,74 +246,6 @@ def extract_statute_citations(docs: DataFrame, aliases: DataFrame | None = None,
     return joined.withColumn("law_name", F.coalesce("_name", law_title(F.col("law_name")))).drop("_raw", "_name")
 
 
-#: Verbs that say what a provision does (the third person is made from them), participles for the passive,
-#: nouns that stand before 'on' or 'for', and endings of 'makes ... unlawful'.
-CLAIM_VERBS = ("prohibit", "forbid", "create", "provide for", "deal with", "require", "impose", "establish", "define", "govern", "cover", "concern", "relate to", "confer", "set out", "render", "make it an offence to", "allow", "permit", "entitle", "oblige")
-PARTICIPLES = ("prohibited", "forbidden", "banned", "governed", "regulated", "covered", "created", "defined", "dealt with", "set out", "addressed", "found", "imposed", "required")
-CLAIM_NOUNS = ("prohibition", "rule", "provision", "requirement", "offence", "duty", "obligation", "test", "definition", "ban")
-MADE = ("unlawful", "an offence", "actionable", "void", "voidable")
-#: Words without content; a claim has two others at least.
-FILLERS = (
-    "a", "an", "the", "of", "or", "and", "to", "in", "on", "for", "with", "by", "is", "are", "was", "were", "be", "been", "that", "this", "it", "its", "as", "at",
-    "from", "any", "all", "such", "which", "who", "whom", "not", "no", "but", "if", "then", "there", "their",
-)
-
-
-def _either(words: tuple[str, ...]) -> str:
-    return "(?:" + "|".join(words) + ")"
-
-
-def _third_person(verb: str) -> str:
-    first, _, rest = verb.partition(" ")
-    return f"{first}(?:es|s)?" + (f" {rest}" if rest else "")
-
-
-def _is_claim(text: Column) -> Column:
-    """Whether a piece of text describes something: no jurisdiction, number, unit, amendment note or filler only."""
-    words = F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: (F.length(w) > 1) & ~w.isin(*FILLERS))
-    other = text.rlike(r"(?i)^(?:(?:as )?(?:am|ad|rep|rs|repealed|inserted|amended|substituted)|(?:s|ss|sch|pt|div|ch|regs?|r|cl|para|sub-s)|no \d+)\b|^\d")
-    return F.length(text).between(3, 180) & ~other & (F.size(words) >= 2)
-
-
-def extract_claim(citations: DataFrame, docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """X6. citations (doc_id, raw, pos if there is one) with claim, claim_source: what the text says of the provision.
-
-    The rest of the citation's sentence is read first, in this order: in brackets ('parenthetical'), 'titled', after
-    a dash, from a verb on, 'makes ... unlawful', 'it is prohibited' (all 'verb'), a full statement ('proposition'); then
-    what stands before the citation ('preceding'): 'the rule on ... in', '... is prohibited by'. Only pieces with two
-    words of content count. pos makes a repeated citation have its own claim; without it the first mention counts.
-    """
-    joined = citations.join(docs.select("doc_id", F.col(text).alias("_t")), "doc_id")
-    at = F.col("pos") if "pos" in citations.columns else F.instr(F.col("_t"), F.col("raw")) - 1
-    joined = joined.withColumn("_at", at)
-    marks = lambda c: F.regexp_replace(c, "[*_`]", "")
-    tail = F.regexp_extract(marks(F.substr(F.col("_t"), F.col("_at") + F.length("raw") + 1, F.lit(240))), r"^[^.;\n]*", 0)
-    start = F.greatest(F.col("_at") - 160, F.lit(0))
-    head = F.regexp_extract(marks(F.substr(F.col("_t"), start + 1, F.col("_at") - start)), r"[^.;:\n]*$", 0)
-    joined = joined.withColumns({"_tail": tail, "_head": head})
-    verbs, link = _either(tuple(map(_third_person, CLAIM_VERBS))), r"^\s?,?\s?(?:(?:which|that|and) )?"
-    be = r"(?:is|are|was|were)"
-    shapes = (
-        ("parenthetical", "_tail", r"^\s?,?\s?\(([^()]{3,70})\)"),
-        ("titled", "_tail", r"(?i)^\s?,?\s?(?:(?:which|that|and) is |is )?(?:titled|headed|entitled)[\s:,]*[\"'‘“]?([^\"'’”]{3,80})"),
-        ("dash", "_tail", r"^\s{0,3}[:—–-]\s{0,3}(.{3,70})"),
-        ("verb", "_tail", rf"(?i){link}{verbs} (.{{3,180}})"),
-        ("verb", "_tail", rf"(?i){link}makes? (.{{3,60}}?) {_either(MADE)}\b"),
-        ("verb", "_tail", rf"(?i)^\s?, ?(?:where |under which )?([a-z].{{2,80}}?) {be} {_either(PARTICIPLES)}\b"),
-        ("proposition", "_tail", r"(?i)^[\s,]*((?:an?|the|any|each|every|no) .{1,70}?\b(?:must|shall|may|cannot|can)\b.{3,170})"),
-        ("proposition", "_tail", rf"(?i)^[\s,]*(?:provides|states|says) (?:that )?(.{{3,180}})"),
-        ("preceding", "_head", rf"(?i)\b{_either(CLAIM_NOUNS)} (?:on|of|against|for|about) (.{{3,80}}?) (?:in|under|at)(?: the)?\s*$"),
-        ("preceding", "_head", rf"(?i)(?:^|\band |\bbut )\s*([a-z].{{2,80}}?) {be} {_either(PARTICIPLES)} (?:by|in|under|at)(?: the)?\s*$"),
-    )
-
-    def said(column: str, pattern: str) -> Column:
-        piece = F.regexp_replace(F.regexp_extract(F.col(column), pattern, 1), r"^[\s\"'‘“]+|[\s\"'‘’“”,]+$", "")
-        return F.when(_is_claim(piece), F.regexp_replace(piece, r"\s+", " "))
-
-    found = F.coalesce(*(F.when(c.isNotNull(), F.struct(c.alias("claim"), F.lit(n).alias("source"))) for n, c in ((n, said(col, p)) for n, col, p in shapes)))
-    return joined.withColumn("_f", found).withColumns({"claim": F.col("_f.claim"), "claim_source": F.col("_f.source")}).drop("_t", "_at", "_tail", "_head", "_f")
-
-
 #: Kinds and labels of later treatment and the phrases that show it; a part in brackets may be left out.
 TREATMENTS = (
     ("overruling", "overruled", ("overrule", "overruled", "overruling")),
