@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexframe.functions.folds import fold_key, fold_words
+from lexframe.sources.scratch import scratch_path
 
 #: The jurisdictions that a name may end with in brackets.
 JURISDICTIONS = ("Cth", "NSW", "Vic", "Qld", "SA", "WA", "Tas", "ACT", "NT")
@@ -320,6 +321,29 @@ def law_surroundings(titles: DataFrame, authorises: DataFrame, versions: DataFra
     return made.withColumn("leg", F.lit("instruments")).unionByName(changes.withColumn("leg", F.lit("versions"))).select("id", "leg", "item", "n")
 
 
+def law_network(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """J21. root, law, hops, via: what is reached from each root (id) over edges (src, dst, kind) in up to `depth` steps.
+
+    hops is the least number of steps, via the least kind of edge that ends such a way; a root reaches itself in none. Every
+    level is one join of the last level's laws with the edges; what was reached before is dropped by an anti-join. Levels
+    are written, so that a later one doesn't work out the earlier ones again.
+    """
+    spark = roots.sparkSession
+    start = roots.select(F.col("id").alias("root"), F.col("id").alias("law")).filter("root is not null").distinct()
+    level = start.withColumns({"hops": F.lit(0), "via": F.lit(None).cast("string")})
+    ways = edges.select(F.col("src").alias("law"), F.col("dst"), "kind")
+    seen = None
+    for hops in range(depth + 1):
+        if hops:
+            reached = level.select("root", "law").join(ways, "law").groupBy("root", F.col("dst").alias("law")).agg(F.min("kind").alias("via"))
+            level = reached.join(seen.select("root", "law"), ["root", "law"], "left_anti").select("root", "law", F.lit(hops).alias("hops"), "via")
+        path = scratch_path(spark, f"network-{hops}")
+        level.write.parquet(path)
+        level = spark.read.schema(level.schema).parquet(path)
+        seen = level if seen is None else seen.unionByName(level)
+    return seen
+
+
 def batch_provisions(requests: DataFrame, provisions: DataFrame, coverage: DataFrame, max_chars: int = 2000) -> DataFrame:
     """J22. requests (request_id, title_id, number) with label, text cut to max_chars, and status.
 
@@ -351,7 +375,14 @@ def identity_match(requests: DataFrame, documents: DataFrame) -> DataFrame:
     return out.select("request_id", "wanted", found.alias("doc_id"), F.when(found.isNull(), "absent").otherwise("found").alias("status"))
 
 
-def related_laws(terms: DataFrame, aliases: DataFrame) -> DataFrame:
-    """J25. term, official, sibling aliases: the Acts that a term's provisions name, with their aliases."""
+def related_laws(terms: DataFrame, aliases: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
+    """J25. term, official, sibling aliases: the Acts that a term's provisions name, with their aliases.
+
+    With bodies (official, body) also the bodies that administer each Act.
+    """
     anchored = terms.select("term", F.explode("laws").alias("official")).distinct()
-    return anchored.join(aliases, "official", "left").groupBy("term", "official").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    out = anchored.join(aliases, "official", "left").groupBy("term", "official").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    if bodies is None:
+        return out
+    held = bodies.groupBy("official").agg(F.array_sort(F.collect_set("body")).alias("bodies"))
+    return out.join(held, "official", "left").withColumn("bodies", F.coalesce("bodies", F.array().cast("array<string>")))

@@ -30,6 +30,24 @@ def version_pairs(versions: DataFrame) -> DataFrame:
     return versions.withColumns({"previous_id": F.lag("register_id").over(order), "previous_since": F.lag("since").over(order)}).filter("previous_id is not null")
 
 
+def chosen_pairs(versions: DataFrame, chosen: Column) -> DataFrame:
+    """W3. Each chosen version with the chosen one before it in its title, and what happened in between.
+
+    title_id, since, register_id, previous_id, previous_since, reasons (the affects of the versions after the previous chosen one,
+    up to this one, in order), left_out (how many versions between aren't chosen). Versions are parted into segments that
+    end with a chosen one; one behind the last chosen one belongs to no pair, as does the first chosen one.
+    """
+    order = Window.partitionBy("title_id").orderBy("since", "register_id")
+    before = F.coalesce(F.sum(F.coalesce(chosen, F.lit(False)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = versions.withColumns({"_seg": before, "_chosen": F.coalesce(chosen, F.lit(False))})
+    pick = lambda c: F.max(F.when(F.col("_chosen"), F.col(c))).alias(c)
+    gathered = F.transform(F.array_sort(F.collect_list(F.struct("since", "register_id", "affect"))), lambda x: x["affect"])
+    parts = rows.groupBy("title_id", "_seg").agg(pick("since"), pick("register_id"), gathered.alias("reasons"), F.count_if(~F.col("_chosen")).alias("left_out")).filter("register_id is not null")
+    by = Window.partitionBy("title_id").orderBy("_seg")
+    out = parts.withColumns({"previous_id": F.lag("register_id").over(by), "previous_since": F.lag("since").over(by)}).filter("previous_id is not null")
+    return out.select("title_id", "since", "register_id", "previous_id", "previous_since", "reasons", "left_out")
+
+
 def later_versions(events: DataFrame, versions: DataFrame, today=None) -> DataFrame:
     """W4. events with n_later: the versions of their title that start after d, up to today.
 

@@ -356,6 +356,24 @@ def _(v, t):
     return joins.law_surroundings(v("titles"), v("authorises"), v("versions"))
 
 
+#: Instruments enable titles, titles with even numbers were renamed from those of half the number.
+_EDGES = """SELECT affecting AS src, affected AS dst, 'enables' AS kind FROM authorises
+UNION ALL SELECT 'C' || p_partkey, 'C' || CAST(floor(p_partkey / 2.0) AS BIGINT), 'renamed' FROM part WHERE p_partkey % 2 = 0"""
+
+
+@query(
+    "j21_law_network",
+    f"""SELECT root, law, hops, CASE WHEN hops = 0 THEN NULL WHEN hops = 1 THEN 'enables' ELSE 'renamed' END AS via FROM (
+  WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT DISTINCT affecting AS root, affecting AS law, 0 AS hops FROM authorises UNION SELECT r.root, e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.law WHERE r.hops < 3)
+  SELECT root, law, min(hops) AS hops FROM r GROUP BY root, law) x""",
+    "authorises",
+)
+def _(v, t):
+    named = t("part").filter("p_partkey % 2 = 0").selectExpr("concat('C', p_partkey) AS src", "concat('C', p_partkey div 2) AS dst", "'renamed' AS kind")
+    edges = v("authorises").selectExpr("affecting AS src", "affected AS dst", "'enables' AS kind").unionByName(named)
+    return joins.law_network(v("authorises").select(F.col("affecting").alias("id")).distinct(), edges, 3)
+
+
 @query(
     "j22_batch_provisions",
     f"""WITH {_REFS}, p AS (SELECT title_id, number, label, ord FROM toc WHERE number IS NOT NULL AND title_id = 'T0')
@@ -397,6 +415,13 @@ def _(v, t):
     return joins.related_laws(terms, v("aliases"))
 
 
+@query("j25_administering_bodies", "SELECT DISTINCT 'term ' || (t.number % 20) AS term, t.name AS official, b.bodies FROM titles t JOIN (SELECT name, list_sort(list(DISTINCT 'Body ' || (number % 7))) AS bodies FROM titles GROUP BY name) b USING (name)", "titles")
+def _(v, t):
+    terms = v("titles").groupBy(F.concat(F.lit("term "), F.col("number") % 20).alias("term")).agg(F.collect_set("name").alias("laws"))
+    bodies = v("titles").select(F.col("name").alias("official"), F.concat(F.lit("Body "), F.col("number") % 7).alias("body"))
+    return joins.related_laws(terms, v("aliases"), bodies).select("term", "official", "bodies")
+
+
 # Aggregations
 
 
@@ -550,6 +575,18 @@ def _(v, t):
     return windows.version_pairs(v("versions")).select("title_id", "since", "register_id", "previous_id", "previous_since")
 
 
+@query(
+    "w3_reasons_between",
+    """WITH c AS (SELECT title_id, since, register_id, lag(register_id) OVER w AS previous_id, lag(since) OVER w AS previous_since FROM versions WHERE register_id % 4 = 0 WINDOW w AS (PARTITION BY title_id ORDER BY since))
+SELECT c.title_id, c.since, c.register_id, c.previous_id, string_agg(x.affect, ',' ORDER BY x.since) AS reasons, count(*) - 1 AS left_out FROM c JOIN versions x ON x.title_id = c.title_id AND x.since > c.previous_since AND x.since <= c.since
+WHERE c.previous_id IS NOT NULL GROUP BY ALL""",
+    "versions",
+)
+def _(v, t):
+    found = windows.chosen_pairs(v("versions"), F.col("register_id") % 4 == 0)
+    return found.select("title_id", "since", "register_id", "previous_id", F.array_join("reasons", ",").alias("reasons"), "left_out")
+
+
 @query("w4_later_versions", """WITH k AS (SELECT DISTINCT title_id, d FROM law_events), n AS (SELECT k.title_id, k.d, count(x.since) AS n_later FROM k LEFT JOIN versions x ON x.title_id = k.title_id AND x.since > k.d GROUP BY k.title_id, k.d)
 SELECT event_id, e.title_id, e.d, n_later FROM law_events e JOIN n ON n.title_id = e.title_id AND n.d = e.d""", "versions", "law_events")
 def _(v, t):

@@ -102,3 +102,53 @@ def test_unread_shapes_of_a_document_with_a_million_spans(spark):
     at = spark.range(500_000).select(F.lit(1).alias("doc_id"), (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 4).alias("end"))
     read = at.filter("start % 20 = 0").unionByName(at.filter("start % 20 = 10").select("doc_id", (F.col("start") + 4).alias("start"), (F.col("end") + 4).alias("end")))
     assert setops.unread_shapes(at, read).count() == 250_000
+
+
+def test_citations_of_odd_shapes(spark):
+    text = "See [2020] hca 41 at [5]-[7], (1992) 175 CLR 1, 42; [1977] VR 430 at 12 [5]. (1977) 3 Qd R 6 ('Foo (No 2)'). [2020] said the 5 and (2001) 12 things; [2020] F.C.A. 41st; [2010] NSWCA 3."
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string")
+    rows = citations.extract_case_citations(docs).orderBy("pos").collect()
+    assert [(r.raw, r.kind, r.pin, r.pin_to, r.page) for r in rows] == [
+        ("[2020] hca 41 at [5]-[7]", "neutral", "5", "7", None), ("(1992) 175 CLR 1, 42", "report", None, None, 42), ("[1977] VR 430 at 12 [5]", "report", "5", None, 12),
+        ("(1977) 3 Qd R 6", "report", None, None, None), ("[2010] NSWCA 3", "neutral", None, None, None),
+    ]
+    assert all(text[r.pos : r.pos + len(r.raw)] == r.raw for r in rows)
+    assert [tuple(r) for r in citations.case_short_names(docs).collect()] == [(1, "(1977) 3 Qd R 6", "Foo (No 2)")]
+
+
+def test_clause_heads(spark):
+    from lexframe.functions import texts
+
+    lines = ["3. Fee", "3.1 Fee due", "Clause 7 x", "  Schedule 2  y z", "3.", "1234 x", "3a x", "1.2.3. x", "item x", None, "", "3.. x"]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, v string").orderBy("i").select(texts.clause_head(F.col("v")).alias("h")).collect()
+    assert [r.h and (r.h.label, r.h.rest) for r in got] == [("3", "Fee"), ("3.1", "Fee due"), ("7", "x"), ("2", "y z"), None, None, None, ("1.2.3", "x"), None, None, None, None]
+
+
+def test_claims(spark):
+    cases = [
+        ("s 5", " deals with unfair contract terms. More", "unfair contract terms", "verb"), ("s 5", " (Cth) prohibits misleading conduct", None, None), ("s 5", ", which requires a written notice", "a written notice", "verb"),
+        ("s 5", " provides that every person has rights", "every person has rights", "proposition"), ("s 5", ": the duty of care", "the duty of care", None), ("s 5", " (as amended by No 3)", None, None), ("s 5", "", None, None),
+    ]
+    docs = spark.createDataFrame([(i, c, c + x) for i, (c, x, _, _) in enumerate(cases)], "doc_id int, raw string, text string")
+    got = {r.doc_id: (r.claim, r.claim_source) for r in citations.extract_claim(docs.select("doc_id", "raw"), docs).collect()}
+    assert [got[0], got[2], got[3], got[6]] == [cases[i][2:] for i in (0, 2, 3, 6)] and got[5] == (None, None)
+
+
+def test_networks_as_breadth_first(spark):
+    from lexframe.operators import joins
+
+    rng = random.Random(6)
+    edges = [(f"n{rng.randrange(20)}", f"n{rng.randrange(20)}", rng.choice("ab")) for _ in range(40)]
+    found = joins.law_network(spark.createDataFrame([("n1",), ("n2",), ("n1",), (None,)], "id string"), spark.createDataFrame(edges, "src string, dst string, kind string"), 3)
+    want = set()
+    for root in ("n1", "n2"):
+        level, seen = {root: None}, set()
+        for hops in range(4):
+            want |= {(root, x, hops, via) for x, via in level.items()}
+            seen |= set(level)
+            nxt = {}
+            for a, b, k in edges:
+                if a in level and b not in seen:
+                    nxt[b] = min(k, nxt.get(b, k))
+            level = nxt
+    assert {tuple(r) for r in found.collect()} == want
