@@ -591,6 +591,7 @@ def _(v, t):
     return evidence.related_hit_guard(asked, d.select("query_id", F.col("text").alias("name")))
 
 
-@query("u5_contents_delta", "WITH a AS (SELECT label FROM toc WHERE title_id = 'T0'), b AS (SELECT label FROM toc WHERE title_id = 'T1') SELECT label, 'added' AS change FROM b WHERE label NOT IN (SELECT label FROM a) UNION ALL SELECT label, 'removed' FROM a WHERE label NOT IN (SELECT label FROM b)", "toc")
+@query("u5_contents_delta", "WITH a AS (SELECT DISTINCT label FROM toc), b AS (SELECT DISTINCT CASE WHEN ord % 3 = 0 THEN label || ' (new)' ELSE label END AS label FROM toc) SELECT label, 'added' AS change FROM b WHERE label NOT IN (SELECT label FROM a) UNION ALL SELECT label, 'removed' FROM a WHERE label NOT IN (SELECT label FROM b) UNION ALL SELECT label, 'retained' FROM a WHERE label IN (SELECT label FROM b)", "toc")
 def _(v, t):
-    return setops.version_delta(v("toc").filter("title_id = 'T0'"), v("toc").filter("title_id = 'T1'"))
+    later = v("toc").withColumn("label", F.when(F.col("ord") % 3 == 0, F.concat("label", F.lit(" (new)"))).otherwise(F.col("label")))
+    return setops.version_delta(v("toc"), later)

@@ -336,13 +336,13 @@ def _(v, t):
 
 @query(
     "j20_transitional_headings",
-    r"""WITH h AS (SELECT title_id, ord, CASE ord % 5 WHEN 0 THEN 'Transitional: ' || label ELSE label END AS label FROM toc), r AS (SELECT *, row_number() OVER (PARTITION BY title_id ORDER BY ord) AS rn FROM h WHERE regexp_matches(label, '(?i)\b(application|saving|savings|transitional)\b') AND title_id = 'T1')
+    r"""WITH h AS (SELECT title_id, ord, CASE ord % 5 WHEN 0 THEN 'Transitional: ' || label ELSE label END AS label FROM toc), r AS (SELECT *, row_number() OVER (PARTITION BY title_id ORDER BY ord) AS rn FROM h WHERE regexp_matches(label, '(?i)\b(application|saving|savings|transitional)\b'))
 SELECT title_id, ord, label FROM r WHERE rn <= 6""",
     "toc",
 )
 def _(v, t):
     toc = v("toc").withColumn("label", F.when(F.col("ord") % 5 == 0, F.concat(F.lit("Transitional: "), "label")).otherwise(F.col("label")))
-    return joins.transitional_headings(toc.filter("title_id = 'T1'"), toc)
+    return joins.transitional_headings(toc.select("title_id"), toc)
 
 
 @query(
@@ -376,13 +376,14 @@ def _(v, t):
 
 @query(
     "j22_batch_provisions",
-    f"""WITH {_REFS}, p AS (SELECT title_id, number, label, ord FROM toc WHERE number IS NOT NULL AND title_id = 'T0')
-SELECT r.ref_id AS request_id, r.title_id, r.number, p.label, substr(p.label || ' text ' || p.ord, 1, 12) AS text, CASE WHEN p.label IS NOT NULL THEN 'found' WHEN r.title_id = 'T0' THEN 'section_absent' ELSE 'title_unread' END AS status FROM r LEFT JOIN p USING (title_id, number)""",
+    f"""WITH {_REFS}, q AS (SELECT ref_id, CASE WHEN number % 11 = 0 THEN 'none' ELSE title_id END AS title_id, number FROM r), p AS (SELECT title_id, number, label, ord FROM toc WHERE number IS NOT NULL)
+SELECT q.ref_id AS request_id, q.title_id, q.number, p.label, substr(p.label || ' text ' || p.ord, 1, 12) AS text, CASE WHEN p.label IS NOT NULL THEN 'found' WHEN q.title_id IN (SELECT title_id FROM toc) THEN 'section_absent' ELSE 'title_unread' END AS status FROM q LEFT JOIN p USING (title_id, number)""",
     "toc",
 )
 def _(v, t):
-    held = v("toc").filter("number is not null and title_id = 'T0'").select("title_id", "number", "label", F.concat("label", F.lit(" text "), "ord").alias("text"))
-    return joins.batch_provisions(_refs(t("customer")).withColumnRenamed("ref_id", "request_id"), held, held.select("title_id"), 12)
+    held = v("toc").filter("number is not null").select("title_id", "number", "label", F.concat("label", F.lit(" text "), "ord").alias("text"))
+    asked = _refs(t("customer")).withColumnRenamed("ref_id", "request_id").withColumn("title_id", F.when(F.col("number") % 11 == 0, "none").otherwise(F.col("title_id")))
+    return joins.batch_provisions(asked, held, held.select("title_id"), 12)
 
 
 @query(

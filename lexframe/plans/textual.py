@@ -366,13 +366,12 @@ def _(v, t):
 
 @query(
     "x26_dice",
-    """WITH p AS (SELECT doc_id, regexp_replace(lower(substr(text, 1, 30)), '[^a-z0-9]', '', 'g') AS a, regexp_replace(lower(substr(text, 9, 30)), '[^a-z0-9]', '', 'g') AS b, substr(text, 1, 30) AS x, substr(text, 9, 30) AS y FROM documents),
+    """WITH p AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS a, regexp_replace(lower(substr(text, 9)), '[^a-z0-9]', '', 'g') AS b FROM documents),
 g AS (SELECT *, CASE WHEN a = '' THEN [] ELSE list_distinct(list_transform(range(1, greatest(length(a) - 1, 1) + 1), lambda i: substr(a, i, 2))) END AS ga, CASE WHEN b = '' THEN [] ELSE list_distinct(list_transform(range(1, greatest(length(b) - 1, 1) + 1), lambda i: substr(b, i, 2))) END AS gb FROM p)
 SELECT doc_id, CASE WHEN len(ga) + len(gb) > 0 THEN 2.0 * len(list_intersect(ga, gb)) / (len(ga) + len(gb)) ELSE 0.0 END AS dice FROM g""",
 )
 def _(v, t):
-    a, b = F.substring("text", 1, 30), F.substring("text", 9, 30)
-    return t("documents").select("doc_id", texts.dice_similarity(a, b).alias("dice"))
+    return t("documents").select("doc_id", texts.dice_similarity(F.col("text"), F.substr("text", F.lit(9))).alias("dice"))
 
 
 @query(
