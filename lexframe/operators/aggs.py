@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexframe.functions.offsets import let
+from lexframe.functions.patterns import constant, pattern_hits
+from lexframe.functions.texts import rule_rows
 from lexframe.operators.windows import container_rank, toc_ancestors
 
 #: The register's collections and statuses; counts of zero are shown too.
@@ -119,16 +122,25 @@ def risk_score(findings: DataFrame) -> DataFrame:
     return out.withColumn("grade", F.when(F.col("score") == 0, "low").when(F.col("score") <= 3, "moderate").when(F.col("score") <= 8, "elevated").otherwise("high"))
 
 
-def doc_type(docs: DataFrame, signals: list[tuple[str, str, int]], *, floor: int = 4, override: tuple[str, ...] = ("claim", "demand"), override_at: int = 6) -> DataFrame:
+def doc_type(docs: DataFrame, signals: DataFrame | list[tuple[str, str, int]], *, floor: int = 4, override: tuple[str, ...] = ("claim", "demand"), override_at: int = 6) -> DataFrame:
     """A9. doc_id, doc_type, score: summed weights of the signals (type, pattern, weight) that occur.
 
     An override type of override_at or more wins; else the greatest score above the floor, the type declared first
     on ties; else 'other' with score 0.
     """
-    types = list(dict.fromkeys(t for t, _, _ in signals))
-    sums = {t: sum((F.when(F.col("text").rlike(p), w).otherwise(0) for s, p, w in signals if s == t), F.lit(0)) for t in types}
-    choices = F.array(*[F.struct((F.lit(t).isin(*override) & (sums[t] >= override_at)).cast("int").alias("first"), sums[t].alias("score"), F.lit(-i).alias("declared"), F.lit(t).alias("type")) for i, t in enumerate(types)])
-    best = docs.select("doc_id", F.array_max(choices).alias("b"))
+    rows = rule_rows(signals)
+    types = list(dict.fromkeys(t for t, _, _ in rows))
+    patterns = list(dict.fromkeys(p for _, p, _ in rows))
+    weights = {t: constant([sum(w for s, q, w in rows if s == t and q == p) for p in patterns], "array<int>") for t in types}
+
+    def total(hits: Column, weight: Column) -> Column:
+        return F.aggregate(hits, F.lit(0), lambda s, i: s + F.get(weight, i))
+
+    def chosen(hits: Column) -> Column:
+        sums = {t: total(hits, weights[t]) for t in types}
+        return F.array_max(F.array(*[F.struct((F.lit(t).isin(*override) & (sums[t] >= override_at)).cast("int").alias("first"), sums[t].alias("score"), F.lit(-i).alias("declared"), F.lit(t).alias("type")) for i, t in enumerate(types)]))
+
+    best = docs.select("doc_id", let(pattern_hits(F.col("text"), patterns), chosen).alias("b"))
     wins = (F.col("b.first") == 1) | (F.col("b.score") > floor)
     return best.select("doc_id", F.when(wins, F.col("b.type")).otherwise("other").alias("doc_type"), F.when(wins, F.col("b.score")).otherwise(0).alias("score"))
 

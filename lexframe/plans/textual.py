@@ -306,6 +306,23 @@ def _(v, t):
     return texts.document_risks(docs, [*RISK_RULES, ("preamble", "scope", "low", [r"(?i)\bpreamble applies"], [])])
 
 
+_W = r"[A-Za-z]{3,}"
+
+
+@query(
+    "x16_rules_of_a_table",
+    r"""WITH w AS (SELECT item_id, regexp_extract_all(text, '[A-Za-z]{3,}') AS ws FROM benchmark), r AS (SELECT item_id, [ws[1]] AS need, ws[2:4] AS more FROM w WHERE len(ws) > 3),
+d AS (SELECT doc_id, ' ' || regexp_replace(text, '[^\p{L}\p{M}\p{N}_]+', '  ', 'g') || ' ' AS t FROM documents)
+SELECT doc_id, CAST(item_id AS VARCHAR) AS rule FROM d JOIN r ON contains(t, ' ' || need[1] || ' ') AND (contains(t, ' ' || more[1] || ' ') OR contains(t, ' ' || more[2] || ' ') OR contains(t, ' ' || more[3] || ' '))""",
+)
+def _(v, t):
+    words = F.regexp_extract_all("text", F.lit(_W), F.lit(0))
+    held = t("benchmark").select("item_id", words.alias("ws")).filter(F.size("ws") > 3)
+    whole = lambda n, m: F.transform(F.slice("ws", n, m), lambda w: F.concat(F.lit(r"\b"), w, F.lit(r"\b")))
+    table = held.select(F.col("item_id").cast("string").alias("rule"), F.lit("benchmark").alias("category"), F.lit("low").alias("severity"), whole(1, 1).alias("requires"), whole(2, 3).alias("any_of"))
+    return texts.risk_scan(t("documents").select("doc_id", F.lit(None).cast("long").alias("n"), F.col("text").alias("body")), table).select("doc_id", "rule")
+
+
 @query(
     "x17_split_clauses",
     r"""SELECT doc_id, n, CAST(n AS VARCHAR) AS label, CASE n WHEN 1 THEN array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ') WHEN 2 THEN 'A fee of $' || (doc_id * 10 + 5) || ' is payable within ' || (doc_id % 30 + 1) || ' days.'
