@@ -46,20 +46,42 @@ def rank_titles(queries: DataFrame, titles: DataFrame, k: int = 10) -> DataFrame
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "points")
 
 
-def rank_base_law(queries: DataFrame, titles: DataFrame, anchors: DataFrame, k: int = 3) -> DataFrame:
+def rarest(asked: DataFrame, held: DataFrame, *key: str, most: Column) -> DataFrame:
+    """The key columns and word: of each key's distinct `words` the `most` that the fewest rows of held (word) have, ties by word.
+
+    What must share all but `most` - 1 words of a key shares one of these, so a join on them alone finds it.
+    """
+    often = held.groupBy("word").agg(F.count("*").alias("_df"))
+    each = asked.select(*key, most.alias("_most"), F.explode("words").alias("word")).join(often, "word", "left")
+    order = Window.partitionBy(*key).orderBy(F.coalesce("_df", F.lit(0)), "word")
+    return each.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= F.col("_most")).select(*key, "word")
+
+
+def rank_base_law(queries: DataFrame, titles: DataFrame, anchors: DataFrame, k: int = 3, *, common: int = 1000) -> DataFrame:
     """K2. query_id, rank, id, points: the titles a question most likely rests on.
 
     Anchored 200; name overlap 60 + 30 of the share of the name's words that the question has; principal 25, else
-    -100; Act 20; in force 15, repealed -10. Candidates share a word with the question (an equi-join on words).
+    -100; Act 20; in force 15, repealed -10. Candidates share a word with the question.
+
+    Words of more than `common` titles make no pair for each title: titles that differ in other words only (the same
+    common words, number of words and standing points) score alike for a question that shares none of the others, so
+    the k least ids of each such class stand for it. That gives the same rows for any `common`.
     """
-    words = titles.select("id", "is_principal", "collection", "status", F.array_distinct(stem_tokens(F.col("name"))).alias("name_words"))
+    standing = F.when(F.col("is_principal"), 25).otherwise(-100) + F.when(F.col("collection") == "Act", 20).otherwise(0) + F.when(F.col("status") == "InForce", 15).when(F.col("status") == "Repealed", -10).otherwise(0)
+    held = titles.select("id", F.array_distinct(stem_tokens(F.col("name"))).alias("name_words"), standing.alias("standing"))
     asked = queries.select("query_id", F.array_distinct(stem_tokens(F.col("query"))).alias("query_words"))
-    by_word = asked.select("query_id", F.explode("query_words").alias("word")).join(words.select("id", F.explode("name_words").alias("word")), "word").groupBy("query_id", "id").agg(F.count("*").alias("shared"))
+    each = held.select("id", F.explode("name_words").alias("word"))
+    often = each.groupBy("word").agg(F.count("*").alias("_df")).filter(F.col("_df") > common).select("word")
+    sought = asked.select("query_id", F.explode("query_words").alias("word"))
+    rare = sought.join(each.join(often, "word", "left_anti"), "word").select("query_id", "id")
+    shape = each.join(often, "word").groupBy("id").agg(F.array_sort(F.collect_set("word")).alias("_common")).join(held.select("id", F.size("name_words").alias("_size"), "standing"), "id")
+    first = F.row_number().over(Window.partitionBy("_common", "_size", "standing").orderBy("id"))
+    stands = shape.withColumn("_n", first).filter(F.col("_n") <= k).select("id", F.explode("_common").alias("word"))
     anchored = anchors.select("query_id", "id", F.lit(True).alias("anchored")).distinct()
-    found = by_word.join(anchored, ["query_id", "id"], "full").join(words, "id")
-    share = F.coalesce("shared", F.lit(0)) / F.greatest(F.size("name_words"), F.lit(1))
-    points = F.when(F.col("anchored"), 200).otherwise(0) + F.when(share > 0, 60 + F.round(30 * share)).otherwise(0) + F.when(F.col("is_principal"), 25).otherwise(-100)
-    points = points + F.when(F.col("collection") == "Act", 20).otherwise(0) + F.when(F.col("status") == "InForce", 15).when(F.col("status") == "Repealed", -10).otherwise(0)
+    pairs = rare.unionByName(sought.join(stands, "word").select("query_id", "id")).distinct()
+    found = pairs.join(anchored, ["query_id", "id"], "full").join(held, "id").join(asked.dropDuplicates(["query_id"]), "query_id", "left")
+    share = F.coalesce(F.size(F.array_intersect("name_words", "query_words")), F.lit(0)) / F.greatest(F.size("name_words"), F.lit(1))
+    points = F.when(F.col("anchored"), 200).otherwise(0) + F.when(share > 0, 60 + F.round(30 * share)).otherwise(0) + F.col("standing")
     order = Window.partitionBy("query_id").orderBy(F.desc("points"), "id")
     return found.withColumn("points", points.cast("int")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "points")
 
@@ -70,7 +92,7 @@ def rank_terms(queries: DataFrame, terms: DataFrame, k: int = 5) -> DataFrame:
     exact 100, alias 90, prefix (either way) 78 less the difference in length up to 12, contains 66, words 45 + 25 of
     the overlap from one half on, text 24 for queries of 4 letters or more. Shorter terms first on ties,
     then by name. terms: term, aliases, text. Distinct queries meet only terms that contain them or are inside them (see
-    containing) or share a word with them.
+    containing) or share one of the rarer half of their words, which whatever has half of the words does.
     """
     q, t = F.col("q"), F.col("t")
     asked = queries.select("query_id", fold_words(F.col("query")).alias("q")).filter("q <> ''")
@@ -79,7 +101,9 @@ def rank_terms(queries: DataFrame, terms: DataFrame, k: int = 5) -> DataFrame:
     every = F.array_distinct(F.concat(F.array("t", "x"), F.col("a")))
     inside = containing(sought.select(q.alias("needle"), q.alias("s")), held.select(F.col("term").alias("hay"), F.explode(every).alias("s"))).select(F.col("needle").alias("q"), F.col("hay").alias("term"))
     around = containing(held.select(F.col("term").alias("needle"), t.alias("s")), sought.select(q.alias("hay"), q.alias("s"))).select(F.col("hay").alias("q"), F.col("needle").alias("term"))
-    common = sought.select("q", F.explode(F.array_distinct(F.split(q, " "))).alias("w")).join(held.select("term", F.explode(F.array_distinct(F.split(t, " "))).alias("w")), "w").select("q", "term")
+    each = held.select("term", F.explode(F.array_distinct(F.split(t, " "))).alias("word"))
+    probes = sought.select("q", F.array_distinct(F.split(q, " ")).alias("words"))
+    common = rarest(probes, each, "q", most=F.floor(F.size("words") / 2) + 1).join(each, "word").select("q", "term")
     pairs = inside.unionByName(around).unionByName(common).distinct()
     words = F.split(q, " ")
     overlap = F.size(F.array_intersect(words, F.split(t, " "))) / F.greatest(F.size(F.array_distinct(words)), F.lit(1))

@@ -160,16 +160,18 @@ def natural_search(queries: DataFrame, aliases: DataFrame, titles: DataFrame, k:
     """P7. query_id, rank, id, via, points: titles for questions in plain words.
 
     Two passes, each title by the first that found it (U2): 'query', titles whose names have all content words of the
-    question (F1's 'all', as an equi-join on words), and 'alias', titles whose names contain the official name of the law
+    question (F1's 'all', as an equi-join on the rarest of them), and 'alias', titles whose names contain the official name of the law
     that the question names (X30, unless it is an agency or needs a jurisdiction). All are ranked by K1's points for that
     name, or for the question where none is named.
     """
     mention = questions.law_mentions(queries, aliases).filter("is_primary and not body and not needs_jurisdiction").select("query_id", F.col("name").alias("law"))
     words = lambda c: F.array_distinct(F.filter(F.split(folds.fold_words(c), " "), lambda w: (F.length(w) > 1) & ~w.isin(*folds.STOP_WORDS)))
-    asked = queries.select("query_id", words(F.col("query")).alias("_w"))
-    named = titles.select("id", F.explode(words(F.col("name"))).alias("_x"))
-    shared = asked.select("query_id", F.size("_w").alias("_n"), F.explode("_w").alias("_x")).join(named, "_x").groupBy("query_id", "id", "_n").agg(F.count("*").alias("_m"))
-    by_query = shared.filter("_m = _n").select("query_id", "id")
+    asked = queries.select("query_id", words(F.col("query")).alias("words"))
+    named = titles.select("id", words(F.col("name")).alias("_has"))
+    each = named.select("id", F.explode("_has").alias("word"))
+    sets = asked.select(F.array_sort("words").alias("words")).distinct()
+    near = rank.rarest(sets, each, "words", most=F.lit(1)).join(named.select("id", "_has", F.explode("_has").alias("word")), "word").filter(F.size(F.array_except("words", "_has")) == 0)
+    by_query = asked.select("query_id", F.array_sort("words").alias("words")).join(near.select("words", "id"), "words").select("query_id", "id").distinct()
     keys = mention.select("query_id", folds.fold_key(F.col("law"), ascii_only=True).alias("_k"))
     held = rank.folded_titles(titles)
     inside = containing(keys.select(F.col("_k").alias("needle"), F.col("_k").alias("s")).distinct(), held.select(F.col("id").alias("hay"), F.col("key").alias("s")))
