@@ -586,3 +586,13 @@ def _(v, t):
 @query("r8_matter_state", "SELECT matter, state, ts, n_events FROM (SELECT *, row_number() OVER (PARTITION BY matter ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER (PARTITION BY matter) AS n_events FROM task_events) WHERE rn = 1", "task_events")
 def _(v, t):
     return changes.matter_state(v("task_events"))
+
+
+@query(
+    "r8_idle_matters",
+    """WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY matter ORDER BY ts, event_id) < INTERVAL 2 DAY THEN 0 ELSE 1 END AS new FROM task_events), s AS (SELECT *, sum(new) OVER (PARTITION BY matter ORDER BY ts, event_id) AS k FROM m)
+SELECT matter, max_by(state, (ts, event_id)) AS state, min(ts) AS opened, max(ts) AS ts, count(*) AS n_events, max(ts) + INTERVAL 2 DAY AS closed FROM s GROUP BY matter, k""",
+    "task_events",
+)
+def _(v, t):
+    return changes.idle_matters(v("task_events"), "2 days")
