@@ -142,7 +142,7 @@ def _apart_sql(l: str, b: str, ol: str, ob: str) -> str:
 
 def op10_sql() -> str:
     """The template tree in SQL, level by level from the host down."""
-    word = r"list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: regexp_replace(regexp_replace(s, '^[0-9]+($|\.)', '<n>\1'), '^[0-9a-f-]{8,}($|\.)', '<x>\1'))"
+    word = r"list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: regexp_replace(regexp_replace(s, '^[0-9]+($|\.)', '/<n>\1'), '^[0-9a-f-]{8,}($|\.)', '/<x>\1'))"
     parts = [
         r"u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages)",
         f"p AS (SELECT *, {word} AS form FROM u)",
@@ -159,7 +159,7 @@ def op10_sql() -> str:
             f"n{d} AS (SELECT host, above, sum(l) AS l, sum(b) AS b FROM c{d} GROUP BY ALL)",
             f"s{d} AS (SELECT c.*, {side} AS side FROM c{d} c JOIN n{d} n ON n.host = c.host AND n.above = c.above)",
             f"t{d} AS (SELECT host, above, side, sum(l) AS l, sum(b) AS b, count(*) AS k FROM s{d} GROUP BY ALL)",
-            f"k{d} AS (SELECT s.host, s.above, s.seg, s.l, s.b, s.over, CASE WHEN t.k = 1 OR (s.side <> 0 AND {again} <> 0) THEN s.seg WHEN s.side = 0 THEN '*' WHEN s.side > 0 THEN '*+' ELSE '*-' END AS branch FROM s{d} s JOIN t{d} t ON t.host = s.host AND t.above = s.above AND t.side = s.side)",
+            f"k{d} AS (SELECT s.host, s.above, s.seg, s.l, s.b, s.over, CASE WHEN t.k = 1 OR (s.side <> 0 AND {again} <> 0) THEN s.seg WHEN s.side = 0 THEN '/*' WHEN s.side > 0 THEN '/*+' ELSE '/*-' END AS branch FROM s{d} s JOIN t{d} t ON t.host = s.host AND t.above = s.above AND t.side = s.side)",
             f"b{d} AS (SELECT host, above, branch, (sum(b) + 5.0 * min(over)) / (sum(l) + 5.0) AS rate FROM k{d} GROUP BY ALL)",
             f"l{d + 1} AS (SELECT l.host, l.form, CASE WHEN k.branch IS NULL THEN l.template ELSE list_concat(l.template[1:{d}], [k.branch], l.template[{d + 2}:]) END AS template, l.n, l.labelled, l.bad, coalesce(b.rate, l.rate) AS rate FROM l{d} l LEFT JOIN k{d} k ON k.host = l.host AND k.above = l.template[1:{d}] AND k.seg = l.template[{d + 1}] LEFT JOIN b{d} b ON b.host = k.host AND b.above = k.above AND b.branch = k.branch)",
         ]
@@ -167,7 +167,7 @@ def op10_sql() -> str:
     rules = [(r, v, *r.partition("/")[::2]) for r, v in sorted(URL_RULES, key=lambda r: -len(r[0]))]
     rule = "CASE " + " ".join(f"WHEN {fits(d, '/' + rest)} THEN '{r}'" for r, _, d, rest in rules) + " END"
     says = "CASE " + " ".join(f"WHEN {fits(d, '/' + rest)} THEN '{v}'" for _, v, d, rest in rules) + " WHEN rate >= 0.5 THEN 'block' ELSE 'allow' END"
-    return f"WITH {', '.join(parts)} SELECT p.page_id, p.host, p.path, {rule} AS rule, '/' || array_to_string(template, '/') AS template, rate AS bad_rate, {says} AS verdict FROM p JOIN l{_SQL_LEVELS} USING (host, form)"
+    return f"WITH {', '.join(parts)} SELECT p.page_id, p.host, p.path, {rule} AS rule, '/' || array_to_string(list_transform(template, lambda s: regexp_replace(s, '^/', '')), '/') AS template, rate AS bad_rate, {says} AS verdict FROM p JOIN l{_SQL_LEVELS} USING (host, form)"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -40,17 +40,17 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> t
 
 def path_form(path: Column) -> Column:
     """The path's segments, all of them, those that vary by their very form as wildcards: numbers, hex strings, with or
-    without an ending."""
+    without an ending. A wildcard begins with '/', which no segment of a path does, so none is spelled like one."""
 
     def form(s: Column) -> Column:
-        s = F.regexp_replace(s, r"^[0-9]+(?=$|\.)", "<n>")
-        return F.regexp_replace(s, r"^[0-9a-f-]{8,}(?=$|\.)", "<x>")
+        s = F.regexp_replace(s, r"^[0-9]+(?=$|\.)", "/<n>")
+        return F.regexp_replace(s, r"^[0-9a-f-]{8,}(?=$|\.)", "/<x>")
 
     return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), form)
 
 
-#: Names of the branches that children are merged into: like the others, worse than these, better than these.
-LIKE, WORSE, BETTER = "*", "*+", "*-"
+#: Names of the branches that children are merged into: like the others, worse than these, better than these. No segment has a '/'.
+LIKE, WORSE, BETTER = "/*", "/*+", "/*-"
 
 
 def _apart(labelled: Column, bad: Column, of_labelled: Column, of_bad: Column, z: float) -> Column:
@@ -141,4 +141,4 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFra
     judged = hot_join(keyed, rates.select(F.struct("host", "form").alias("leaf"), "template", "bad_rate", "_n"), "leaf", total)
     rule, says = matching_rule(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(says, F.when(F.col("bad_rate") >= block_at, F.lit("block")).otherwise(F.lit("allow")))
-    return judged.select("page_id", "host", "path", rule.alias("rule"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "bad_rate", verdict.alias("verdict"))
+    return judged.select("page_id", "host", "path", rule.alias("rule"), F.concat(F.lit("/"), F.array_join(F.transform("template", lambda s: F.regexp_replace(s, "^/", "")), "/")).alias("template"), "bad_rate", verdict.alias("verdict"))

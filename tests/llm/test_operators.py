@@ -257,7 +257,7 @@ def plain_tree(urls, prior=0.1, strength=5.0, z=1.96):
     """The template tree by plain loops: (host, form) -> (template, rate)."""
     leaves = collections.defaultdict(lambda: [0, 0])
     for host, path, bad in urls:
-        form = tuple(re.sub(r"^[0-9a-f-]{8,}(?=$|\.)", "<x>", re.sub(r"^[0-9]+(?=$|\.)", "<n>", s)) for s in path.split("/") if s)
+        form = tuple(re.sub(r"^[0-9a-f-]{8,}(?=$|\.)", "/<x>", re.sub(r"^[0-9]+(?=$|\.)", "/<n>", s)) for s in path.split("/") if s)
         leaves[host, form][0] += bad is not None
         leaves[host, form][1] += bad or 0
     smooth = lambda n, b, above: (b + strength * above) / (n + strength)
@@ -289,7 +289,7 @@ def plain_tree(urls, prior=0.1, strength=5.0, z=1.96):
             alike = [counts[x] for x in counts if sides[x] == sides[s]]
             pool = [sum(x[i] for x in alike) for i in (0, 1)]
             own = len(alike) == 1 or (sides[s] and side(*c, *pool))
-            branches[s if own else {0: "*", 1: "*+", -1: "*-"}[sides[s]]].append(s)
+            branches[s if own else {0: "/*", 1: "/*+", -1: "/*-"}[sides[s]]].append(s)
         for name, segments in branches.items():
             n, b = (sum(counts[s][i] for s in segments) for i in (0, 1))
             walk(host, [(f, (*t, name)) for s in segments for f, t in kids[s]], depth + 1, smooth(n, b, rate))
@@ -302,13 +302,21 @@ def plain_tree(urls, prior=0.1, strength=5.0, z=1.96):
     return out
 
 
+def test_a_segment_spelled_like_a_wildcard(spark):
+    for name in ("*", "*+", "*-", "<n>", "<x>"):
+        rows = [(i, f"http://h.com/{name if i < 20 else f'clean{i % 50}'}/p{i}") for i in range(2000)]
+        labelled = spark.createDataFrame([(i, int(i < 20)) for i in range(2000)], "page_id long, bad int")
+        got = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string"), [], labelled).collect()}
+        assert {i for i, v in got.items() if v == "block"} == set(range(20))
+
+
 def test_template_tree_against_brute_force(spark):
     from lexframe.llm.urlfilter import template_tree
 
     rng = random.Random(8)
     urls = []
     for _ in range(3000):
-        path = "/".join(rng.choice(["a", "bad", "ok", "x1", "12", "deadbeef", "u" + str(rng.randrange(40))]) for _ in range(rng.randint(0, 6)))
+        path = "/".join(rng.choice(["a", "bad", "ok", "x1", "12", "deadbeef", "*", "*+", "*-", "<n>", "u" + str(rng.randrange(40))]) for _ in range(rng.randint(0, 6)))
         chance = 0.8 if "bad" in path else 0.1
         urls.append((rng.choice(["h1", "h1", "h2", "", "h3"]), "/" + path, rng.choice([None, int(rng.random() < chance), int(rng.random() < chance)])))
     got = {(r.host, tuple(r.form)): (tuple(r.template), r.bad_rate) for r in template_tree(spark.createDataFrame(urls, "host string, path string, bad int")).collect()}
