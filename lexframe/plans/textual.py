@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexframe.functions import citations, folds, names, texts
@@ -501,7 +501,47 @@ def _(v, t):
     rows = [F.concat(F.lit('<div class="views-row"><a href="/judgments/e'), x, F.lit('">more</a><div class="field field--title">Ng v Lee '), x, F.lit(f'</div><div class="field date-issued"><strong>Date</strong> {k} May 2020</div></div>')) for k, x in enumerate(e, 1)]
     page = F.concat(F.lit("<body><p>"), F.regexp_replace("text", "[<>]", " "), F.lit("</p>"), F.when(d % 2 == 0, F.concat(*divs)).otherwise(F.concat(*rows)), F.lit("</body>"))
     pages = t("documents").select(d.alias("page_id"), F.when(d % 2 == 0, "row_divs").otherwise("field_rows").alias("source"), page.alias("html"))
-    return landed.parse_listing(pages, landed.listing_recipes(pages.sparkSession))
+    return landed.parse_listing(pages, landed.listing_recipes(pages.sparkSession)).drop("citation", "extra")
+
+
+_KINDS = ("chip_rows", "ordered_list", "heading_index", "case_studies", "letter_table")
+
+
+def _kind_pages(docs: DataFrame) -> DataFrame:
+    """A list page of each document: its own text, two entries, and a printed total in the kind's way."""
+    d = F.col("doc_id")
+
+    def entries(form: str) -> Column:
+        return F.concat(*(F.format_string(form, d * 10 + k) for k in (1, 2)))
+
+    total = (d * 37).cast("string")
+    bodies = {
+        "chip_rows": F.concat(F.lit("<p>1 to 2 of "), total, F.lit(" results</p>"), entries('<div class="views-row faceted-search-item"><h3><a href="/document-view/1/x%1$d?from=search">Ng v Lee [2020] FWC %1$d</a></h3><div class="fwc-chip">3 May 2020</div><div class="search-excerpt">An <b>excerpt</b></div></div>')),
+        "ordered_list": F.concat(F.lit('<ol class="resultsList" total="'), total, F.lit('">'), entries('<li><div class="resultTitle"><a href="/view?docid=x%1$d">Ng v Lee %1$d</a></div><div class="summary">An <b>excerpt</b></div></li>'), F.lit("</ol>")),
+        "heading_index": entries('<h2 class="a" id="x%1$d">Ng v Lee %1$d</h2><p>An <b>excerpt</b></p>'),
+        "case_studies": F.concat(total, F.lit(" result(s) found"), entries('<div class="views-row"><a href="/case-summaries/x%1$d">Ng v Lee %1$d</a><div class="field__item">An <b>excerpt</b></div></div>')),
+        "letter_table": F.concat(F.lit("<table>"), entries('<tr><td><a href="law_a%1$d.html">Ng v Lee %1$d</a></td><td>4 of 1999</td><td><a href="/get?query=mrdoc_%1$d.htm">x</a></td></tr>'), F.lit("</table>")),
+    }
+    kind = F.get(F.array(*map(F.lit, _KINDS)), (d % 5).cast("int"))
+    body = F.coalesce(*(F.when(kind == k, b) for k, b in bodies.items()))
+    return docs.select(d.alias("page_id"), kind.alias("source"), F.concat(F.lit("<body><p>"), F.regexp_replace("text", "[<>]", " "), F.lit("</p>"), body, F.lit("</body>")).alias("html"))
+
+
+_KIND_SQL = "CASE doc_id % 5 WHEN 0 THEN 'chip_rows' WHEN 1 THEN 'ordered_list' WHEN 2 THEN 'heading_index' WHEN 3 THEN 'case_studies' ELSE 'letter_table' END"
+
+
+@query(
+    "s5_other_listings",
+    f"""SELECT doc_id AS page_id, {_KIND_SQL} AS source, k AS rank, CASE doc_id % 5 WHEN 4 THEN 'law_a' ELSE 'x' END || (doc_id * 10 + k) AS id, CASE doc_id % 5 WHEN 0 THEN 'Ng v Lee [2020] FWC ' ELSE 'Ng v Lee ' END || (doc_id * 10 + k) AS title, CASE WHEN doc_id % 5 = 0 THEN '3 May 2020' END AS date,
+  CASE doc_id % 5 WHEN 0 THEN '[2020] FWC ' || (doc_id * 10 + k) WHEN 4 THEN '4 of 1999' END AS citation, CASE WHEN doc_id % 5 = 4 THEN 'mrdoc_' || (doc_id * 10 + k) ELSE 'An excerpt' END AS extra FROM documents, (SELECT unnest([1, 2]) AS k)""",
+)
+def _(v, t):
+    return landed.parse_listing(_kind_pages(t("documents")), landed.listing_recipes(t("documents").sparkSession))
+
+
+@query("s5_listing_totals", f"SELECT doc_id AS page_id, {_KIND_SQL} AS source, 2 AS n_rows, CASE WHEN doc_id % 5 IN (1, 3) THEN doc_id * 37 ELSE 2 END AS total, doc_id % 5 = 0 AS unreliable FROM documents")
+def _(v, t):
+    return landed.listing_totals(_kind_pages(t("documents")), landed.listing_recipes(t("documents").sparkSession))
 
 
 @query(

@@ -93,37 +93,82 @@ def extract_links(pages: DataFrame) -> DataFrame:
     return raw.select("page_id", "n", href.alias("href"), F.trim(F.regexp_replace(F.regexp_replace("a", r"(?s)<[^>]*>", ""), r"\s+", " ")).alias("anchor"), whole.alias("absolute"))
 
 
-def _listing(source: str, start: str, link: str, title: str, date: str) -> tuple[str, str, str, str, str]:
-    """A recipe whose entries go from one start tag to the next, and whose id is in a link."""
-    return source, rf"(?is){start}.*?(?={start}|</main>|</body>|$)", rf"(?is){link}", rf"(?is){title}", rf"(?is){date}"
+#: A pattern that never matches, for what a kind of listing doesn't have.
+NONE = r"(?!)()"
 
 
-#: Listing recipes by kind of source, as rows of source, block, id, title, date: how an entry begins, and where it has these.
+def _listing(source: str, start: str, link: str, title: str, date: str = NONE, *, citation: str = NONE, extra: str = NONE, total: str = NONE, trust: str = "rows", once: bool = False) -> tuple:
+    """A recipe whose entries go from one start tag to the next, and whose id is in a link or in the start tag."""
+    fields = (rf"(?is){p}" for p in (link, title, date, citation, extra, total))
+    return source, rf"(?is){start}.*?(?={start}|</main>|</body>|$)", *fields, trust, once
+
+
+_DAY = r"[0-9]{1,2} [A-Z][a-z]+ [0-9]{4}"
+_SHOWN = r"displaying\b[^<]{0,40}?\bof\s+([0-9,]+)"
+#: Listing recipes by kind of source: how an entry begins, where it has its id, title, date, citation and extra, where the
+#: page prints a total, whether that can be trusted (see listing_totals), and whether an id counts once only. The sites' markup.
 RECIPES = (
-    _listing("row_divs", r'<div[^>]*class="[^"]*\brow\b[^"]*\bresult\b[^"]*"[^>]*>', r'href="/decision/([0-9a-f]{16,32})"', r'<a\b[^>]*href="/decision/[^"]*"[^>]*>(.*?)</a>', r"decision date:?\s*(?:<[^>]*>\s*)*([0-9]{1,2} \w+ [0-9]{4})"),
-    _listing("field_rows", r'<div[^>]*class="[^"]*\bviews-row\b[^"]*"[^>]*>', r'href="[^"]*/([^"/?#]+)"', r'class="[^"]*field--title[^"]*"[^>]*>(.*?)</div>', r'class="[^"]*date[^"]*"[^>]*>(?:\s*<strong\b[^>]*>.*?</strong>)?(.*?)</div>'),
-    _listing("list_items", r"<li\b[^>]*>", r'href="/case/id/([0-9]+)"', r'<span[^>]*class="[^"]*caseName[^"]*"[^>]*>(.*?)</span>', r'<span[^>]*class="[^"]*date[^"]*"[^>]*>(.*?)</span>'),
-    _listing("table_rows", r"<tr\b[^>]*>", r'href="[^"]*/([^"/?#]+)"', r"<a\b[^>]*>(.*?)</a>", r'<td[^>]*headers="[^"]*date[^"]*"[^>]*>(.*?)</td>'),
-    _listing("link_list", r'<a\b[^>]*href="/en/Legislation/[^"]*"[^>]*>', r'href="/en/Legislation/([^"/?#]+)"', r"<a\b[^>]*>(.*?)</a>", r"(?!)()"),
-)
+    _listing("row_divs", r'<div[^>]*class="[^"]*\brow\b[^"]*\bresult\b[^"]*"[^>]*>', r'href="/decision/([0-9a-f]{16,32})"', r'<a\b[^>]*href="/decision/[^"]*"[^>]*>(.*?)</a>', r"decision date:?\s*(?:<[^>]*>\s*)*([0-9]{1,2} \w+ [0-9]{4})", total=_SHOWN, trust="below_cap"),
+    _listing("field_rows", r'<div[^>]*class="[^"]*\bviews-row\b[^"]*"[^>]*>', r'href="[^"]*/([^"/?#]+)"', r'class="[^"]*field--title[^"]*"[^>]*>(.*?)</div>', r'class="[^"]*date[^"]*"[^>]*>(?:\s*<strong\b[^>]*>.*?</strong>)?(.*?)</div>', total=_SHOWN, trust="printed"),
+    _listing("list_items", r"<li\b[^>]*>", r'href="/case/id/([0-9]+)"', r'<span[^>]*class="[^"]*caseName[^"]*"[^>]*>(.*?)</span>', r'<span[^>]*class="[^"]*date[^"]*"[^>]*>(.*?)</span>', total=r'class="[^"]*\b(?:tagline|count)\b[^"]*"[^>]*>[^<0-9]*([0-9,]+)', trust="agreeing"),
+    _listing("table_rows", r"<tr\b[^>]*>", r'href="[^"]*/([^"/?#]+)"', r"<a\b[^>]*>(.*?)</a>", r'<td[^>]*headers="[^"]*date[^"]*"[^>]*>(.*?)</td>', citation=r'<td[^>]*headers="[^"]*reference-number[^"]*"[^>]*>(.*?)</td>'),
+    _listing("link_list", r'<a\b[^>]*href="/en/Legislation/[^"]*"[^>]*>', r'href="/en/Legislation/([^"/?#]+)"', r"<a\b[^>]*>(.*?)</a>", once=True),
+    _listing("chip_rows", r'<div[^>]*class="[^"]*\bfaceted-search-item\b[^"]*"[^>]*>', r'href="[^"]*/document-view/[^"/]+/([^"?#]+)', r'<a\b[^>]*href="[^"]*/document-view/[^"]*"[^>]*>(.*?)</a>', rf'class="[^"]*\bfwc-chip\b[^"]*"[^>]*>\s*(?-i:({_DAY}))', citation=r"(\[[0-9]{4}\]\s+FWC[A-Z]*\s+[0-9]+)[^<]*</a>", extra=r'class="[^"]*\bsearch-excerpt\b[^"]*"[^>]*>(.*?)</div>', total=r"\bof\s+([0-9,]+)\s+results", trust="never"),
+    _listing("ordered_list", r"<li\b[^>]*>", r'href="[^"]*[?&;]docid=([^"&;#]+)', r'class="[^"]*\bresultTitle\b[^"]*"[^>]*>.*?<a\b[^>]*>(.*?)</a>', extra=r'class="[^"]*\bsummary\b[^"]*"[^>]*>(.*?)</div>', total=r'<ol\b[^>]*\btotal="([0-9,]+)"', trust="printed"),
+    _listing("heading_index", r'<h2\b[^>]*\bid="[^"]+"[^>]*>', r'<h2\b[^>]*\bid="([^"]+)"', r"<h2\b[^>]*>(.*?)</h2>", extra=r"</h2>(.*)$"),
+    _listing("case_studies", r'<div[^>]*class="[^"]*\bviews-row\b[^"]*"[^>]*>', r'href="/case-summaries/([^"/?#]+)"', r'<a\b[^>]*href="/case-summaries/[^"]*"[^>]*>(.*?)</a>', extra=r'class="[^"]*\bfield__item\b[^"]*"[^>]*>(.*?)</div>', total=r"([0-9,]+)\s*result\(s\)\s*found", trust="printed"),
+    _listing("letter_table", r"<tr\b[^>]*>", r'href="[^"]*\b(law_[a-z][0-9]+)\.html"', r'<a\b[^>]*href="[^"]*\blaw_[a-z][0-9]+\.html"[^>]*>(.*?)</a>', citation=r"</td>\s*<td\b[^>]*>(.*?)</td>", extra=r'href="[^"]*\bquery=(mrdoc_[0-9]+)\.html?\b'),
+)
+RECIPE_SCHEMA = "source string, block string, id string, title string, date string, citation string, extra string, total string, trust string, once boolean"
 
 
 def listing_recipes(spark: SparkSession) -> DataFrame:
-    """RECIPES as a table for parse_listing()."""
-    return spark.createDataFrame(list(RECIPES), "source string, block string, id string, title string, date string")
+    """RECIPES as a table for parse_listing() and listing_totals()."""
+    return spark.createDataFrame(list(RECIPES), RECIPE_SCHEMA)
+
+
+def _plain(html: Column) -> Column:
+    """The text of a piece of markup, null for none."""
+    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]*>", " "), r"\s+", " ")), F.lit(""))
 
 
 def parse_listing(pages: DataFrame, recipes: DataFrame) -> DataFrame:
     """S5. page_id, source, rank, id, title, date: the entries of result lists, by the recipe of each page's source.
 
+    With recipes that have them also citation and extra (an excerpt, a tag or a second id); where `once` is set the
+    first entry of an id counts.
+
     recipes: source, block, id, title, date (regular expressions, group 1), see RECIPES; a small table, that Spark
     broadcasts by its own check of the size. Entries without an id don't count.
     """
     held = pages.join(recipes, "source")
-    blocks = held.select("page_id", "source", F.posexplode(F.expr("regexp_extract_all(html, block, 0)")).alias("n", "b"), "id", "title", "date")
-    got = {c: F.nullif(F.trim(F.regexp_replace(F.regexp_replace(F.expr(f"regexp_extract(b, {c}, 1)"), "<[^>]*>", ""), r"\s+", " ")), F.lit("")) for c in ("id", "title", "date")}
-    rows = blocks.select("page_id", "source", "n", *(v.alias(k) for k, v in got.items())).filter("id is not null")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy("n"))).drop("n")
+    names = [c for c in ("id", "title", "date", "citation", "extra") if c in recipes.columns]
+    once = F.col("once") if "once" in recipes.columns else F.lit(False)
+    blocks = held.select("page_id", "source", once.alias("once"), F.posexplode(F.expr("regexp_extract_all(html, block, 0)")).alias("n", "b"), *names)
+    strip = {c: F.nullif(F.trim(F.regexp_replace(F.regexp_replace(F.expr(f"regexp_extract(b, {c}, 1)"), "<[^>]*>", ""), r"\s+", " ")), F.lit("")) for c in names[:3]}
+    got = strip | {c: _plain(F.expr(f"regexp_extract(b, {c}, 1)")) for c in names[3:]}
+    rows = blocks.select("page_id", "source", "once", "n", *(v.alias(k) for k, v in got.items())).filter("id is not null")
+    if "once" in recipes.columns:
+        rows = rows.withColumn("_f", F.min("n").over(Window.partitionBy("page_id", "id"))).filter("not once or n = _f").drop("_f")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy("n"))).drop("n", "once")
+
+
+def listing_totals(pages: DataFrame, recipes: DataFrame, *, cap: int = 10_000) -> DataFrame:
+    """S5. page_id, source, n_rows, total, unreliable: how many results a list page says it has, by its recipe's trust.
+
+    'printed': the printed total; 'below_cap': that, not to be trusted from `cap` on; 'agreeing': the same, nor where two
+    printed totals differ; 'never': the entries of the page, not to be trusted if a total is printed; 'rows': the
+    entries. Where nothing is printed the entries are the total.
+    """
+    counted = parse_listing(pages, recipes).groupBy("page_id").agg(F.count("*").alias("n_rows"))
+    held = pages.join(recipes.select("source", "total", "trust"), "source")
+    found = F.transform(F.expr("regexp_extract_all(html, total, 1)"), lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("long"))
+    shown = held.select("page_id", "source", "trust", F.array_distinct(F.array_compact(found)).alias("_all")).withColumn("_t", F.get("_all", F.lit(0)))
+    out = shown.join(counted, "page_id", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0).cast("long")))
+    rows_count = F.col("trust").isin("rows", "never") | F.col("_t").isNull()
+    over = F.col("trust").isin("below_cap", "agreeing") & (F.col("_t") >= cap)
+    doubt = over | ((F.col("trust") == "agreeing") & (F.size("_all") > 1)) | ((F.col("trust") == "never") & F.col("_t").isNotNull())
+    return out.select("page_id", "source", "n_rows", F.when(rows_count, F.col("n_rows")).otherwise(F.col("_t")).alias("total"), F.coalesce(doubt, F.lit(False)).alias("unreliable"))
 
 
 #: Where decision pages have their body and the rows and labels of their coversheet, by source; pages of no source are read as a whole.
