@@ -19,6 +19,9 @@ ROUND_SERIES = (
     "A Crim R", "ACSR", "ACLC", "IR", "AILR", "IPR", "ATD", "ATR", "ATC", "LGERA", "VLR",
 )
 SQUARE_SERIES = ("VR", "Qd R", "NSWR")
+#: Series by rank, authorised ones (1) and general ones (2); all others report one subject (3).
+AUTHORISED = ("CLR", "FCR", "NSWLR", "VR", "Qd R", "SASR", "WAR", "Tas R", "ACTR", "NTR", "Fam LR")
+GENERAL = ("ALR", "ALJR", "FLR", "ACTLR", "NSWR")
 #: Series that older volumes printed with the other bracket.
 EITHER_BRACKET = ("WAR", "Tas R")
 
@@ -56,6 +59,35 @@ def wrong_bracket(token: Column, bracket: Column) -> Column:
     return ~free & (round_one | square_one)
 
 
+def series_rows() -> list[tuple[str, str, str, int]]:
+    """(key, series, bracket, rank) of the known report series; bracket is round, square or either."""
+    kind = {n: "round" for n in ROUND_SERIES} | {n: "square" for n in SQUARE_SERIES} | {n: "either" for n in EITHER_BRACKET}
+    return [(_keys((n,))[0], n, b, 1 if n in AUTHORISED else 2 if n in GENERAL else 3) for n, b in kind.items()]
+
+
+#: Where a court sits, by how its token begins or by the token; all others are federal.
+SEATS = (
+    ("act", ("ACTSC", "ACTCA", "ACTMC", "ACAT")), ("nt", ("NTSC", "NTCA", "NTCCA", "NTMC", "NTCAT")), ("vic", ("VSC", "VSCA", "VCC", "VMC", "VCAT")),
+    ("nsw", tuple(c for c in COURTS if c.startswith("NSW"))), ("qld", tuple(c for c in COURTS if c.startswith("Q"))), ("sa", tuple(c for c in COURTS if c.startswith("SA"))),
+    ("wa", tuple(c for c in COURTS if c.startswith("WA"))), ("tas", tuple(c for c in COURTS if c.startswith("TAS"))),
+)
+
+
+def court_code(token: Column) -> Column:
+    """A known court's token as it is written, null for another."""
+    key = token_key(token)
+    written = F.create_map(*(F.lit(x) for c in COURTS for x in (c.upper(), c)))
+    return F.when(key.isin(*_keys(COURTS)), F.try_element_at(written, key))
+
+
+def court_seat(code: Column) -> Column:
+    """The jurisdiction of a known court: cth, nsw, vic, qld, sa, wa, tas, act or nt; null for null."""
+    seat = F.lit("cth")
+    for name, codes in SEATS:
+        seat = F.when(code.isin(*codes), name).otherwise(seat)
+    return F.when(code.isNotNull(), seat)
+
+
 def court_tier(token: Column) -> Column:
     """0 for the High Court, 1 for courts of appeal and full benches, 2 for all else."""
     key = token_key(token)

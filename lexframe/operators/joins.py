@@ -5,9 +5,10 @@ Every look-up that can miss says why in a status column: absent is not the same
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexframe.functions.courts import series_rows, token_key
 from lexframe.functions.folds import fold_key, fold_words
 from lexframe.sources.scratch import scratch_path
 
@@ -111,18 +112,42 @@ def locate_provision(refs: DataFrame, toc: DataFrame) -> DataFrame:
     return refs.join(best, "ref_id", "left").withColumn("status", F.when(F.col("ord").isNull(), "absent").otherwise("found"))
 
 
-def statute_existence(citations: DataFrame, titles: DataFrame, toc: DataFrame, coverage: DataFrame) -> DataFrame:
+def _by_alias(citations: DataFrame, titles: DataFrame, aliases: DataFrame) -> DataFrame:
+    """citations with the official name of an alias (J1) in law_name and its jurisdiction where none is given, and unclear."""
+    asked = F.when(F.col("jurisdiction").isNull(), F.col("law_name")).otherwise(F.format_string("%s (%s)", "law_name", "jurisdiction"))
+    found = resolve_alias(citations.select(asked.alias("name_id")).filter("name_id is not null").distinct().withColumn("name", F.col("name_id")), aliases).filter("status = 'found'")
+    one = lambda c: F.when(F.count_distinct(c) == 1, F.min(c))
+    known = found.groupBy(F.col("name_id").alias("_asked")).agg(F.bool_or("needs_jurisdiction").alias("_needs"), one("official").alias("_official"), one("jurisdiction").alias("_in"))
+    exact = titles.select(F.col("name").alias("law_name"), F.lit(True).alias("_exact")).distinct()
+    out = citations.withColumn("_asked", asked).join(known, "_asked", "left").join(exact, "law_name", "left")
+    return out.withColumns(
+        {
+            "unclear": F.col("jurisdiction").isNull() & F.coalesce("_needs", F.lit(False)),
+            "jurisdiction": F.coalesce("jurisdiction", "_in"),
+            "law_name": F.when(F.col("_exact"), F.col("law_name")).otherwise(F.coalesce("_official", "law_name")),
+        }
+    ).drop("_asked", "_needs", "_official", "_in", "_exact")
+
+
+def statute_existence(citations: DataFrame, titles: DataFrame, toc: DataFrame, coverage: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """J7. cite_id, verdict, reason for citations (cite_id, law_name, jurisdiction, number).
 
+    With aliases (alias, official, jurisdiction) a name that is no title's is looked up there first (J1): its official
+    name and jurisdiction are then checked; unclear_jurisdiction if it is a name in several and none is given.
+
     In this order: non_federal, no_name, title_absent, ambiguous (several titles of that name), existence_only (no
     number), contents_unread (no coverage row for the title), section_absent, found. verdict is right, wrong or unclear.
     """
     named = titles.groupBy(F.col("name").alias("law_name")).agg(F.min("id").alias("title_id"), (F.count_distinct("id") > 1).alias("several"))
     entries = toc.filter("number is not null").select("title_id", "number", F.lit(True).alias("listed")).distinct()
     read = coverage.select("title_id", F.lit(True).alias("read")).distinct()
+    if aliases is not None:
+        citations = _by_alias(citations, titles, aliases)
+    unclear = F.col("unclear") if aliases is not None else F.lit(False)
     joined = citations.join(named, "law_name", "left").join(entries, ["title_id", "number"], "left").join(read, "title_id", "left")
     reason = (
-        F.when(F.col("jurisdiction") != "Cth", "non_federal")
+        F.when(unclear, "unclear_jurisdiction")
+        .when(F.col("jurisdiction") != "Cth", "non_federal")
         .when(F.col("law_name").isNull(), "no_name")
         .when(F.col("title_id").isNull(), "title_absent")
         .when(F.col("several"), "ambiguous")
@@ -149,11 +174,26 @@ def case_existence(citations: DataFrame, judgments: DataFrame, coverage: DataFra
     return out.withColumn("status", status).drop("complete")
 
 
-def court_dimension(citations: DataFrame, courts: DataFrame) -> DataFrame:
+def report_series(spark: SparkSession) -> DataFrame:
+    """series_key, series, series_bracket (round, square or either), series_rank (1 authorised, 2 general, 3 subject)."""
+    return spark.createDataFrame(series_rows(), "series_key string, series string, series_bracket string, series_rank int")
+
+
+def court_dimension(citations: DataFrame, courts: DataFrame, series: DataFrame | None = None) -> DataFrame:
     """J9. citations (token, year, bracket) with court_name, status (known or unclear) and warnings.
 
-    Dots in a token don't count. courts: court, court_name, first_year, last_year.
+    Dots in a token don't count. courts: court, court_name, first_year, last_year. With series (see report_series) a
+    token that is no court's is looked up there too, dots, spaces and case aside: series and series_rank come as columns,
+    and bracket_style warns where the bracket isn't the series' own.
     """
+    if series is not None:
+        known = series.select("series_key", "series", "series_bracket", "series_rank")
+        out = court_dimension(citations, courts).withColumn("series_key", token_key(F.col("token"))).join(known, "series_key", "left")
+        own = F.col("court_name").isNull() & F.col("series").isNotNull()
+        wrong = (F.col("series_bracket") != "either") & (F.col("bracket") != F.col("series_bracket"))
+        told = F.when(own, F.when(wrong, F.array(F.lit("bracket_style"))).otherwise(F.array().cast("array<string>"))).otherwise(F.col("warnings"))
+        columns = {"warnings": told, "status": F.when(own, "known").otherwise(F.col("status")), "series": F.when(own, F.col("series")), "series_rank": F.when(own, F.col("series_rank"))}
+        return out.withColumns(columns).drop("series_key", "series_bracket")
     asked = citations.withColumn("court", F.replace("token", F.lit("."), F.lit("")))
     out = asked.join(courts, "court", "left")
     warnings = F.array_compact(

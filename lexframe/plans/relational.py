@@ -188,6 +188,25 @@ def _(v, t):
     return joins.statute_existence(cites, names, v("toc"), v("toc").select("title_id").distinct())
 
 
+@query(
+    "j7_statute_existence_by_alias",
+    """WITH c AS (SELECT o_orderkey AS cite_id, o_orderkey % 6 AS k, o_orderkey % 300 AS number FROM orders), e AS (SELECT DISTINCT title_id, number FROM toc WHERE number IS NOT NULL),
+x AS (SELECT cite_id, CASE k WHEN 0 THEN CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.title_id = 'T0' AND e.number = c.number) THEN 'found' ELSE 'section_absent' END WHEN 1 THEN 'unclear_jurisdiction' WHEN 2 THEN 'non_federal'
+  WHEN 3 THEN 'title_absent' WHEN 4 THEN CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.title_id = 'T1' AND e.number = c.number) THEN 'found' ELSE 'section_absent' END ELSE 'non_federal' END AS reason FROM c)
+SELECT cite_id, CASE WHEN reason = 'found' THEN 'right' WHEN reason IN ('title_absent', 'section_absent') THEN 'wrong' ELSE 'unclear' END AS verdict, reason FROM x""",
+    "toc",
+)
+def _(v, t):
+    o = F.col("o_orderkey")
+    spark = t("orders").sparkSession
+    asked = [("PA", None), ("EA", None), ("EA", "NSW"), ("No Such Act", "Cth"), ("EA", "Cth"), ("SA", None)]
+    of = spark.createDataFrame([(i, *a) for i, a in enumerate(asked)], "k int, law_name string, jurisdiction string")
+    cites = t("orders").select(o.alias("cite_id"), (o % 6).cast("int").alias("k"), (o % 300).alias("number")).join(of, "k").drop("k")
+    aliases = spark.createDataFrame([("PA", "Privacy Act 1988", "Cth"), ("EA", "Evidence Act 1995", "Cth"), ("EA", "Evidence Act 1995", "NSW"), ("SA", "Sentencing Act 1991", "Vic")], "alias string, official string, jurisdiction string")
+    names = spark.createDataFrame([("Privacy Act 1988", "T0"), ("Evidence Act 1995", "T1")], "name string, id string")
+    return joins.statute_existence(cites, names, v("toc"), v("toc").select("title_id").distinct(), aliases)
+
+
 @query(
     "j8_case_existence",
     r"""WITH m AS (SELECT doc_id, CAST(regexp_extract(citation, '\[([0-9]+)\]', 1) AS INT) AS year, regexp_extract(citation, '\] ([A-Za-z]+)', 1) AS court, CAST(regexp_extract(citation, ' ([0-9]+)$', 1) AS BIGINT) AS number FROM judgments),
@@ -218,6 +237,20 @@ def _(v, t):
     return joins.court_dimension(cites, courts)
 
 
+@query(
+    "j9_report_series",
+    """WITH c AS (SELECT doc_id, ['A.Crim.R.', 'clr', 'Tas R', 'QSC', 'Qd R', 'XYZ'][doc_id % 6 + 1] AS token, CASE doc_id % 4 WHEN 0 THEN 'round' ELSE 'square' END AS bracket FROM documents)
+SELECT doc_id, token, bracket, [NULL, NULL, NULL, 'Supreme Court', NULL, NULL][doc_id % 6 + 1] AS court_name, ['A Crim R', 'CLR', 'Tas R', NULL, 'Qd R', NULL][doc_id % 6 + 1] AS series, [3, 1, 1, NULL, 1, NULL][doc_id % 6 + 1] AS series_rank,
+  CASE WHEN doc_id % 6 = 5 THEN 'unclear' ELSE 'known' END AS status, CASE WHEN CASE doc_id % 6 WHEN 0 THEN bracket <> 'round' WHEN 1 THEN bracket <> 'round' WHEN 2 THEN false WHEN 4 THEN bracket <> 'square' ELSE bracket = 'round' END THEN ['bracket_style'] ELSE [] END AS warnings FROM c""",
+)
+def _(v, t):
+    d = F.col("doc_id")
+    token = F.get(F.array(*map(F.lit, ("A.Crim.R.", "clr", "Tas R", "QSC", "Qd R", "XYZ"))), (d % 6).cast("int"))
+    cites = t("documents").select("doc_id", token.alias("token"), F.lit(2000).alias("year"), F.when(d % 4 == 0, "round").otherwise("square").alias("bracket"))
+    courts = cites.sparkSession.createDataFrame([("QSC", "Supreme Court", None, None)], "court string, court_name string, first_year int, last_year int")
+    return joins.court_dimension(cites, courts, joins.report_series(cites.sparkSession)).drop("court", "year")
+
+
 @query("j10_enabled_instruments", "SELECT affecting AS act, id, name, provisions FROM authorises JOIN titles ON affected = id WHERE collection = 'LegislativeInstrument' AND status = 'InForce'", "titles", "authorises")
 def _(v, t):
     return joins.enabled_instruments(v("titles"), v("authorises"))

@@ -381,6 +381,17 @@ def _(v, t):
     return t("documents").select("doc_id", citations.canonical_citation(2000 + F.col("doc_id") % 25, F.lit("H.C.A."), F.col("doc_id")).alias("citation"))
 
 
+@query(
+    "x24_deep_link",
+    """SELECT doc_id, CASE doc_id % 5 WHEN 4 THEN NULL ELSE 'https://www.austlii.edu.au/cgi-bin/viewdoc/au/cases/' || ['cth', 'nsw', 'act', 'cth'][doc_id % 5 + 1] || '/' || ['FCA', 'NSWCA', 'ACAT', 'FedCFamC1A'][doc_id % 5 + 1] || '/' || (2000 + doc_id % 25) || '/' || doc_id || '.html' END AS link,
+  CASE WHEN doc_id % 5 = 0 THEN 'https://www.judgments.fedcourt.gov.au/judgments/Judgments/fca/single/' || (2000 + doc_id % 25) || '/' || (2000 + doc_id % 25) || 'fca' || CASE WHEN doc_id < 10000 THEN lpad(CAST(doc_id AS VARCHAR), 4, '0') ELSE CAST(doc_id AS VARCHAR) END END AS federal FROM documents""",
+)
+def _(v, t):
+    d = F.col("doc_id")
+    court = F.get(F.array(*map(F.lit, ("F.C.A.", "nswca", "ACAT", "FedCFamC1A", "XYZ"))), (d % 5).cast("int"))
+    return t("documents").select("doc_id", citations.deep_link(court, 2000 + d % 25, d).alias("link"), citations.deep_link(court, 2000 + d % 25, d, "federal").alias("federal"))
+
+
 @query(
     "x26_dice",
     """WITH p AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS a, regexp_replace(lower(substr(text, 9)), '[^a-z0-9]', '', 'g') AS b FROM documents),
