@@ -10,10 +10,10 @@ def test_numbers_of_six_to_nine_digits(spark):
     assert got == {("[2001] NSWCA 100001 at [3]", 100001, None), ("(1992) 175 CLR 1000003, 1000005", 1000003, 1000005), ("[2020] HCA 999999999", 999999999, None)}
 
 
-def test_addresses_are_no_references(spark):
-    text = "Log ch 70.123.182.155 and ch 70.12.18.15, s 10.0.0.1; cl 1.2.3.4, cl 10.123.0.1, reg 3.01, cl 1.2.3."
+def test_addresses_and_long_numbers_are_no_references(spark):
+    text = "Log ch 70.123.182.155 and ch 70.12.18.15, s 10.0.0.1; cl 1.2.3.4, cl 10.123.0.1, reg 3.01, cl 1.2.3; ch 4990203269970632, ss 4 and 12345."
     got = [r.ref for r in citations.extract_refs(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("pos").collect()]
-    assert got == ["cl 1.2.3.4", "reg 3.01", "cl 1.2.3"]
+    assert got == ["cl 1.2.3.4", "reg 3.01", "cl 1.2.3", "ss 4"]
 
 
 def test_addresses_are_no_clauses(spark):
