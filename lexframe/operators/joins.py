@@ -45,7 +45,9 @@ def resolve_alias(names: DataFrame, aliases: DataFrame, *, ascii_only: bool = Tr
 
 def aliases_for(titles: DataFrame, aliases: DataFrame) -> DataFrame:
     """J2. id, name, aliases (sorted) of each title that has any."""
-    return titles.join(aliases, titles["name"] == aliases["official"]).groupBy("id", "name").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    # Summed up by name first: a name of many titles and many aliases isn't joined pair by pair.
+    held = aliases.groupBy(F.col("official").alias("name")).agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    return titles.select("id", "name").distinct().join(held, "name").select("id", "name", "aliases")
 
 
 def version_as_at(events: DataFrame, versions: DataFrame) -> DataFrame:
