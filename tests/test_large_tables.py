@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lexframe.functions import citations, texts
 from lexframe.operators import joins
+from lexframe.plans.flows import natural_search
 
 
 def test_numbers_of_six_to_nine_digits(spark):
@@ -47,3 +48,12 @@ def test_aliases_of_a_name_of_many_titles(spark):
     assert {(r.id, tuple(r.aliases)) for r in got.collect()} == {(f"C{i}", ("T0", "T1", "T2")) for i in range(400)} and got.count() == 400
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")  # nothing is summed up above the join
+
+
+def test_questions_of_one_kind_get_the_same_titles(spark):
+    """Each asker of a repeated question has all its rows; found once for the kind."""
+    titles = spark.createDataFrame([(f"C{i}", f"Widget Act {1950 + i % 3}", True, "Act", "InForce") for i in range(9)], "id string, name string, is_principal boolean, collection string, status string")
+    aliases = spark.createDataFrame([("WID", "Widget Act 1951", "Cth")], "alias string, official string, jurisdiction string")
+    asked = spark.createDataFrame([(1, "widget 1950"), (2, "Widget 1950"), (3, "what does WID say about tents"), (4, "1950 widget"), (5, "none")], "query_id long, query string")
+    rows = natural_search(asked, aliases, titles, 2).collect()
+    assert {(r.query_id, r.rank, r.id, r.via) for r in rows} == {(q, n, i, v) for q, ids, v in ((1, ("C0", "C3"), "query"), (2, ("C0", "C3"), "query"), (4, ("C0", "C3"), "query"), (3, ("C1", "C4"), "alias")) for n, i in enumerate(ids, 1)}
