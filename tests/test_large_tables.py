@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lexframe.functions import citations, texts
 from lexframe.operators import joins
+from lexframe.plans.fixtures import table
 from lexframe.plans.flows import natural_search, research
 
 
@@ -73,3 +74,12 @@ def test_questions_share_a_list_of_hits(spark):
     own = shared.join(lists, "list_id").select("query_id", "domain", "rank", "id")
     got, want = (sorted(map(tuple, research(asked, *rest, hits, *related, **more).collect()), key=repr) for hits, more in ((shared, {"lists": lists}), (own, {})))
     assert got == want and {(r[0], r[6]) for r in got} == {(q, str(100 + i)) for q in range(1, 40, 2) for i in range(1, 6)}
+
+
+def test_a_small_file_of_many_rows_is_no_small_table(spark, tmp_path):
+    """By the size of its file a million rows were sent to every task, by way of the driver."""
+    spark.range(1_000_000, numPartitions=1).selectExpr("id AS p_partkey", "'Widget Law' AS p_name").write.parquet(f"{tmp_path}/part.parquet")
+    assert sum(x.stat().st_size for x in (tmp_path / "part.parquet").glob("*.parquet")) < 10 << 20
+    part = table(spark, str(tmp_path), "part")
+    joined = spark.range(100_000_000).join(part.selectExpr("p_partkey AS id", "concat('C', p_partkey) AS title_id", "p_name"), "id")
+    assert "Broadcast" not in joined._jdf.queryExecution().sparkPlan().toString()
