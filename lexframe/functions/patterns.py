@@ -77,6 +77,33 @@ def _place(key: str) -> int:
     return crc32(key.encode()) % PLACES
 
 
+#: A pattern that is a word by itself, perhaps in either case.
+_WORD = re.compile(r"(\(\?i\))?\\b([A-Za-z0-9_]+)\\b")
+
+
+def _tokens(text: Column) -> tuple[Column, Column]:
+    """The distinct words of a text, and the runs of ASCII letters, digits and '_' inside those that have other characters too."""
+    words = F.array_distinct(F.split(text, r"[^\p{L}\p{M}\p{N}_]+"))
+    mixed = F.filter(words, lambda w: F.rlike(w, F.lit(r"[^\x00-\x7F]")))
+    return words, F.flatten(F.transform(mixed, lambda w: F.split(w, r"[^A-Za-z0-9_]+")))
+
+
+def _words_found(tokens: Column, words: list[tuple[int, str, bool]]) -> Column:
+    """array<int>: the positions of those of the words (position, word, either case) that are among the tokens."""
+    either = any(c for _, _, c in words)
+    places: list[list[dict]] = [[] for _ in range(PLACES)]
+    for i, word, c in words:
+        places[_place(word.lower() if either else word)].append({"i": i, "w": word.lower() if c else word, "c": c})
+    index = constant(places, "array<array<struct<i:int,w:string,c:boolean>>>")
+
+    def met(w: Column) -> Column:
+        low = F.translate(w, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") if either else w
+        here = F.get(index, (F.crc32(low.cast("binary")) % PLACES).cast("int"))
+        return F.transform(F.filter(here, lambda e: F.when(e["c"], e["w"] == low).otherwise(e["w"] == w)), lambda e: e["i"])
+
+    return F.array_distinct(F.flatten(F.transform(tokens, met)))
+
+
 def constant(value: object, schema: str) -> Column:
     """A constant of a nested type, in one expression."""
     return F.from_json(F.lit(json.dumps(value)), schema)
@@ -86,19 +113,31 @@ def pattern_hits(text: Column, patterns: list[str]) -> Column:
     """array<int>: the positions in `patterns` of those that occur in a text, ascending; none for null.
 
     A pattern is tried only on texts that hold one of its anchors, so the work goes with the texts' words and the
-    candidates, not with texts times patterns. Patterns without anchors are tried on every text. There is no shuffle.
+    candidates, not with texts times patterns. Patterns without anchors are tried on every text. Patterns that are a word by
+    itself are looked up among the text's words, and tried only where they stand beside letters past ASCII. There is no shuffle.
     """
     places: list[list[int]] = [[] for _ in range(PLACES)]
     always: list[int] = []
+    words = [(i, m[2], m[1] is not None) for i, p in enumerate(patterns) if (m := _WORD.fullmatch(p))]
+    alone = {i for i, _, _ in words}
     for i, pattern in enumerate(patterns):
+        if i in alone:
+            continue
         keys = anchors(pattern)
         for at in {_place(k) for k in keys or ()}:
             places[at].append(i)
         if keys is None:
             always.append(i)
-    index, held = constant(places, "array<array<int>>"), constant(patterns, "array<string>")
-    words = F.split(text, r"[^A-Za-z0-9_]+")
-    asked = F.array_distinct(F.transform(words, lambda w: (F.crc32(F.lower(F.substring(w, 1, PREFIX)).cast("binary")) % PLACES).cast("int")))
-    tried = F.array_distinct(F.concat(constant(always, "array<int>"), F.flatten(F.transform(asked, lambda at: F.get(index, at)))))
-    hits = F.filter(tried, lambda i: F.rlike(text, F.get(held, i)))
-    return F.coalesce(F.array_sort(hits), F.array().cast("array<int>"))
+    held = constant(patterns, "array<string>")
+    tried, sure = constant(always, "array<int>"), F.array().cast("array<int>")
+    tokens, pieces = _tokens(text)
+    if words:
+        # Between characters that are no letters, marks, numbers or '_' a word has an edge on either side whatever a pattern
+        # takes for one; next to letters past ASCII the pattern itself decides.
+        sure, tried = _words_found(tokens, words), F.concat(tried, _words_found(pieces, words))
+    if len(always) + len(words) < len(patterns):
+        index = constant(places, "array<array<int>>")
+        asked = F.array_distinct(F.transform(F.concat(tokens, pieces), lambda w: (F.crc32(F.lower(F.substring(w, 1, PREFIX)).cast("binary")) % PLACES).cast("int")))
+        tried = F.concat(tried, F.flatten(F.transform(asked, lambda at: F.get(index, at))))
+    hits = F.filter(F.array_distinct(tried), lambda i: F.rlike(text, F.get(held, i)))
+    return F.coalesce(F.sort_array(F.array_distinct(F.concat(sure, hits))), F.array().cast("array<int>"))
