@@ -315,8 +315,8 @@ def phrase_mentions(docs: DataFrame, phrases: DataFrame, *, text: str = "text")
     """J18. doc_id, phrase_id for documents that contain a phrase word by word, case and punctuation aside.
 
     An equi-join on one word pair of the phrase (its only word) finds candidates; only their texts are held against the
-    whole phrase. The pair is the phrase's rarest in the documents, and of the documents only pairs that some phrase
-    has are shuffled, if the phrases are few enough (PHRASE_BYTES) for every task to have them.
+    whole phrase. The pair is the phrase's rarest in the documents. If the phrases are few enough (PHRASE_BYTES) for every
+    task to have them, each text meets them where it is and no text is shuffled; else pairs are, and the texts of candidates.
     """
 
     def plain(c: str) -> Column:
@@ -329,16 +329,23 @@ def phrase_mentions(docs: DataFrame, phrases: DataFrame, *, text: str = "text")
 
     sought = phrases.select("phrase_id", plain("phrase").alias("p")).filter("p <> ''").withColumn("heads", pairs(F.split("p", " ")))
     heads = sought.select(F.explode("heads").alias("head")).distinct()
-    size = heads.agg(F.sum(F.octet_length("head") + 8)).first()[0] or 0
-    heads = F.broadcast(heads) if size <= PHRASE_BYTES else heads
-    words = docs.select("doc_id", F.split(plain(text), " ").alias("w"))
-    # A phrase of one word needs the single words too.
-    have = words.select("doc_id", F.explode(F.array_distinct(F.concat(F.col("w"), pairs(F.col("w"))))).alias("head")).join(heads, "head")
+    # A phrase and its rarest pair are no longer than twice its text.
+    size = sought.agg(F.sum(2 * F.octet_length("p") + 32)).first()[0] or 0
+    few = size <= PHRASE_BYTES
+    heads = F.broadcast(heads) if few else heads
+    # A phrase of one word needs the single words too. Each place of a text gives its word and the pair that begins there.
+    bodies = docs.select("doc_id", plain(text).alias("body"))
+    places = bodies.withColumn("w", F.split("body", " ")).select("doc_id", "body", "w", F.posexplode("w").alias("i", "a"))
+    places = places.select("doc_id", "body", F.explode(F.array(F.col("a"), F.concat_ws(" ", "a", F.get("w", F.col("i") + 1)))).alias("head"))
+    have = places.select("doc_id", "head").join(heads, "head")
     counts = have.groupBy("head").agg(F.count("*").alias("n"))
     rarest = sought.select("phrase_id", "p", F.explode("heads").alias("head")).join(counts, "head", "left").groupBy("phrase_id", "p").agg(F.min_by("head", F.struct(F.coalesce("n", F.lit(0)), "head")).alias("head"))
+    padded = F.concat(F.lit(" "), F.col("body"), F.lit(" "))
+    whole = padded.contains(F.concat(F.lit(" "), F.col("p"), F.lit(" ")))
+    if few:
+        return places.join(F.broadcast(rarest), "head").filter(whole).select("doc_id", "phrase_id").distinct()
     found = have.join(rarest, "head").select("doc_id", "phrase_id", "p").distinct()
-    padded = docs.select("doc_id", F.concat(F.lit(" "), plain(text), F.lit(" ")).alias("body"))
-    return found.join(padded, "doc_id").filter(F.col("body").contains(F.concat(F.lit(" "), "p", F.lit(" ")))).select("doc_id", "phrase_id").distinct()
+    return found.join(bodies, "doc_id").filter(whole).select("doc_id", "phrase_id").distinct()
 
 
 def unverified_candidates(hits: DataFrame, confirmed: DataFrame, any_word_sources: tuple[str, ...]) -> DataFrame:
