@@ -132,16 +132,26 @@ def _plain(html: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]*>", " "), r"\s+", " ")), F.lit(""))
 
 
+#: Recipes up to so many bytes go to every task, so that pages stay where they are; there are few sources, and all pages of one would go to one task.
+RECIPE_BYTES = 8 << 20
+
+
+def _sent(recipes: DataFrame) -> DataFrame:
+    """Recipes, sent to all tasks if they are small by their own text."""
+    size = recipes.agg(F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in recipes.columns), F.lit(16)))).first()[0] or 0
+    return F.broadcast(recipes) if size <= RECIPE_BYTES else recipes
+
+
 def parse_listing(pages: DataFrame, recipes: DataFrame) -> DataFrame:
     """S5. page_id, source, rank, id, title, date: the entries of result lists, by the recipe of each page's source.
 
     With recipes that have them also citation and extra (an excerpt, a tag or a second id); where `once` is set the
     first entry of an id counts.
 
-    recipes: source, block, id, title, date (regular expressions, group 1), see RECIPES; a small table, that Spark
-    broadcasts by its own check of the size. Entries without an id don't count.
+    recipes: source, block, id, title, date (regular expressions, group 1), see RECIPES; a small table, that is
+    broadcast up to RECIPE_BYTES. Entries without an id don't count.
     """
-    held = pages.join(recipes, "source")
+    held = pages.join(_sent(recipes), "source")
     names = [c for c in ("id", "title", "date", "citation", "extra") if c in recipes.columns]
     once = F.col("once") if "once" in recipes.columns else F.lit(False)
     blocks = held.select("page_id", "source", once.alias("once"), F.posexplode(F.expr("regexp_extract_all(html, block, 0)")).alias("n", "b"), *names)
@@ -161,7 +171,7 @@ def listing_totals(pages: DataFrame, recipes: DataFrame, *, cap: int = 10_000) -
     entries. Where nothing is printed the entries are the total.
     """
     counted = parse_listing(pages, recipes).groupBy("page_id").agg(F.count("*").alias("n_rows"))
-    held = pages.join(recipes.select("source", "total", "trust"), "source")
+    held = pages.join(_sent(recipes.select("source", "total", "trust")), "source")
     found = F.transform(F.expr("regexp_extract_all(html, total, 1)"), lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("long"))
     shown = held.select("page_id", "source", "trust", F.array_distinct(F.array_compact(found)).alias("_all")).withColumn("_t", F.get("_all", F.lit(0)))
     out = shown.join(counted, "page_id", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0).cast("long")))
@@ -194,7 +204,7 @@ def parse_decision(pages: DataFrame, recipes: DataFrame | None = None) -> DataFr
     if recipes is None:
         held = pages.withColumns({c: F.lit(None).cast("string") for c in ("_body", "_row", "_label", "_value")})
     else:
-        held = pages.join(recipes.select("source", *(F.col(c).alias(f"_{c}") for c in ("body", "row", "label", "value"))), "source", "left")
+        held = pages.join(_sent(recipes.select("source", *(F.col(c).alias(f"_{c}") for c in ("body", "row", "label", "value")))), "source", "left")
     names = F.regexp_extract_all("html", F.lit(r'(?is)<(?:dt|th|meta name=")[^>]*?>?\s*([^<">]+)'), F.lit(1))
     values = F.regexp_extract_all("html", F.lit(r'(?is)(?:<dd[^>]*>|<td[^>]*>|content=")\s*([^<">]*)'), F.lit(1))
     n = F.least(F.size(names), F.size(values))
