@@ -389,6 +389,39 @@ def test_search_skips_postings_and_takes_odd_tables(spark):
     assert search(docs, asked.limit(0)).count() == 0
 
 
+def test_search_holds_alike_queries_together_and_scores_exactly(monkeypatch):
+    import numpy as np
+    from lexframe.llm import search as module
+
+    rng = np.random.default_rng(5)
+    n, queries, words = 700, 90, 40
+    # Three languages in turn; documents 2j and 2j + 1 differ in length by one word in thousands, so their scores nearly agree.
+    counts = np.zeros((n, 3 * words), dtype=np.int64)
+    for i in range(n):
+        lang = i // 2 % 3
+        counts[i, lang * words : (lang + 1) * words] = counts[i - 1, lang * words : (lang + 1) * words] if i % 2 else rng.integers(0, 4, words)
+    lengths = counts.sum(axis=1) + 10_000_000 + np.arange(n) % 2
+    doc, term = np.nonzero(counts)
+    by = np.lexsort((doc, term))
+    starts = np.searchsorted(term[by], np.arange(3 * words + 1))
+    shard = module.Shard(np.arange(n), lengths, np.arange(1, 3 * words + 1), starts, doc[by].astype(np.int16), counts[doc, term][by].astype(np.int32), float(lengths.mean()))
+    query = np.repeat(np.arange(queries), 30)
+    asked = np.concatenate([q % 3 * words + rng.permutation(words)[:30] for q in range(queries)])
+    weight = rng.random(len(query)) * 1e5
+    monkeypatch.setattr(module, "CHUNK", 30)
+    block = module.Queries(np.arange(queries) * 10, query, (asked + 1).astype(np.uint64), weight)
+    assert sorted(block.ids.tolist()) == list(range(0, queries * 10, 10))
+    assert all(len({i // 10 % 3 for i in block.ids[lo:hi].tolist()}) == 1 for lo, hi, *_ in block.chunks)
+    best = module.Best(queries, 5)
+    seen, read = module.search_shard(shard, block, best)
+    assert 0 < read <= seen
+    impact = counts * 2.2 / (counts + 1.2 * (0.25 + 0.75 * lengths[:, None] / lengths.mean()))
+    for row, q in enumerate((block.ids // 10).tolist()):
+        scores = np.round(impact[:, asked[query == q]] @ weight[query == q], 6)
+        order = np.lexsort((np.arange(n), -scores))[:5]
+        assert np.allclose(best.score[row], scores[order], rtol=0, atol=3e-6) and set(best.doc[row].tolist()) == set(order.tolist())
+
+
 def test_revisits_without_url_or_time(spark):
     rows = [(1, None, 5, "revisit", "HTTP/1.1 304 N\r\nA: 1\r\n"), (2, "http://h/", None, "revisit", "HTTP/1.1 304 N\r\n"), (3, None, 1, "response", "HTTP/1.1 200 OK\r\n"), (1, None, 5, "revisit", "HTTP/1.1 304 N\r\nA: 1\r\n")]
     frame = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, block string").withColumns({c: F.lit(1) for c in ("bucket", "late", "found", "response")})
