@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 PREFIX = 4
 #: Places of the index. Words that share one only make more candidates.
 PLACES = 4096
+#: So many patterns are tried one by one: to take a text apart into words costs more.
+FEW = 32
 
 #: A piece of a pattern: an escape, a class, the beginning or the end of a group, or one character; and how often it may occur.
 _PIECE = re.compile(r"(?P<x>\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?[imsux]+\)|\(\?(?:[:=!>]|<[=!])|[()|]|.)(?P<q>[?*+]|\{[0-9,]*\})?[?+]?", re.S)
@@ -113,9 +115,11 @@ def pattern_hits(text: Column, patterns: list[str]) -> Column:
     """array<int>: the positions in `patterns` of those that occur in a text, ascending; none for null.
 
     A pattern is tried only on texts that hold one of its anchors, so the work goes with the texts' words and the
-    candidates, not with texts times patterns. Patterns without anchors are tried on every text. Patterns that are a word by
+    candidates, not with texts times patterns. FEW patterns are tried as they are. Patterns without anchors are tried on every text. Patterns that are a word by
     itself are looked up among the text's words, and tried only where they stand beside letters past ASCII. There is no shuffle.
     """
+    if len(patterns) <= FEW:
+        return F.array_compact(F.array(*(F.when(text.rlike(p), i) for i, p in enumerate(patterns)))) if patterns else F.array().cast("array<int>")
     places: list[list[int]] = [[] for _ in range(PLACES)]
     always: list[int] = []
     words = [(i, m[2], m[1] is not None) for i, p in enumerate(patterns) if (m := _WORD.fullmatch(p))]
